@@ -17,18 +17,20 @@ def _c(x) -> Column:
 
 
 def haversine_km(lat1, lon1, lat2, lon2) -> Column:
-    """Haversine distance in km; ``least(1, a)`` guards rounding above 1."""
+    """Haversine distance in km; ``a`` is clamped to 1 against rounding (a null
+    input stays null: ``least`` would skip it)."""
     lat1, lon1, lat2, lon2 = map(_c, (lat1, lon1, lat2, lon2))
     dlat = F.radians(lat2 - lat1)
     dlon = F.radians(lon2 - lon1)
     a = F.pow(F.sin(dlat / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(dlon / 2), 2)
-    return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+    return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.sqrt(F.when(a > 1.0, F.lit(1.0)).otherwise(a)))
 
 
 def haversine_sql(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
     """The same formula as SQL text (valid in Spark SQL and DuckDB)."""
-    return (f"(2*{EARTH_RADIUS_KM}*asin(sqrt(least(1.0, pow(sin(radians({lat2}-{lat1})/2),2)"
-            f" + cos(radians({lat1}))*cos(radians({lat2}))*pow(sin(radians({lon2}-{lon1})/2),2)))))")
+    a = (f"(pow(sin(radians({lat2}-{lat1})/2),2)"
+         f" + cos(radians({lat1}))*cos(radians({lat2}))*pow(sin(radians({lon2}-{lon1})/2),2))")
+    return f"(2*{EARTH_RADIUS_KM}*asin(sqrt(CASE WHEN {a} > 1.0 THEN 1.0 ELSE {a} END)))"
 
 
 def planar_distance(lat1, lon1, lat2, lon2) -> Column:
