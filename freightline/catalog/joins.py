@@ -126,7 +126,7 @@ SELECT c_custkey, arg_min(s_suppkey, (d, s_suppkey)) AS s_suppkey, round(min(d),
 def q_jn6(spark, sf):
     conf = supplier_points(spark, sf).filter(F.col("s_acctbal") < 0)
     r = jn.nearest_neighbor(customer_points(spark, sf), conf, "c_custkey", "lat", "lon", "s_suppkey", "lat", "lon",
-                            metric="planar", start_cell_deg=2.0)
+                            metric="planar")
     return r.select("c_custkey", "s_suppkey", F.round("distance", 4).alias("distance"))
 
 
@@ -159,7 +159,7 @@ pairs AS (SELECT s.s_suppkey, p.place_id, {haversine_sql('s.lat', 's.lon', 'p.la
 SELECT s_suppkey, arg_min(place_id, (d, place_id)) AS place_id, round(min(d), 4) AS distance_km FROM pairs GROUP BY 1""")
 def q_jn9(spark, sf):
     r = jn.nearest_neighbor(supplier_points(spark, sf), places(spark, sf), "s_suppkey", "lat", "lon",
-                            "place_id", "lat", "lon", metric="haversine", start_cell_deg=2.0)
+                            "place_id", "lat", "lon", metric="haversine")
     return r.select("s_suppkey", "place_id", F.round("distance", 4).alias("distance_km"))
 
 

@@ -79,15 +79,21 @@ def _neighbour_cells(cy: Column, cx: Column, cell: float) -> Column:
 
 def nearest_neighbor(queries: DataFrame, candidates: DataFrame, q_id: str, q_lat: str, q_lon: str,
                      c_id: str, c_lat: str, c_lon: str, metric: str = "haversine",
-                     start_cell_deg: float = 1.0, max_abs_lat: float | None = None) -> DataFrame:
+                     start_cell_deg: float | None = None, max_abs_lat: float | None = None,
+                     growth: float = 4.0) -> DataFrame:
     """Exact nearest candidate per query point: ``(q_id, c_id, distance)``.
 
-    Level k uses cells of ``start_cell_deg * 2**k`` degrees.  A query is
+    Level k uses cells of ``start_cell_deg * growth**k`` degrees; by default
+    the first cell is the mean spacing of the candidates (sqrt(sphere area /
+    count)), so a cell holds about one candidate whatever the data size.  A query is
     settled when its best candidate in the 3x3 neighbourhood is closer than
     the guaranteed search radius of that level; the rest move to the next
     level.  At 360-degree cells every candidate is a neighbour, so the loop
     always ends.  Ties: smallest candidate id."""
     dist_fn = haversine_km if metric == "haversine" else planar_distance
+    if start_cell_deg is None:
+        n_cand = candidates.count()
+        start_cell_deg = min(360.0, max(1e-4, math.sqrt(360.0 * 180.0 / max(n_cand, 1))))
     if max_abs_lat is None:
         # one scalar from a distributed aggregate: the cell padding must cover the data's poles-most point
         max_abs_lat = queries.agg(F.max(F.abs(F.col(q_lat)))).first()[0] or 0.0
@@ -115,7 +121,7 @@ def nearest_neighbor(queries: DataFrame, candidates: DataFrame, q_id: str, q_lat
         pending = pending.checkpoint(eager=True)
         if pending.isEmpty():
             break
-        cell = min(cell * 2.0, 360.0)
+        cell = min(cell * growth, 360.0)
     out = results[0]
     for r in results[1:]:
         out = out.unionByName(r)
