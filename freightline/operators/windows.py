@@ -44,24 +44,30 @@ def days_since_previous(df: DataFrame, keys, date_col: str, name: str = "days_si
     return df.withColumn(name, F.datediff(F.col(date_col), F.lag(date_col).over(w)))
 
 
+def _desc(order):
+    return [F.col(o).desc() if isinstance(o, str) else o.desc() for o in order]
+
+
 def forward_back_fill(df: DataFrame, keys, order, cols: Sequence[str]) -> DataFrame:
-    """Forward fill, then back fill the leading nulls (WN6)."""
-    w = _w(keys, order)
-    back = w.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = w.rowsBetween(0, Window.unboundedFollowing)
-    return df.withColumns({c: F.coalesce(F.last(c, True).over(back), F.first(c, True).over(ahead)) for c in cols})
+    """Forward fill, then back fill the leading nulls (WN6).
+
+    Both directions use running frames (the backward one over the reversed
+    order): Spark evaluates a growing frame incrementally, whereas a frame
+    ending at UNBOUNDED FOLLOWING is recomputed per row."""
+    back = _w(keys, order).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = _w(keys, _desc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumns({c: F.coalesce(F.last(c, True).over(back), F.last(c, True).over(ahead)) for c in cols})
 
 
 def time_interpolate(df: DataFrame, keys, ts_col: str, col: str, name: str | None = None) -> DataFrame:
     """Linear interpolation weighted by time between the neighbouring known
     values; leading/trailing gaps are held flat (WN7)."""
-    w = _w(keys, [ts_col])
-    back = w.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = w.rowsBetween(0, Window.unboundedFollowing)
+    back = _w(keys, [ts_col]).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = _w(keys, _desc([ts_col])).rowsBetween(Window.unboundedPreceding, 0)
     t = F.unix_micros(F.col(ts_col).cast("timestamp"))
     known = F.when(F.col(col).isNotNull(), F.struct(t.alias("t"), F.col(col).alias("v")))
     prev = F.last(known, True).over(back)
-    nxt = F.first(known, True).over(ahead)
+    nxt = F.last(known, True).over(ahead)
     span = (nxt["t"] - prev["t"]).cast("double")
     lin = prev["v"] + (nxt["v"] - prev["v"]) * F.when(span > 0, (t - prev["t"]) / span).otherwise(F.lit(0.0))
     val = (F.when(F.col(col).isNotNull(), F.col(col))

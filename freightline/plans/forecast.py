@@ -14,3 +14,194 @@ def ensemble_mean(cols: Sequence[str], weights: Sequence[float] | None = None) -
     num = sum((F.coalesce(F.col(c) * wi, F.lit(0.0)) for c, wi in zip(cols, w)), F.lit(0.0))
     den = sum((F.when(F.col(c).isNotNull(), F.lit(wi)).otherwise(F.lit(0.0)) for c, wi in zip(cols, w)), F.lit(0.0))
     return F.when(den > 0, num / den)
+
+
+# --------------------------------------------------------------------------
+# Regularised additive regression forecaster (FC2/FC3), fitted for every
+# series at once.  The only data-sized work is a grouped sum of x_i*x_j
+# (the Gram matrix) -- a partial aggregate in the JVM.  The K x K solve runs
+# per series in ``mapInPandas`` on the one-row Gram table.
+# --------------------------------------------------------------------------
+import math as _math
+from dataclasses import dataclass, field
+
+import numpy as _np
+from pyspark.sql import DataFrame
+from pyspark.sql import types as _T
+
+
+@dataclass
+class ForecastSpec:
+    growth: str = "linear"                 # linear | logistic
+    seasonality_mode: str = "additive"     # additive | multiplicative
+    n_changepoints: int = 5
+    changepoint_range: float = 0.8
+    yearly_order: int = 4
+    weekly_order: int = 3
+    monthly_order: int = 0
+    quarterly_order: int = 0
+    ridge: float = 1.0
+    interval_width: float = 0.8
+    cap: float | None = None
+    floor: float = 0.0
+    regressors: list = field(default_factory=list)
+
+
+_Z = {0.8: 1.2815515655446004, 0.9: 1.6448536269514722, 0.95: 1.959963984540054}
+
+
+def _feature_columns(ds: Column, t0: Column, span: Column, spec: ForecastSpec) -> list[tuple[str, Column]]:
+    t = F.datediff(ds, t0).cast("double") / F.greatest(span.cast("double"), F.lit(1.0))
+    cols = [("intercept", F.lit(1.0)), ("trend", t)]
+    for k in range(spec.n_changepoints):
+        c = spec.changepoint_range * (k + 1) / (spec.n_changepoints + 1)
+        cols.append((f"cp{k}", F.greatest(F.lit(0.0), t - c)))
+    day = F.unix_date(ds).cast("double")
+    for name, period, order in (("yearly", 365.25, spec.yearly_order), ("weekly", 7.0, spec.weekly_order),
+                                ("monthly", 30.5, spec.monthly_order), ("quarterly", 91.25, spec.quarterly_order)):
+        for i in range(1, order + 1):
+            arg = day * (2.0 * _math.pi * i / period)
+            cols += [(f"{name}_s{i}", F.sin(arg)), (f"{name}_c{i}", F.cos(arg))]
+    for r in spec.regressors:
+        cols.append((r, F.col(r).cast("double")))
+    return cols
+
+
+def _transform_y(y: Column, spec: ForecastSpec) -> Column:
+    if spec.growth == "logistic":
+        if spec.cap is None:
+            raise ValueError("logistic growth needs a cap")
+        p = (y - spec.floor) / (spec.cap - spec.floor)
+        p = F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6))
+        return F.log(p / (1 - p))
+    if spec.seasonality_mode == "multiplicative":
+        return F.log1p(F.greatest(y, F.lit(0.0)))
+    return y
+
+
+def _inverse_y(z: Column, spec: ForecastSpec) -> Column:
+    if spec.growth == "logistic":
+        return spec.floor + (spec.cap - spec.floor) / (1 + F.exp(-z))
+    if spec.seasonality_mode == "multiplicative":
+        return F.expm1(z)
+    return z
+
+
+def _solve_batches(it, k: int, ridge: float):
+    for pdf in it:
+        betas, sds = [], []
+        iu = _np.triu_indices(k)
+        for xtx_u, xty, n, yty in zip(pdf["xtx"], pdf["xty"], pdf["n"], pdf["yty"]):
+            a = _np.zeros((k, k))
+            a[iu] = _np.asarray(xtx_u, dtype=float)
+            a = a + _np.triu(a, 1).T
+            b = _np.asarray(xty, dtype=float)
+            reg = _np.full(k, ridge)
+            reg[0] = 0.0  # intercept is not shrunk
+            beta = _np.linalg.solve(a + _np.diag(reg) + 1e-9 * _np.eye(k), b)
+            sse = float(yty - 2 * beta @ b + beta @ a @ beta)
+            sds.append(_math.sqrt(max(sse, 0.0) / max(n - 1, 1)))
+            betas.append(beta.tolist())
+        out = pdf.drop(columns=["xtx", "xty", "yty"])
+        out["beta"] = betas
+        out["resid_sd"] = sds
+        yield out
+
+
+def fit_forecaster(df: DataFrame, keys: list[str], ds: str = "ds", y: str = "y",
+                   spec: ForecastSpec | None = None) -> DataFrame:
+    """Fit one regularised regression per key.  Returns ``keys, t0, span,
+    last_ds, n, beta, resid_sd`` (one small row per series)."""
+    spec = spec or ForecastSpec()
+    bounds = df.groupBy(*keys).agg(F.min(ds).alias("t0"), F.max(ds).alias("last_ds"))
+    bounds = bounds.withColumn("span", F.datediff("last_ds", "t0"))
+    d = df.join(bounds, keys)
+    feats = _feature_columns(F.col(ds), F.col("t0"), F.col("span"), spec)
+    k = len(feats)
+    d = d.select(*keys, "t0", "span", "last_ds", _transform_y(F.col(y), spec).alias("_y"),
+                 F.array(*[c.cast("double") for _, c in feats]).alias("_x"))
+    x = F.col("_x")
+    xtx = [F.sum(x[i] * x[j]) for i in range(k) for j in range(i, k)]
+    xty = [F.sum(x[i] * F.col("_y")) for i in range(k)]
+    gram = d.groupBy(*keys, "t0", "span", "last_ds").agg(
+        F.array(*xtx).alias("xtx"), F.array(*xty).alias("xty"), F.count(F.lit(1)).alias("n"),
+        F.sum(F.col("_y") * F.col("_y")).alias("yty"))
+    schema = _T.StructType([f for f in gram.schema.fields if f.name not in ("xtx", "xty", "yty")] + [
+        _T.StructField("beta", _T.ArrayType(_T.DoubleType())), _T.StructField("resid_sd", _T.DoubleType())])
+    return gram.mapInPandas(lambda it: _solve_batches(it, k, spec.ridge), schema)
+
+
+def predict(model: DataFrame, keys: list[str], periods: int | None = None, future: DataFrame | None = None,
+            spec: ForecastSpec | None = None, freq_days: int = 1) -> DataFrame:
+    """Forecast ``periods`` steps after each series' last date (or the given
+    ``future`` rows): ``keys, ds, yhat, yhat_lower, yhat_upper``."""
+    spec = spec or ForecastSpec()
+    if future is None:
+        fut = model.select("*", F.explode(F.sequence(F.date_add("last_ds", freq_days),
+                                                     F.date_add("last_ds", freq_days * periods),
+                                                     F.expr(f"INTERVAL {freq_days} DAYS"))).alias("ds"))
+    else:
+        fut = future.join(model, keys)
+    feats = _feature_columns(F.col("ds"), F.col("t0"), F.col("span"), spec)
+    x = F.array(*[c.cast("double") for _, c in feats])
+    z = F.aggregate(F.zip_with("beta", x, lambda b, v: b * v), F.lit(0.0), lambda a, v: a + v)
+    zq = _Z.get(spec.interval_width, 1.2815515655446004)
+    fut = fut.withColumn("_z", z)
+    return fut.select(*keys, "ds", _inverse_y(F.col("_z"), spec).alias("yhat"),
+                      _inverse_y(F.col("_z") - zq * F.col("resid_sd"), spec).alias("yhat_lower"),
+                      _inverse_y(F.col("_z") + zq * F.col("resid_sd"), spec).alias("yhat_upper"))
+
+
+def cutoffs(df: DataFrame, keys: list[str], ds: str, initial_days: int, period_days: int, horizon_days: int) -> DataFrame:
+    """Rolling-origin cutoffs per series (WN12): from first + initial to
+    last - horizon, every ``period`` days."""
+    b = df.groupBy(*keys).agg(F.min(ds).alias("_lo"), F.max(ds).alias("_hi"))
+    first = F.date_add("_lo", initial_days)
+    last = F.date_sub("_hi", horizon_days)
+    return (b.filter(first <= last)
+             .select(*keys, F.explode(F.sequence(first, last, F.expr(f"INTERVAL {period_days} DAYS"))).alias("cutoff")))
+
+
+def linear_baseline(df: DataFrame, keys: list[str], ds: str = "ds", y: str = "y") -> DataFrame:
+    """FC12: per series linear trend (least squares on the day number) plus the
+    mean residual of each weekday, and the residual sd."""
+    d = df.withColumn("_t", F.unix_date(ds).cast("double"))
+    fit = d.groupBy(*keys).agg(F.regr_slope(y, "_t").alias("slope"), F.regr_intercept(y, "_t").alias("intercept"))
+    r = d.join(fit, keys).withColumn("_res", F.col(y) - (F.col("intercept") + F.col("slope") * F.col("_t")))
+    wk = r.groupBy(*keys, F.weekday(ds).alias("weekday")).agg(F.avg("_res").alias("weekday_effect"))
+    sd = r.groupBy(*keys).agg(F.stddev_samp("_res").alias("resid_sd"))
+    return fit.join(wk, keys).join(sd, keys)
+
+
+def fit_window_models(df: DataFrame, keys: list[str], ds: str, y: str, lookback: int = 30, horizon: int = 7,
+                      reg: float = 1.0) -> dict:
+    """FC7: one ``LinearRegression`` (normal solver, L2) per horizon on WN8
+    windows; the horizon loop is a fixed small constant."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.regression import LinearRegression
+
+    from ..operators.windows import sliding_sequences
+    s = sliding_sequences(df, keys, [ds], y, lookback, horizon)
+    s = s.select(array_to_vector("x").alias("features"), "y_future").persist()
+    models = {}
+    for h in range(horizon):
+        train = s.select("features", F.col("y_future")[h].alias("label"))
+        models[h + 1] = LinearRegression(solver="normal", regParam=reg, elasticNetParam=0.0).fit(train)
+    s.unpersist()
+    return models
+
+
+def predict_window_models(df: DataFrame, keys: list[str], ds: str, y: str, models: dict, lookback: int = 30) -> DataFrame:
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import Window
+    w = Window.partitionBy(*keys).orderBy(ds)
+    last = (df.withColumn("x", F.collect_list(y).over(w.rowsBetween(-(lookback - 1), 0)))
+              .withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(ds).desc())))
+              .filter((F.col("_r") == 1) & (F.size("x") == lookback))
+              .select(*keys, ds, array_to_vector("x").alias("features")))
+    out = None
+    for h, m in models.items():
+        p = m.transform(last).select(*keys, F.date_add(ds, h).alias(ds), F.lit(h).alias("horizon"),
+                                     F.col("prediction").alias("yhat"))
+        out = p if out is None else out.unionByName(p)
+    return out
