@@ -146,9 +146,18 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at(F.array(*[F.lit(c) for c in ROAD_CLASSES]), ((F.col("src") + F.col("dst")) % 3 + 1).cast("int")).alias("highway"),
         F.when((F.col("src") * F.col("dst")) % 4 == 0, F.lit(None).cast("double"))
          .otherwise((30 + ((F.col("src") + F.col("dst")) % 5) * 20).cast("double")).alias("speed_kph"),
+        (4.0 + (F.col("src") % 3) * 0.5).alias("maxheight"),
+        (20.0 + (F.col("dst") % 4) * 10.0).alias("maxweight"),
+        ((F.col("src") + F.col("dst")) % 7 == 0).alias("hazmat_prohibited"),
     )
 
 
+def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Road-network nodes: the places with an elevation in metres."""
+    return places(spark, sf_dir).select(F.col("place_id").alias("node_id"), "lat", "lon",
+                                        ((F.col("place_id") * 137) % 500).cast("double").alias("elevation"))
+
+
 def sensor(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     return ev.select(
@@ -205,12 +214,15 @@ JOIN region r ON o.region_key = r.r_regionkey""", ("shipments", "places")),
     "edges": (f"""
 SELECT c.src, c.dst, {haversine_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS length_km,
        CASE (c.src + c.dst) % 3 WHEN 0 THEN 'motorway' WHEN 1 THEN 'primary' ELSE 'residential' END AS highway,
-       CASE WHEN (c.src * c.dst) % 4 = 0 THEN NULL ELSE CAST(30 + ((c.src + c.dst) % 5) * 20 AS DOUBLE) END AS speed_kph
+       CASE WHEN (c.src * c.dst) % 4 = 0 THEN NULL ELSE CAST(30 + ((c.src + c.dst) % 5) * 20 AS DOUBLE) END AS speed_kph,
+       4.0 + (c.src % 3) * 0.5 AS maxheight, 20.0 + (c.dst % 4) * 10.0 AS maxweight, (c.src + c.dst) % 7 = 0 AS hazmat_prohibited
 FROM (SELECT DISTINCT src, dst FROM (
         SELECT place_id AS src, (place_id*7+3) % 25 AS dst FROM places
         UNION ALL SELECT place_id, (place_id*3+1) % 25 FROM places
         UNION ALL SELECT place_id, (place_id+1) % 25 FROM places) WHERE src <> dst) c
 JOIN places a ON c.src = a.place_id JOIN places b ON c.dst = b.place_id""", ("places",)),
+    "nodes": ("""
+SELECT place_id AS node_id, lat, lon, CAST((place_id * 137) % 500 AS DOUBLE) AS elevation FROM places""", ("places",)),
     "sensor": ("""
 SELECT event_id, user_id AS device_id, event_type AS sensor_type, value, ts, user_id AS shipment_id, props
 FROM events""", ()),
@@ -242,7 +254,7 @@ def view_sql(*names: str) -> str:
 
 VIEWS = {
     "places": places, "demand": demand, "shipments": shipments, "legs": legs,
-    "edges": edges, "sensor": sensor, "ledger": ledger, "damage": damage,
+    "edges": edges, "nodes": nodes, "sensor": sensor, "ledger": ledger, "damage": damage,
 }
 
 
