@@ -103,8 +103,8 @@ def q_fn16(spark, sf):
 
 @register("fn17_rounding_half_up", """
 SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber,
-  CAST(round(CAST(CAST(l_extendedprice * l_discount AS VARCHAR) AS DECIMAL(38,12)), 2) AS DOUBLE) AS disc_amount,
-  CAST(round(CAST(CAST(l_quantity * 0.125 AS VARCHAR) AS DECIMAL(38,12)), 2) AS DOUBLE) AS q_eighths FROM lineitem""")
+  CAST(round(CAST(CAST(l_extendedprice * l_discount AS VARCHAR) AS DECIMAL(38,18)), 2) AS DOUBLE) AS disc_amount,
+  CAST(round(CAST(CAST(l_quantity * 0.125 AS VARCHAR) AS DECIMAL(38,18)), 2) AS DOUBLE) AS q_eighths FROM lineitem""")
 def q_fn17(spark, sf):
     """Rounding follows Spark: half-up on the shortest decimal text of the
     double (2.675 -> 2.68, 0.125 -> 0.13), which the oracle reproduces by
