@@ -55,7 +55,7 @@ def q_lg3p(spark, sf):
 _OK = f"((r.state IS NULL AND e.status = 'CREATED') OR (r.state || '>' || e.status) IN ({_PAIRS}))"
 
 
-@register("lg3_exact_acceptance_fold", view_sql("ledger").replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+LG3_FOLD_SQL = view_sql("ledger").replace("WITH ", "WITH RECURSIVE ", 1) + f""",
 e AS (SELECT shipment_id, seq, ts, status, row_number() OVER (PARTITION BY shipment_id ORDER BY ts, seq) AS rn FROM ledger),
 r AS (SELECT shipment_id, rn, seq, status, status = 'CREATED' AS accepted,
              CASE WHEN status = 'CREATED' THEN status END AS state FROM e WHERE rn = 1
@@ -63,7 +63,10 @@ r AS (SELECT shipment_id, rn, seq, status, status = 'CREATED' AS accepted,
       SELECT e.shipment_id, e.rn, e.seq, e.status, coalesce({_OK}, false),
              CASE WHEN coalesce({_OK}, false) THEN e.status ELSE r.state END
       FROM r JOIN e ON e.shipment_id = r.shipment_id AND e.rn = r.rn + 1)
-SELECT shipment_id, seq, status, accepted, state AS state_after FROM r""")
+SELECT shipment_id, seq, status, accepted, state AS state_after FROM r"""
+
+
+@register("lg3_exact_acceptance_fold", LG3_FOLD_SQL)
 def q_lg3f(spark, sf):
     f = lg.exact_fold(_ledger(spark, sf))
     return f.select("shipment_id", "seq", "status", "accepted", "state_after")
