@@ -4,7 +4,7 @@ import math
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import round_half_up
+from ..functions.numeric import round_half_up, round_significant, round_significant_sql
 from ..operators import aggregates as ag
 from ..operators import windows as wn
 from ..plans import forecast as fc
@@ -39,11 +39,12 @@ m AS (SELECT series_id, avg(abs(y - yhat)) AS mae, sqrt(avg((y - yhat) * (y - yh
 
 
 @register("ag6_forecast_accuracy", _METRICS_SQL + f"""
-SELECT series_id, {R.format('mae')} AS mae, {R.format('rmse')} AS rmse, {R.format('mape')} AS mape,
+SELECT series_id, {R.format('mae')} AS mae, {R.format('rmse')} AS rmse, {round_significant_sql('mape')} AS mape,
        {R.format('coverage')} AS coverage, n FROM m""")
 def q_ag6(spark, sf):
     m = ag.forecast_accuracy(truth_vs_naive(spark, sf), K)
-    return m.select("series_id", *[round_half_up(c, 4).alias(c) for c in ("mae", "rmse", "mape", "coverage")], "n")
+    return m.select("series_id", *[round_half_up(c, 4).alias(c) for c in ("mae", "rmse", "coverage")],
+                    round_significant("mape").alias("mape"), "n")
 
 
 @register("ag7_pinball_loss", _PAIRS_SQL + f"""

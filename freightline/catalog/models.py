@@ -31,7 +31,9 @@ def disruption_frame(spark, sf):
         "zip_code", (F.col("lat") + (F.col("zip_code") % 11) / 10.0).alias("lat"), "lon")
     conf = supplier_points(spark, sf).filter(F.col("s_acctbal") < 0)
     near = jn.nearest_neighbor(upts, conf, "zip_code", "lat", "lon", "s_suppkey", "lat", "lon", metric="planar")
-    x = x.join(near.select("zip_code", F.col("distance").alias("conflict_risk")), "zip_code", "left")
+    # no conflict anywhere -> the largest planar distance on the globe
+    x = x.join(near.select("zip_code", F.col("distance").alias("conflict_risk")), "zip_code", "left") \
+         .withColumn("conflict_risk", F.coalesce("conflict_risk", F.lit(360.0)))
     # label: an error for this user on either of the next two days
     nxt = x.select("event_id", "zip_code", F.explode(F.array(F.date_add(F.to_date("ts"), 1), F.date_add(F.to_date("ts"), 2))).alias("d"))
     hit = nxt.join(dmg.select("zip_code", F.to_date("day").alias("d")), ["zip_code", "d"]).select("event_id").distinct() \
