@@ -67,8 +67,9 @@ def q_fn5(spark, sf):
 WITH d AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS ds FROM lineitem),
 s AS (SELECT ds, make_date(CASE WHEN month(ds) >= 4 THEN year(ds) ELSE year(ds) - 1 END, 4, 1) AS fy_start FROM d
       WHERE dayofweek(ds) = 0),
-f AS (SELECT ds, fy_start + CAST((7 - dayofweek(fy_start)) % 7 AS INTEGER) AS first_sunday FROM s)
-SELECT ds, CAST((ds - first_sunday) // 7 + 1 AS BIGINT) AS fiscal_week FROM f WHERE ds >= first_sunday""")
+f AS (SELECT ds, fy_start, fy_start + CAST((7 - dayofweek(fy_start)) % 7 AS INTEGER) AS first_sunday FROM s)
+SELECT ds, CAST((ds - first_sunday) // 7 + 1 AS BIGINT) AS fiscal_week FROM f
+WHERE ds >= first_sunday AND ds <= least(make_date(year(fy_start) + 1, 3, 30), last_day(make_date(year(fy_start) + 1, 3, 1)))""")
 def q_fn6(spark, sf):
     d = _ship_days(spark, sf).filter(F.dayofweek("ds") == 1)
     return d.select("ds", cal.fiscal_week("ds", 4).cast("bigint").alias("fiscal_week")).filter(F.col("fiscal_week").isNotNull())

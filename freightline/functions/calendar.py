@@ -51,23 +51,32 @@ def fourier_terms(d, period: float, orders=(1, 2), include_zero: bool = False, p
     return out
 
 
+def _fiscal_end(fy: Column, start_month: int) -> Column:
+    """The 30th of the month before ``start_month`` (in the next year unless the
+    fiscal year starts in January), or that month's last day when shorter."""
+    prev = 12 if start_month == 1 else start_month - 1
+    y = fy if start_month == 1 else fy + 1
+    first = F.make_date(y, F.lit(prev), F.lit(1))
+    return F.least(F.date_add(first, 29), F.last_day(first))
+
+
 def fiscal_week(d, start_month: int = 4) -> Column:
     """Fiscal week number (1-based) counted in Sundays from the first Sunday on or
-    after the 1st of ``start_month`` (FN6).  Null for days before that Sunday."""
+    after the 1st of ``start_month`` up to the fiscal year end (FN6).  Null for
+    days outside that span."""
     d = F.to_date(_c(d))
     fy = F.when(F.month(d) >= start_month, F.year(d)).otherwise(F.year(d) - 1)
     start = F.make_date(fy, F.lit(start_month), F.lit(1))
     # dayofweek: Sunday = 1 ... Saturday = 7
     first_sunday = F.date_add(start, ((F.lit(8) - F.dayofweek(start)) % 7).cast("int"))
     diff = F.datediff(d, first_sunday)
-    return F.when(diff >= 0, F.floor(diff / 7) + 1)
+    return F.when((diff >= 0) & (d <= _fiscal_end(fy, start_month)), F.floor(diff / 7) + 1)
 
 
 def fiscal_weeks(spark: SparkSession, year: int, start_month: int = 4) -> DataFrame:
-    """All Sundays of one fiscal year with their week number (FN6).  The year
-    ends on the last day of the month before ``start_month`` next year."""
+    """All Sundays of one fiscal year with their week number (FN6)."""
     start = F.make_date(F.lit(year), F.lit(start_month), F.lit(1))
-    end = F.date_sub(F.add_months(start, 12), 1)
+    end = _fiscal_end(F.lit(year), start_month)
     days = spark.range(1).select(F.explode(F.sequence(start, end)).alias("date"))
     sundays = days.filter(F.dayofweek("date") == 1)
     return sundays.select("date", fiscal_week("date", start_month).alias("fiscal_week"))
