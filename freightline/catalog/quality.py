@@ -7,7 +7,7 @@ from ..sources.views import view, view_sql
 from . import register
 
 
-@register("dq1_dataset_contract")
+@register("dq1_st2_dataset_contract")
 def q_dq1(spark, sf):
     li = table(spark, sf, "lineitem")
     return dq.contract_report(li, required=["l_orderkey", "l_shipdate", "l_quantity", "date", "value"],

@@ -159,3 +159,27 @@ def hash_chain(events: DataFrame, key: str, ts: str, seq: str, cols: Sequence[st
             pdf["chain_hash"] = out
             yield pdf
     return e.mapInPandas(run, schema)
+
+
+def latest_carrier(assignments: DataFrame, key: str = "shipment_id", ts: str = "ts", seq: str = "seq") -> DataFrame:
+    """LG6: carrier of the newest CARRIER_ASSIGNED event per shipment."""
+    return assignments.groupBy(key).agg(F.max_by("carrier", F.struct(ts, seq)).alias("carrier"),
+                                        F.max(ts).alias("assigned_at"))
+
+
+def batch_updates(batches: DataFrame, existing: DataFrame, key: str = "shipment_id") -> DataFrame:
+    """LG7: batch requests with parallel arrays ``ids, statuses, locations``.
+    A length mismatch rejects the whole batch; unknown ids are skipped; the
+    rest become status events (to be folded by :func:`latest_state`)."""
+    same = (F.size("ids") == F.size("statuses")) & (F.size("ids") == F.size("locations"))
+    ok = batches.filter(same)
+    rows = ok.select("batch_id", "batch_ts", F.posexplode(F.arrays_zip("ids", "statuses", "locations")).alias("pos", "u"))
+    rows = rows.select("batch_id", "batch_ts", "pos", F.col("u.ids").alias(key), F.col("u.statuses").alias("status"),
+                       F.col("u.locations").alias("location"))
+    return rows.join(existing.select(key).distinct(), key, "left_semi")
+
+
+def metadata(state: DataFrame) -> DataFrame:
+    """LG14: projection of the latest state with convenience flags."""
+    return state.withColumns({"is_delivered": F.col("status") == "DELIVERED", "is_cancelled": F.col("status") == "CANCELLED",
+                              "in_customs": F.col("status") == "CUSTOMS_HOLD"})
