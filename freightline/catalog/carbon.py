@@ -229,8 +229,9 @@ def q_cb14(spark, sf):
 SELECT order_key, {R('sum(co2_kg * 1000.0) / 1000.0')} AS total_kg, array_to_string(list_sort(list_distinct(list(vehicle_type))), ',') AS modes
 FROM em WHERE co2_kg IS NOT NULL GROUP BY 1""")
 def q_cb15(spark, sf):
-    e = leg_emissions(spark, sf).filter(F.col("error").isNull())  # no error <=> a value; keeps the
-    # large emission expression out of pushed-down join conditions
+    # no error <=> a value; filtering on the flag keeps the large emission
+    # expression out of pushed-down join conditions
+    e = leg_emissions(spark, sf).filter(F.col("error").isNull())
     # the set of modes is a bitmask over the fixed vehicle list: a codegen'd
     # bit_or instead of a per-group hash set
     names = sorted(cb.EMISSION_FACTORS)

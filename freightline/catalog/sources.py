@@ -96,8 +96,9 @@ def q_src8(spark, sf):
 
 @register("src9_emissions_export_csv")
 def q_src9(spark, sf):
-    e = leg_emissions(spark, sf).filter(F.col("error").isNull())  # no error <=> a value; keeps the
-    # large emission expression out of pushed-down join conditions.select(
+    # no error <=> a value; filtering on the flag keeps the large emission
+    # expression out of pushed-down join conditions
+    e = leg_emissions(spark, sf).filter(F.col("error").isNull()).select(
         F.col("ship_date").cast("timestamp").alias("timestamp"), F.col("distance_km").alias("distance"),
         F.col("co2_kg").alias("emissions"), F.col("vehicle_type").alias("vehicle"))
     path = scratch_path(spark, "emissions-csv")
