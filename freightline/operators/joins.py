@@ -112,13 +112,16 @@ def nearest_neighbor(queries: DataFrame, candidates: DataFrame, q_id: str, q_lat
         cc = c.select("*", F.struct(ccy.alias("cy"), ccx.alias("cx")).alias("_cell"))
         pairs = qx.join(cc, "_cell").withColumn("_d", dist_fn("_qlat", "_qlon", "_clat", "_clon"))
         best = pairs.groupBy("_qid").agg(F.min_by(F.struct("_d", "_cid"), F.struct("_d", "_cid")).alias("_b"))
-        settled = best.filter(F.lit(final) | (F.col("_b._d") <= radius))
-        results.append(settled.select("_qid", F.col("_b._cid").alias("_cid"), F.col("_b._d").alias("_d")))
+        # every pending query with its best candidate so far (none when no
+        # candidate is near), settled or not: one job, checkpointed to the
+        # shared folder so neither the output nor the next level recomputes it
+        lab = pending.join(best, "_qid", "left").withColumn(
+            "_ok", F.lit(final) | F.coalesce(F.col("_b._d") <= radius, F.lit(False))).checkpoint(eager=True)
+        results.append(lab.filter("_ok").select("_qid", F.col("_b._cid").alias("_cid"), F.col("_b._d").alias("_d"))
+                          .filter(F.col("_cid").isNotNull()))
         if final:
             break
-        pending = pending.join(settled.select("_qid"), "_qid", "left_anti")
-        # reliable checkpoint (shared spark.checkpoint.dir) cuts the per-level lineage
-        pending = pending.checkpoint(eager=True)
+        pending = lab.filter(~F.col("_ok")).select("_qid", "_qlat", "_qlon")
         if pending.isEmpty():
             break
         cell = min(cell * growth, 360.0)

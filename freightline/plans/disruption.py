@@ -47,15 +47,17 @@ def time_folds(df: DataFrame, ts: str, id_col: str, k: int = 5) -> DataFrame:
 def cross_validate(df: DataFrame, ts: str, id_col: str, k: int = 5, max_iter: int = 20) -> DataFrame:
     """ML5: train on each expanding fold, ROC-AUC on its test block.  The fold
     loop is a fixed small constant (k); each fit is a distributed MLlib job."""
+    from ..session import run_concurrently
     folds = time_folds(df, ts, id_col, k).persist()
     ev = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction", metricName="areaUnderROC")
     spark = df.sparkSession
-    rows = []
-    for f in range(k):
+
+    def one(f):
         tr = folds.filter((F.col("fold") == f) & (F.col("role") == "train"))
         te = folds.filter((F.col("fold") == f) & (F.col("role") == "test"))
         model = disruption_pipeline(max_iter).fit(tr)
-        rows.append((f, float(ev.evaluate(model.transform(te)))))
+        return (f, float(ev.evaluate(model.transform(te))))
+    rows = run_concurrently([lambda f=f: one(f) for f in range(k)], max_workers=k)
     folds.unpersist()
     return spark.createDataFrame(rows, "fold INT, auc DOUBLE")
 
@@ -108,10 +110,10 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequen
     """ML9: AUC drop when one feature is permuted; reported as shuffled - base
     (negative = important)."""
     ev = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction", metricName="areaUnderROC")
+    from ..session import run_concurrently
     base = ev.evaluate(model.transform(df))
-    rows = []
-    for f in features:
-        rows.append((f, float(base), float(ev.evaluate(model.transform(permuted_column(df, f))))))
+    shuffled = run_concurrently([lambda f=f: float(ev.evaluate(model.transform(permuted_column(df, f)))) for f in features])
+    rows = [(f, float(base), s_) for f, s_ in zip(features, shuffled)]
     out = df.sparkSession.createDataFrame(rows, "feature STRING, base_auc DOUBLE, shuffled_auc DOUBLE")
     return out.withColumn("shuffled_minus_base", F.col("shuffled_auc") - F.col("base_auc"))
 

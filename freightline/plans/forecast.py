@@ -182,13 +182,15 @@ def fit_window_models(df: DataFrame, keys: list[str], ds: str, y: str, lookback:
 
     from ..operators.windows import sliding_sequences
     s = sliding_sequences(df, keys, [ds], y, lookback, horizon)
+    from ..session import run_concurrently
     s = s.select(array_to_vector("x").alias("features"), "y_future").persist()
-    models = {}
-    for h in range(horizon):
+
+    def fit(h):
         train = s.select("features", F.col("y_future")[h].alias("label"))
-        models[h + 1] = LinearRegression(solver="normal", regParam=reg, elasticNetParam=0.0).fit(train)
+        return LinearRegression(solver="normal", regParam=reg, elasticNetParam=0.0).fit(train)
+    fitted = run_concurrently([lambda h=h: fit(h) for h in range(horizon)], max_workers=4)
     s.unpersist()
-    return models
+    return {h + 1: m for h, m in enumerate(fitted)}
 
 
 def predict_window_models(df: DataFrame, keys: list[str], ds: str, y: str, models: dict, lookback: int = 30) -> DataFrame:

@@ -60,3 +60,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint dir for written intermediates."""
     base = ensure_checkpoint_dir(spark)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def run_concurrently(tasks, max_workers: int = 4) -> list:
+    """Run independent driver-side Spark actions (e.g. one model fit per fold)
+    from a few threads so their jobs share the cluster instead of queuing;
+    the data work itself stays distributed.  Results keep the task order."""
+    from concurrent.futures import ThreadPoolExecutor
+    tasks = list(tasks)
+    if len(tasks) <= 1:
+        return [t() for t in tasks]
+    with ThreadPoolExecutor(max_workers=min(max_workers, len(tasks))) as ex:
+        return list(ex.map(lambda t: t(), tasks))

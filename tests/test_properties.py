@@ -223,3 +223,38 @@ def test_roc_auc_matches_rank_formula(spark):
     p, n = y.sum(), len(y) - y.sum()
     want = (s[y == 1].sum() - p * (p + 1) / 2) / (p * n)
     assert got == pytest.approx(want)
+
+
+def _dijkstra_paths(edges, src):
+    import heapq
+    dist, prev = {src: 0.0}, {src: None}
+    pq = [(0.0, src)]
+    while pq:
+        d, u = heapq.heappop(pq)
+        if d > dist[u]:
+            continue
+        for a, b, w in edges:
+            if a == u and d + w < dist.get(b, math.inf):
+                dist[b], prev[b] = d + w, u
+                heapq.heappush(pq, (d + w, b))
+    return prev
+
+
+def test_betweenness_matches_path_counts(spark):
+    rnd = random.Random(21)
+    n = 15
+    edges = [(i, j, rnd.uniform(1, 10)) for i in range(n) for j in {rnd.randrange(n) for _ in range(3)} if i != j]
+    want = {}
+    for s in range(n):
+        prev = _dijkstra_paths(edges, s)
+        for t in prev:
+            v = prev[t]
+            while v is not None and v != s:
+                want[v] = want.get(v, 0) + 1
+                v = prev[v]
+    ed = spark.createDataFrame(edges, "src long, dst long, w double")
+    nodes = spark.createDataFrame([(i,) for i in range(n)], "node_id long")
+    got = {r.node_id: r.betweenness for r in nw.betweenness(ed, nodes, "w").collect()}
+    assert got == {k: float(v) for k, v in want.items()}
+    sampled = nw.betweenness(ed, nodes, "w", pivots=5).collect()
+    assert all(r.betweenness > 0 for r in sampled)
