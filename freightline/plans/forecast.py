@@ -45,6 +45,7 @@ class ForecastSpec:
     cap: float | None = None
     floor: float = 0.0
     regressors: list = field(default_factory=list)
+    holidays: str = "grouped"              # none | grouped (holiday, inventory day) | per_name
 
 
 _Z = {0.8: 1.2815515655446004, 0.9: 1.6448536269514722, 0.95: 1.959963984540054}
@@ -62,11 +63,33 @@ def _feature_columns(ds: Column, t0: Column, span: Column, spec: ForecastSpec) -
         for i in range(1, order + 1):
             arg = day * (2.0 * _math.pi * i / period)
             cols += [(f"{name}_s{i}", F.sin(arg)), (f"{name}_c{i}", F.cos(arg))]
+    if spec.holidays == "grouped":
+        cols.append(("holiday", F.when(F.col("_holiday").isNotNull() & (F.col("_holiday") != "inventory_day"), 1.0).otherwise(0.0)))
+        cols.append(("inventory_day", F.when(F.col("_holiday") == "inventory_day", 1.0).otherwise(0.0)))
+    elif spec.holidays == "per_name":
+        for name in HOLIDAY_NAMES:
+            cols.append((f"h_{name}", F.when(F.col("_holiday") == name, 1.0).otherwise(0.0)))
     for r in spec.regressors:
         cols.append((r, F.col(r).cast("double")))
     return cols
 
 
+# Holiday names of the generated calendar (FN3), in calendar order.
+HOLIDAY_NAMES = ["New Year's Day", "Martin Luther King Jr. Day", "Washington's Birthday", "Memorial Day",
+                 "Juneteenth National Independence Day", "Independence Day", "Labor Day", "Columbus Day",
+                 "Veterans Day", "Thanksgiving", "Christmas Day", "inventory_day"]
+
+
+def _with_holidays(df: DataFrame, ds: str, spec: ForecastSpec) -> DataFrame:
+    """Attach the holiday name of each date (null if none) from the generated
+    holiday table -- ~15 rows per year over a fixed range, so broadcast."""
+    if spec.holidays == "none":
+        return df
+    from ..functions.calendar import us_holidays
+    hol = us_holidays(df.sparkSession, 1990, 2040).groupBy(F.col("ds").alias("_hds")).agg(F.min("holiday").alias("_holiday"))
+    return df.join(F.broadcast(hol), F.col(ds) == F.col("_hds"), "left").drop("_hds")
+
+
 def _transform_y(y: Column, spec: ForecastSpec) -> Column:
     if spec.growth == "logistic":
         if spec.cap is None:
@@ -115,7 +138,7 @@ def fit_forecaster(df: DataFrame, keys: list[str], ds: str = "ds", y: str = "y",
     spec = spec or ForecastSpec()
     bounds = df.groupBy(*keys).agg(F.min(ds).alias("t0"), F.max(ds).alias("last_ds"))
     bounds = bounds.withColumn("span", F.datediff("last_ds", "t0"))
-    d = df.join(bounds, keys)
+    d = _with_holidays(df.join(bounds, keys), ds, spec)
     feats = _feature_columns(F.col(ds), F.col("t0"), F.col("span"), spec)
     k = len(feats)
     d = d.select(*keys, "t0", "span", "last_ds", _transform_y(F.col(y), spec).alias("_y"),
@@ -142,6 +165,7 @@ def predict(model: DataFrame, keys: list[str], periods: int | None = None, futur
                                                      F.expr(f"INTERVAL {freq_days} DAYS"))).alias("ds"))
     else:
         fut = future.join(model, keys)
+    fut = _with_holidays(fut, "ds", spec)
     feats = _feature_columns(F.col("ds"), F.col("t0"), F.col("span"), spec)
     x = F.array(*[c.cast("double") for _, c in feats])
     z = F.aggregate(F.zip_with("beta", x, lambda b, v: b * v), F.lit(0.0), lambda a, v: a + v)

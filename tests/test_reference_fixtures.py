@@ -157,3 +157,16 @@ def test_ledger_status_update_and_event(spark):
     r = exact_fold(ev).orderBy("seq").collect()
     assert [x.accepted for x in r] == [True, True, True, True, False]
     assert r[-1].state_after == "DELIVERED"
+
+
+def test_gram_solver_recovers_linear_trend(spark):
+    ds = pd.date_range("2022-01-01", periods=300, freq="D")
+    pdf = pd.DataFrame({"series_id": ["a"] * 300 + ["b"] * 300, "ds": list(ds.date) * 2,
+                        "y": [10 + 0.5 * i for i in range(300)] + [100 - 0.25 * i for i in range(300)]})
+    spec = fc.ForecastSpec(n_changepoints=0, yearly_order=0, weekly_order=0, holidays="none", ridge=1e-9)
+    p = fc.predict(fc.fit_forecaster(spark.createDataFrame(pdf), ["series_id"], spec=spec), ["series_id"], periods=5, spec=spec)
+    got = {(r.series_id, r.ds): r.yhat for r in p.collect()}
+    for k in range(5):
+        d = (ds[-1] + pd.Timedelta(days=k + 1)).date()
+        assert got[("a", d)] == pytest.approx(10 + 0.5 * (300 + k), abs=1e-5)
+        assert got[("b", d)] == pytest.approx(100 - 0.25 * (300 + k), abs=1e-5)
