@@ -26,6 +26,8 @@ import math as _math
 from dataclasses import dataclass, field
 
 import numpy as _np
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as _T
 
@@ -131,6 +133,40 @@ def _solve_batches(it, k: int, ridge: float):
         yield out
 
 
+def gram_matrices(d: DataFrame, keys: list[str], x: str, y: str, k: int) -> DataFrame:
+    """Per key: upper triangle of X'X, X'y, n and y'y.
+
+    Each task folds its rows into one partial Gram per key with numpy
+    (``mapInPandas`` over Arrow batches); the partials are exploded to
+    ``(key, cell, value)`` and summed by an ordinary grouped aggregate, so a
+    long series is spread over all tasks and no group collects its rows."""
+    iu = np.triu_indices(k)
+    ncell = len(iu[0]) + k + 2
+    key_fields = [f for f in d.schema.fields if f.name in keys]
+    part_schema = _T.StructType(key_fields + [_T.StructField("_cells", _T.ArrayType(_T.DoubleType()))])
+
+    def partial(it):
+        for pdf in it:
+            if pdf.empty:
+                continue
+            rows = []
+            for kv, g in pdf.groupby(keys, sort=False, dropna=False):
+                X = np.stack(g[x].to_numpy()).astype(float)
+                yy = g[y].to_numpy(dtype=float)
+                cells = np.concatenate([(X.T @ X)[iu], X.T @ yy, [float(len(g)), float(yy @ yy)]])
+                kv = kv if isinstance(kv, tuple) else (kv,)
+                rows.append(list(kv) + [cells.tolist()])
+            yield pd.DataFrame(rows, columns=keys + ["_cells"])
+
+    parts = d.select(*keys, x, y).mapInPandas(partial, part_schema)
+    cells = parts.select(*keys, F.posexplode("_cells").alias("_i", "_v")).groupBy(*keys, "_i").agg(F.sum("_v").alias("_v"))
+    per = cells.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", "_v"))).alias("_c"))  # ncell entries per key
+    v = F.transform("_c", lambda c: c["_v"])
+    nt = len(iu[0])
+    return per.select(*keys, F.slice(v, 1, nt).alias("xtx"), F.slice(v, nt + 1, k).alias("xty"),
+                      F.element_at(v, nt + k + 1).cast("long").alias("n"), F.element_at(v, ncell).alias("yty"))
+
+
 def fit_forecaster(df: DataFrame, keys: list[str], ds: str = "ds", y: str = "y",
                    spec: ForecastSpec | None = None) -> DataFrame:
     """Fit one regularised regression per key.  Returns ``keys, t0, span,
@@ -143,12 +179,7 @@ def fit_forecaster(df: DataFrame, keys: list[str], ds: str = "ds", y: str = "y",
     k = len(feats)
     d = d.select(*keys, "t0", "span", "last_ds", _transform_y(F.col(y), spec).alias("_y"),
                  F.array(*[c.cast("double") for _, c in feats]).alias("_x"))
-    x = F.col("_x")
-    xtx = [F.sum(x[i] * x[j]) for i in range(k) for j in range(i, k)]
-    xty = [F.sum(x[i] * F.col("_y")) for i in range(k)]
-    gram = d.groupBy(*keys, "t0", "span", "last_ds").agg(
-        F.array(*xtx).alias("xtx"), F.array(*xty).alias("xty"), F.count(F.lit(1)).alias("n"),
-        F.sum(F.col("_y") * F.col("_y")).alias("yty"))
+    gram = gram_matrices(d, [*keys, "t0", "span", "last_ds"], "_x", "_y", k)
     schema = _T.StructType([f for f in gram.schema.fields if f.name not in ("xtx", "xty", "yty")] + [
         _T.StructField("beta", _T.ArrayType(_T.DoubleType())), _T.StructField("resid_sd", _T.DoubleType())])
     return gram.mapInPandas(lambda it: _solve_batches(it, k, spec.ridge), schema)
