@@ -62,6 +62,13 @@ def q_src5(spark, sf):
     return e.select("src", "dst", F.round("length", 4).alias("length"), "highway")
 
 
+@register("src5_graphml_nodes", view_sql("nodes") + "SELECT node_id, lat, lon, elevation FROM nodes")
+def q_src5n(spark, sf):
+    path = scratch_path(spark, "graphml-nodes")
+    fs.write_graphml_nodes(view(spark, sf, "nodes"), path)
+    return fs.read_graphml_nodes(spark, path)
+
+
 @register("src6_st1_geojson_merge", view_sql("places") + """,
 cp AS (SELECT c.c_custkey, p.lat + ((c.c_custkey % 97) - 48) / 100.0 AS lat, p.lon + ((c.c_custkey * 7 % 89) - 44) / 100.0 AS lon
        FROM customer c JOIN places p ON c.c_nationkey = p.place_id)

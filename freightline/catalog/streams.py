@@ -2,6 +2,7 @@
 stateful ledger stream (SS1-SS9, SS11-SS14)."""
 from pyspark.sql import functions as F
 
+from ..functions.geo import haversine_sql
 from ..functions.numeric import round_half_up
 from ..operators import joins as jn
 from ..session import scratch_path
@@ -124,7 +125,7 @@ def q_ss9b(spark, sf):
 
 @register("ss11_tracking_update_nearest_place", view_sql("places") + """,
 loc AS (SELECT user_id, arg_max((CAST(user_id % 90 AS DOUBLE), CAST(user_id % 180 AS DOUBLE)), (ts, event_id)) AS p FROM events GROUP BY 1),
-pairs AS (SELECT l.user_id, pl.place_id, """ + __import__("freightline.functions.geo", fromlist=["x"]).haversine_sql("l.p[1]", "l.p[2]", "pl.lat", "pl.lon") + """ AS d FROM loc l, places pl)
+pairs AS (SELECT l.user_id, pl.place_id, """ + haversine_sql("l.p[1]", "l.p[2]", "pl.lat", "pl.lon") + """ AS d FROM loc l, places pl)
 SELECT 'SHP-' || CAST(user_id AS VARCHAR) AS shipment_id, arg_min(place_id, (d, place_id)) AS nearest_place,
   CAST(round(CAST(min(d) AS DECIMAL(38,8)), 4) AS DOUBLE) AS distance_km FROM pairs GROUP BY user_id""")
 def q_ss11(spark, sf):

@@ -77,6 +77,21 @@ def read_graphml_edges(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.col("_source").alias("src"), F.col("_target").alias("dst"), "length", "highway")
 
 
+GRAPHML_NODE_SCHEMA = "_id BIGINT, y DOUBLE, x DOUBLE, elevation DOUBLE"
+
+
+def write_graphml_nodes(nodes: DataFrame, path: str) -> None:
+    """Node list as GraphML-style XML (``<node id=>`` rows with y/x/elevation data)."""
+    n = nodes.select(F.col("node_id").alias("_id"), F.col("lat").alias("y"), F.col("lon").alias("x"), "elevation")
+    n.write.mode("overwrite").format("xml").option("rootTag", "graph").option("rowTag", "node").save(path)
+
+
+def read_graphml_nodes(spark: SparkSession, path: str) -> DataFrame:
+    """SRC5: nodes of a GraphML file with a fixed schema."""
+    df = spark.read.format("xml").option("rowTag", "node").schema(GRAPHML_NODE_SCHEMA).load(path)
+    return df.select(F.col("_id").alias("node_id"), F.col("y").alias("lat"), F.col("x").alias("lon"), "elevation")
+
+
 GEOJSON_SCHEMA = ("type STRING, features ARRAY<STRUCT<type: STRING, geometry: STRUCT<type: STRING, coordinates: ARRAY<DOUBLE>>, "
                   "properties: MAP<STRING, STRING>>>")
 
