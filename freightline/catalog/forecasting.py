@@ -364,13 +364,16 @@ def q_ml3(spark, sf):
     return back.select("order_key", "line_no", round_half_up("quantity_mm", 4).alias("quantity_mm"), F.round("quantity_back", 4).alias("quantity_back"))
 
 
-@register("ml4_persisted_scaler")
+@register("ml4_persisted_scaler", _SCALE_SQL + f"""
+SELECT order_key, line_no, {R.format('(weight - (SELECT min(weight) FROM shipments)) / CASE WHEN (SELECT max(weight) FROM shipments) = (SELECT min(weight) FROM shipments) THEN 1.0 ELSE (SELECT max(weight) FROM shipments) - (SELECT min(weight) FROM shipments) END')} AS weight_mm
+FROM shipments""")
 def q_ml4(spark, sf):
     """Fit once, write the parameter table to the shared checkpoint folder,
     read it back and apply (the hand-off between two jobs)."""
     sh = view(spark, sf, "shipments").select("order_key", "line_no", "weight")
     path = sc.save_params(sc.fit_minmax(sh, ["weight"]), scratch_path(spark, "scaler"))
-    return sc.apply_minmax(sh, sc.load_params(spark, path), "weight", "weight_mm")
+    out = sc.apply_minmax(sh, sc.load_params(spark, path), "weight", "weight_mm")
+    return out.select("order_key", "line_no", round_half_up("weight_mm", 4).alias("weight_mm"))
 
 
 @register("ml14_best_run_by_rmse", _DAILY_SQL + f""",

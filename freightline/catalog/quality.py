@@ -7,7 +7,12 @@ from ..sources.views import view, view_sql
 from . import register
 
 
-@register("dq1_st2_dataset_contract")
+@register("dq1_st2_dataset_contract", """
+SELECT 'required_column' AS "check", 'date' AS "column", CAST(1 AS BIGINT) AS failures
+UNION ALL SELECT 'required_column', 'value', 1
+UNION ALL SELECT 'numeric_type', 'l_returnflag', 1
+UNION ALL SELECT 'date_parse', 'l_shipdate',
+  CAST(count(*) FILTER (WHERE l_shipdate IS NOT NULL AND try_cast(CAST(l_shipdate AS VARCHAR) AS TIMESTAMP) IS NULL) AS BIGINT) FROM lineitem""")
 def q_dq1(spark, sf):
     li = table(spark, sf, "lineitem")
     return dq.contract_report(li, required=["l_orderkey", "l_shipdate", "l_quantity", "date", "value"],

@@ -9,7 +9,8 @@ from ..sources import files as fs
 from ..sources.tables import table
 from ..sources.views import view, view_sql
 from . import register
-from .carbon import leg_emissions
+from ..functions.numeric import round_half_up
+from .carbon import _SPEC_SQL, leg_emissions
 from .joins import customer_points
 
 
@@ -101,7 +102,9 @@ def q_src8(spark, sf):
     return back.groupBy("ship_year").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("src9_emissions_export_csv")
+@register("src9_emissions_export_csv", _SPEC_SQL + """
+SELECT CAST(ship_date AS TIMESTAMP) AS "timestamp", CAST(round(CAST(distance_km AS DECIMAL(38,8)), 4) AS DOUBLE) AS distance,
+  CAST(round(CAST(co2_kg AS DECIMAL(38,8)), 4) AS DOUBLE) AS emissions, vehicle_type AS vehicle FROM em WHERE co2_kg IS NOT NULL""")
 def q_src9(spark, sf):
     # no error <=> a value; filtering on the flag keeps the large emission
     # expression out of pushed-down join conditions
@@ -110,7 +113,9 @@ def q_src9(spark, sf):
         F.col("co2_kg").alias("emissions"), F.col("vehicle_type").alias("vehicle"))
     path = scratch_path(spark, "emissions-csv")
     fs.export_emissions(e, path, "csv")
-    return spark.read.option("header", True).schema("timestamp TIMESTAMP, distance DOUBLE, emissions DOUBLE, vehicle STRING").csv(path)
+    back = spark.read.option("header", True).schema("timestamp TIMESTAMP, distance DOUBLE, emissions DOUBLE, vehicle STRING").csv(path)
+    return back.select(F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), round_half_up("distance", 4).alias("distance"),
+                       round_half_up("emissions", 4).alias("emissions"), "vehicle")
 
 
 @register("src10_src11_map_features")

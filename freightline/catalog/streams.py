@@ -38,7 +38,7 @@ def q_ss3(spark, sf):
     return ss.dead_letters(p, keep=["event_id"]).select("error", "device_id", "event_id")
 
 
-@register("ss4_readings_sink_idempotent")
+@register("ss4_readings_sink_idempotent", "WITH " + _READ_SQL + "SELECT CAST(ts AS DATE) AS date, CAST(count(*) AS BIGINT) AS n FROM rd GROUP BY 1")
 def q_ss4(spark, sf):
     """foreachBatch sink body run twice for the same batch id: the second run
     replaces the first (no duplicates); read back per date."""
