@@ -26,7 +26,8 @@ def q_fn8(spark, sf):
     return j.select("c_custkey", round_half_up(geo.haversine_km("lat", "lon", "plat", "plon"), 4).alias("km_to_nation_centre"))
 
 
-@register("fn9_geohash")
+@register("fn9_geohash", view_sql("places") + "," + _CUST_PTS_SQL + f"""
+SELECT c_custkey, {geo.geohash_sql('lat', 'lon', 9)} AS geohash9, {geo.geohash_sql('lat', 'lon', 5)} AS geohash5 FROM cpts""")
 def q_fn9(spark, sf):
     c = customer_points(spark, sf)
     return c.select("c_custkey", geo.geohash("lat", "lon", 9).alias("geohash9"), geo.geohash("lat", "lon", 5).alias("geohash5"))

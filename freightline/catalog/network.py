@@ -115,6 +115,31 @@ def q_gn7(spark, sf):
     return cnt.join(hull, ["source", "minutes"])
 
 
+def _reach_sql(rounds: int = 24) -> str:
+    parts = ["ue AS (SELECT src, dst, min(travel_time) AS w FROM (SELECT src, dst, travel_time FROM ce WHERE profile = 'heavy_truck' "
+             "UNION ALL SELECT dst, src, travel_time FROM ce WHERE profile = 'heavy_truck') GROUP BY 1, 2)",
+             "r0 AS (SELECT node_id AS source, node_id AS node, 0.0 AS cost FROM nodes)"]
+    for i in range(1, rounds + 1):
+        parts.append(f"r{i} AS (SELECT source, node, min(cost) AS cost FROM (SELECT * FROM r{i-1} UNION ALL "
+                     f"SELECT r.source, e.dst, r.cost + e.w FROM r{i-1} r JOIN ue e ON r.node = e.src) GROUP BY 1, 2)")
+    return ",\n".join(parts)
+
+
+@register("gn7_reachable_node_counts", view_sql("edges", "nodes", "legs") + _PREP_BODY + ",\n" + _reach_sql() + """
+SELECT r.source, m.minutes, CAST(count(*) AS BIGINT) AS n_nodes
+FROM r24 r, (VALUES (600), (1200), (1800)) m(minutes)
+WHERE r.cost <= m.minutes * 60.0 AND r.source IN (SELECT DISTINCT origin_nation FROM legs) GROUP BY 1, 2""")
+def q_gn7c(spark, sf):
+    """Reachable-set sizes of the service areas (GN7) -- the exact part that
+    SQL can check; the hull polygons are checked in the property tests."""
+    legs = view(spark, sf, "legs")
+    origins = legs.select(F.col("origin_nation").alias("source")).distinct().withColumn("profile", F.lit("heavy_truck"))
+    e = nw.constrained_edges(prepared_edges(spark, sf)).filter(F.col("profile") == "heavy_truck")
+    sp = nw.shortest_paths(e, origins, "travel_time", groups=["profile"], undirected=True, max_cost=30 * 3600.0, max_rounds=100)
+    x = sp.withColumn("minutes", F.explode(F.array(F.lit(600), F.lit(1200), F.lit(1800)))).filter(F.col("cost") <= F.col("minutes") * 60.0)
+    return x.groupBy("source", F.col("minutes").cast("int").alias("minutes")).agg(F.count(F.lit(1)).alias("n_nodes"))
+
+
 @register("gn11_connected_components_and_degree", view_sql("edges", "nodes") + ",\nl0 AS (SELECT node_id AS node, node_id AS label FROM nodes),\n" +
           "ue AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges),\n" +
           ",\n".join(f"l{i} AS (SELECT l.node, least(l.label, coalesce(min(n.label), l.label)) AS label FROM l{i-1} l "

@@ -67,6 +67,23 @@ def geohash(lat, lon, precision: int = 9) -> Column:
     return F.concat(*parts)
 
 
+def geohash_sql(lat: str, lon: str, precision: int = 9) -> str:
+    """The same bit interleaving as :func:`geohash`, as SQL text (DuckDB)."""
+    bits = 5 * precision
+    nlon, nlat = (bits + 1) // 2, bits // 2
+    lon_idx = f"least(CAST(floor(({lon} + 180.0) / 360.0 * {float(1 << nlon)}) AS BIGINT), {(1 << nlon) - 1})"
+    lat_idx = f"least(CAST(floor(({lat} + 90.0) / 180.0 * {float(1 << nlat)}) AS BIGINT), {(1 << nlat) - 1})"
+    chars = []
+    for k in range(precision):
+        terms = []
+        for j in range(5):
+            g = 5 * k + j
+            idx, n = (lon_idx, nlon) if g % 2 == 0 else (lat_idx, nlat)
+            terms.append(f"(((({idx}) >> {n - 1 - g // 2}) & 1) << {4 - j})")
+        chars.append(f"substr('{GEOHASH_ALPHABET}', CAST({' + '.join(terms)} AS INTEGER) + 1, 1)")
+    return "(" + " || ".join(chars) + ")"
+
+
 def grid_cell(lat, lon, cell_deg: float) -> Column:
     """Integer grid cell of a point as ``struct<cy, cx>`` (equal-angle cells)."""
     lat, lon = _c(lat), _c(lon)

@@ -258,3 +258,21 @@ def test_betweenness_matches_path_counts(spark):
     assert got == {k: float(v) for k, v in want.items()}
     sampled = nw.betweenness(ed, nodes, "w", pivots=5).collect()
     assert all(r.betweenness > 0 for r in sampled)
+
+
+def test_convex_hulls_contain_all_points(spark):
+    import json
+    rnd = random.Random(5)
+    pts = [(k, rnd.uniform(-10, 10), rnd.uniform(-10, 10)) for k in range(3) for _ in range(40)]
+    df = spark.createDataFrame(pts, "key int, lat double, lon double")
+    hulls = {r.key: json.loads(r.polygon)["coordinates"][0] for r in nw.convex_hulls(df, ["key"]).collect()}
+    for k, ring in hulls.items():
+        ring = ring[:-1]
+        assert len(ring) >= 3
+        for _, la, lo in [p for p in pts if p[0] == k]:
+            # every point lies on the inner side of every counter-clockwise edge
+            for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]):
+                assert (x2 - x1) * (la - y1) - (y2 - y1) * (lo - x1) >= -1e-9
+        # every hull vertex is an input point
+        inputs = {(lo, la) for kk, la, lo in pts if kk == k}
+        assert all((x, y) in inputs for x, y in ring)
