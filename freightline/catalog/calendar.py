@@ -28,7 +28,26 @@ def q_fn2(spark, sf):
     return _ship_days(spark, sf).select("ds", cal.is_custom_holiday("ds").alias("is_holiday"))
 
 
-@register("fn3_country_holidays_join")
+@register("fn3_country_holidays_join", view_sql("demand") + """,
+yrs AS (SELECT CAST(range AS INTEGER) AS y FROM range(1990, 2036)),
+hol AS (SELECT CAST(ds AS DATE) AS ds, holiday FROM (
+  SELECT (CASE dayofweek(make_date(y, 1, 1)) WHEN 6 THEN make_date(y, 1, 1) - 1 WHEN 0 THEN make_date(y, 1, 1) + 1 ELSE make_date(y, 1, 1) END) AS ds, 'New Year''s Day' AS holiday FROM yrs
+  UNION ALL SELECT (make_date(y, 1, 1) + CAST((1 - dayofweek(make_date(y, 1, 1)) + 7) % 7 + 14 AS INTEGER)) AS ds, 'Martin Luther King Jr. Day' AS holiday FROM yrs
+  UNION ALL SELECT (make_date(y, 2, 1) + CAST((1 - dayofweek(make_date(y, 2, 1)) + 7) % 7 + 14 AS INTEGER)) AS ds, 'Washington''s Birthday' AS holiday FROM yrs
+  UNION ALL SELECT (last_day(make_date(y, 5, 1)) - CAST((dayofweek(last_day(make_date(y, 5, 1))) - 1 + 7) % 7 AS INTEGER)) AS ds, 'Memorial Day' AS holiday FROM yrs
+  UNION ALL SELECT CASE WHEN y >= 2021 THEN (CASE dayofweek(make_date(y, 6, 19)) WHEN 6 THEN make_date(y, 6, 19) - 1 WHEN 0 THEN make_date(y, 6, 19) + 1 ELSE make_date(y, 6, 19) END) END AS ds, 'Juneteenth National Independence Day' AS holiday FROM yrs
+  UNION ALL SELECT (CASE dayofweek(make_date(y, 7, 4)) WHEN 6 THEN make_date(y, 7, 4) - 1 WHEN 0 THEN make_date(y, 7, 4) + 1 ELSE make_date(y, 7, 4) END) AS ds, 'Independence Day' AS holiday FROM yrs
+  UNION ALL SELECT (make_date(y, 9, 1) + CAST((1 - dayofweek(make_date(y, 9, 1)) + 7) % 7 + 0 AS INTEGER)) AS ds, 'Labor Day' AS holiday FROM yrs
+  UNION ALL SELECT (make_date(y, 10, 1) + CAST((1 - dayofweek(make_date(y, 10, 1)) + 7) % 7 + 7 AS INTEGER)) AS ds, 'Columbus Day' AS holiday FROM yrs
+  UNION ALL SELECT (CASE dayofweek(make_date(y, 11, 11)) WHEN 6 THEN make_date(y, 11, 11) - 1 WHEN 0 THEN make_date(y, 11, 11) + 1 ELSE make_date(y, 11, 11) END) AS ds, 'Veterans Day' AS holiday FROM yrs
+  UNION ALL SELECT (make_date(y, 11, 1) + CAST((4 - dayofweek(make_date(y, 11, 1)) + 7) % 7 + 21 AS INTEGER)) AS ds, 'Thanksgiving' AS holiday FROM yrs
+  UNION ALL SELECT (CASE dayofweek(make_date(y, 12, 25)) WHEN 6 THEN make_date(y, 12, 25) - 1 WHEN 0 THEN make_date(y, 12, 25) + 1 ELSE make_date(y, 12, 25) END) AS ds, 'Christmas Day' AS holiday FROM yrs
+  UNION ALL SELECT last_day(make_date(y, 3, 1)) AS ds, 'inventory_day' AS holiday FROM yrs
+  UNION ALL SELECT last_day(make_date(y, 6, 1)) AS ds, 'inventory_day' AS holiday FROM yrs
+  UNION ALL SELECT last_day(make_date(y, 9, 1)) AS ds, 'inventory_day' AS holiday FROM yrs
+  UNION ALL SELECT last_day(make_date(y, 12, 1)) AS ds, 'inventory_day' AS holiday FROM yrs
+) WHERE ds IS NOT NULL)
+SELECT d.ds, h.holiday, round(sum(d.y), 4) AS y FROM demand d LEFT JOIN hol h ON d.ds = h.ds GROUP BY 1, 2""")
 def q_fn3(spark, sf):
     """Daily demand joined to the generated holiday table for the years in the data.
 

@@ -170,3 +170,12 @@ def test_gram_solver_recovers_linear_trend(spark):
         d = (ds[-1] + pd.Timedelta(days=k + 1)).date()
         assert got[("a", d)] == pytest.approx(10 + 0.5 * (300 + k), abs=1e-5)
         assert got[("b", d)] == pytest.approx(100 - 0.25 * (300 + k), abs=1e-5)
+
+
+def test_generated_us_holidays(spark):
+    h = {(r.ds, r.holiday) for r in cal.us_holidays(spark, 2021, 2023).collect()}
+    for d, name in [(dt.date(2023, 11, 23), "Thanksgiving"), (dt.date(2023, 5, 29), "Memorial Day"),
+                    (dt.date(2023, 1, 16), "Martin Luther King Jr. Day"), (dt.date(2021, 7, 5), "Independence Day"),
+                    (dt.date(2022, 6, 20), "Juneteenth National Independence Day"), (dt.date(2023, 9, 4), "Labor Day"),
+                    (dt.date(2023, 3, 31), "inventory_day"), (dt.date(2021, 12, 24), "Christmas Day")]:
+        assert (d, name) in h
