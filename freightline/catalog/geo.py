@@ -63,7 +63,10 @@ def q_fn11(spark, sf):
     return g.drop("request_key")
 
 
-@register("fn12_record_hash")
+RECORD_HASH_SQL = """sha256('{"seq":' || seq || ',"shipment_id":' || shipment_id || ',"status":"' || status || '","ts":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '","value":' || CAST(value AS VARCHAR) || '}')"""
+
+
+@register("fn12_record_hash", view_sql("ledger") + "SELECT seq, " + RECORD_HASH_SQL + " AS record_hash FROM ledger")
 def q_fn12(spark, sf):
     lg = view(spark, sf, "ledger")
     return lg.select("seq", tx.record_hash(["shipment_id", "seq", "status", "value", "ts"]).alias("record_hash"))

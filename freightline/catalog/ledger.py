@@ -284,6 +284,13 @@ def q_ss10(spark, sf):
     return hold.unionByName(delay).unionByName(temp)
 
 
-@register("lg16_hash_chain")
+@register("lg16_hash_chain", view_sql("ledger").replace("WITH ", "WITH RECURSIVE ", 1) + """,
+e AS (SELECT shipment_id, seq, ts, sha256('{"seq":' || seq || ',"shipment_id":' || shipment_id || ',"status":"' || status || '","value":' || CAST(value AS VARCHAR) || '}') AS record_hash,
+      row_number() OVER (PARTITION BY shipment_id ORDER BY ts, seq) AS rn FROM ledger),
+r AS (SELECT shipment_id, rn, seq, ts, record_hash, sha256(record_hash) AS chain_hash FROM e WHERE rn = 1
+      UNION ALL
+      SELECT e.shipment_id, e.rn, e.seq, e.ts, e.record_hash, sha256(r.chain_hash || e.record_hash)
+      FROM r JOIN e ON e.shipment_id = r.shipment_id AND e.rn = r.rn + 1)
+SELECT shipment_id, seq, ts, record_hash, chain_hash FROM r""")
 def q_lg16(spark, sf):
     return lg.hash_chain(_ledger(spark, sf), "shipment_id", "ts", "seq", ["shipment_id", "seq", "status", "value"])

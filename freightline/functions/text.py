@@ -13,10 +13,18 @@ def request_key(cols: Sequence[str]) -> Column:
     return F.xxhash64(*[F.col(c) for c in sorted(cols)])
 
 
+# JSON options of hashed records: nulls kept, timestamps to the microsecond.
+RECORD_JSON_OPTIONS = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+                       "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+def record_json(cols: Sequence[str]) -> Column:
+    return F.to_json(F.struct(*[F.col(c) for c in sorted(cols)]), RECORD_JSON_OPTIONS)
+
+
 def record_hash(cols: Sequence[str]) -> Column:
     """SHA-256 of the record as JSON with sorted keys, nulls kept (FN12)."""
-    s = F.struct(*[F.col(c) for c in sorted(cols)])
-    return F.sha2(F.to_json(s, {"ignoreNullFields": "false"}), 256)
+    return F.sha2(record_json(cols), 256)
 
 
 def protect(col, key: Column) -> Column:

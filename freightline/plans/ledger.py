@@ -142,7 +142,8 @@ def hash_chain(events: DataFrame, key: str, ts: str, seq: str, cols: Sequence[st
     """LG16: per shipment, ``h_n = sha256(h_{n-1} || record_hash_n)`` streamed in
     order per partition (same layout as :func:`exact_fold`)."""
     import hashlib
-    rec = F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(cols)]), {"ignoreNullFields": "false"}), 256)
+    from ..functions.text import record_hash
+    rec = record_hash(cols)
     e = events.select(key, seq, ts, rec.alias("record_hash")).repartition(key).sortWithinPartitions(key, ts, seq)
     schema = T.StructType(e.schema.fields + [T.StructField("chain_hash", T.StringType())])
 
