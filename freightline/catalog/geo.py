@@ -119,7 +119,53 @@ def q_fn17(spark, sf):
                      F.round(F.col("l_quantity") * 0.125, 2).alias("q_eighths"))
 
 
-@register("gn8_delivery_clusters_eps50km")
+_CLUSTER_SQL = view_sql("places") + "," + _CUST_PTS_SQL + ",\n" + """e AS (SELECT a.c_custkey AS src, b.c_custkey AS dst FROM cpts a JOIN cpts b ON a.c_custkey <> b.c_custkey AND abs(a.lat - b.lat) <= 0.5 WHERE {HAV} <= 50.0),
+l0 AS (SELECT c_custkey AS node, c_custkey AS label FROM cpts),
+l1 AS (SELECT l.node, least(l.label, coalesce(min(n.label), l.label)) AS label FROM l0 l LEFT JOIN e ON e.dst = l.node LEFT JOIN l0 n ON n.node = e.src GROUP BY l.node, l.label),
+l2 AS (SELECT l.node, least(l.label, coalesce(min(n.label), l.label)) AS label FROM l1 l LEFT JOIN e ON e.dst = l.node LEFT JOIN l1 n ON n.node = e.src GROUP BY l.node, l.label),
+l3 AS (SELECT l.node, least(l.label, coalesce(min(n.label), l.label)) AS label FROM l2 l LEFT JOIN e ON e.dst = l.node LEFT JOIN l2 n ON n.node = e.src GROUP BY l.node, l.label),
+l4 AS (SELECT l.node, least(l.label, coalesce(min(n.label), l.label)) AS label FROM l3 l LEFT JOIN e ON e.dst = l.node LEFT JOIN l3 n ON n.node = e.src GROUP BY l.node, l.label),
+l5 AS (SELECT l.node, least(l.label, coalesce(min(n.label), l.label)) AS label FROM l4 l LEFT JOIN e ON e.dst = l.node LEFT JOIN l4 n ON n.node = e.src GROUP BY l.node, l.label),
+l6 AS (SELECT l.node, least(l.label, coalesce(min(n.label), l.label)) AS label FROM l5 l LEFT JOIN e ON e.dst = l.node LEFT JOIN l5 n ON n.node = e.src GROUP BY l.node, l.label),
+l7 AS (SELECT l.node, least(l.label, coalesce(min(n.label), l.label)) AS label FROM l6 l LEFT JOIN e ON e.dst = l.node LEFT JOIN l6 n ON n.node = e.src GROUP BY l.node, l.label),
+l8 AS (SELECT l.node, least(l.label, coalesce(min(n.label), l.label)) AS label FROM l7 l LEFT JOIN e ON e.dst = l.node LEFT JOIN l7 n ON n.node = e.src GROUP BY l.node, l.label),
+l9 AS (SELECT l.node, least(l.label, coalesce(min(n.label), l.label)) AS label FROM l8 l LEFT JOIN e ON e.dst = l.node LEFT JOIN l8 n ON n.node = e.src GROUP BY l.node, l.label),
+l10 AS (SELECT l.node, least(l.label, coalesce(min(n.label), l.label)) AS label FROM l9 l LEFT JOIN e ON e.dst = l.node LEFT JOIN l9 n ON n.node = e.src GROUP BY l.node, l.label),
+l11 AS (SELECT l.node, least(l.label, coalesce(min(n.label), l.label)) AS label FROM l10 l LEFT JOIN e ON e.dst = l.node LEFT JOIN l10 n ON n.node = e.src GROUP BY l.node, l.label),
+l12 AS (SELECT l.node, least(l.label, coalesce(min(n.label), l.label)) AS label FROM l11 l LEFT JOIN e ON e.dst = l.node LEFT JOIN l11 n ON n.node = e.src GROUP BY l.node, l.label),
+l13 AS (SELECT l.node, least(l.label, coalesce(min(n.label), l.label)) AS label FROM l12 l LEFT JOIN e ON e.dst = l.node LEFT JOIN l12 n ON n.node = e.src GROUP BY l.node, l.label),
+l14 AS (SELECT l.node, least(l.label, coalesce(min(n.label), l.label)) AS label FROM l13 l LEFT JOIN e ON e.dst = l.node LEFT JOIN l13 n ON n.node = e.src GROUP BY l.node, l.label),
+l15 AS (SELECT l.node, least(l.label, coalesce(min(n.label), l.label)) AS label FROM l14 l LEFT JOIN e ON e.dst = l.node LEFT JOIN l14 n ON n.node = e.src GROUP BY l.node, l.label),
+l16 AS (SELECT l.node, least(l.label, coalesce(min(n.label), l.label)) AS label FROM l15 l LEFT JOIN e ON e.dst = l.node LEFT JOIN l15 n ON n.node = e.src GROUP BY l.node, l.label),
+l17 AS (SELECT l.node, least(l.label, coalesce(min(n.label), l.label)) AS label FROM l16 l LEFT JOIN e ON e.dst = l.node LEFT JOIN l16 n ON n.node = e.src GROUP BY l.node, l.label),
+l18 AS (SELECT l.node, least(l.label, coalesce(min(n.label), l.label)) AS label FROM l17 l LEFT JOIN e ON e.dst = l.node LEFT JOIN l17 n ON n.node = e.src GROUP BY l.node, l.label),
+l19 AS (SELECT l.node, least(l.label, coalesce(min(n.label), l.label)) AS label FROM l18 l LEFT JOIN e ON e.dst = l.node LEFT JOIN l18 n ON n.node = e.src GROUP BY l.node, l.label),
+l20 AS (SELECT l.node, least(l.label, coalesce(min(n.label), l.label)) AS label FROM l19 l LEFT JOIN e ON e.dst = l.node LEFT JOIN l19 n ON n.node = e.src GROUP BY l.node, l.label),
+l21 AS (SELECT l.node, least(l.label, coalesce(min(n.label), l.label)) AS label FROM l20 l LEFT JOIN e ON e.dst = l.node LEFT JOIN l20 n ON n.node = e.src GROUP BY l.node, l.label),
+l22 AS (SELECT l.node, least(l.label, coalesce(min(n.label), l.label)) AS label FROM l21 l LEFT JOIN e ON e.dst = l.node LEFT JOIN l21 n ON n.node = e.src GROUP BY l.node, l.label),
+l23 AS (SELECT l.node, least(l.label, coalesce(min(n.label), l.label)) AS label FROM l22 l LEFT JOIN e ON e.dst = l.node LEFT JOIN l22 n ON n.node = e.src GROUP BY l.node, l.label),
+l24 AS (SELECT l.node, least(l.label, coalesce(min(n.label), l.label)) AS label FROM l23 l LEFT JOIN e ON e.dst = l.node LEFT JOIN l23 n ON n.node = e.src GROUP BY l.node, l.label),
+l25 AS (SELECT l.node, least(l.label, coalesce(min(n.label), l.label)) AS label FROM l24 l LEFT JOIN e ON e.dst = l.node LEFT JOIN l24 n ON n.node = e.src GROUP BY l.node, l.label),
+l26 AS (SELECT l.node, least(l.label, coalesce(min(n.label), l.label)) AS label FROM l25 l LEFT JOIN e ON e.dst = l.node LEFT JOIN l25 n ON n.node = e.src GROUP BY l.node, l.label),
+l27 AS (SELECT l.node, least(l.label, coalesce(min(n.label), l.label)) AS label FROM l26 l LEFT JOIN e ON e.dst = l.node LEFT JOIN l26 n ON n.node = e.src GROUP BY l.node, l.label),
+l28 AS (SELECT l.node, least(l.label, coalesce(min(n.label), l.label)) AS label FROM l27 l LEFT JOIN e ON e.dst = l.node LEFT JOIN l27 n ON n.node = e.src GROUP BY l.node, l.label),
+l29 AS (SELECT l.node, least(l.label, coalesce(min(n.label), l.label)) AS label FROM l28 l LEFT JOIN e ON e.dst = l.node LEFT JOIN l28 n ON n.node = e.src GROUP BY l.node, l.label),
+l30 AS (SELECT l.node, least(l.label, coalesce(min(n.label), l.label)) AS label FROM l29 l LEFT JOIN e ON e.dst = l.node LEFT JOIN l29 n ON n.node = e.src GROUP BY l.node, l.label),
+l31 AS (SELECT l.node, least(l.label, coalesce(min(n.label), l.label)) AS label FROM l30 l LEFT JOIN e ON e.dst = l.node LEFT JOIN l30 n ON n.node = e.src GROUP BY l.node, l.label),
+l32 AS (SELECT l.node, least(l.label, coalesce(min(n.label), l.label)) AS label FROM l31 l LEFT JOIN e ON e.dst = l.node LEFT JOIN l31 n ON n.node = e.src GROUP BY l.node, l.label),
+l33 AS (SELECT l.node, least(l.label, coalesce(min(n.label), l.label)) AS label FROM l32 l LEFT JOIN e ON e.dst = l.node LEFT JOIN l32 n ON n.node = e.src GROUP BY l.node, l.label),
+l34 AS (SELECT l.node, least(l.label, coalesce(min(n.label), l.label)) AS label FROM l33 l LEFT JOIN e ON e.dst = l.node LEFT JOIN l33 n ON n.node = e.src GROUP BY l.node, l.label),
+l35 AS (SELECT l.node, least(l.label, coalesce(min(n.label), l.label)) AS label FROM l34 l LEFT JOIN e ON e.dst = l.node LEFT JOIN l34 n ON n.node = e.src GROUP BY l.node, l.label),
+l36 AS (SELECT l.node, least(l.label, coalesce(min(n.label), l.label)) AS label FROM l35 l LEFT JOIN e ON e.dst = l.node LEFT JOIN l35 n ON n.node = e.src GROUP BY l.node, l.label),
+l37 AS (SELECT l.node, least(l.label, coalesce(min(n.label), l.label)) AS label FROM l36 l LEFT JOIN e ON e.dst = l.node LEFT JOIN l36 n ON n.node = e.src GROUP BY l.node, l.label),
+l38 AS (SELECT l.node, least(l.label, coalesce(min(n.label), l.label)) AS label FROM l37 l LEFT JOIN e ON e.dst = l.node LEFT JOIN l37 n ON n.node = e.src GROUP BY l.node, l.label),
+l39 AS (SELECT l.node, least(l.label, coalesce(min(n.label), l.label)) AS label FROM l38 l LEFT JOIN e ON e.dst = l.node LEFT JOIN l38 n ON n.node = e.src GROUP BY l.node, l.label),
+l40 AS (SELECT l.node, least(l.label, coalesce(min(n.label), l.label)) AS label FROM l39 l LEFT JOIN e ON e.dst = l.node LEFT JOIN l39 n ON n.node = e.src GROUP BY l.node, l.label)""".replace(
+    "{HAV}", geo.haversine_sql("a.lat", "a.lon", "b.lat", "b.lon")) + """
+SELECT node AS c_custkey, label AS cluster FROM l40"""
+
+
+@register("gn8_delivery_clusters_eps50km", _CLUSTER_SQL)
 def q_gn8(spark, sf):
     """DBSCAN (min_samples=1, haversine, eps 50 km) over all customer points."""
     c = customer_points(spark, sf)
