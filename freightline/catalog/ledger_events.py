@@ -137,12 +137,28 @@ def q_tk1(spark, sf):
     return table(spark, sf, "events").select("event_id", "ts").orderBy("ts", "event_id")
 
 
-@register("gn10_node_betweenness_top")
+def _gn10_sql(rounds: int = 24) -> str:
+    from .network import _PREP_BODY
+    parts = ["vw AS (SELECT src, dst, min(travel_time) AS w FROM ce WHERE profile = 'van' GROUP BY 1, 2)",
+             "a0 AS (SELECT node_id AS source, node_id AS node, 0.0 AS cost FROM nodes)"]
+    for i in range(1, rounds + 1):
+        parts.append(f"a{i} AS (SELECT source, node, min(cost) AS cost FROM (SELECT * FROM a{i-1} UNION ALL "
+                     f"SELECT a.source, e.dst, a.cost + e.w FROM a{i-1} a JOIN vw e ON a.node = e.src) GROUP BY 1, 2)")
+    return (view_sql("edges", "nodes") + _PREP_BODY + ",\n" + ",\n".join(parts) + f""",
+bc AS (SELECT sv.node AS node_id, CAST(count(*) AS DOUBLE) AS betweenness FROM a{rounds} st
+       JOIN a{rounds} sv ON sv.source = st.source JOIN a{rounds} vt ON vt.source = sv.node AND vt.node = st.node
+       WHERE sv.node <> st.source AND sv.node <> st.node AND abs(sv.cost + vt.cost - st.cost) <= 1e-6 * greatest(1.0, st.cost)
+       GROUP BY 1)
+SELECT node_id, betweenness, CAST(row_number() OVER (ORDER BY betweenness DESC, node_id) AS INTEGER) AS rank FROM bc
+ORDER BY betweenness DESC, node_id LIMIT 3""")
+
+
+@register("gn10_node_betweenness_top", _gn10_sql())
 def q_gn10(spark, sf):
     """Betweenness by travel time on the van network, top 3 nodes."""
     from .network import prepared_edges
     e = nw.constrained_edges(prepared_edges(spark, sf)).filter(F.col("profile") == "van")
     bc = nw.betweenness(e, view(spark, sf, "nodes"), "travel_time", groups=["profile"])
-    top = bc.orderBy(F.col("betweenness").desc(), "node_id").limit(3)  # a top-k report
+    top = bc.drop("profile").orderBy(F.col("betweenness").desc(), "node_id").limit(3)  # a top-k report
     from pyspark.sql import Window
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.col("betweenness").desc(), "node_id")))
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.col("betweenness").desc(), "node_id")).cast("int"))
