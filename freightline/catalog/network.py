@@ -167,3 +167,26 @@ FROM edges, bb GROUP BY a, b, c, d""")
 def q_ag14(spark, sf):
     s = nw.network_stats(view(spark, sf, "nodes"), view(spark, sf, "edges"))
     return s.select("n_nodes", "n_edges", F.round("total_km", 4).alias("total_km"), F.round("street_density", 8).alias("street_density"))
+
+
+_GN5_SQL = view_sql("edges", "nodes", "legs") + _PREP_BODY + ",\n" + _bf_sql() + """,
+cwe AS (SELECT ce.profile, ce.src, ce.dst, ce.length, ce.travel_time, ce.grade, cw.w FROM ce JOIN cw USING (profile, src, dst)),
+rpe AS (SELECT st.profile, st.source, st.node, e.length, e.travel_time, e.grade FROM d24 st
+       JOIN d24 su ON su.profile = st.profile AND su.source = st.source
+       JOIN cwe e ON e.profile = st.profile AND e.src = su.node
+       JOIN d24 vt ON vt.profile = st.profile AND vt.source = e.dst AND vt.node = st.node
+       WHERE st.source <> st.node AND abs(su.cost + e.w + vt.cost - st.cost) <= 1e-6 * greatest(1.0, st.cost)
+         AND st.source IN (SELECT DISTINCT origin_nation FROM legs))
+SELECT profile, source, node, CAST(round(CAST(CAST(sum(length) / 1000.0 AS VARCHAR) AS DECIMAL(38,18)), 2) AS DOUBLE) AS total_km,
+  CAST(round(CAST(CAST(sum(travel_time) / 60.0 AS VARCHAR) AS DECIMAL(38,18)), 1) AS DOUBLE) AS estimated_time_min,
+  CAST(round(CAST(CAST(sum(greatest(0.0, coalesce(grade, 0.0) * length)) AS VARCHAR) AS DECIMAL(38,18)), 1) AS DOUBLE) AS elevation_gain, 0 AS num_restrictions
+FROM rpe GROUP BY 1, 2, 3"""
+
+
+@register("gn5_route_metrics", _GN5_SQL)
+def q_gn5m(spark, sf):
+    """Route metrics of every shortest path from a shipping origin: km (2
+    places), minutes (1 place), elevation gain, restriction count."""
+    sp = shipment_routes(spark, sf)
+    e = nw.constrained_edges(prepared_edges(spark, sf))
+    return nw.route_metrics(sp, e, ["profile"])
