@@ -1,9 +1,10 @@
 """Registered queries of the training-data operators: one per operator, and the pipeline."""
 from __future__ import annotations
 
+from .neardup import op8_near_duplicates
 from .quality import op9_quality_divergence
 from .secrets import op2_secret_scan
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op9_quality_divergence)}
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op8_near_duplicates, op9_quality_divergence)}
 #: DuckDB SQL where an operator can be expressed in it.
 ORACLE_SQL: dict[str, str] = {}
