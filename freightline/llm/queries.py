@@ -1,10 +1,16 @@
-"""Registered queries of the training-data operators: one per operator, and the pipeline."""
+"""Registered queries of the training-data operators: one per operator."""
 from __future__ import annotations
 
+from .decontam import op6_benchmark_decontamination
 from .neardup import op8_near_duplicates
+from .packing import op5_best_fit_packing
+from .pii import op4_pii_surrogates
 from .quality import op9_quality_divergence
 from .secrets import op2_secret_scan
+from .tokencount import op10_token_counts
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op8_near_duplicates, op9_quality_divergence)}
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op4_pii_surrogates, op5_best_fit_packing,
+                                   op6_benchmark_decontamination, op8_near_duplicates, op9_quality_divergence,
+                                   op10_token_counts)}
 #: DuckDB SQL where an operator can be expressed in it.
 ORACLE_SQL: dict[str, str] = {}
