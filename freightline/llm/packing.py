@@ -18,11 +18,11 @@ capacity are cut; repeated rows are packed once each; an empty table gives an em
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from functools import lru_cache
 
 import numpy as np
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,8 +43,8 @@ class ChunkTokens(dict):
     A run of ASCII and Latin letters is split on into words, marks and digits as the tokenizer
     does, so that fewer strings reach it; any other run reaches it whole.  Bounded."""
 
-    # The tokenizer's own split pattern, applied after lower-casing.
-    SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    # The tokenizer's own split pattern after lower-casing, for the letters of SIMPLE.
+    SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
     SIMPLE = re.compile("[!-;=-~À-ÖØ-öø-ÿ]+")  # without "<", which may open a special token
 
     def __init__(self, vocabulary: str):
@@ -52,10 +52,21 @@ class ChunkTokens(dict):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
         self.words: dict[str, bytes] = {}
+        # byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on
+        shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        spare = iter(range(256, 512))
+        self.alphabet = "".join(chr(b if b in shown else next(spare)) for b in range(256))
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def word_ids(self, word: str) -> bytes:
+        """Ids of one piece of the split, which needs no more than the merges."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.alphabet)
+        found = [t.id for t in self.tokenizer.model.tokenize(word)]
+        return struct.pack(f"<{len(found)}I", *found)
+
     def __missing__(self, chunk: str) -> bytes:
         if len(self) > 400_000:
             self.clear()
@@ -65,7 +76,7 @@ class ChunkTokens(dict):
             out = b""
             for w in self.SPLIT.findall(chunk.lower()):
                 if (ids := self.words.get(w)) is None:
-                    ids = self.words[w] = self.ids(w)
+                    ids = self.words[w] = self.word_ids(w)
                 out += ids
         else:
             out = self.ids(chunk)
