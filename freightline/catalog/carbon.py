@@ -94,16 +94,17 @@ _ALLOWED = ["diesel_truck", "electric_truck", "rail"]
 
 
 @register("cb6_tk2_fleet_mix", view_sql("legs") + f""",
-opt AS (SELECT l.order_key, l.line_no, l.distance_km, l.load_kg, l.empty_return, l.value,
+lr AS (SELECT *, row_number() OVER () AS rid FROM legs),
+opt AS (SELECT l.rid, l.order_key, l.line_no, l.distance_km,
         CASE WHEN l.vehicle_type IN ('diesel_truck','electric_truck','rail') THEN l.vehicle_type ELSE 'diesel_truck' END AS cur,
         v.vehicle, v.pos,
         CASE WHEN v.vehicle = 'electric_truck' THEN NULL
              ELSE {R(f"{_case(cb.EMISSION_FACTORS, 'v.vehicle')} * l.distance_km * CASE WHEN l.empty_return THEN 2.0 ELSE 1.0 END * l.load_kg / 1000.0 * 1.15", 2)} END AS em
-        FROM legs l, (VALUES ('diesel_truck', 0), ('electric_truck', 1), ('rail', 2)) v(vehicle, pos)),
+        FROM lr l, (VALUES ('diesel_truck', 0), ('electric_truck', 1), ('rail', 2)) v(vehicle, pos)),
 best AS (SELECT order_key, line_no, distance_km, cur,
         arg_min(vehicle, (em, pos)) FILTER (WHERE em IS NOT NULL) AS recommended_vehicle,
         min(em) AS best_em, max(CASE WHEN vehicle = cur THEN em END) AS cur_em
-        FROM opt GROUP BY order_key, line_no, distance_km, load_kg, empty_return, value, cur)
+        FROM opt GROUP BY rid, order_key, line_no, distance_km, cur)
 SELECT order_key, line_no, recommended_vehicle, {R('cur_em - best_em')} AS emissions_savings,
   {R(f"({_case(cb.COST_PER_KM, 'recommended_vehicle', '0.3')} - 0.40) * distance_km")} AS cost_impact
 FROM best""")
@@ -111,15 +112,15 @@ def q_cb6(spark, sf):
     """Per leg: the allowed vehicle with least emissions (first listed wins
     ties; options that cannot be computed are skipped), savings against the
     current vehicle and the cost impact at 0.40 per km today."""
-    lg = view(spark, sf, "legs")
-    opts = F.array(*[F.struct(F.lit(v).alias("vehicle"), F.lit(i).alias("pos")) for i, v in enumerate(_ALLOWED)])
     cur = F.when(F.col("vehicle_type").isin(_ALLOWED), F.col("vehicle_type")).otherwise(F.lit("diesel_truck"))
-    x = lg.withColumn("current_vehicle", cur).withColumn("_o", F.explode(opts)).select("*", "_o.*").drop("_o")
-    x = x.withColumn("em", cb.co2("distance_km", "vehicle", "load_kg", "empty_return", F.lit("EU"))["co2_kg"])
-    g = x.groupBy("order_key", "line_no", "distance_km", "load_kg", "empty_return", "value", "current_vehicle").agg(
-        F.min_by("vehicle", F.when(F.col("em").isNotNull(), F.struct("em", "pos"))).alias("recommended_vehicle"),
-        F.min("em").alias("best_em"),
-        F.max(F.when(F.col("vehicle") == F.col("current_vehicle"), F.col("em"))).alias("current_em"))
+    co2 = lambda v: cb.co2("distance_km", v, "load_kg", "empty_return", F.lit("EU"))["co2_kg"]
+    opts = F.array(*(F.struct(co2(F.lit(v)).alias("em"), F.lit(i).alias("pos"), F.lit(v).alias("vehicle"))
+                     for i, v in enumerate(_ALLOWED)))
+    g = view(spark, sf, "legs").withColumns({"current_vehicle": cur, "opts": opts})
+    best = F.array_min(F.filter("opts", lambda o: o["em"].isNotNull()))
+    g = g.withColumn("best", best).select(
+        "order_key", "line_no", "distance_km", F.col("best.vehicle").alias("recommended_vehicle"), F.col("best.em").alias("best_em"),
+        F.filter("opts", lambda o: o["vehicle"] == F.col("current_vehicle"))[0]["em"].alias("current_em"))
     return g.select("order_key", "line_no", "recommended_vehicle",
                     round_half_up(F.col("current_em") - F.col("best_em"), 4).alias("emissions_savings"),
                     round_half_up((cb.cost_per_km("recommended_vehicle") - 0.40) * F.col("distance_km"), 4).alias("cost_impact"))
@@ -181,21 +182,17 @@ def q_cb9(spark, sf):
 _PROFILE_BY_SEGMENT = {"AUTOMOBILE": "car", "FURNITURE": "van", "MACHINERY": "truck", "BUILDING": "truck", "HOUSEHOLD": "van"}
 
 
-@register("cb10_cb11_cb12_route_impact_and_cost", view_sql("legs", "shipments") + f""",
-r AS (SELECT l.order_key, l.line_no, l.distance_km * 1000 AS distance_m, {_case(_PROFILE_BY_SEGMENT, 's.segment')} AS profile
-      FROM legs l JOIN shipments s ON l.order_key = s.order_key AND l.line_no = s.line_no AND l.ship_date = s.ship_date
-      AND l.value = s.value AND l.load_kg = s.weight),
+@register("cb10_cb11_cb12_route_impact_and_cost", view_sql("legs") + f""",
+r AS (SELECT order_key, line_no, distance_km * 1000 AS distance_m, {_case(_PROFILE_BY_SEGMENT, 'segment')} AS profile FROM legs),
 i AS (SELECT *, {_case(cb.ROUTE_G_PER_KM, 'profile', '150.0')} * distance_m / 1000.0 / 1000.0 AS co2_kg,
              distance_m / 1000.0 * 1.2 AS noise FROM r)
-SELECT DISTINCT order_key, line_no, {R('co2_kg')} AS co2_kg, {R('distance_m / 1000.0 * 0.35')} AS fuel_liters,
+SELECT order_key, line_no, {R('co2_kg')} AS co2_kg, {R('distance_m / 1000.0 * 0.35')} AS fuel_liters,
   {R('greatest(0.0, 100 - co2_kg * 10)')} AS eco_score,
   NOT coalesce(distance_m > 0 AND co2_kg * 1000.0 / (distance_m / 1000.0) > 150 OR noise > 75, false) AS compliant,
   {R(f"(distance_m / 1000.0 / 1.60934) / {_case(cb.MPG, 'profile', '8.0')} * 3.5 + 0.0 + distance_m / 1000.0 / 80.0 * 25.0")} AS total_cost
 FROM i""")
 def q_cb10(spark, sf):
-    lg = view(spark, sf, "legs")
-    sh = view(spark, sf, "shipments").select("order_key", "line_no", "ship_date", "value", F.col("weight").alias("load_kg"), "segment")
-    j = lg.join(sh, ["order_key", "line_no", "ship_date", "value", "load_kg"])
+    j = view(spark, sf, "legs")
     prof = cb.lit_map(_PROFILE_BY_SEGMENT)[F.col("segment")]
     x = j.select("order_key", "line_no", (F.col("distance_km") * 1000).alias("distance_m"), prof.alias("profile"))
     x = x.withColumn("imp", cb.route_impact("distance_m", "profile"))
@@ -203,7 +200,7 @@ def q_cb10(spark, sf):
     cost = cb.transport_cost(F.col("distance_m") / 1000.0, F.col("profile"), F.lit(0.0), F.lit(25.0))
     return x.select("order_key", "line_no", round_half_up("imp.co2_kg", 4).alias("co2_kg"),
                     round_half_up("imp.fuel_liters", 4).alias("fuel_liters"), round_half_up("imp.eco_score", 4).alias("eco_score"),
-                    comp["passed"].alias("compliant"), round_half_up(cost["total"], 4).alias("total_cost")).distinct()
+                    comp["passed"].alias("compliant"), round_half_up(cost["total"], 4).alias("total_cost"))
 
 
 _MODES = [("truck", "diesel_truck"), ("train", "rail"), ("ship", "cargo_ship")]

@@ -126,17 +126,17 @@ w AS (SELECT series_id, ds, count(*) OVER (PARTITION BY series_id ORDER BY ds RO
   count(*) OVER (PARTITION BY series_id ORDER BY ds ROWS BETWEEN 1 FOLLOWING AND 7 FOLLOWING) AS ny, lead(y, 1) OVER o AS f1, lead(y, 2) OVER o AS f2, lead(y, 3) OVER o AS f3, lead(y, 4) OVER o AS f4, lead(y, 5) OVER o AS f5, lead(y, 6) OVER o AS f6, lead(y, 7) OVER o AS f7
   FROM daily WINDOW o AS (PARTITION BY series_id ORDER BY ds)),
 c AS (SELECT series_id, ds, (abs(f2 - f1) + abs(f3 - f2) + abs(f4 - f3) + abs(f5 - f4) + abs(f6 - f5) + abs(f7 - f6)) / 6 AS change FROM w WHERE nx = 30 AND ny = 7),
-bk AS (SELECT *, CAST(least(floor(change / 5), 9) AS BIGINT) AS bucket FROM c),
+bk AS (SELECT *, CAST(floor(change / 5) AS BIGINT) AS bucket FROM c),
 nb AS (SELECT bucket, count(*) AS n FROM bk GROUP BY 1)
 SELECT bk.series_id, bk.ds, CAST(round(CAST(bk.change AS DECIMAL(38,8)), 6) AS DOUBLE) AS change, bk.bucket,
   CAST(round(CAST((SELECT count(*) FROM bk) / ((SELECT count(*) FROM nb) * nb.n) AS DECIMAL(38,8)), 6) AS DOUBLE) AS weight
 FROM bk JOIN nb ON bk.bucket = nb.bucket""")
 def q_wn9(spark, sf):
-    """Mean absolute step of each horizon window, bucketed to deciles of 5 units,
+    """Mean absolute step of each horizon window, bucketed to steps of 5 units,
     then balanced (inverse-frequency) weights per bucket."""
     s = wn.sliding_sequences(daily_demand(spark, sf), K, ["ds"], "y", 30, 7)
     s = s.withColumn("change", wn.mean_abs_step(F.col("y_future")))
-    s = s.withColumn("bucket", F.least(F.floor(F.col("change") / 5), F.lit(9)))
+    s = s.withColumn("bucket", F.floor(F.col("change") / 5))
     cnt = s.groupBy("bucket").agg(F.count(F.lit(1)).alias("_nb"))
     total = s.agg(F.count(F.lit(1))).scalar()
     nbuckets = cnt.agg(F.count(F.lit(1))).scalar()

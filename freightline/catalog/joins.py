@@ -150,7 +150,7 @@ FROM cpts c, places p WHERE {haversine_sql('c.lat', 'c.lon', 'p.lat', 'p.lon')}
 def q_jn8(spark, sf):
     pts = customer_points(spark, sf)
     ctr = places(spark, sf).select("place_id", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
-    r = jn.radius_join(pts, ctr, "lat", "lon", "p_lat", "p_lon", 300.0, max_abs_lat=75.0)
+    r = jn.radius_join(pts, ctr, "lat", "lon", "p_lat", "p_lon", 300.0)
     return r.select("c_custkey", "place_id", F.round("distance_km", 4).alias("distance_km"))
 
 

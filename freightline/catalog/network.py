@@ -70,7 +70,7 @@ def shipment_routes(spark, sf):
     origins = legs.select(F.col("origin_nation").alias("source")).distinct()
     sources = origins.withColumn("profile", F.explode(F.array(*[F.lit(p) for p in nw.VEHICLE_PROFILES])))
     e = profile_edges(spark, sf)
-    return nw.shortest_paths(e, sources, "w", groups=["profile"], max_rounds=100)
+    return nw.shortest_paths(e, sources, "w", groups=["profile"])
 
 
 _GN4_SQL = view_sql("edges", "nodes", "legs") + _PREP_BODY + ",\n" + _bf_sql() + f""",
@@ -107,7 +107,7 @@ def q_gn7(spark, sf):
     legs = view(spark, sf, "legs")
     origins = legs.select(F.col("origin_nation").alias("source")).distinct().withColumn("profile", F.lit("heavy_truck"))
     e = nw.constrained_edges(prepared_edges(spark, sf)).filter(F.col("profile") == "heavy_truck")
-    sp = nw.shortest_paths(e, origins, "travel_time", groups=["profile"], undirected=True, max_cost=30 * 3600.0, max_rounds=100)
+    sp = nw.shortest_paths(e, origins, "travel_time", groups=["profile"], undirected=True, max_cost=30 * 3600.0)
     x = sp.withColumn("minutes", F.explode(F.array(F.lit(600), F.lit(1200), F.lit(1800)))).filter(F.col("cost") <= F.col("minutes") * 60.0)
     pts = x.join(view(spark, sf, "nodes").select(F.col("node_id").alias("node"), "lat", "lon"), "node")
     hull = nw.convex_hulls(pts, ["source", "minutes"])
@@ -135,7 +135,7 @@ def q_gn7c(spark, sf):
     legs = view(spark, sf, "legs")
     origins = legs.select(F.col("origin_nation").alias("source")).distinct().withColumn("profile", F.lit("heavy_truck"))
     e = nw.constrained_edges(prepared_edges(spark, sf)).filter(F.col("profile") == "heavy_truck")
-    sp = nw.shortest_paths(e, origins, "travel_time", groups=["profile"], undirected=True, max_cost=30 * 3600.0, max_rounds=100)
+    sp = nw.shortest_paths(e, origins, "travel_time", groups=["profile"], undirected=True, max_cost=30 * 3600.0)
     x = sp.withColumn("minutes", F.explode(F.array(F.lit(600), F.lit(1200), F.lit(1800)))).filter(F.col("cost") <= F.col("minutes") * 60.0)
     return x.groupBy("source", F.col("minutes").cast("int").alias("minutes")).agg(F.count(F.lit(1)).alias("n_nodes"))
 

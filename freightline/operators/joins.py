@@ -21,6 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from freightline.session import ensure_checkpoint_dir
 from ..functions.geo import EARTH_RADIUS_KM, haversine_km, planar_distance
 
 KM_PER_DEG = 2 * math.pi * EARTH_RADIUS_KM / 360.0
@@ -90,6 +91,7 @@ def nearest_neighbor(queries: DataFrame, candidates: DataFrame, q_id: str, q_lat
     the guaranteed search radius of that level; the rest move to the next
     level.  At 360-degree cells every candidate is a neighbour, so the loop
     always ends.  Ties: smallest candidate id."""
+    ensure_checkpoint_dir(queries.sparkSession)
     dist_fn = haversine_km if metric == "haversine" else planar_distance
     if start_cell_deg is None:
         n_cand = candidates.count()
@@ -131,21 +133,44 @@ def nearest_neighbor(queries: DataFrame, candidates: DataFrame, q_id: str, q_lat
     return out.select(F.col("_qid").alias(q_id), F.col("_cid").alias(c_id), F.col("_d").alias("distance"))
 
 
+def _band_cells(cy: Column, side: float) -> Column:
+    """Longitude cells of a latitude band, about as wide as the band is high at its poles-most edge,
+    so that 360 degrees are always a whole number of cells."""
+    edge = F.greatest(F.abs(cy * side - 90.0), F.abs((cy + 1) * side - 90.0))
+    return F.greatest(F.floor(360.0 * F.cos(F.radians(F.least(edge, F.lit(90.0)))) / side), F.lit(1)).cast("bigint")
+
+
 def radius_join(points: DataFrame, centres: DataFrame, p_lat: str, p_lon: str, c_lat: str, c_lon: str,
-                radius_km: float, max_abs_lat: float = 85.0) -> DataFrame:
-    """All (point, centre) pairs within ``radius_km`` (haversine).  Centres are
-    copied into their 3x3 cell neighbourhood, points keep one cell; the
-    equi-join on the cell forms only nearby candidates; a bounding-box test and
-    the exact distance finish it.  Output pairs are what the query asks for."""
-    shrink = max(math.cos(math.radians(min(max_abs_lat, 89.0))), 1e-3)
-    cell = min(radius_km / (KM_PER_DEG * shrink), 360.0)
-    pcy, pcx = _cell_cols(F.col(p_lat), F.col(p_lon), cell)
-    p = points.withColumn("_cell", F.struct(pcy.alias("cy"), pcx.alias("cx")))
-    ccy, ccx = _cell_cols(F.col(c_lat), F.col(c_lon), cell)
-    c = centres.withColumn("_cell", F.explode(_neighbour_cells(ccy, ccx, cell)))
-    j = p.join(c, "_cell")
-    dlat = radius_km / KM_PER_DEG
-    j = j.filter(F.abs(F.col(p_lat) - F.col(c_lat)) <= dlat)  # cheap box test before trig
+                radius_km: float) -> DataFrame:
+    """All (point, centre) pairs within ``radius_km`` (haversine), anywhere on the sphere.
+
+    Latitude bands are as high as the radius; each band has its own whole number of longitude cells.
+    A centre is copied into every cell that its circle's bounding box touches (computed from the
+    centre's own latitude; all cells of a band if the circle holds a pole), a point keeps one cell.
+    The equi-join on the cell forms only nearby candidates and the exact distance finishes it."""
+    side = min(radius_km / KM_PER_DEG, 180.0)
+    reach = radius_km / KM_PER_DEG
+    last = int(math.floor(180.0 / side))
+
+    def column_of(lon: Column, n: Column) -> Column:
+        return F.floor((lon + 180.0) / 360.0 * n).cast("bigint")
+
+    pcy = F.floor((F.col(p_lat) + 90.0) / side).cast("bigint")
+    pn = _band_cells(pcy, side)
+    p = points.withColumn("_cell", F.struct(pcy.alias("cy"), F.pmod(column_of(F.col(p_lon), pn), pn).alias("cx")))
+
+    lat, lon = F.col(c_lat), F.col(c_lon)
+    ratio = F.lit(math.sin(math.radians(min(reach, 90.0)))) / F.cos(F.radians(lat))
+    width = F.when((F.abs(lat) + reach >= 90.0) | (ratio >= 1.0), F.lit(180.0)).otherwise(F.degrees(F.asin(ratio)) + 1e-9)
+    row = F.floor((lat + 90.0) / side).cast("bigint")
+    c = centres.withColumn("_w", width).withColumn("_cy", F.explode(F.sequence(
+        F.greatest(row - 1, F.lit(0)), F.least(row + 1, F.lit(last)))))
+    n = _band_cells(F.col("_cy"), side)
+    low, high = column_of(lon - F.col("_w"), n), column_of(lon + F.col("_w"), n)
+    columns = F.when(high - low + 1 >= n, F.sequence(F.lit(0).cast("bigint"), n - 1)).otherwise(F.sequence(low, high))
+    cells = F.transform(columns, lambda x: F.struct(F.col("_cy").alias("cy"), F.pmod(x, n).alias("cx")))
+    c = c.withColumn("_cell", F.explode(F.array_distinct(cells))).drop("_w", "_cy")
+    j = p.join(c, "_cell").filter(F.abs(F.col(p_lat) - F.col(c_lat)) <= reach + 1e-9)  # cheap box test before trig
     return j.withColumn("distance_km", haversine_km(p_lat, p_lon, c_lat, c_lon)).filter(
         F.col("distance_km") <= radius_km).drop("_cell")
 

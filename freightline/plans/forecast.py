@@ -26,6 +26,8 @@ import math as _math
 from dataclasses import dataclass, field
 
 import numpy as _np
+from statistics import NormalDist
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -50,7 +52,6 @@ class ForecastSpec:
     holidays: str = "grouped"              # none | grouped (holiday, inventory day) | per_name
 
 
-_Z = {0.8: 1.2815515655446004, 0.9: 1.6448536269514722, 0.95: 1.959963984540054}
 
 
 def _feature_columns(ds: Column, t0: Column, span: Column, spec: ForecastSpec) -> list[tuple[str, Column]]:
@@ -200,7 +201,7 @@ def predict(model: DataFrame, keys: list[str], periods: int | None = None, futur
     feats = _feature_columns(F.col("ds"), F.col("t0"), F.col("span"), spec)
     x = F.array(*[c.cast("double") for _, c in feats])
     z = F.aggregate(F.zip_with("beta", x, lambda b, v: b * v), F.lit(0.0), lambda a, v: a + v)
-    zq = _Z.get(spec.interval_width, 1.2815515655446004)
+    zq = NormalDist().inv_cdf((1.0 + spec.interval_width) / 2.0)
     fut = fut.withColumn("_z", z)
     return fut.select(*keys, "ds", _inverse_y(F.col("_z"), spec).alias("yhat"),
                       _inverse_y(F.col("_z") - zq * F.col("resid_sd"), spec).alias("yhat_lower"),

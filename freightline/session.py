@@ -1,7 +1,8 @@
 """Session construction and shared-storage helpers."""
 from __future__ import annotations
 
-import os
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -21,36 +22,37 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
                 app_name: str = "freightline", extra: dict | None = None) -> SparkSession:
     """Build (or reuse) a session with AQE on and UTC session time.
 
-    On a cluster the master and partition counts come from the submit
-    configuration; locally we default to ``local[8]`` and 8 partitions.
-    """
+    Master and partition counts come from the launcher unless the caller
+    (a test, the bench) names them."""
     builder = SparkSession.builder.appName(app_name)
-    if master or not os.environ.get("SPARK_MASTER"):
-        builder = builder.master(master or "local[8]")
+    if master:
+        builder = builder.master(master)
     conf = dict(DEFAULT_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or 8)
+    if shuffle_partitions:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster names a shared folder; we only fall back to a scratch folder
-    when the setting is absent (local tests).
-    """
+    A cluster must name one: a machine-local folder would leave each node with
+    files of its own, so an unset one raises.  Only a local master, whose
+    executors are this process, gets a scratch folder."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = os.path.join(os.environ.get("TMPDIR", "/tmp"), f"freightline-ckpt-{uuid.uuid4().hex[:8]}")
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="freightline-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path

@@ -126,7 +126,7 @@ def legs(spark: SparkSession, sf_dir: str) -> DataFrame:
         map_lookup(REGION_CODE_BY_NAME, F.col("r_name")).alias("region"),
         F.col("weight").alias("load_kg"),
         (F.col("return_flag") == "R").alias("empty_return"),
-        "value",
+        "value", "segment",
     )
 
 
@@ -208,7 +208,7 @@ SELECT sh.order_key, sh.line_no, sh.ship_date, sh.origin_nation, sh.dest_nation,
        {haversine_sql('o.lat', 'o.lon', 'd.lat', 'd.lon')} AS distance_km,
        {case_sql(VEHICLE_BY_PART_TYPE, 'sh.p_type')} AS vehicle_type,
        {case_sql(REGION_CODE_BY_NAME, 'r.r_name')} AS region,
-       sh.weight AS load_kg, sh.return_flag = 'R' AS empty_return, sh.value
+       sh.weight AS load_kg, sh.return_flag = 'R' AS empty_return, sh.value, sh.segment
 FROM shipments sh JOIN places o ON sh.origin_nation = o.place_id JOIN places d ON sh.dest_nation = d.place_id
 JOIN region r ON o.region_key = r.r_regionkey""", ("shipments", "places")),
     "edges": (f"""

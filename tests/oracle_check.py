@@ -90,7 +90,7 @@ def main(argv):
         argv = argv[:i] + argv[i + 2:]
     from freightline.catalog import load_all
     from freightline.session import get_session
-    spark = get_session()
+    spark = get_session(master="local[8]", shuffle_partitions=8)
     reg = load_all()
     con = duck(sf)
     names = [n for n in reg if not argv or any(a in n for a in argv)]

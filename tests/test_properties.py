@@ -84,11 +84,25 @@ def test_radius_join_matches_brute_force(spark):
     c = _points(7, 6, 1)
     pd_ = spark.createDataFrame(p, "pid int, lat double, lon double")
     cd = spark.createDataFrame(c, "cid int, clat double, clon double")
-    got = {(r.pid, r.cid) for r in jn.radius_join(pd_, cd, "lat", "lon", "clat", "clon", 250.0, 70.0).collect()}
+    got = {(r.pid, r.cid) for r in jn.radius_join(pd_, cd, "lat", "lon", "clat", "clon", 250.0).collect()}
     want = {(i, j) for i, la, lo in p for j, cla, clo in c if _hav((la, lo), (cla, clo)) <= 250.0}
     assert got == want
 
 
+@pytest.mark.parametrize("where", ["antimeridian", "north pole", "south pole", "anywhere"])
+@pytest.mark.parametrize("km", [100.0, 300.0, 2500.0])
+def test_radius_join_wraps_and_reaches_the_poles(spark, where, km):
+    rnd = random.Random(9)
+    lat = {"antimeridian": (-3, 3), "north pole": (85, 90), "south pole": (-90, -85), "anywhere": (-90, 90)}[where]
+    lon = lambda: rnd.choice((-1, 1)) * rnd.uniform(178, 180) if where == "antimeridian" else rnd.uniform(-180, 180)
+    p = [(i, rnd.uniform(*lat), lon()) for i in range(150)]
+    c = [(i, rnd.uniform(*lat), lon()) for i in range(20)] + [(98, 89.9, 0.0), (99, 0.0, 180.0)]
+    got = jn.radius_join(spark.createDataFrame(p, "pid int, lat double, lon double"),
+                         spark.createDataFrame(c, "cid int, clat double, clon double"), "lat", "lon", "clat", "clon", km)
+    got = sorted((r.pid, r.cid) for r in got.collect())
+    assert got == sorted((i, j) for i, la, lo in p for j, cla, clo in c if _hav((la, lo), (cla, clo)) <= km)
+
+
 def test_asof_join_matches_pandas(spark):
     rnd = random.Random(11)
     left = pd.DataFrame({"k": [rnd.randint(0, 4) for _ in range(300)],
@@ -179,17 +193,21 @@ def test_geohash_matches_bisection(spark):
         assert r.g == _py_geohash(r.lat, r.lon, 9)
 
 
-def test_geometric_median_distributed_equals_local(spark):
+def test_geometric_medians_match_numpy(spark):
     rnd = random.Random(4)
-    pts = [(k, rnd.gauss(k, 1.0), rnd.gauss(-k, 2.0)) for k in range(3) for _ in range(40)]
+    pts = [(k, rnd.gauss(k, 1.0), rnd.gauss(-k, 2.0)) for k in range(3) for _ in range(40)] + [(3, 5.0, 6.0)]
     df = spark.createDataFrame(pts, "cluster int, lat double, lon double")
-    local = {r.cluster: (r.lat, r.lon) for r in nw.geometric_medians(df, "cluster").collect()}
-    dist = {r.cluster: (r.lat, r.lon) for r in nw.geometric_medians(df, "cluster", local_limit=0).collect()}
-    for k in range(3):
-        arr = np.array([(a, b) for c, a, b in pts if c == k])
-        y, x, _ = nw._weiszfeld(arr)
-        assert local[k] == pytest.approx((y, x), abs=1e-9)
-        assert dist[k] == pytest.approx((y, x), abs=1e-9)
+    got = {r.cluster: (r.lat, r.lon, r.n_points) for r in nw.geometric_medians(df, "cluster").collect()}
+    for k in range(4):
+        at = np.array([p[1:] for p in pts if p[0] == k])
+        median = at.mean(0)
+        for _ in range(100):
+            weight = 1 / np.maximum(np.hypot(*(at - median).T), 1e-5)
+            step = (weight[:, None] * at).sum(0) / weight.sum()
+            if np.hypot(*(step - median)) < 1e-5:
+                break
+            median = step
+        assert got[k][:2] == pytest.approx(tuple(median), abs=1e-9) and got[k][2] == len(at)
 
 
 def test_minmax_scaler_roundtrip(spark):
