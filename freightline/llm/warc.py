@@ -166,7 +166,7 @@ def parsed(data: bytes) -> tuple[dict[str, str], bytes, int]:
     headers = {}
     for line in data[:stop].split(CRLF)[1:]:
         name, colon, value = line.partition(b":")
-        if not colon:
+        if not colon or value.lstrip().startswith(b"WARC/1."):  # a header cut short runs into the next record
             raise Damaged("header")
         headers[name.decode("latin-1").strip().lower()] = value.decode("utf-8", "replace").strip()
     if not headers.get("content-length", "").isdigit():
