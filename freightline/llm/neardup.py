@@ -198,7 +198,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(F.col("common") * 100 >= union * percent).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = 16, small: int = 8, near: int = 3,
+def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = 16, small: int = 8, near: int = 16,
                     region_rows: int = 4096) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per document; ``percent``: similarity of a link."""
     docs = documents_of(docs)
