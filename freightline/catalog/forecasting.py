@@ -164,15 +164,15 @@ def q_wn11(spark, sf):
 
 
 @register("wn12_rolling_origin_cutoffs", _DAILY_SQL + """,
-c AS (SELECT series_id, CAST(unnest(generate_series(min(ds) + 365, max(ds) - 30, INTERVAL 180 DAY)) AS DATE) AS cutoff FROM daily GROUP BY 1)
+c AS (SELECT series_id, CAST(unnest(generate_series(min(ds) + 365, max(ds) - 30, INTERVAL 30 DAY)) AS DATE) AS cutoff FROM daily GROUP BY 1)
 SELECT c.series_id, c.cutoff, CAST(count(*) FILTER (WHERE d.ds <= c.cutoff) AS BIGINT) AS n_train,
   CAST(count(*) FILTER (WHERE d.ds > c.cutoff AND d.ds <= c.cutoff + 30) AS BIGINT) AS n_test
 FROM c JOIN daily d ON c.series_id = d.series_id GROUP BY 1, 2""")
 def q_wn12(spark, sf):
-    """Cutoffs per series, then each history row is tagged with the cutoffs it
-    trains or tests (rows x cutoffs, a small constant), then counted."""
+    """Cutoffs per series every 30 days, then each history row is tagged with the
+    cutoffs it trains or tests (rows x cutoffs of its series), then counted."""
     d = daily_demand(spark, sf)
-    c = fc.cutoffs(d, K, "ds", 365, 180, 30)
+    c = fc.cutoffs(d, K, "ds", 365, 30, 30)
     cs = c.groupBy(*K).agg(F.collect_list("cutoff").alias("cuts"))  # <= span/period cutoffs per series
     x = d.join(cs, K).select(*K, "ds", F.explode("cuts").alias("cutoff"))
     return x.groupBy(*K, "cutoff").agg(F.count_if(F.col("ds") <= F.col("cutoff")).alias("n_train"),

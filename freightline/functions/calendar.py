@@ -120,7 +120,23 @@ def us_holidays(spark: SparkSession, first_year: int = 2010, last_year: int = 20
     (fixed dates with observed shifts, nth/last weekday rules) plus quarter-end
     ``inventory_day`` events (FN3).  Size: ~15 rows per year."""
     y = spark.range(first_year, last_year + 1).select(F.col("id").cast("int").alias("y"))
-    yc = F.col("y")
+    rules = _holiday_rules(F.col("y"), include_inventory_days)
+    arr = F.array(*[F.struct(F.lit(n).alias("holiday"), d.alias("ds")) for n, d in rules])
+    return y.select(F.explode(arr).alias("h")).select("h.ds", "h.holiday").filter(F.col("ds").isNotNull())
+
+
+def us_holiday_name(d) -> Column:
+    """Holiday name of a date by the same rules as :func:`us_holidays`, for any year and without a
+    table or join; null on other days, the first name in alphabetical order where two meet.  The
+    observed New Year's Day of the following year may fall on 31 December."""
+    d = F.to_date(_c(d))
+    y = F.year(d)
+    rules = _holiday_rules(y) + _holiday_rules(y + 1)[:1]
+    return F.least(*[F.when(d == day, F.lit(name)) for name, day in rules])
+
+
+def _holiday_rules(yc: Column, include_inventory_days: bool = True) -> list[tuple[str, Column]]:
+    """(name, date) of each holiday of the year ``yc``, New Year's Day first."""
     rules = [
         ("New Year's Day", _observed(F.make_date(yc, F.lit(1), F.lit(1)))),
         ("Martin Luther King Jr. Day", _nth_weekday(yc, 1, 2, 3)),
@@ -138,5 +154,4 @@ def us_holidays(spark: SparkSession, first_year: int = 2010, last_year: int = 20
     if include_inventory_days:
         for q in (3, 6, 9, 12):
             rules.append(("inventory_day", F.last_day(F.make_date(yc, F.lit(q), F.lit(1)))))
-    arr = F.array(*[F.struct(F.lit(n).alias("holiday"), d.alias("ds")) for n, d in rules])
-    return y.select(F.explode(arr).alias("h")).select("h.ds", "h.holiday").filter(F.col("ds").isNotNull())
+    return rules

@@ -63,14 +63,15 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_ts: str
 
 
 def _cell_cols(lat: Column, lon: Column, cell: float):
-    """Grid cell of a point; longitude cells wrap at the antimeridian."""
-    ncx = int(math.ceil(360.0 / cell))
+    """Grid cell of a point; a whole number of longitude cells, each at least ``cell`` degrees wide,
+    wraps at the antimeridian."""
+    ncx = max(1, int(360.0 // cell))
     return (F.floor((lat + 90.0) / cell).cast("bigint"),
-            F.pmod(F.floor((lon + 180.0) / cell).cast("bigint"), F.lit(ncx).cast("bigint")))
+            F.pmod(F.floor((lon + 180.0) / 360.0 * ncx).cast("bigint"), F.lit(ncx).cast("bigint")))
 
 
 def _neighbour_cells(cy: Column, cx: Column, cell: float) -> Column:
-    ncx = int(math.ceil(360.0 / cell))
+    ncx = max(1, int(360.0 // cell))
     cells = []
     for dy in (-1, 0, 1):
         for dx in (-1, 0, 1):
@@ -80,7 +81,7 @@ def _neighbour_cells(cy: Column, cx: Column, cell: float) -> Column:
 
 def nearest_neighbor(queries: DataFrame, candidates: DataFrame, q_id: str, q_lat: str, q_lon: str,
                      c_id: str, c_lat: str, c_lon: str, metric: str = "haversine",
-                     start_cell_deg: float | None = None, max_abs_lat: float | None = None,
+                     start_cell_deg: float | None = None,
                      growth: float = 4.0) -> DataFrame:
     """Exact nearest candidate per query point: ``(q_id, c_id, distance)``.
 
@@ -89,17 +90,17 @@ def nearest_neighbor(queries: DataFrame, candidates: DataFrame, q_id: str, q_lat
     count)), so a cell holds about one candidate whatever the data size.  A query is
     settled when its best candidate in the 3x3 neighbourhood is closer than
     the guaranteed search radius of that level; the rest move to the next
-    level.  At 360-degree cells every candidate is a neighbour, so the loop
+    level.  That radius comes from the query's own latitude: a candidate outside
+    the neighbourhood is at least one cell away in latitude, or lies beyond the
+    meridian one cell to the east or west, whose distance is
+    asin(cos(lat) * sin(cell)).  So a query near a pole widens its own search
+    only.  At 360-degree cells every candidate is a neighbour, so the loop
     always ends.  Ties: smallest candidate id."""
     ensure_checkpoint_dir(queries.sparkSession)
     dist_fn = haversine_km if metric == "haversine" else planar_distance
     if start_cell_deg is None:
         n_cand = candidates.count()
         start_cell_deg = min(360.0, max(1e-4, math.sqrt(360.0 * 180.0 / max(n_cand, 1))))
-    if max_abs_lat is None:
-        # one scalar from a distributed aggregate: the cell padding must cover the data's poles-most point
-        max_abs_lat = queries.agg(F.max(F.abs(F.col(q_lat)))).first()[0] or 0.0
-    shrink = max(math.cos(math.radians(min(max_abs_lat, 89.0))), 1e-3)
     q = queries.select(F.col(q_id).alias("_qid"), F.col(q_lat).alias("_qlat"), F.col(q_lon).alias("_qlon"))
     c = candidates.select(F.col(c_id).alias("_cid"), F.col(c_lat).alias("_clat"), F.col(c_lon).alias("_clon"))
     results = []
@@ -107,7 +108,10 @@ def nearest_neighbor(queries: DataFrame, candidates: DataFrame, q_id: str, q_lat
     pending = q
     while True:
         final = cell >= 360.0
-        radius = (cell * KM_PER_DEG * shrink) if metric == "haversine" else cell
+        radius = F.lit(cell)
+        if metric == "haversine":
+            beyond = F.asin(F.cos(F.radians(F.col("_qlat"))) * math.sin(math.radians(min(cell, 90.0))))
+            radius = F.least(F.lit(cell * KM_PER_DEG), F.lit(EARTH_RADIUS_KM) * beyond) - 1e-9
         cy, cx = _cell_cols(F.col("_qlat"), F.col("_qlon"), cell)
         qx = pending.select("*", F.explode(_neighbour_cells(cy, cx, cell)).alias("_cell"))
         ccy, ccx = _cell_cols(F.col("_clat"), F.col("_clon"), cell)

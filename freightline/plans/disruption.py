@@ -97,10 +97,15 @@ def permuted_column(df: DataFrame, col: str, seed: int = 7, block_rows: int = 10
     """Replace ``col`` by a random permutation of itself.  Rows are dealt into
     random blocks of about ``block_rows``; inside a block the values are
     re-paired by two independent random orders -- a distributed shuffle
-    without a global row number."""
+    without a global row number.  Blocks and orders are hashes of the whole
+    row, so both sides of the self join and a retried task agree; equal rows
+    are interchangeable."""
     n = df.count()
     blocks = max(1, n // block_rows)
-    d = df.withColumn("_blk", F.floor(F.rand(seed) * blocks)).withColumn("_r1", F.rand(seed + 1)).withColumn("_r2", F.rand(seed + 2))
+
+    def draw(salt: int) -> Column:
+        return F.xxhash64(F.lit(salt), *[F.col(c) for c in df.columns])
+    d = df.withColumns({"_blk": F.pmod(draw(seed), F.lit(blocks)), "_r1": draw(seed + 1), "_r2": draw(seed + 2)})
     d = d.withColumn("_i", F.row_number().over(Window.partitionBy("_blk").orderBy("_r1")))
     vals = d.select("_blk", F.row_number().over(Window.partitionBy("_blk").orderBy("_r2")).alias("_i"), F.col(col).alias("_perm"))
     return d.join(vals, ["_blk", "_i"]).drop(col, "_r1", "_r2", "_i", "_blk").withColumnRenamed("_perm", col)
@@ -142,10 +147,11 @@ def supplier_risk(shipments: DataFrame, late_days: int = 30) -> DataFrame:
     conc = cust.join(per.select("supp_key", "_v"), "supp_key").groupBy("supp_key").agg(
         F.sum((F.col("_vc") / F.col("_v")) ** 2).alias("concentration"))
     s = per.drop("_v").join(conc, "supp_key")
+    # all bounds in one aggregate: one struct-valued subquery, planned once and reused
+    bounds = s.agg(F.struct(*[f(c).alias(f"{n}_{c}") for c in SUPPLIER_WEIGHTS for n, f in (("lo", F.min), ("hi", F.max))])).scalar()
     scaled = {}
     for c in SUPPLIER_WEIGHTS:
-        lo = s.agg(F.min(c)).scalar()
-        hi = s.agg(F.max(c)).scalar()
+        lo, hi = bounds[f"lo_{c}"], bounds[f"hi_{c}"]
         scaled[f"{c}_scaled"] = F.coalesce((F.col(c) - lo) / F.when(hi == lo, F.lit(1.0)).otherwise(hi - lo), F.lit(0.0))
     s = s.withColumns(scaled)
     sc = sum((F.col(f"{c}_scaled") * w for c, w in SUPPLIER_WEIGHTS.items()), F.lit(0.0))

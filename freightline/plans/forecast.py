@@ -84,13 +84,11 @@ HOLIDAY_NAMES = ["New Year's Day", "Martin Luther King Jr. Day", "Washington's B
 
 
 def _with_holidays(df: DataFrame, ds: str, spec: ForecastSpec) -> DataFrame:
-    """Attach the holiday name of each date (null if none) from the generated
-    holiday table -- ~15 rows per year over a fixed range, so broadcast."""
+    """Attach the holiday name of each date (null if none), a column expression for any year."""
     if spec.holidays == "none":
         return df
-    from ..functions.calendar import us_holidays
-    hol = us_holidays(df.sparkSession, 1990, 2040).groupBy(F.col("ds").alias("_hds")).agg(F.min("holiday").alias("_holiday"))
-    return df.join(F.broadcast(hol), F.col(ds) == F.col("_hds"), "left").drop("_hds")
+    from ..functions.calendar import us_holiday_name
+    return df.withColumn("_holiday", us_holiday_name(ds))
 
 
 def _transform_y(y: Column, spec: ForecastSpec) -> Column:

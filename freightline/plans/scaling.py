@@ -8,16 +8,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _parameters(df: DataFrame, cols: Sequence[str], functions: dict) -> Column:
+    """All parameters of all columns from one aggregate: a struct-valued scalar
+    subquery with fields ``<name>_<column>``, planned once and reused."""
+    return df.agg(F.struct(*[f(c).alias(f"{n}_{c}") for c in cols for n, f in functions.items()])).scalar()
+
+
 def standard_scale(df: DataFrame, cols: Sequence[str], suffix: str = "_std") -> DataFrame:
     """(x - mean) / population sd; a zero sd divides by 1 (ML1)."""
+    p = _parameters(df, cols, {"mu": F.avg, "sd": F.stddev_pop})
     out = {}
     for c in cols:
-        mu = df.agg(F.avg(c)).scalar()
-        sd = df.agg(F.stddev_pop(c)).scalar()
+        mu, sd = p[f"mu_{c}"], p[f"sd_{c}"]
         out[c + suffix] = (F.col(c) - mu) / F.when(sd == 0, F.lit(1.0)).otherwise(sd)
     return df.withColumns(out)
 
@@ -30,7 +36,8 @@ def robust_scale(df: DataFrame, cols: Sequence[str], suffix: str = "_robust") ->
     for c in cols:
         counts = df.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
         q = counts.agg(F.percentile(F.col(c), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("_n")).alias("q"))
-        q25, med, q75 = (q.select(F.col("q")[i]).scalar() for i in range(3))
+        q = q.scalar()
+        q25, med, q75 = q[0], q[1], q[2]
         iqr = q75 - q25
         out[c + suffix] = (F.col(c) - med) / F.when(iqr == 0, F.lit(1.0)).otherwise(iqr)
     return df.withColumns(out)
@@ -38,10 +45,10 @@ def robust_scale(df: DataFrame, cols: Sequence[str], suffix: str = "_robust") ->
 
 def minmax_scale(df: DataFrame, cols: Sequence[str], suffix: str = "_mm") -> DataFrame:
     """(x - min) / (max - min) into [0, 1]; a constant column maps to 0 (ML3)."""
+    p = _parameters(df, cols, {"lo": F.min, "hi": F.max})
     out = {}
     for c in cols:
-        lo = df.agg(F.min(c)).scalar()
-        hi = df.agg(F.max(c)).scalar()
+        lo, hi = p[f"lo_{c}"], p[f"hi_{c}"]
         out[c + suffix] = (F.col(c) - lo) / F.when(hi == lo, F.lit(1.0)).otherwise(hi - lo)
     return df.withColumns(out)
 
@@ -68,8 +75,8 @@ def load_params(spark: SparkSession, path: str) -> DataFrame:
 def apply_minmax(df: DataFrame, params: DataFrame, col: str, out: str, inverse: bool = False) -> DataFrame:
     """Apply (or invert) a saved min/max scaler; the parameters enter as
     scalar subqueries over the saved table."""
-    p = params.filter(F.col("column") == col)
-    lo, hi = p.select("min").scalar(), p.select("max").scalar()
+    p = params.filter(F.col("column") == col).select(F.struct("min", "max")).scalar()
+    lo, hi = p["min"], p["max"]
     span = F.when(hi == lo, F.lit(1.0)).otherwise(hi - lo)
     v = F.col(col) * span + lo if inverse else (F.col(col) - lo) / span
     return df.withColumn(out, v)

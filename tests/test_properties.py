@@ -79,6 +79,19 @@ def test_nearest_neighbor_matches_brute_force(spark):
         assert got[i][1] == pytest.approx(best[0], abs=1e-6)
 
 
+def test_nearest_neighbor_at_poles_and_antimeridian(spark):
+    rnd = random.Random(12)
+    q = [(0, 89.95, 10.0), (1, -89.99, 0.0), (2, 0.0, 180.0), (3, 10.0, -180.0)]
+    q += [(4 + i, rnd.uniform(80, 90) * rnd.choice([-1, 1]), rnd.uniform(-180, 180)) for i in range(30)]
+    q += [(40 + i, rnd.uniform(-60, 60), rnd.choice([-1, 1]) * rnd.uniform(177, 180)) for i in range(30)]
+    c = [(i, rnd.uniform(-90, 90), rnd.uniform(-180, 180)) for i in range(200)]
+    qd = spark.createDataFrame(q, "qid int, lat double, lon double")
+    cd = spark.createDataFrame(c, "cid int, lat double, lon double")
+    for cell in (None, 7.0):
+        got = {r.qid: r.cid for r in jn.nearest_neighbor(qd, cd, "qid", "lat", "lon", "cid", "lat", "lon", start_cell_deg=cell).collect()}
+        assert got == {i: min((_hav((la, lo), x[1:]), x[0]) for x in c)[1] for i, la, lo in q}
+
+
 def test_radius_join_matches_brute_force(spark):
     p = _points(200, 5, 30)
     c = _points(7, 6, 1)

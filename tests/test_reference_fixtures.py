@@ -172,6 +172,16 @@ def test_gram_solver_recovers_linear_trend(spark):
         assert got[("b", d)] == pytest.approx(100 - 0.25 * (300 + k), abs=1e-5)
 
 
+def test_holiday_name_of_a_date_equals_the_table(spark):
+    days = spark.sql("SELECT explode(sequence(DATE'1903-01-01', DATE'2099-12-31')) AS ds")
+    got = {r.ds: r.n for r in days.select("ds", cal.us_holiday_name("ds").alias("n")).filter("n IS NOT NULL").collect()}
+    want = {}
+    for r in cal.us_holidays(spark, 1903, 2100).collect():
+        if r.ds.year <= 2099 and r.ds.year >= 1903:
+            want[r.ds] = min(r.holiday, want.get(r.ds, r.holiday))
+    assert got == want
+
+
 def test_generated_us_holidays(spark):
     h = {(r.ds, r.holiday) for r in cal.us_holidays(spark, 2021, 2023).collect()}
     for d, name in [(dt.date(2023, 11, 23), "Thanksgiving"), (dt.date(2023, 5, 29), "Memorial Day"),
