@@ -202,16 +202,17 @@ def q_wn14(spark, sf):
 
 @register("fc2_fc3_additive_forecast_30d")
 def q_fc2(spark, sf):
-    spec = fc.ForecastSpec()
+    spec = fc.supply_chain_spec(growth="linear", seasonality_mode="additive")
     m = fc.fit_forecaster(daily_demand(spark, sf), K, spec=spec)
     return fc.predict(m, K, periods=30, spec=spec)
 
 
 @register("fc2_multiplicative_logistic_variants")
 def q_fc2b(spark, sf):
+    """Both growth variants; the logistic ceiling is each series' own."""
     d = daily_demand(spark, sf)
-    mult = fc.ForecastSpec(seasonality_mode="multiplicative", monthly_order=2)
-    logi = fc.ForecastSpec(growth="logistic", cap=400.0, floor=0.0, quarterly_order=2)
+    mult = fc.supply_chain_spec(growth="linear")
+    logi = fc.supply_chain_spec()
     a = fc.predict(fc.fit_forecaster(d, K, spec=mult), K, periods=14, spec=mult).withColumn("variant", F.lit("multiplicative"))
     b = fc.predict(fc.fit_forecaster(d, K, spec=logi), K, periods=14, spec=logi).withColumn("variant", F.lit("logistic"))
     return a.unionByName(b)
@@ -222,42 +223,37 @@ def q_fc4(spark, sf):
     return daily_demand(spark, sf).select("series_id", "ds", (F.month("ds") * 2 + 10).cast("bigint").alias("regressor"))
 
 
-def _cv(spark, sf, specs: dict, horizon=30, initial=365, period=180):
+def _cv(spark, sf, spec, priors=None, horizon=30, initial=365, period=30):
+    """Forecasts and truth of every series and cutoff; with ``priors``, of every candidate too."""
     d = daily_demand(spark, sf)
     c = fc.cutoffs(d, K, "ds", initial, period, horizon)
     hist = d.join(c, K).filter(F.col("ds") <= F.col("cutoff"))
     truth = d.join(c, K).filter((F.col("ds") > F.col("cutoff")) & (F.col("ds") <= F.date_add("cutoff", horizon)))
-    outs = []
-    for name, spec in specs.items():
-        m = fc.fit_forecaster(hist, K + ["cutoff"], spec=spec)
-        p = fc.predict(m, K + ["cutoff"], future=truth.select(*K, "cutoff", "ds"), spec=spec)
-        outs.append(p.join(truth, K + ["cutoff", "ds"]).withColumn("candidate", F.lit(name)))
-    u = outs[0]
-    for o in outs[1:]:
-        u = u.unionByName(o)
-    return u
+    hist, truth = fc.spread(hist, *K, "cutoff"), fc.spread(truth, *K, "cutoff")
+    m = fc.fit_forecaster(hist, K + ["cutoff"], spec=spec, priors=priors)
+    p = fc.predict(m, K + ["cutoff"], future=truth.select(*K, "cutoff", "ds"), spec=spec)
+    return p.join(truth, K + ["cutoff", "ds"])
 
 
 @register("fc5_cross_validated_metrics")
 def q_fc5(spark, sf):
-    u = _cv(spark, sf, {"default": fc.ForecastSpec()})
+    u = _cv(spark, sf, fc.supply_chain_spec())
     per_cut = ag.forecast_accuracy(u, K + ["cutoff"])
     return per_cut.groupBy(*K).agg(*[F.avg(c).alias(c) for c in ("mae", "rmse", "mape", "coverage")])
 
 
 @register("fc6_hyperparameter_search")
 def q_fc6(spark, sf):
-    """Seeded log-uniform ridge strengths and both seasonality modes, all
-    candidates evaluated by rolling-origin CV in one job; best by RMSE."""
+    """Seeded log-uniform draws of the three prior scales in both seasonality modes, all evaluated by
+    rolling-origin CV in one job; best by RMSE.  A mode's candidates share one Gram matrix per series
+    and cutoff: a prior only enters the solve."""
     import random
     rng = random.Random(42)
-    cands = {}
-    for i in range(3):
-        ridge = math.exp(rng.uniform(-5, 1))
-        mode = "additive" if i % 2 == 0 else "multiplicative"
-        cands[f"c{i}_{mode}_{ridge:.4f}"] = fc.ForecastSpec(ridge=ridge, seasonality_mode=mode)
-    u = _cv(spark, sf, cands)
-    m = ag.forecast_accuracy(u, K + ["candidate"])
+    draws = [[math.exp(rng.uniform(-5, 0)) for _ in range(3)] for _ in range(16)]
+    runs = [_cv(spark, sf, fc.supply_chain_spec(growth="linear", seasonality_mode=mode),
+                {f"{mode}_{i:02d}_" + "_".join(f"{x:.4f}" for x in scales): scales for i, scales in enumerate(draws)})
+            for mode in ("additive", "multiplicative")]
+    m = ag.forecast_accuracy(runs[0].unionByName(runs[1]), K + ["candidate"])
     return m.groupBy(*K).agg(F.min_by("candidate", F.struct("rmse", "candidate")).alias("best_candidate"),
                              F.min("rmse").alias("best_rmse"))
 

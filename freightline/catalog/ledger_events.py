@@ -64,7 +64,9 @@ SELECT 'ShipmentCreated' AS event, shipment_id FROM {_sub('lg1_first_create_wins
 UNION ALL SELECT 'ClaimFiled', shipment_id FROM {_sub('lg12_insurance_claims')} WHERE claim_status = 'PENDING'
 UNION ALL SELECT 'CustomsCleared', shipment_id FROM {_sub('ag16_lg11_customs_clearance')} WHERE cleared
 UNION ALL SELECT 'ShipmentArchived', shipment_id FROM {_sub('lg8_archive_delivered')}
-UNION ALL SELECT 'TemperatureViolation', shipment_id FROM {_sub('lg10_temperature_compliance')} WHERE NOT compliant""")
+UNION ALL SELECT 'TemperatureViolation', shipment_id FROM {_sub('lg10_temperature_compliance')} WHERE NOT compliant
+UNION ALL SELECT 'ShipmentDelivered', shipment_id FROM ({view_sql('ledger')} SELECT * FROM ledger) WHERE status = 'DELIVERED'
+UNION ALL SELECT 'ShipmentUpdated', shipment_id FROM ({view_sql('ledger')} SELECT * FROM ledger) WHERE status NOT IN ('CREATED', 'DELIVERED')""")
 def q_lg15(spark, sf):
     """Domain events derived from the ledger folds, one union."""
     led = view(spark, sf, "ledger")
@@ -72,11 +74,13 @@ def q_lg15(spark, sf):
     claims = lg.claim_decision(led.filter(F.col("event_type") == "error").select("shipment_id", F.col("value").alias("amount"),
                                                                                 (F.col("k") * 5.0).alias("coverage")), "amount", "coverage")
     claims = claims.filter(F.col("claim_status") == "PENDING").select(F.lit("ClaimFiled").alias("event"), "shipment_id")
-    cleared = lg.customs_cleared(approvals(spark, sf), "shipment_id", "agency", "ts", as_of="2024-01-05").filter("cleared") \
+    cleared = lg.customs_cleared(approvals(spark, sf), "shipment_id", "agency", "ts").filter("cleared") \
                 .select(F.lit("CustomsCleared").alias("event"), "shipment_id")
     archived = lg.latest_state(led).filter(F.col("status") == "DELIVERED").select(F.lit("ShipmentArchived").alias("event"), "shipment_id")
     temp = temperature_violations(spark, sf).filter(F.col("n_violations") > 0).select(F.lit("TemperatureViolation").alias("event"), "shipment_id")
-    return created.unionByName(claims).unionByName(cleared).unionByName(archived).unionByName(temp)
+    changed = led.filter(F.col("status") != "CREATED").select(
+        F.when(F.col("status") == "DELIVERED", F.lit("ShipmentDelivered")).otherwise(F.lit("ShipmentUpdated")).alias("event"), "shipment_id")
+    return created.unionByName(claims).unionByName(cleared).unionByName(archived).unionByName(temp).unionByName(changed)
 
 
 _MEASURED_SQL = view_sql("legs") + """,

@@ -10,7 +10,7 @@ from .joins import customer_points
 
 R = "CAST(round(CAST({} AS DECIMAL(38,8)), 4) AS DOUBLE)"
 
-_PREP_BODY = """,
+_ALL_EDGES_BODY = """,
 cls AS (SELECT highway, avg(speed_kph) AS cs FROM edges GROUP BY 1),
 pe AS (SELECT e.src, e.dst, e.highway, e.maxheight, e.maxweight, e.hazmat_prohibited, e.length_km * 1000.0 AS length,
               coalesce(e.speed_kph, cls.cs, 50.0) AS speed_kph,
@@ -18,11 +18,13 @@ pe AS (SELECT e.src, e.dst, e.highway, e.maxheight, e.maxweight, e.hazmat_prohib
        FROM edges e LEFT JOIN cls ON e.highway = cls.highway JOIN nodes nu ON e.src = nu.node_id JOIN nodes nv ON e.dst = nv.node_id),
 pe2 AS (SELECT *, length / (speed_kph / 3.6) AS travel_time FROM pe),
 ce AS (SELECT p.profile, e.src, e.dst, e.length, e.grade, e.speed_kph * p.sf AS speed_kph,
-              e.length / (e.speed_kph * p.sf * 0.277778) AS travel_time
+              e.length / (e.speed_kph * p.sf * 0.277778) AS travel_time,
+              (e.maxheight < p.h OR e.maxweight < p.w OR (p.hz AND e.hazmat_prohibited)) AS restricted
        FROM pe2 e, (VALUES ('heavy_truck', 40.0, 4.5, true, 0.8), ('van', 3.0, 2.5, false, 1.0)) p(profile, w, h, hz, sf)
-       WHERE NOT (e.maxheight < p.h OR e.maxweight < p.w OR (p.hz AND e.hazmat_prohibited))),
+       WHERE NOT restricted OR {keep}),
 cw AS (SELECT profile, src, dst, 0.7 * travel_time + 0.3 * length AS w FROM ce)
 """
+_PREP_BODY = _ALL_EDGES_BODY.format(keep="false")
 _PREP_SQL = view_sql("edges", "nodes") + _PREP_BODY
 
 
@@ -30,8 +32,8 @@ def prepared_edges(spark, sf):
     return nw.prepare_edges(view(spark, sf, "edges"), view(spark, sf, "nodes"))
 
 
-def profile_edges(spark, sf):
-    e = nw.constrained_edges(prepared_edges(spark, sf))
+def profile_edges(spark, sf, keep_restricted=False):
+    e = nw.constrained_edges(prepared_edges(spark, sf), keep_restricted=keep_restricted)
     return e.withColumn("w", nw.composite_weight())
 
 
@@ -63,13 +65,13 @@ def _bf_sql(rounds: int = 24) -> str:
     return ",\n".join(parts)
 
 
-def shipment_routes(spark, sf):
+def shipment_routes(spark, sf, keep_restricted=False):
     """Shortest composite-weight paths for every (profile, origin) that ships,
-    to every reachable node."""
+    to every reachable node; with ``keep_restricted`` over every edge."""
     legs = view(spark, sf, "legs")
     origins = legs.select(F.col("origin_nation").alias("source")).distinct()
     sources = origins.withColumn("profile", F.explode(F.array(*[F.lit(p) for p in nw.VEHICLE_PROFILES])))
-    e = profile_edges(spark, sf)
+    e = profile_edges(spark, sf, keep_restricted)
     return nw.shortest_paths(e, sources, "w", groups=["profile"])
 
 
@@ -169,9 +171,9 @@ def q_ag14(spark, sf):
     return s.select("n_nodes", "n_edges", F.round("total_km", 4).alias("total_km"), F.round("street_density", 8).alias("street_density"))
 
 
-_GN5_SQL = view_sql("edges", "nodes", "legs") + _PREP_BODY + ",\n" + _bf_sql() + """,
-cwe AS (SELECT ce.profile, ce.src, ce.dst, ce.length, ce.travel_time, ce.grade, cw.w FROM ce JOIN cw USING (profile, src, dst)),
-rpe AS (SELECT st.profile, st.source, st.node, e.length, e.travel_time, e.grade FROM d24 st
+_GN5_BODY = ",\n" + _bf_sql() + """,
+cwe AS (SELECT ce.profile, ce.src, ce.dst, ce.length, ce.travel_time, ce.grade, ce.restricted, cw.w FROM ce JOIN cw USING (profile, src, dst)),
+rpe AS (SELECT st.profile, st.source, st.node, e.length, e.travel_time, e.grade, e.restricted FROM d24 st
        JOIN d24 su ON su.profile = st.profile AND su.source = st.source
        JOIN cwe e ON e.profile = st.profile AND e.src = su.node
        JOIN d24 vt ON vt.profile = st.profile AND vt.source = e.dst AND vt.node = st.node
@@ -179,14 +181,23 @@ rpe AS (SELECT st.profile, st.source, st.node, e.length, e.travel_time, e.grade
          AND st.source IN (SELECT DISTINCT origin_nation FROM legs))
 SELECT profile, source, node, CAST(round(CAST(CAST(sum(length) / 1000.0 AS VARCHAR) AS DECIMAL(38,18)), 2) AS DOUBLE) AS total_km,
   CAST(round(CAST(CAST(sum(travel_time) / 60.0 AS VARCHAR) AS DECIMAL(38,18)), 1) AS DOUBLE) AS estimated_time_min,
-  CAST(round(CAST(CAST(sum(greatest(0.0, coalesce(grade, 0.0) * length)) AS VARCHAR) AS DECIMAL(38,18)), 1) AS DOUBLE) AS elevation_gain, 0 AS num_restrictions
+  CAST(round(CAST(CAST(sum(greatest(0.0, coalesce(grade, 0.0) * length)) AS VARCHAR) AS DECIMAL(38,18)), 1) AS DOUBLE) AS elevation_gain,
+  CAST(count(*) FILTER (WHERE restricted) AS BIGINT) AS num_restrictions
 FROM rpe GROUP BY 1, 2, 3"""
 
 
-@register("gn5_route_metrics", _GN5_SQL)
+@register("gn5_route_metrics", view_sql("edges", "nodes", "legs") + _PREP_BODY + _GN5_BODY)
 def q_gn5m(spark, sf):
     """Route metrics of every shortest path from a shipping origin: km (2
     places), minutes (1 place), elevation gain, restriction count."""
     sp = shipment_routes(spark, sf)
     e = nw.constrained_edges(prepared_edges(spark, sf))
     return nw.route_metrics(sp, e, ["profile"])
+
+
+@register("gn5_open_route_restrictions", view_sql("edges", "nodes", "legs") + _ALL_EDGES_BODY.format(keep="true") + _GN5_BODY)
+def q_gn5r(spark, sf):
+    """Route metrics where no edge is closed: how many restricted edges each
+    profile's unconstrained shortest path would use."""
+    sp = shipment_routes(spark, sf, keep_restricted=True)
+    return nw.route_metrics(sp, nw.constrained_edges(prepared_edges(spark, sf), keep_restricted=True), ["profile"])

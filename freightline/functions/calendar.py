@@ -119,7 +119,11 @@ def us_holidays(spark: SparkSession, first_year: int = 2010, last_year: int = 20
     """Generated holiday table ``(ds, holiday)``: US federal holidays by rule
     (fixed dates with observed shifts, nth/last weekday rules) plus quarter-end
     ``inventory_day`` events (FN3).  Size: ~15 rows per year."""
-    y = spark.range(first_year, last_year + 1).select(F.col("id").cast("int").alias("y"))
+    return holidays_of_years(spark.range(first_year, last_year + 1).select(F.col("id").cast("int").alias("y")), include_inventory_days)
+
+
+def holidays_of_years(y: DataFrame, include_inventory_days: bool = True) -> DataFrame:
+    """The table of :func:`us_holidays` for the years in column ``y``."""
     rules = _holiday_rules(F.col("y"), include_inventory_days)
     arr = F.array(*[F.struct(F.lit(n).alias("holiday"), d.alias("ds")) for n, d in rules])
     return y.select(F.explode(arr).alias("h")).select("h.ds", "h.holiday").filter(F.col("ds").isNotNull())

@@ -45,13 +45,37 @@ class ForecastSpec:
     monthly_order: int = 0
     quarterly_order: int = 0
     ridge: float = 1.0
+    changepoint_prior: float = 1.0         # prior scales: a feature's penalty is ridge / prior^2
+    seasonality_prior: float = 1.0
+    holidays_prior: float = 1.0
     interval_width: float = 0.8
-    cap: float | None = None
+    cap: float | None = None               # logistic ceiling; None: cap_headroom times each series' maximum
+    cap_headroom: float = 1.5
     floor: float = 0.0
     regressors: list = field(default_factory=list)
     holidays: str = "grouped"              # none | grouped (holiday, inventory day) | per_name
 
 
+def supply_chain_spec(**changes) -> ForecastSpec:
+    """The forecaster's production settings; ``changes`` replace single fields."""
+    # Growth, seasonality mode, seasonal orders and prior scales.
+    return ForecastSpec(**{"growth": "logistic", "seasonality_mode": "multiplicative", "yearly_order": 8, "weekly_order": 3,
+                           "monthly_order": 5, "quarterly_order": 8, "changepoint_prior": 0.05, "seasonality_prior": 10.0,
+                           "holidays_prior": 10.0} | changes)
+
+
+def _penalties(names: Sequence[str], spec: ForecastSpec, priors: Sequence[float] | None = None) -> list[float]:
+    """Ridge of each feature; ``priors``: change point, seasonality and holiday scales in place of the spec's.
+    The intercept is not shrunk; trend and regressors have scale 1."""
+    changepoint, seasonality, holidays = priors or (spec.changepoint_prior, spec.seasonality_prior, spec.holidays_prior)
+
+    def scale(name: str) -> float:
+        if name.startswith("cp"):
+            return changepoint
+        if name.startswith(("yearly_", "weekly_", "monthly_", "quarterly_")):
+            return seasonality
+        return holidays if name in ("holiday", "inventory_day") or name.startswith("h_") else 1.0
+    return [0.0 if n == "intercept" else spec.ridge / (1.0 if n in spec.regressors else scale(n)) ** 2 for n in names]
 
 
 def _feature_columns(ds: Column, t0: Column, span: Column, spec: ForecastSpec) -> list[tuple[str, Column]]:
@@ -93,9 +117,7 @@ def _with_holidays(df: DataFrame, ds: str, spec: ForecastSpec) -> DataFrame:
 
 def _transform_y(y: Column, spec: ForecastSpec) -> Column:
     if spec.growth == "logistic":
-        if spec.cap is None:
-            raise ValueError("logistic growth needs a cap")
-        p = (y - spec.floor) / (spec.cap - spec.floor)
+        p = (y - spec.floor) / (F.col("cap") - spec.floor)
         p = F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6))
         return F.log(p / (1 - p))
     if spec.seasonality_mode == "multiplicative":
@@ -105,31 +127,40 @@ def _transform_y(y: Column, spec: ForecastSpec) -> Column:
 
 def _inverse_y(z: Column, spec: ForecastSpec) -> Column:
     if spec.growth == "logistic":
-        return spec.floor + (spec.cap - spec.floor) / (1 + F.exp(-z))
+        return spec.floor + (F.col("cap") - spec.floor) / (1 + F.exp(-z))
     if spec.seasonality_mode == "multiplicative":
         return F.expm1(z)
     return z
 
 
-def _solve_batches(it, k: int, ridge: float):
+def _solve_batches(it, k: int, penalties: dict[str | None, list[float]], columns: list[str]):
+    """Solve each Gram matrix once per entry of ``penalties`` (candidate name: ridge of each feature)."""
+    iu = _np.triu_indices(k)
     for pdf in it:
-        betas, sds = [], []
-        iu = _np.triu_indices(k)
+        grams = []
         for xtx_u, xty, n, yty in zip(pdf["xtx"], pdf["xty"], pdf["n"], pdf["yty"]):
             a = _np.zeros((k, k))
             a[iu] = _np.asarray(xtx_u, dtype=float)
-            a = a + _np.triu(a, 1).T
-            b = _np.asarray(xty, dtype=float)
-            reg = _np.full(k, ridge)
-            reg[0] = 0.0  # intercept is not shrunk
-            beta = _np.linalg.solve(a + _np.diag(reg) + 1e-9 * _np.eye(k), b)
-            sse = float(yty - 2 * beta @ b + beta @ a @ beta)
-            sds.append(_math.sqrt(max(sse, 0.0) / max(n - 1, 1)))
-            betas.append(beta.tolist())
-        out = pdf.drop(columns=["xtx", "xty", "yty"])
-        out["beta"] = betas
-        out["resid_sd"] = sds
-        yield out
+            grams.append((a + _np.triu(a, 1).T, _np.asarray(xty, dtype=float), n, yty))
+        for name, penalty in penalties.items():
+            reg = _np.diag(_np.asarray(penalty) + 1e-9)
+            betas, sds = [], []
+            for a, b, n, yty in grams:
+                beta = _np.linalg.solve(a + reg, b)
+                sse = float(yty - 2 * beta @ b + beta @ a @ beta)
+                sds.append(_math.sqrt(max(sse, 0.0) / max(n - 1, 1)))
+                betas.append(beta.tolist())
+            yield pdf.assign(beta=betas, resid_sd=sds, candidate=name)[columns]
+
+
+#: Keys whose partial sums one task holds at a time.
+HELD_KEYS = 1000
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash partitions by ``keys`` that adaptive execution does not merge by size: the work after it is in
+    arithmetic, not in bytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def gram_matrices(d: DataFrame, keys: list[str], x: str, y: str, k: int) -> DataFrame:
@@ -144,18 +175,23 @@ def gram_matrices(d: DataFrame, keys: list[str], x: str, y: str, k: int) -> Data
     key_fields = [f for f in d.schema.fields if f.name in keys]
     part_schema = _T.StructType(key_fields + [_T.StructField("_cells", _T.ArrayType(_T.DoubleType()))])
 
+    def table(held):
+        return pd.DataFrame([[*kv, cells.tolist()] for kv, cells in held.items()], columns=keys + ["_cells"])
+
     def partial(it):
+        held = {}  # sums of the task so far; written out beyond HELD_KEYS, so memory stays bounded
         for pdf in it:
-            if pdf.empty:
-                continue
-            rows = []
             for kv, g in pdf.groupby(keys, sort=False, dropna=False):
                 X = np.stack(g[x].to_numpy()).astype(float)
                 yy = g[y].to_numpy(dtype=float)
                 cells = np.concatenate([(X.T @ X)[iu], X.T @ yy, [float(len(g)), float(yy @ yy)]])
                 kv = kv if isinstance(kv, tuple) else (kv,)
-                rows.append(list(kv) + [cells.tolist()])
-            yield pd.DataFrame(rows, columns=keys + ["_cells"])
+                held[kv] = held[kv] + cells if kv in held else cells
+            if len(held) > HELD_KEYS:
+                yield table(held)
+                held = {}
+        if held:
+            yield table(held)
 
     parts = d.select(*keys, x, y).mapInPandas(partial, part_schema)
     cells = parts.select(*keys, F.posexplode("_cells").alias("_i", "_v")).groupBy(*keys, "_i").agg(F.sum("_v").alias("_v"))
@@ -166,28 +202,39 @@ def gram_matrices(d: DataFrame, keys: list[str], x: str, y: str, k: int) -> Data
                       F.element_at(v, nt + k + 1).cast("long").alias("n"), F.element_at(v, ncell).alias("yty"))
 
 
-def fit_forecaster(df: DataFrame, keys: list[str], ds: str = "ds", y: str = "y",
-                   spec: ForecastSpec | None = None) -> DataFrame:
-    """Fit one regularised regression per key.  Returns ``keys, t0, span,
-    last_ds, n, beta, resid_sd`` (one small row per series)."""
+def fit_forecaster(df: DataFrame, keys: list[str], ds: str = "ds", y: str = "y", spec: ForecastSpec | None = None,
+                   priors: dict[str, Sequence[float]] | None = None) -> DataFrame:
+    """Fit one regularised regression per key.  Returns ``keys, t0, span, last_ds, n, beta, resid_sd`` (one
+    small row per series), with the series' ``cap`` when growth is logistic.  ``priors`` (candidate name:
+    change point, seasonality and holiday scales) solves the same Gram matrices once per candidate; its
+    name is then a further column ``candidate``."""
     spec = spec or ForecastSpec()
-    bounds = df.groupBy(*keys).agg(F.min(ds).alias("t0"), F.max(ds).alias("last_ds"))
+    extent = [F.min(ds).alias("t0"), F.max(ds).alias("last_ds")]
+    if spec.growth == "logistic":
+        top = F.lit(float(spec.cap)) if spec.cap is not None else F.max(y) * spec.cap_headroom
+        extent.append(F.greatest(top.cast("double"), F.lit(spec.floor + 1.0)).alias("cap"))
+    bounds = df.groupBy(*keys).agg(*extent)
     bounds = bounds.withColumn("span", F.datediff("last_ds", "t0"))
-    d = _with_holidays(df.join(bounds, keys), ds, spec)
+    per_series = [c for c in bounds.columns if c not in keys]
+    d = _with_holidays(df.drop(*per_series).join(bounds, keys), ds, spec)
     feats = _feature_columns(F.col(ds), F.col("t0"), F.col("span"), spec)
-    k = len(feats)
-    d = d.select(*keys, "t0", "span", "last_ds", _transform_y(F.col(y), spec).alias("_y"),
+    names = [n for n, _ in feats]
+    d = d.select(*keys, *per_series, _transform_y(F.col(y), spec).alias("_y"),
                  F.array(*[c.cast("double") for _, c in feats]).alias("_x"))
-    gram = gram_matrices(d, [*keys, "t0", "span", "last_ds"], "_x", "_y", k)
+    gram = gram_matrices(d, [*keys, *per_series], "_x", "_y", len(names))
     schema = _T.StructType([f for f in gram.schema.fields if f.name not in ("xtx", "xty", "yty")] + [
         _T.StructField("beta", _T.ArrayType(_T.DoubleType())), _T.StructField("resid_sd", _T.DoubleType())])
-    return gram.mapInPandas(lambda it: _solve_batches(it, k, spec.ridge), schema)
+    penalties = {None: _penalties(names, spec)}
+    if priors:
+        schema = schema.add("candidate", _T.StringType())
+        penalties = {name: _penalties(names, spec, scales) for name, scales in priors.items()}
+    return spread(gram, *keys).mapInPandas(lambda it: _solve_batches(it, len(names), penalties, schema.names), schema)
 
 
 def predict(model: DataFrame, keys: list[str], periods: int | None = None, future: DataFrame | None = None,
             spec: ForecastSpec | None = None, freq_days: int = 1) -> DataFrame:
     """Forecast ``periods`` steps after each series' last date (or the given
-    ``future`` rows): ``keys, ds, yhat, yhat_lower, yhat_upper``."""
+    ``future`` rows): ``keys, ds, yhat, yhat_lower, yhat_upper``, and ``candidate`` if the model has it."""
     spec = spec or ForecastSpec()
     if future is None:
         fut = model.select("*", F.explode(F.sequence(F.date_add("last_ds", freq_days),
@@ -201,7 +248,8 @@ def predict(model: DataFrame, keys: list[str], periods: int | None = None, futur
     z = F.aggregate(F.zip_with("beta", x, lambda b, v: b * v), F.lit(0.0), lambda a, v: a + v)
     zq = NormalDist().inv_cdf((1.0 + spec.interval_width) / 2.0)
     fut = fut.withColumn("_z", z)
-    return fut.select(*keys, "ds", _inverse_y(F.col("_z"), spec).alias("yhat"),
+    named = [c for c in ("candidate",) if c in model.columns]
+    return fut.select(*keys, *named, "ds", _inverse_y(F.col("_z"), spec).alias("yhat"),
                       _inverse_y(F.col("_z") - zq * F.col("resid_sd"), spec).alias("yhat_lower"),
                       _inverse_y(F.col("_z") + zq * F.col("resid_sd"), spec).alias("yhat_upper"))
 

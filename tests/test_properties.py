@@ -307,3 +307,57 @@ def test_convex_hulls_contain_all_points(spark):
         # every hull vertex is an input point
         inputs = {(lo, la) for kk, la, lo in pts if kk == k}
         assert all((x, y) in inputs for x, y in ring)
+
+
+def _two_scales(spark):
+    days = pd.date_range("2022-01-01", periods=400, freq="D").date
+    wave = 50 + 20 * np.sin(np.arange(400) * 2 * math.pi / 7)
+    return spark.createDataFrame(pd.concat([pd.DataFrame({"series_id": name, "ds": days, "y": wave * scale})
+                                            for name, scale in (("small", 1.0), ("large", 1000.0))]))
+
+
+def test_logistic_ceiling_follows_each_series(spark):
+    from freightline.plans import forecast as fc
+    spec = fc.supply_chain_spec()
+    p = fc.predict(fc.fit_forecaster(_two_scales(spark), ["series_id"], spec=spec), ["series_id"], periods=14, spec=spec).toPandas()
+    by = {k: g.sort_values("ds")["yhat"].to_numpy() for k, g in p.groupby("series_id")}
+    assert by["large"].max() > 60_000
+    np.testing.assert_allclose(by["large"] / 1000, by["small"], rtol=0.02)
+
+
+def test_candidates_on_one_gram_equal_separate_fits(spark):
+    from freightline.plans import forecast as fc
+    d = _two_scales(spark)
+    spec = fc.supply_chain_spec(growth="linear")
+    priors = {"a": (0.01, 0.5, 1.0), "b": (0.5, 0.1, 0.2)}
+    m = fc.fit_forecaster(d, ["series_id"], spec=spec, priors=priors)
+    got = fc.predict(m, ["series_id"], periods=7, spec=spec).toPandas()
+    for name, (c, s, h) in priors.items():
+        one = fc.supply_chain_spec(growth="linear", changepoint_prior=c, seasonality_prior=s, holidays_prior=h)
+        want = fc.predict(fc.fit_forecaster(d, ["series_id"], spec=one), ["series_id"], periods=7, spec=one).toPandas()
+        j = got[got.candidate == name].merge(want, on=["series_id", "ds"])
+        assert len(j) == 14
+        np.testing.assert_allclose(j.yhat_x, j.yhat_y, rtol=1e-6)
+
+
+def test_clearance_as_of_a_day(spark):
+    from freightline.plans.ledger import customs_cleared
+    a = spark.sql("SELECT * FROM VALUES (1, 'A', TIMESTAMP'2024-01-01'), (1, 'B', TIMESTAMP'2024-01-03'), (2, 'A', TIMESTAMP'2024-01-01'), "
+                  "(2, 'A', TIMESTAMP'2024-01-02') t(id, agency, ts)")
+    cleared = lambda day: {r.id: (r.cleared, r.repeated_rejected) for r in customs_cleared(a, "id", "agency", "ts", day).collect()}
+    assert cleared(None) == {1: (True, 0), 2: (False, 1)}
+    assert cleared("2024-01-03") == {1: (False, 0), 2: (False, 1)}
+
+
+def test_restricted_edges_are_counted_when_kept(spark):
+    nodes = spark.createDataFrame([(i, 0.0, float(i), 0.0) for i in range(3)], "node_id long, lat double, lon double, elevation double")
+    edges = spark.createDataFrame([(0, 1, 1.0, "primary", 50.0, 1.0, 99.0, False), (1, 2, 1.0, "primary", 50.0, 9.0, 99.0, False)],
+                                  "src long, dst long, length_km double, highway string, speed_kph double, maxheight double, "
+                                  "maxweight double, hazmat_prohibited boolean")
+    prepared = nw.prepare_edges(edges, nodes)
+    assert nw.constrained_edges(prepared).filter("src = 0").isEmpty()
+    e = nw.constrained_edges(prepared, keep_restricted=True).filter("profile = 'van'")
+    start = spark.createDataFrame([("van", 0)], "profile string, source long")
+    sp = nw.shortest_paths(e, start, "length", groups=["profile"])
+    got = {r.node: r.num_restrictions for r in nw.route_metrics(sp, e, ["profile"]).collect()}
+    assert got == {1: 1, 2: 1}
