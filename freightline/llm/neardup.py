@@ -10,9 +10,10 @@
    set also meets the hub of its prefix at every depth: one of the members that share full prefixes
    with most others over all trees (counts within a factor of 1.4 rank alike, a hash draws among
    them, so the orders name different hubs), which are the centre of a group of edited copies.
-4. Candidates are confirmed on full shingle sets.  Each set's strongest candidate comes first;
-   what is then still in different components follows.  So the number of confirmed pairs grows
-   with the documents, not with the square of a group.
+   A bitmap of each set travels along and drops pairs that cannot reach the similarity.
+4. Candidates are confirmed on full shingle sets, in rounds: each set's strongest candidate that
+   lies in another component, then the components are merged.  What is still in different
+   components after the last round is confirmed whole, so no candidate is left out.
 
 Two sets at similarity 0.85 share a region in some of 16 trees with probability 1 - 2e-7.
 
@@ -35,6 +36,8 @@ from .components import connected_components
 
 WIDTH = 5
 DEPTHS = (3, 5, 8)
+#: 64-bit words of a set's bitmap.
+WORDS = 8
 #: Odd constants of the shingle hash, one per place in the shingle.
 PLACES = tuple(np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
                                       0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
@@ -100,8 +103,25 @@ def prefixes(sig: np.ndarray, trees: int) -> list[np.ndarray]:
     return out
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """One bit per shingle, by its lowest bits: shingles that two sets share have the same bit."""
+    flags = np.zeros(64 * WORDS, bool)
+    flags[s % np.uint64(64 * WORDS)] = True
+    return np.packbits(flags, bitorder="little").view("<i8")
+
+
+def may_reach(n: str, bits: str, m: str, other: str, percent: int):
+    """False only for sets below the similarity: each bit of one set that the other lacks is a shingle
+    they do not share, which bounds the intersection from above."""
+    def lacking(a, b):
+        words = (F.bit_count(F.col(a)[i].bitwiseAND(F.bitwise_not(F.col(b)[i]))) for i in range(WORDS))
+        return reduce(lambda x, y: x + y, words)
+    common = F.least(F.col(n) - lacking(bits, other), F.col(m) - lacking(other, bits))
+    return common * (100 + percent) >= (F.col(n) + F.col(m)) * percent
+
+
 def fingerprints(docs: DataFrame, trees: int) -> DataFrame:
-    """(doc_id, n_shingles, key, p3, p5, p8): the name of each document's set and its prefixes."""
+    """(doc_id, n_shingles, key, bits, p3, p5, p8): the name of each document's set, its bitmap and prefixes."""
     factors = np.random.default_rng(85).integers(1, 2**63, trees * DEPTHS[-1], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     hashes = WordHashes()
 
@@ -109,7 +129,8 @@ def fingerprints(docs: DataFrame, trees: int) -> DataFrame:
         sets = [shingle_set(t, hashes) for t in texts]
         full = [i for i, s in enumerate(sets) if len(s)]
         keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-        out = {"doc_id": ids, "n_shingles": [len(s) for s in sets], "key": keys}
+        out = {"doc_id": ids, "n_shingles": [len(s) for s in sets], "key": keys,
+               "bits": [bitmap(s) for s in sets]}
         per_depth = prefixes(signatures([sets[i] for i in full], factors), trees) if full else [[]] * len(DEPTHS)
         for d, values in zip(DEPTHS, per_depth):
             column = [None] * len(sets)
@@ -119,7 +140,7 @@ def fingerprints(docs: DataFrame, trees: int) -> DataFrame:
         yield out
 
     return map_batches(docs, run, [("doc_id", T.LongType()), ("n_shingles", T.LongType()), ("key", T.BinaryType()),
-                                   *((f"p{d}", T.ArrayType(T.LongType())) for d in DEPTHS)], ["doc_id", "text"])
+                                   ("bits", T.ArrayType(T.LongType())), *((f"p{d}", T.ArrayType(T.LongType())) for d in DEPTHS)], ["doc_id", "text"])
 
 
 def similar_size(a: str, b: str, percent: int):
@@ -129,8 +150,8 @@ def similar_size(a: str, b: str, percent: int):
 
 def candidates(sets: DataFrame, percent: int, small: int, near: int, region_rows: int) -> DataFrame:
     """Candidate pairs (a, b, votes) with a < b; votes: the orders that proposed the pair."""
-    trees = sets.select("key", "n", F.explode(F.arrays_zip(*(f"p{d}" for d in DEPTHS))).alias("p"))
-    trees = trees.select("key", "n", *(F.col(f"p.p{d}").alias(f"p{d}") for d in DEPTHS))
+    trees = sets.select("key", "n", "bits", F.explode(F.arrays_zip(*(f"p{d}" for d in DEPTHS))).alias("p"))
+    trees = trees.select("key", "n", "bits", *(F.col(f"p.p{d}").alias(f"p{d}") for d in DEPTHS))
     shared = trees.groupBy("p3").agg(F.count("*").alias("n3")).filter("n3 > 1")
     live = materialise(trees.join(shared, "p3"), "forest")
     dense = live.filter(F.col("n3") > small)
@@ -140,25 +161,26 @@ def candidates(sets: DataFrame, percent: int, small: int, near: int, region_rows
     fits = F.when(F.col("n3") <= region_rows, F.col("p3")).when(F.col("n5") <= region_rows, F.col("p5"))
     part = F.when(F.col("n3") <= region_rows, 0).when(F.col("n5") <= region_rows, 0).otherwise(
         F.pmod(F.xxhash64("key"), F.ceil(F.col("n8") / region_rows)))
-    regions = dense.select("key", "n", "p5", "p8", F.lit(near).alias("reach"),
+    regions = dense.select("key", "n", "bits", "p5", "p8", F.lit(near).alias("reach"),
                            F.coalesce(fits, F.col("p8")).alias("region"), part.alias("part"))
     regions = regions.unionByName(live.filter(F.col("n3") <= small).select(
-        "key", "n", "p5", "p8", F.lit(small - 1).alias("reach"), F.col("p3").alias("region"),
+        "key", "n", "bits", "p5", "p8", F.lit(small - 1).alias("reach"), F.col("p3").alias("region"),
         F.lit(0).cast("long").alias("part")))
     order = Window.partitionBy("region", "part").orderBy("p5", "p8", "key").rowsBetween(1, max(near, small - 1))
-    following = F.collect_list(F.struct("key", "n")).over(order)
+    following = F.collect_list(F.struct("key", "n", "bits")).over(order)
     pairs = regions.withColumn("following", following).select(
-        "key", "n", F.explode(F.slice("following", F.lit(1), F.col("reach"))).alias("o"))
-    pairs = pairs.select("key", "n", F.col("o.key").alias("other"), F.col("o.n").alias("m"))
+        "key", "n", "bits", F.explode(F.slice("following", F.lit(1), F.col("reach"))).alias("o"))
+    pairs = pairs.select("key", "n", "bits", F.col("o.key").alias("other"), F.col("o.n").alias("m"), F.col("o.bits").alias("other_bits"))
 
     popular = dense.groupBy("key").agg(F.floor(2 * F.log2(F.sum("n8"))).alias("popular"))
     dense = materialise(dense.join(popular, "key"), "forest")
     for d in DEPTHS:
-        pick = F.struct("popular", F.xxhash64("key", f"p{d}").alias("draw"), "key", "n")
+        pick = F.struct("popular", F.xxhash64("key", f"p{d}").alias("draw"), "key", "n", "bits")
         hub = dense.filter(F.col(f"n{d}") > 1).groupBy(f"p{d}").agg(F.max(pick).alias("hub"))
         pairs = pairs.unionByName(dense.join(hub, f"p{d}").select(
-            "key", "n", F.col("hub.key").alias("other"), F.col("hub.n").alias("m")))
-    pairs = pairs.filter((F.col("key") != F.col("other")) & similar_size("n", "m", percent))
+            "key", "n", "bits", F.col("hub.key").alias("other"), F.col("hub.n").alias("m"), F.col("hub.bits").alias("other_bits")))
+    pairs = pairs.filter((F.col("key") != F.col("other")) & similar_size("n", "m", percent)
+                         & may_reach("n", "bits", "m", "other_bits", percent))
     return pairs.groupBy(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).agg(
         F.count("*").alias("votes"))
 
@@ -198,30 +220,41 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(F.col("common") * 100 >= union * percent).select("a", "b")
 
 
+def strongest(pairs: DataFrame) -> DataFrame:
+    """Of each set its pair (a, b) with the most votes."""
+    sided = pairs.select(F.col("a").alias("key"), F.struct("votes", F.col("b").alias("other")).alias("v")).unionByName(
+        pairs.select(F.col("b").alias("key"), F.struct("votes", F.col("a").alias("other")).alias("v")))
+    return sided.groupBy("key").agg(F.max("v").alias("v")).select(
+        F.least("key", "v.other").alias("a"), F.greatest("key", "v.other").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = 16, small: int = 8, near: int = 16,
-                    region_rows: int = 4096) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) per document; ``percent``: similarity of a link."""
+                    region_rows: int = 4096, rounds: int = 1) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) per document; ``percent``: similarity of a link.
+    ``rounds``: rounds that confirm one pair per set before all that is still open is confirmed; it
+    changes the work, not the result."""
     docs = documents_of(docs)
     prints = materialise(fingerprints(docs, trees), "prints")
     sets = materialise(prints.filter("n_shingles > 0").groupBy("key").agg(
-        F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"),
+        F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"),
         *(F.first(f"p{d}").alias(f"p{d}") for d in DEPTHS)), "sets")
 
     pairs = materialise(candidates(sets, percent, small, near, region_rows), "pairs")
     ends = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
     full = materialise(full_sets(docs, sets.select("key", "first_id").join(ends, "key")), "full")
 
-    sided = pairs.select(F.col("a").alias("key"), F.struct("votes", F.col("b").alias("other")).alias("v")).unionByName(
-        pairs.select(F.col("b").alias("key"), F.struct("votes", F.col("a").alias("other")).alias("v")))
-    best = sided.groupBy("key").agg(F.max("v").alias("v")).select(
-        F.least("key", "v.other").alias("a"), F.greatest("key", "v.other").alias("b")).distinct()
-    first = materialise(connected_components(confirmed(best, full, percent)), "roots")
-    root = lambda end: first.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
-    rest = pairs.join(best, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left").filter(
-        F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
-    more = confirmed(rest, full, percent)
-    edges = more.unionByName(first.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    linked = materialise(connected_components(edges), "roots")
+    linked, waiting = None, pairs
+    for last in [False] * rounds + [True]:
+        chosen = waiting.select("a", "b") if last else strongest(waiting)
+        links = confirmed(chosen, full, percent)
+        if linked is not None:
+            links = links.unionByName(linked.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        linked = materialise(connected_components(links), "roots")
+        if not last:
+            root = lambda end: linked.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+            rest = waiting.join(chosen, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
+            rest = rest.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+            waiting = materialise(rest.select("a", "b", "votes"), "pairs")
 
     ids = linked.join(sets.select(F.col("key").alias("node"), "first_id"), "node")
     lowest = ids.groupBy("root").agg(F.min("first_id").alias("lowest"))

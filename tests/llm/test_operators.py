@@ -131,6 +131,23 @@ def test_a_group_of_edited_copies_is_one_component(spark, make_docs, region_rows
     assert got == brute_components([(i, t) for i, t, _ in rows])
 
 
+@pytest.mark.parametrize("size", [1, 5, 90, 2000])
+def test_the_bitmap_never_drops_a_link(spark, size):
+    rnd = np.random.default_rng(size)
+    rows = []
+    for k in range(200):
+        one = rnd.integers(0, 2**63, size, dtype=np.uint64)
+        two = np.concatenate([one[: size - int(size * rnd.uniform(0, 0.2))], rnd.integers(0, 2**63, rnd.integers(0, size // 10 + 1), dtype=np.uint64)])
+        common = len(np.intersect1d(one, two))
+        reaches = 100 * common >= 85 * (len(one) + len(two) - common)
+        rows.append((len(one), neardup.bitmap(one).tolist(), len(two), neardup.bitmap(two).tolist(), bool(reaches)))
+    pairs = spark.createDataFrame(rows, "n long, bits array<long>, m long, other array<long>, reaches boolean")
+    got = pairs.select("reaches", neardup.may_reach("n", "bits", "m", "other", 85).alias("may")).collect()
+    assert all(r.may for r in got if r.reaches) and any(r.reaches for r in got)
+    if size == 90:
+        assert sum(not r.may for r in got) > 20
+
+
 def test_near_duplicates_odd_rows(spark, make_docs):
     got = rows_of(neardup.near_duplicates(make_docs(ODD)))
     assert [r["component_id"] for r in got] == [0, 1, 2, 3, 4, 5, 5, 7, 8, 9]
