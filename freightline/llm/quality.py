@@ -6,6 +6,9 @@ reference of its language by Jensen-Shannon distance (base 2, so 0 to 1).  Refer
 sums over all documents of a language, hot languages pre-aggregated in their tasks.  A document
 with too few words carries too little evidence for a histogram and is left to the base rules.
 
+The limit of the word distance follows from the reference: a share of the distance that a text
+without any common word has, plus what the draw of so few words adds to a clean text's distance.
+
 Texts are read once: the measured rows are written to the shared folder, the references are
 summed from them, and the distances are computed from both.
 
@@ -95,6 +98,19 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> float:
     return max(0.0, (half(p) + half(q)) / 2) ** 0.5
 
 
+def word_limit(reference: np.ndarray, n: int, share: float) -> float:
+    """Word distance above which a text of ``n`` words goes.  Squared distances add: ``share`` of the
+    distance without any common word, and 1.2 times the mean that a text drawn from the reference has.  A
+    common word adds (1 - p) / (8 n ln 2) to that mean, and never more than half its own share p."""
+    if not reference.sum():
+        return 1.0
+    none = np.zeros(len(reference))
+    none[-1] = 1
+    p = reference / reference.sum()
+    drawn = np.minimum((1 - p) / (8 * n * np.log(2)), p / 2).sum()
+    return float(((share * js_distance(none, reference)) ** 2 + 1.2 * drawn) ** 0.5)
+
+
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -149,10 +165,10 @@ JUDGED = [("js_class", T.DoubleType()), ("js_word", T.DoubleType()), ("base_fail
           ("kept", T.BooleanType())]
 
 
-def judge(measured: DataFrame, refs: dict, max_class: float = 0.30, max_word: float = 0.55, min_words: int = 50,
+def judge(measured: DataFrame, refs: dict, max_class: float = 0.30, word_share: float = 0.6, min_words: int = 50,
           common_words: dict[str, str] = COMMON_WORDS) -> DataFrame:
     """Append both distances, ``base_failed`` and ``kept`` to measured documents.  ``min_words`` is
-    the length guard of the distances.  A language's own words count one by one, all else as the
+    the length guard of the distances, ``word_share`` the share of :func:`word_limit`.  A language's own words count one by one, all else as the
     rest, so that references of different languages do not blur each other."""
     vocab = vocabulary(common_words)
     own = {x: np.array([i for i, w in enumerate(vocab) if w in set(words.split())])
@@ -168,12 +184,13 @@ def judge(measured: DataFrame, refs: dict, max_class: float = 0.30, max_word: fl
         out = {n: [] for n, _ in JUDGED}
         for lang, n, again, c, w in zip(langs, n_words, repeated, classes, words):
             failed = n < 50 or 100 * again > 50 * n
-            js_class = js_word = None
+            js_class = js_word = limit = None
             if n >= min_words:
                 lang = lang if lang in at and lang in own else None
                 js_class = round(js_distance(np.array(c), at[lang][0]), 6)
                 js_word = round(js_distance(narrow(np.array(w), lang), at[lang][1]), 6)
-            kept = not failed and not (js_class is not None and (js_class > max_class or js_word > max_word))
+                limit = word_limit(at[lang][1], n, word_share)
+            kept = not failed and not (js_class is not None and (js_class > max_class or js_word > limit))
             for field, v in zip(out, (js_class, js_word, failed, kept)):
                 out[field].append(v)
         return out

@@ -77,6 +77,24 @@ def test_quality_odd_rows(spark, make_docs):
     assert quality.js_distance(np.array([1, 0]), np.array([0, 1])) == pytest.approx(1.0)
 
 
+def test_quality_word_salad_and_wrong_language_go(spark, make_docs):
+    rnd = random.Random(9)
+
+    def text(lang, n, common=0.25):
+        words = quality.COMMON_WORDS[lang].split()
+        return " ".join(rnd.choice(words) if rnd.random() < common else "".join(rnd.choices("abcdefghilmnorstu", k=6)) for _ in range(n))
+
+    clean = [(i, text(lang, n), lang) for i, (lang, n) in enumerate(
+        (lang, n) for lang in quality.COMMON_WORDS for n in (60, 120, 300, 600) for _ in range(40))]
+    salad = [(1000 + i, text(lang, n, 0), lang) for i, (lang, n) in enumerate((lang, n) for lang in quality.COMMON_WORDS for n in (60, 300))]
+    wrong = [(2000 + i, text(is_, 600), said) for i, (is_, said) in enumerate(
+        (a, b) for a in quality.COMMON_WORDS for b in quality.COMMON_WORDS if a != b)]
+    measured = quality.measure(quality.typed(make_docs(clean + salad + wrong)))
+    got = rows_of(quality.judge(measured, quality.references(measured)))
+    assert not any(r["base_failed"] for r in got)
+    assert all(r["js_class"] < 0.3 and r["kept"] == (r["doc_id"] < 1000) for r in got)
+
+
 # -- near duplicates ---------------------------------------------------------
 
 def brute_components(rows, percent=85):
