@@ -166,6 +166,16 @@ def test_the_bitmap_never_drops_a_link(spark, size):
         assert sum(not r.may for r in got) > 20
 
 
+def test_dedup_stage_links_from_80_percent(spark, make_docs):
+    base = [f"w{i}" for i in range(200)]
+    copy = [f"n{i}" if i in (20, 70, 120, 170) else w for i, w in enumerate(base)]
+    other = [f"n{i}" if i in (20, 60, 100, 140, 180) else w for i, w in enumerate(base[:200])]
+    rows = [(0, " ".join(base), "en"), (1, " ".join(copy), "en"), (2, " ".join(f"u{i}" for i in range(90)), "en"), (3, " ".join(other[100:] * 2), "en")]
+    kept = {r.doc_id for r in neardup.dedup_stage(spark, make_docs(rows), "").collect()}
+    assert kept == {c for _, c in brute_components([r[:2] for r in rows], 80).values()} == {0, 2, 3}
+    assert len({c for _, c in brute_components([r[:2] for r in rows]).values()}) == 4
+
+
 def test_near_duplicates_odd_rows(spark, make_docs):
     got = rows_of(neardup.near_duplicates(make_docs(ODD)))
     assert [r["component_id"] for r in got] == [0, 1, 2, 3, 4, 5, 5, 7, 8, 9]
