@@ -14,6 +14,8 @@
 4. Candidates are confirmed on full shingle sets, in rounds: each set's strongest candidate that
    lies in another component, then the components are merged.  What is still in different
    components after the last round is confirmed whole, so no candidate is left out.
+5. Sets of larger regions did not meet their whole region: those still in different components meet
+   in an exact prefix join over rare shingles, so neither ``near`` nor a division costs a link.
 
 Two sets at similarity 0.85 share a region in some of 16 trees with probability 1 - 2e-7.
 
@@ -148,8 +150,9 @@ def similar_size(a: str, b: str, percent: int):
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def candidates(sets: DataFrame, percent: int, small: int, near: int, region_rows: int) -> DataFrame:
-    """Candidate pairs (a, b, votes) with a < b; votes: the orders that proposed the pair."""
+def candidates(sets: DataFrame, percent: int, small: int, near: int, region_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (a, b, votes) with a < b, and the sets (key, n, bits) of larger regions, which do
+    not meet all their region; votes: the orders that proposed the pair."""
     trees = sets.select("key", "n", "bits", F.explode(F.arrays_zip(*(f"p{d}" for d in DEPTHS))).alias("p"))
     trees = trees.select("key", "n", "bits", *(F.col(f"p.p{d}").alias(f"p{d}") for d in DEPTHS))
     shared = trees.groupBy("p3").agg(F.count("*").alias("n3")).filter("n3 > 1")
@@ -159,8 +162,9 @@ def candidates(sets: DataFrame, percent: int, small: int, near: int, region_rows
     dense = materialise(reduce(lambda x, y: x.join(y, y.columns[0]), deeper, dense), "forest")
 
     fits = F.when(F.col("n3") <= region_rows, F.col("p3")).when(F.col("n5") <= region_rows, F.col("p5"))
+    # p8 names the tree, so a pair that one tree's parts split meets anew in the next tree
     part = F.when(F.col("n3") <= region_rows, 0).when(F.col("n5") <= region_rows, 0).otherwise(
-        F.pmod(F.xxhash64("key"), F.ceil(F.col("n8") / region_rows)))
+        F.pmod(F.xxhash64("key", "p8"), F.ceil(F.col("n8") / region_rows)))
     regions = dense.select("key", "n", "bits", "p5", "p8", F.lit(near).alias("reach"),
                            F.coalesce(fits, F.col("p8")).alias("region"), part.alias("part"))
     regions = regions.unionByName(live.filter(F.col("n3") <= small).select(
@@ -181,8 +185,9 @@ def candidates(sets: DataFrame, percent: int, small: int, near: int, region_rows
             "key", "n", "bits", F.col("hub.key").alias("other"), F.col("hub.n").alias("m"), F.col("hub.bits").alias("other_bits")))
     pairs = pairs.filter((F.col("key") != F.col("other")) & similar_size("n", "m", percent)
                          & may_reach("n", "bits", "m", "other_bits", percent))
-    return pairs.groupBy(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).agg(
+    pairs = pairs.groupBy(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).agg(
         F.count("*").alias("votes"))
+    return pairs, dense.select("key", "n", "bits").dropDuplicates(["key"])
 
 
 #: Slots of the filter that spares the texts of documents without candidates: at most so many rows are broadcast.
@@ -228,6 +233,51 @@ def strongest(pairs: DataFrame) -> DataFrame:
         F.least("key", "v.other").alias("a"), F.greatest("key", "v.other").alias("b")).distinct()
 
 
+#: Slots of the shingle counts that give the order of the prefix join; at most so many rows are collected.
+COUNT_SLOTS = 1 << 18
+
+
+def open_pairs(full: DataFrame, sets: DataFrame, linked: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of the given sets (key, n, bits) in different components that may reach the
+    similarity: no pair that does is left out.  Prefix join: with all shingles in one order, rare
+    ones first, such sets share one among their first n - ceil(n percent / 100) + 1, and what follows
+    the first one they share is long enough.  Per shingle only sets outside its largest component
+    meet the others."""
+    slot = F.col("shingle").bitwiseAND(COUNT_SLOTS - 1).alias("slot")
+    some = full.join(sets, "key", "left_semi")
+    counted = some.select(F.explode("shingles").alias("shingle")).groupBy(slot).agg(F.count("*").alias("n")).toPandas()
+    counts = np.zeros(COUNT_SLOTS, np.int64)
+    counts[counted["slot"].to_numpy(np.int64)] = counted["n"]
+
+    def run(keys, shingles):
+        rows = {"key": [], "shingle": [], "at": []}
+        for key, s in zip(keys, shingles):
+            s = np.array(s, np.int64)
+            times = counts[s & (COUNT_SLOTS - 1)]
+            head = np.lexsort((s, times))[:len(s) - -(-len(s) * percent // 100) + 1]
+            at = np.flatnonzero(times[head] > 1)  # a shingle counted once is in no other set
+            rows["key"] += [key] * len(at)
+            rows["shingle"] += s[head[at]].tolist()
+            rows["at"] += at.tolist()
+        yield rows
+
+    heads = map_batches(some, run, [("key", T.BinaryType()), ("shingle", T.LongType()), ("at", T.IntegerType())], ["key", "shingles"])
+    roots = linked.select(F.col("node").alias("key"), "root")
+    named = sets.select("key", "n", "bits").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    heads = materialise(heads.join(named, "key"), "heads")
+    of_root = heads.groupBy("shingle", "root").agg(F.count("*").alias("m"))
+    largest = of_root.groupBy("shingle").agg(F.max(F.struct("m", "root")).alias("top"), F.count("*").alias("roots"))
+    largest = materialise(largest.filter("roots > 1").select("shingle", F.col("top.root").alias("top")), "heads")
+    live = materialise(heads.join(largest, "shingle"), "heads")
+    minor = live.filter("root != top").drop("top")
+    other = live.select("shingle", *(F.col(c).alias(f"o_{c}") for c in ("key", "n", "bits", "at", "root")))
+    rest = F.least(F.col("n") - F.col("at"), F.col("o_n") - F.col("o_at"))
+    long_enough = rest * (100 + percent) >= (F.col("n") + F.col("o_n")) * percent
+    met = minor.join(other, (minor["shingle"] == other["shingle"]) & (F.col("root") != F.col("o_root")) & long_enough
+                     & may_reach("n", "bits", "o_n", "o_bits", percent))
+    return met.select(F.least("key", "o_key").alias("a"), F.greatest("key", "o_key").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = 16, small: int = 8, near: int = 16,
                     region_rows: int = 4096, rounds: int = 1) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per document; ``percent``: similarity of a link.
@@ -239,13 +289,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = 16, small:
         F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"),
         *(F.first(f"p{d}").alias(f"p{d}") for d in DEPTHS)), "sets")
 
-    pairs = materialise(candidates(sets, percent, small, near, region_rows), "pairs")
-    ends = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+    pairs, dense = (materialise(x, "pairs") for x in candidates(sets, percent, small, near, region_rows))
+    ends = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key")))
+    ends = ends.unionByName(dense.select("key")).distinct()
     full = materialise(full_sets(docs, sets.select("key", "first_id").join(ends, "key")), "full")
 
     linked, waiting = None, pairs
-    for last in [False] * rounds + [True]:
-        chosen = waiting.select("a", "b") if last else strongest(waiting)
+    # one pair per set, then all that is open, then all that the forest did not propose in larger regions
+    for step in [*["strongest"] * rounds, "open", "beyond"]:
+        last = step != "strongest"
+        chosen = (strongest(waiting) if step == "strongest" else waiting.select("a", "b") if step == "open" else
+                  materialise(open_pairs(full, dense, linked, percent), "pairs"))
         links = confirmed(chosen, full, percent)
         if linked is not None:
             links = links.unionByName(linked.select(F.col("node").alias("a"), F.col("root").alias("b")))

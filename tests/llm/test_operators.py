@@ -188,6 +188,21 @@ def test_near_duplicates_odd_rows(spark, make_docs):
     assert staged.columns == docs.columns and staged.filter("doc_id = 4").count() == 1
 
 
+def test_a_large_group_with_distant_members_is_exact(spark, make_docs):
+    texts = edited_copies(700)
+    rows = [(i, t, "en") for i, t in enumerate(texts)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows_of(neardup.near_duplicates(make_docs(rows)))}
+    assert got == brute_components([r[:2] for r in rows])
+
+
+def test_parts_of_a_full_region_differ_between_trees(spark):
+    p = [[t + 1 for t in range(16)]] * 3  # every set shares all prefixes of every tree
+    rows = [(bytes([i // 256, i % 256]), 100, [0] * neardup.WORDS, *p) for i in range(600)]
+    sets = spark.createDataFrame(rows, "key binary, n long, bits array<long>, p3 array<long>, p5 array<long>, p8 array<long>")
+    # hubs give at most 16 x 3 x 600 pairs; 16 neighbours in one division of the sets 9,600 more
+    assert neardup.candidates(sets, 85, 8, 16, 64)[0].count() > 16 * 3 * 600 + 16 * 600
+
+
 def test_components_of_chains_and_stars(spark):
     rnd = random.Random(2)
     edges = [(i, i + 1) for i in range(0, 300) if i % 50] + [(1000, 1000 + i) for i in range(1, 200)]
