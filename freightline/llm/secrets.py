@@ -2,7 +2,8 @@
 
 Three fixed patterns (assigned credentials, access key ids, long hex strings) are the base.  The
 method adds strings that a public byte-level vocabulary cannot compress: prose takes three or more
-characters per token, a random key under two.  Known digests and identifiers are excluded first.
+characters per token, a random key under two.  Known digests and identifiers are excluded first; an
+identifier is known by its content: each run of four or more letters compresses like a word.
 
 Defined cases: a null or empty text has no spans; spans of one kind never overlap; a text of any
 length is scanned whole; repeated rows give repeated results; ties at one start are ordered by
@@ -35,6 +36,7 @@ DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 INTEGRITY = re.compile(r"sha(256|384|512)-[A-Za-z0-9+/]+=*")
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 WORDY = re.compile(r"([A-Za-z]?[a-z]+|[A-Z]+|[0-9]{1,4})([_/=+-]+([A-Za-z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*")
+LETTERS = re.compile(r"[A-Za-z]{4,}")
 SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()),
                                  T.StructField("end", T.LongType())]))
 
@@ -48,10 +50,15 @@ def byte_vocabulary(name: str):
     return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def known(s: str) -> bool:
+def wordlike(s: str, encode, ratio: float) -> bool:
+    """Shaped like an identifier, and no run of four or more letters looks random; digit groups are exempt."""
+    return bool(WORDY.fullmatch(s)) and all(len(x) >= ratio * len(encode(x)) for x in LETTERS.findall(s))
+
+
+def known(s: str, encode, ratio: float) -> bool:
     """Digests, UUIDs, integrity values, plain numbers and word-like identifiers are no secrets."""
     return bool((len(s) in DIGEST_LENGTHS and DIGEST.fullmatch(s)) or UUID.fullmatch(s) or INTEGRITY.fullmatch(s)
-                or WORDY.fullmatch(s))
+                or wordlike(s, encode, ratio))
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -66,7 +73,7 @@ def random_spans(text: str, encode, ratio: float) -> list[tuple[int, int, str]]:
     found = []
     for m in CANDIDATE.finditer(text):
         s = m[0].strip("=-_/+")
-        if len(s) < 20 or known(s):
+        if len(s) < 20 or known(s, encode, ratio):
             continue
         if len(s) < ratio * len(encode(s)):
             at = m.start() + m[0].index(s)

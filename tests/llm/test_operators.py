@@ -48,6 +48,13 @@ def test_secret_kinds_and_exclusions(make_docs):
     assert all(r["spans"] == "" for r in got[7:])
 
 
+def test_random_keys_of_one_letter_case_are_found(make_docs):
+    secret = ["xkqzvjwpmbtrhgfdlncyqa", "QZXJ-VKWP-BMTR-HGFD-LNCY", "xkqz-vjwp-mbtr-hgfd"]
+    plain = ["user_account_settings_page", "MAXIMUM_CONNECTION_TIMEOUT", "2024-01-01-1234-5678-9012", "internationalization"]
+    got = rows_of(secrets.digest_columns(secrets.find_secrets(make_docs([f"the value {x} here" for x in secret + plain]))))
+    assert [r["n_random"] for r in got] == [1, 1, 0, 0, 0, 0, 0]  # the third is under 20 characters
+
+
 # -- quality -----------------------------------------------------------------
 
 def test_quality_base_matches_brute_force_and_keeps_clean_rows(spark, sf_small, sample):
