@@ -10,8 +10,11 @@ A Bloom filter of the benchmark's window hashes (a fixed number of bits) goes to
 windows that may match leave them; if the benchmark outgrows it, more rows reach the join and the
 result is the same.
 
+An item with fewer than five usable windows (short, or dense in slots) loses its coverage with one
+window or has none, so its whole word sequence is also searched for, literally, without marks and case.
+
 Defined cases: null or empty texts and items match nothing; an item with no window of five words,
-three of them literal, is not searched for; repeated items and rows give repeated pairs once; an
+three of them literal, is found as exact copy only; repeated items and rows give repeated pairs once; an
 item without an id is not reported.
 """
 from __future__ import annotations
@@ -130,6 +133,88 @@ def document_windows(docs: DataFrame, bits: np.ndarray) -> DataFrame:
     return map_batches(docs, run, [("row", T.LongType()), *WINDOW], ["row", "text"])
 
 
+#: Items with fewer usable windows than this are also searched for as whole word sequences.
+FEW_WINDOWS = 5
+BASE = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
+class Spans:
+    """Hashes of all spans of one length in a word sequence, in time that does not depend on the length;
+    a filter for the literal key, which is only made where they match."""
+
+    def __init__(self, codes: WordCodes, size: int = 1024):
+        self.codes = codes
+        self.grow(size)
+
+    def grow(self, size: int) -> None:
+        self.up = np.cumprod(np.concatenate(([np.uint64(1)], np.full(size, BASE))), dtype=np.uint64)
+        self.down = np.cumprod(np.concatenate(([np.uint64(1)], np.full(size, INVERSE))), dtype=np.uint64)
+
+    def sums(self, words: list[bytes]) -> np.ndarray:
+        n = len(words)
+        if n >= len(self.up):
+            self.grow(2 * n)
+        h = np.fromiter(map(self.codes.__getitem__, words), np.uint64, n) & ~FLAGS
+        return np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * self.up[:n], dtype=np.uint64)))
+
+    def hashes(self, sums: np.ndarray, length: int) -> np.ndarray:
+        n = len(sums) - length
+        return mix((sums[length:] - sums[:n]) * self.down[:n]) if n > 0 else np.empty(0, np.uint64)
+
+
+def literal_key(words: list[bytes]) -> int | None:
+    """Names a word sequence without marks around the words and case; None if only marks are left."""
+    cores = [w.decode().strip(EDGE).lower() for w in words]
+    return xxhash.xxh3_64_intdigest(utf8("\n".join(cores))) - (1 << 63) if any(cores) else None
+
+
+def whole_items(benchmark: DataFrame) -> DataFrame:
+    """(item_text, literal, hash, length) of the distinct texts with few usable windows."""
+    codes = WordCodes()
+    spans = Spans(codes)
+
+    def run(texts):
+        rows = []
+        for text in texts:
+            words, _, _, usable = template(text, codes)
+            literal = literal_key(words)
+            if literal is not None and usable.sum() < FEW_WINDOWS:
+                rows.append((text, literal, int(spans.hashes(spans.sums(words), len(words)).view(np.int64)[0]), len(words)))
+        names = ("item_text", "literal", "hash", "length")
+        yield dict(zip(names, zip(*rows))) if rows else {n: [] for n in names}
+
+    texts = benchmark.select(F.col("text").cast("string").alias("text")).filter("text IS NOT NULL").distinct()
+    return map_batches(texts, run, [("item_text", T.StringType()), ("literal", T.LongType()), ("hash", T.LongType()),
+                                    ("length", T.IntegerType())], ["text"])
+
+
+def whole_copies(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """(row, item_text) of documents that hold the whole word sequence of an item of :func:`whole_items`."""
+    bits = np.zeros(BLOOM_BITS, bool)
+    slots = items.select(F.col("hash").bitwiseAND(BLOOM_BITS - 1).alias("b")).distinct().toPandas()["b"]
+    bits[slots.to_numpy(np.int64)] = True
+    lengths = sorted(r["length"] for r in items.select("length").distinct().collect())
+    spans = Spans(WordCodes())
+    last = np.uint64(BLOOM_BITS - 1)
+
+    def run(rows_, texts):
+        found = set()
+        for row, text in zip(rows_, texts):
+            words = utf8(text or "").split()
+            sums = spans.sums(words)
+            for length in lengths:
+                at = np.flatnonzero(bits[(spans.hashes(sums, length) & last).astype(np.int64)])
+                found |= {(row, literal_key(words[i:i + length])) for i in at.tolist()}
+        found = [x for x in found if x[1] is not None]
+        yield {"row": [r for r, _ in found], "literal": [k for _, k in found]}
+
+    if not lengths:
+        return items.select(F.lit(0).cast("long").alias("row"), "item_text")
+    copies = map_batches(rows, run, [("row", T.LongType()), ("literal", T.LongType())], ["row", "text"])
+    return materialise(copies.distinct(), "copies").join(items, "literal").select("row", "item_text").distinct()
+
+
 def row_key():
     """Names a row by id and text, so rows that share an id stay apart."""
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -155,7 +240,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.8) -
     out = lines.groupBy("row", "item_text").agg(
         F.max("total").alias("total"), F.bool_and("exact").alias("exact"),
         F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n_windows"))
-    return out.filter(F.col("n_windows") >= F.col("total") * coverage)
+    out = out.filter(F.col("n_windows") >= F.col("total") * coverage)
+    whole = materialise(whole_items(benchmark), "whole")
+    totals = items.groupBy("item_text").agg(F.max("total").alias("total"))
+    copies = whole_copies(rows, whole).join(totals, "item_text", "left").withColumn("total", F.coalesce("total", F.lit(1)))
+    out = out.select("row", "item_text", "total", "exact", "n_windows").unionByName(
+        copies.select("row", "item_text", "total", F.lit(True).alias("exact"), F.col("total").alias("n_windows")))
+    return out.groupBy("row", "item_text").agg(F.max("n_windows").alias("n_windows"), F.max("total").alias("total"),
+                                               F.bool_or("exact").alias("exact"))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.8) -> DataFrame:

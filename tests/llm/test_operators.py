@@ -319,6 +319,15 @@ def test_reparameterised_items_and_slot_consistency(spark, make_docs):
     assert decontam.find_leaks(docs.limit(0), bench).count() == decontam.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_short_and_slot_dense_items_are_found_as_exact_copies(spark, make_docs):
+    items = ["Sort 12 7 45 3 99 ascending", "Name three primes", "Solve the quadratic equation below for x"]
+    docs = make_docs([f"Here, {items[0]}. Then more", f"a heading\n{items[1]}? yes", f"1) {items[2]} and so on", "Sort 12 7 45 3 98 ascending",
+                      "Name three rivers", *ODD])
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["kind"]) for r in decontam.find_leaks(docs, bench).collect())
+    assert got == [(0, 0, "exact"), (1, 1, "exact"), (2, 2, "exact")]
+
+
 # -- personal data -----------------------------------------------------------
 
 def test_surrogates_keep_type_format_and_coreference(make_docs):
