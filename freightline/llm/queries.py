@@ -1,6 +1,7 @@
 """Registered queries of the training-data operators: one per operator."""
 from __future__ import annotations
 
+from .conversation import op11_conversation_repair
 from .decontam import op6_benchmark_decontamination
 from .extract import op7_html_extraction
 from .langid import op1_language_id
@@ -14,6 +15,7 @@ from .warc import op3_warc_salvage
 
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_secret_scan, op3_warc_salvage, op4_pii_surrogates, op5_best_fit_packing,
-    op6_benchmark_decontamination, op7_html_extraction, op8_near_duplicates, op9_quality_divergence, op10_token_counts)}
+    op6_benchmark_decontamination, op7_html_extraction, op8_near_duplicates, op9_quality_divergence, op10_token_counts,
+    op11_conversation_repair)}
 #: DuckDB SQL where an operator can be expressed in it.
 ORACLE_SQL: dict[str, str] = {}
