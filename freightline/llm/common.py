@@ -70,14 +70,33 @@ def append_columns(df: DataFrame, fn: Callable[..., dict], fields: Sequence[tupl
     return df.mapInArrow(run, schema)
 
 
+#: Removes the shuffle files of a query when it ends; a written table no longer needs them.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared checkpoint folder and read back: later jobs neither recompute the
-    lineage nor depend on one executor's disk."""
+    lineage nor depend on one executor's disk.  :func:`release` deletes the table."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that :func:`materialise` wrote, once what was made of them is written."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.written_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def documents_of(df: DataFrame) -> DataFrame:

@@ -269,6 +269,7 @@ def op6_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
 def decontamination_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that contain a benchmark item go."""
     found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    rows = materialise(found.select("row").distinct(), "leaks")
-    marked = docs.withColumn("q_row", row_key())
-    return marked.join(rows, marked["q_row"] == rows["row"], "left_anti").select(*docs.columns)
+    rows = materialise(found.select(F.col("row").alias("leak")).distinct(), "leaks")
+    marked = docs.select(F.struct(*docs.columns).alias("doc"), row_key().alias("key"))
+    left = marked.join(rows, F.col("key") == F.col("leak"), "left_anti")
+    return left.select(*(F.col("doc").getField(c).alias(c) for c in docs.columns))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents_of, map_batches, materialise, utf8
+from .common import documents_of, map_batches, materialise, release, utf8
 from .components import connected_components
 
 WIDTH = 5
@@ -151,12 +151,13 @@ def similar_size(a: str, b: str, percent: int):
 
 
 def candidates(sets: DataFrame, percent: int, small: int, near: int, region_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (a, b, votes) with a < b, and the sets (key, n, bits) of larger regions, which do
-    not meet all their region; votes: the orders that proposed the pair."""
-    trees = sets.select("key", "n", "bits", F.explode(F.arrays_zip(*(f"p{d}" for d in DEPTHS))).alias("p"))
-    trees = trees.select("key", "n", "bits", *(F.col(f"p.p{d}").alias(f"p{d}") for d in DEPTHS))
+    """Written tables: candidate pairs (a, b, votes) of set numbers with a < b, and the sets (set, n, bits)
+    of larger regions, which do not meet all their region; votes: the orders that proposed the pair."""
+    trees = sets.select("set", "n", F.explode(F.arrays_zip(*(f"p{d}" for d in DEPTHS))).alias("p"))
+    trees = trees.select("set", "n", *(F.col(f"p.p{d}").alias(f"p{d}") for d in DEPTHS))
     shared = trees.groupBy("p3").agg(F.count("*").alias("n3")).filter("n3 > 1")
-    live = materialise(trees.join(shared, "p3"), "forest")
+    # bitmaps join only the rows that share a region
+    live = materialise(trees.join(shared, "p3").join(sets.select("set", "bits"), "set"), "forest")
     dense = live.filter(F.col("n3") > small)
     deeper = [dense.groupBy(f"p{d}").agg(F.count("*").alias(f"n{d}")) for d in DEPTHS[1:]]
     dense = materialise(reduce(lambda x, y: x.join(y, y.columns[0]), deeper, dense), "forest")
@@ -164,30 +165,32 @@ def candidates(sets: DataFrame, percent: int, small: int, near: int, region_rows
     fits = F.when(F.col("n3") <= region_rows, F.col("p3")).when(F.col("n5") <= region_rows, F.col("p5"))
     # p8 names the tree, so a pair that one tree's parts split meets anew in the next tree
     part = F.when(F.col("n3") <= region_rows, 0).when(F.col("n5") <= region_rows, 0).otherwise(
-        F.pmod(F.xxhash64("key", "p8"), F.ceil(F.col("n8") / region_rows)))
-    regions = dense.select("key", "n", "bits", "p5", "p8", F.lit(near).alias("reach"),
+        F.pmod(F.xxhash64("set", "p8"), F.ceil(F.col("n8") / region_rows)))
+    regions = dense.select("set", "n", "bits", "p5", "p8", F.lit(near).alias("reach"),
                            F.coalesce(fits, F.col("p8")).alias("region"), part.alias("part"))
     regions = regions.unionByName(live.filter(F.col("n3") <= small).select(
-        "key", "n", "bits", "p5", "p8", F.lit(small - 1).alias("reach"), F.col("p3").alias("region"),
+        "set", "n", "bits", "p5", "p8", F.lit(small - 1).alias("reach"), F.col("p3").alias("region"),
         F.lit(0).cast("long").alias("part")))
-    order = Window.partitionBy("region", "part").orderBy("p5", "p8", "key").rowsBetween(1, max(near, small - 1))
-    following = F.collect_list(F.struct("key", "n", "bits")).over(order)
+    order = Window.partitionBy("region", "part").orderBy("p5", "p8", "set").rowsBetween(1, max(near, small - 1))
+    following = F.collect_list(F.struct("set", "n", "bits")).over(order)
     pairs = regions.withColumn("following", following).select(
-        "key", "n", "bits", F.explode(F.slice("following", F.lit(1), F.col("reach"))).alias("o"))
-    pairs = pairs.select("key", "n", "bits", F.col("o.key").alias("other"), F.col("o.n").alias("m"), F.col("o.bits").alias("other_bits"))
+        "set", "n", "bits", F.explode(F.slice("following", F.lit(1), F.col("reach"))).alias("o"))
+    pairs = pairs.select("set", "n", "bits", F.col("o.set").alias("other"), F.col("o.n").alias("m"), F.col("o.bits").alias("other_bits"))
 
-    popular = dense.groupBy("key").agg(F.floor(2 * F.log2(F.sum("n8"))).alias("popular"))
-    dense = materialise(dense.join(popular, "key"), "forest")
+    popular = dense.groupBy("set").agg(F.floor(2 * F.log2(F.sum("n8"))).alias("popular"))
+    ranked = materialise(dense.join(popular, "set"), "forest")
     for d in DEPTHS:
-        pick = F.struct("popular", F.xxhash64("key", f"p{d}").alias("draw"), "key", "n", "bits")
-        hub = dense.filter(F.col(f"n{d}") > 1).groupBy(f"p{d}").agg(F.max(pick).alias("hub"))
-        pairs = pairs.unionByName(dense.join(hub, f"p{d}").select(
-            "key", "n", "bits", F.col("hub.key").alias("other"), F.col("hub.n").alias("m"), F.col("hub.bits").alias("other_bits")))
-    pairs = pairs.filter((F.col("key") != F.col("other")) & similar_size("n", "m", percent)
+        pick = F.struct("popular", F.xxhash64("set", f"p{d}").alias("draw"), "set", "n", "bits")
+        hub = ranked.filter(F.col(f"n{d}") > 1).groupBy(f"p{d}").agg(F.max(pick).alias("hub"))
+        pairs = pairs.unionByName(ranked.join(hub, f"p{d}").select(
+            "set", "n", "bits", F.col("hub.set").alias("other"), F.col("hub.n").alias("m"), F.col("hub.bits").alias("other_bits")))
+    pairs = pairs.filter((F.col("set") != F.col("other")) & similar_size("n", "m", percent)
                          & may_reach("n", "bits", "m", "other_bits", percent))
-    pairs = pairs.groupBy(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).agg(
-        F.count("*").alias("votes"))
-    return pairs, dense.select("key", "n", "bits").dropDuplicates(["key"])
+    pairs = materialise(pairs.groupBy(F.least("set", "other").alias("a"), F.greatest("set", "other").alias("b")).agg(
+        F.count("*").alias("votes")), "pairs")
+    large = materialise(ranked.select("set", "n", "bits").dropDuplicates(["set"]), "large")
+    release(live, dense, ranked)
+    return pairs, large
 
 
 #: Slots of the filter that spares the texts of documents without candidates: at most so many rows are broadcast.
@@ -195,7 +198,7 @@ SLOTS = 1 << 19
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(key, shingles) of the wanted sets (key, first_id), computed again from the texts of their
+    """(set, shingles) of the wanted sets (set, key, first_id), computed again from the texts of their
     first documents.  The filter before it broadcasts hash slots, SLOTS at most."""
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS)).alias("slot")
     slots = F.broadcast(wanted.select(slot("first_id")).distinct())
@@ -209,16 +212,16 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     made = map_batches(some, run, [("doc_id", T.LongType()), ("key", T.BinaryType()),
                                    ("shingles", T.ArrayType(T.LongType()))], ["doc_id", "text"])
-    first = wanted.select(F.col("first_id").alias("doc_id"), F.col("key").alias("want")).withColumn("id_hash", F.xxhash64("doc_id"))
+    first = wanted.select(F.col("first_id").alias("doc_id"), "set", F.col("key").alias("want")).withColumn("id_hash", F.xxhash64("doc_id"))
     made = made.withColumn("id_hash", F.xxhash64("doc_id"))
     same = made["doc_id"].eqNullSafe(first["doc_id"]) & (made["key"] == first["want"]) & (made["id_hash"] == first["id_hash"])
-    return made.join(first, same).select("key", "shingles")
+    return made.join(first, same).select("set", "shingles")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets reach the similarity."""
-    one = sets.select(F.col("key").alias("a"), F.col("shingles").alias("x"))
-    two = sets.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
+    one = sets.select(F.col("set").alias("a"), F.col("shingles").alias("x"))
+    two = sets.select(F.col("set").alias("b"), F.col("shingles").alias("y"))
     both = pairs.select("a", "b").join(one, "a").join(two, "b")
     both = both.withColumn("common", F.size(F.array_intersect("x", "y")))
     union = F.size("x") + F.size("y") - F.col("common")
@@ -227,10 +230,10 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def strongest(pairs: DataFrame) -> DataFrame:
     """Of each set its pair (a, b) with the most votes."""
-    sided = pairs.select(F.col("a").alias("key"), F.struct("votes", F.col("b").alias("other")).alias("v")).unionByName(
-        pairs.select(F.col("b").alias("key"), F.struct("votes", F.col("a").alias("other")).alias("v")))
-    return sided.groupBy("key").agg(F.max("v").alias("v")).select(
-        F.least("key", "v.other").alias("a"), F.greatest("key", "v.other").alias("b")).distinct()
+    sided = pairs.select(F.col("a").alias("set"), F.struct("votes", F.col("b").alias("other")).alias("v")).unionByName(
+        pairs.select(F.col("b").alias("set"), F.struct("votes", F.col("a").alias("other")).alias("v")))
+    return sided.groupBy("set").agg(F.max("v").alias("v")).select(
+        F.least("set", "v.other").alias("a"), F.greatest("set", "v.other").alias("b")).distinct()
 
 
 #: Slots of the shingle counts that give the order of the prefix join; at most so many rows are collected.
@@ -238,44 +241,46 @@ COUNT_SLOTS = 1 << 18
 
 
 def open_pairs(full: DataFrame, sets: DataFrame, linked: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of the given sets (key, n, bits) in different components that may reach the
+    """Written table: pairs (a, b) of the given sets (set, n, bits) in different components that may reach the
     similarity: no pair that does is left out.  Prefix join: with all shingles in one order, rare
     ones first, such sets share one among their first n - ceil(n percent / 100) + 1, and what follows
     the first one they share is long enough.  Per shingle only sets outside its largest component
     meet the others."""
     slot = F.col("shingle").bitwiseAND(COUNT_SLOTS - 1).alias("slot")
-    some = full.join(sets, "key", "left_semi")
+    some = full.join(sets, "set", "left_semi")
     counted = some.select(F.explode("shingles").alias("shingle")).groupBy(slot).agg(F.count("*").alias("n")).toPandas()
     counts = np.zeros(COUNT_SLOTS, np.int64)
     counts[counted["slot"].to_numpy(np.int64)] = counted["n"]
 
-    def run(keys, shingles):
-        rows = {"key": [], "shingle": [], "at": []}
-        for key, s in zip(keys, shingles):
+    def run(numbers, shingles):
+        rows = {"set": [], "shingle": [], "at": []}
+        for number, s in zip(numbers, shingles):
             s = np.array(s, np.int64)
             times = counts[s & (COUNT_SLOTS - 1)]
             head = np.lexsort((s, times))[:len(s) - -(-len(s) * percent // 100) + 1]
             at = np.flatnonzero(times[head] > 1)  # a shingle counted once is in no other set
-            rows["key"] += [key] * len(at)
+            rows["set"] += [number] * len(at)
             rows["shingle"] += s[head[at]].tolist()
             rows["at"] += at.tolist()
         yield rows
 
-    heads = map_batches(some, run, [("key", T.BinaryType()), ("shingle", T.LongType()), ("at", T.IntegerType())], ["key", "shingles"])
-    roots = linked.select(F.col("node").alias("key"), "root")
-    named = sets.select("key", "n", "bits").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    heads = materialise(heads.join(named, "key"), "heads")
+    heads = map_batches(some, run, [("set", T.LongType()), ("shingle", T.LongType()), ("at", T.IntegerType())], ["set", "shingles"])
+    roots = linked.select(F.col("node").alias("set"), "root")
+    named = sets.select("set", "n", "bits").join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
+    heads = materialise(heads.join(named, "set"), "heads")
     of_root = heads.groupBy("shingle", "root").agg(F.count("*").alias("m"))
     largest = of_root.groupBy("shingle").agg(F.max(F.struct("m", "root")).alias("top"), F.count("*").alias("roots"))
     largest = materialise(largest.filter("roots > 1").select("shingle", F.col("top.root").alias("top")), "heads")
     live = materialise(heads.join(largest, "shingle"), "heads")
     minor = live.filter("root != top").drop("top")
-    other = live.select("shingle", *(F.col(c).alias(f"o_{c}") for c in ("key", "n", "bits", "at", "root")))
+    other = live.select("shingle", *(F.col(c).alias(f"o_{c}") for c in ("set", "n", "bits", "at", "root")))
     rest = F.least(F.col("n") - F.col("at"), F.col("o_n") - F.col("o_at"))
     long_enough = rest * (100 + percent) >= (F.col("n") + F.col("o_n")) * percent
     met = minor.join(other, (minor["shingle"] == other["shingle"]) & (F.col("root") != F.col("o_root")) & long_enough
                      & may_reach("n", "bits", "o_n", "o_bits", percent))
-    return met.select(F.least("key", "o_key").alias("a"), F.greatest("key", "o_key").alias("b")).distinct()
+    met = materialise(met.select(F.least("set", "o_set").alias("a"), F.greatest("set", "o_set").alias("b")).distinct(), "pairs")
+    release(heads, largest, live)
+    return met
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = 16, small: int = 8, near: int = 16,
@@ -285,41 +290,50 @@ def near_duplicates(docs: DataFrame, percent: int = 85, trees: int = 16, small:
     changes the work, not the result."""
     docs = documents_of(docs)
     prints = materialise(fingerprints(docs, trees), "prints")
-    sets = materialise(prints.filter("n_shingles > 0").groupBy("key").agg(
+    sets = prints.filter("n_shingles > 0").groupBy("key").agg(
         F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"),
-        *(F.first(f"p{d}").alias(f"p{d}") for d in DEPTHS)), "sets")
-
-    pairs, dense = (materialise(x, "pairs") for x in candidates(sets, percent, small, near, region_rows))
-    ends = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key")))
-    ends = ends.unionByName(dense.select("key")).distinct()
-    full = materialise(full_sets(docs, sets.select("key", "first_id").join(ends, "key")), "full")
-
-    linked, waiting = None, pairs
+        *(F.first(f"p{d}").alias(f"p{d}") for d in DEPTHS))
+    sets = materialise(sets.withColumn("set", F.monotonically_increasing_id()), "sets")
+    slim = materialise(prints.select("doc_id", "n_shingles", "key"), "slim")
+    release(prints)
+
+    pairs, large = candidates(sets, percent, small, near, region_rows)
+    names = materialise(sets.select("set", "key", "first_id"), "names")
+    release(sets)
+    ends = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set")))
+    ends = ends.unionByName(large.select("set")).distinct()
+    full = materialise(full_sets(docs, names.join(ends, "set")), "full")
+
+    linked, waiting, spent = None, pairs, [names, full, large]
     # one pair per set, then all that is open, then all that the forest did not propose in larger regions
     for step in [*["strongest"] * rounds, "open", "beyond"]:
         last = step != "strongest"
         chosen = (strongest(waiting) if step == "strongest" else waiting.select("a", "b") if step == "open" else
-                  materialise(open_pairs(full, dense, linked, percent), "pairs"))
+                  open_pairs(full, large, linked, percent))
         links = confirmed(chosen, full, percent)
         if linked is not None:
             links = links.unionByName(linked.select(F.col("node").alias("a"), F.col("root").alias("b")))
         linked = materialise(connected_components(links), "roots")
+        spent.append(linked)
+        if step == "beyond":
+            spent.append(chosen)
         if not last:
             root = lambda end: linked.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
             rest = waiting.join(chosen, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
             rest = rest.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+            spent.append(waiting)
             waiting = materialise(rest.select("a", "b", "votes"), "pairs")
 
-    ids = linked.join(sets.select(F.col("key").alias("node"), "first_id"), "node")
+    ids = linked.join(names.select(F.col("set").alias("node"), "first_id"), "node")
     lowest = ids.groupBy("root").agg(F.min("first_id").alias("lowest"))
-    named = ids.join(lowest, "root").select(F.col("node").alias("key"), "lowest")
-    names = sets.select("key", "first_id").join(named, "key", "left").select(
-        "key", F.coalesce("lowest", "first_id").alias("component"))
-    names = materialise(names, "names")
-    out = prints.select("doc_id", "n_shingles", "key").join(names, "key", "left")
+    named = ids.join(lowest, "root").select(F.col("node").alias("set"), "lowest")
+    components = names.join(named, "set", "left").select("key", F.coalesce("lowest", "first_id").alias("component"))
+    out = slim.join(components, "key", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"),
-                      F.col("doc_id").eqNullSafe(component).alias("kept"))
+    out = materialise(out.select("doc_id", "n_shingles", component.alias("component_id"),
+                                 F.col("doc_id").eqNullSafe(component).alias("kept")), "classes")
+    release(slim, waiting, *spent)
+    return out
 
 
 def op8_near_duplicates(spark, sf_dir: str) -> DataFrame:
@@ -335,6 +349,8 @@ def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     as do texts without words; of repeated rows (one id, one text) one stays."""
     found = near_duplicates(docs, percent=STAGE_PERCENT)
     kept = found.filter(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    marked = docs.withColumn("n_text", F.xxhash64("text"))
-    out = marked.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "n_text"])
-    return out.unionByName(marked.filter("doc_id IS NULL")).select(*docs.columns)
+    kept = kept.select(F.col("doc_id").alias("kept_id"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"),
+                       F.xxhash64(F.col("text").cast("string")).alias("of_text"))
+    out = rows.filter("id IS NOT NULL").join(kept, F.col("id") == F.col("kept_id"), "left_semi").dropDuplicates(["id", "of_text"])
+    return out.unionByName(rows.filter("id IS NULL")).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

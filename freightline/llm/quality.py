@@ -209,8 +209,9 @@ def op9_quality_divergence(spark, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: rejected documents go; the columns of documents stay."""
-    measured = materialise(measure(typed(docs).select(F.struct(*docs.columns).alias("q_row"), "lang", "text"))
-                           .drop("text"), "quality")
-    judged = judge(measured, references(measured)).filter("kept")
+    """Pipeline stage: rejected documents go; the columns of documents stay.  The references take one
+    pass and the verdicts another, so no copy of the corpus is written between them."""
+    measured = measure(typed(docs).select(F.struct(*docs.columns).alias("q_row"), "lang", "text"))
+    refs = references(measure(typed(docs).select("lang", "text")))
+    judged = judge(measured.drop("text"), refs).filter("kept")
     return judged.select(*(F.col("q_row").getField(c).alias(c) for c in docs.columns))

@@ -204,8 +204,8 @@ def test_a_large_group_with_distant_members_is_exact(spark, make_docs):
 
 def test_parts_of_a_full_region_differ_between_trees(spark):
     p = [[t + 1 for t in range(16)]] * 3  # every set shares all prefixes of every tree
-    rows = [(bytes([i // 256, i % 256]), 100, [0] * neardup.WORDS, *p) for i in range(600)]
-    sets = spark.createDataFrame(rows, "key binary, n long, bits array<long>, p3 array<long>, p5 array<long>, p8 array<long>")
+    rows = [(i, 100, [0] * neardup.WORDS, *p) for i in range(600)]
+    sets = spark.createDataFrame(rows, "set long, n long, bits array<long>, p3 array<long>, p5 array<long>, p8 array<long>")
     # hubs give at most 16 x 3 x 600 pairs; 16 neighbours in one division of the sets 9,600 more
     assert neardup.candidates(sets, 85, 8, 16, 64)[0].count() > 16 * 3 * 600 + 16 * 600
 

@@ -16,7 +16,7 @@ def test_pipeline_rows(spark, sf_small, sample):
     kept = {r.doc_id for r in quality.op9_quality_divergence(spark, sf_small).filter("kept").collect()}
     assert ids[1] == kept
     left = [(i, t) for i, t, _ in sample if i in kept]
-    components = brute_components(left)
+    components = brute_components(left, percent=neardup.STAGE_PERCENT)
     assert ids[2] == {c for _, c in components.values()}
     import duckdb
     items = [t for t, in duckdb.connect().execute(f"SELECT text FROM '{sf_small}/benchmark.parquet'").fetchall()]
