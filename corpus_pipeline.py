@@ -7,12 +7,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from freightline.llm.common import materialise, release
 from freightline.llm.decontam import decontamination_stage
 from freightline.llm.neardup import dedup_stage
 from freightline.llm.packing import packing_stage
 from freightline.llm.pii import pii_stage
 from freightline.llm.quality import quality_stage
-from freightline.session import ensure_checkpoint_dir, scratch_path
 
 STAGES = [
     ("quality_rules", quality_stage),
@@ -28,10 +28,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole documents table."""
-    ensure_checkpoint_dir(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
-        path = scratch_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(*before)  # the output of the stage before this one
+        before = [docs]
     return docs
