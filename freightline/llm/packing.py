@@ -9,8 +9,8 @@ equal pieces into equal sequences are placed in one step.  The plan is a bounded
 log2(capacity) at most).  Every piece gets its rank among pieces of its length and looks its place
 up in the plan.
 
-Ranks come from counts per (length, bucket); buckets grow in number with the pieces, so a length
-that a third of all pieces share is still numbered by many tasks.
+A piece's rank is its number among its task's pieces of that length, given while tokenising, after
+the counts of the tasks before it, so token ids are not shuffled.
 
 Defined cases: null text is empty and packs as the end id alone; only documents longer than the
 capacity are cut; repeated rows are packed once each; an empty table gives an empty result.
@@ -20,14 +20,18 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import append_columns, documents_of, map_batches, materialise
+from .common import append_columns, bounded_batches, documents_of, materialise
 
 CAPACITY = 4096
 END_ID = 1
@@ -99,23 +103,31 @@ def chunk_tokens(vocabulary: str) -> ChunkTokens:
 
 
 def pieces_of(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, with_ids: bool = False) -> DataFrame:
-    """Tokenise and cut: one row per piece, with its token ids if asked for."""
+    """Tokenise and cut: one row per piece, with its token ids if asked for, the task that made it and its
+    number among the task's pieces of its length.  Write it before use: both hold for one run only."""
     width = 4 * capacity
-    fields = [*PIECE, *([("ids", T.ArrayType(T.IntegerType()))] if with_ids else [])]
+    fields = [*PIECE, ("task", T.IntegerType()), ("within", T.LongType()), *([("ids", T.ArrayType(T.IntegerType()))] if with_ids else [])]
+    bounded_batches(docs.sparkSession)
+    schema = T.StructType([T.StructField(n, t) for n, t in fields])
+    arrow = to_arrow_schema(schema)
 
-    def run(doc_ids, texts):
-        tokens = chunk_tokens(vocabulary)
+    def run(batches):
+        tokens, task, seen = chunk_tokens(vocabulary), TaskContext.get().partitionId(), Counter()
         end = np.array([END_ID], "<u4").tobytes()
-        rows: list[tuple] = []
-        for doc_id, text in zip(doc_ids, texts):
-            ids = tokens.encode(text or "") + end
-            for piece, at in enumerate(range(0, len(ids), width)):
-                part = ids[at:at + width]
-                row = (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part))
-                rows.append((*row, np.frombuffer(part, "<i4")) if with_ids else row)
-        yield dict(zip((n for n, _ in fields), zip(*rows))) if rows else {n: [] for n, _ in fields}
-
-    return map_batches(docs, run, fields, ["doc_id", "text"])
+        for batch in batches:
+            rows: list[tuple] = []
+            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
+                ids = tokens.encode(text or "") + end
+                for piece, at in enumerate(range(0, len(ids), width)):
+                    part = ids[at:at + width]
+                    length = len(part) // 4
+                    row = (doc_id, piece, at // 4, length, zlib.crc32(part), task, seen[length])
+                    seen[length] += 1
+                    rows.append((*row, np.frombuffer(part, "<i4")) if with_ids else row)
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 class TightestFit:
@@ -183,21 +195,24 @@ def best_fit_plan(counts: dict[int, int], capacity: int) -> np.ndarray:
     return np.array(sorted(steps), np.int64).reshape(-1, 5)
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, bucket_rows: int = 200_000) -> DataFrame:
-    """Append ``sequence_id`` and ``offset`` to materialised pieces."""
-    total = pieces.count()
-    buckets = max(8, -(-total // bucket_rows))
-    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
-    counts = materialise(pieces.groupBy("length", "bucket").agg(F.count("*").alias("n")), "pack")
+#: Counts per (length, task) that are broadcast at most; beyond, they are joined by a shuffle.
+START_ROWS = 500_000
+
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Append ``sequence_id`` and ``offset`` to written pieces of :func:`pieces_of`.  The pieces do not
+    move: each knows its number in its task, and the tasks' counts give where the task begins."""
+    counts = materialise(pieces.groupBy("length", "task").agg(F.count("*").alias("n")), "pack")
     lengths = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan = best_fit_plan(lengths, capacity)
     keys = (plan[:, 0] << 48) + plan[:, 1]
 
-    before = F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select("length", "bucket", F.coalesce(before, F.lit(0)).alias("before"))
-    within = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32"))
-    ranked = pieces.withColumn("within", within).join(starts, ["length", "bucket"])
-    ranked = ranked.withColumn("rank", F.col("before") + F.col("within") - 1).drop("bucket", "before", "within")
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("length", "task", F.coalesce(before, F.lit(0)).alias("before"))
+    if counts.count() <= START_ROWS:
+        starts = F.broadcast(starts)
+    ranked = pieces.join(starts, ["length", "task"]).withColumn("rank", F.col("before") + F.col("within"))
+    ranked = ranked.drop("task", "before", "within")
 
     def place(length, rank):
         length, rank = np.array(length, np.int64), np.array(rank, np.int64)

@@ -211,7 +211,8 @@ def op9_quality_divergence(spark, sf_dir: str) -> DataFrame:
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: rejected documents go; the columns of documents stay.  The references take one
     pass and the verdicts another, so no copy of the corpus is written between them."""
-    measured = measure(typed(docs).select(F.struct(*docs.columns).alias("q_row"), "lang", "text"))
+    other = {c: f"row{i}" for i, c in enumerate(docs.columns) if c not in ("lang", "text")}  # no name can clash
+    rows = typed(docs).select("lang", "text", *(F.col(c).alias(n) for c, n in other.items()))
     refs = references(measure(typed(docs).select("lang", "text")))
-    judged = judge(measured.drop("text"), refs).filter("kept")
-    return judged.select(*(F.col("q_row").getField(c).alias(c) for c in docs.columns))
+    judged = judge(measure(rows), refs).filter("kept")
+    return judged.select(*(F.col(other.get(c, c)).alias(c) for c in docs.columns))
