@@ -1,8 +1,10 @@
 """Main text of web pages by tree scoring.
 
 A lenient parser builds the element tree.  Elements that cannot be article text (navigation, page
-headers and footers, asides, forms, scripts, styles, embedded media, and classes, ids or roles that
-name adverts, notices, menus, sharing bars or reader comments) are marked with all they hold.
+footers, scripts, styles, embedded media) are marked with all they hold.  Page headers, asides, forms,
+and classes, ids or roles that name adverts, notices, menus, sharing bars or reader comments are only
+evidence: they are marked too, unless the page's text lies in them and next to none outside, as in a
+body wrapper with such a class or a form around the whole page.
 Every paragraph earns points for its length and commas and passes them to its ancestors: all to
 the parent, half to the grandparent, less further up.  Scores are discounted by link density.  The
 best container is kept, raised to the enclosing article or main element if there is one, with those
@@ -10,12 +12,14 @@ siblings that score well or read like text.
 
 Defined cases: null or empty html gives an empty text; unclosed tags, comments and quotes end at
 the latest with the page; a page without paragraphs gives its unmarked text outside link lists;
-ties go to the first container; repeated rows give repeated results.
+ties go to the first container; of several articles on a page the one with the best container is the
+main text; time is linear in the page, also without closing signs or with deep nesting; repeated rows give repeated results.
 """
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,12 +27,16 @@ from pyspark.sql import types as T
 
 from .common import append_columns
 
-TAG = re.compile(r"""<(?:!--(?:.*?(?:-->|--!>)|.*)|[!?][^>]*+>?|(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>)""", re.S)
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+STOP = re.compile("[>\"']")
+COMMENT_END = re.compile("--!?>")
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
-DROPPED = frozenset("script style noscript iframe noembed noframes title head nav footer aside form button select option "
-                    "textarea input label svg canvas audio video object embed template dialog menu map xmp".split())
+DROPPED = frozenset("script style noscript iframe noembed noframes title head nav footer button select option "
+                    "textarea input label svg canvas audio video object embed template menu map xmp".split())
+#: Dropped as well, unless the page's text lies in them.
+SUSPECT = frozenset("aside form dialog".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure "
                    "footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary "
                    "table tbody td tfoot th thead title tr ul br option".split())
@@ -42,6 +50,9 @@ NAMED = re.compile(r"(?:^|[\s_-])(ad|ads|adv|advert\w*|adsense|banner|breadcrumb
                    r"notification|alert|overlay|pager|pagination|popup|promo|promotion|promoted|related|recommend\w*|"
                    r"replies|reply|respond|share|sharing|sidebar|sidenav|signup|login|skip|social|sponsor\w*|subscribe|"
                    r"subscription|tags|teaser|toolbar|topbar|widget)s?(?:$|[\s_-])", re.I)
+#: Class names that only say what a page has or how it looks.
+MANNER = re.compile(r"(?:has|no|not|is|with|without)[-_]|.*[-_](?:with|without)[-_]|.*[-_](?:open|closed|fixed|sticky|enabled|disabled|on|off|left|right)$", re.I)
+REMARKS = re.compile(r"comment|disqus|repl|respond", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 SAFE = frozenset(("html", "body", "article", "main"))
 PARAGRAPHS = frozenset("p pre blockquote dd td li".split())
@@ -49,40 +60,77 @@ SCORED = frozenset("div section article main body center td blockquote html".spl
 
 
 class Node:
-    __slots__ = ("name", "parent", "children", "marked", "linked", "chars", "link_chars", "links", "paragraphs", "score")
+    __slots__ = ("name", "parent", "children", "mark", "marked", "linked", "chars", "link_chars", "links", "paragraphs",
+                 "commas", "score")
 
-    def __init__(self, name: str, parent: Node | None, marked: bool):
-        self.name, self.parent, self.children = name, parent, []
-        self.marked = marked or (parent is not None and parent.marked)
+    def __init__(self, name: str, parent: Node | None, mark: int):
+        self.name, self.parent, self.children, self.mark = name, parent, [], mark
+        self.marked = False
         self.linked = name == "a" or (parent is not None and parent.linked)
-        self.chars = self.link_chars = self.links = self.paragraphs = 0
+        self.chars = self.link_chars = self.links = self.paragraphs = self.commas = 0
         self.score = 0.0
 
     def density(self) -> float:
         return self.link_chars / self.chars if self.chars else 0.0
 
 
-def is_marked(name: str, attributes: str, inside_article: bool) -> bool:
-    if name in DROPPED or (name == "header" and not inside_article):
-        return True
+#: Marks of an element: never article text; named like something else; named like readers' comments.
+CERTAIN, NAMED_SO, REMARK = 3, 1, 2
+
+
+def mark_of(name: str, attributes: str, inside_article: bool) -> int:
+    if name in DROPPED:
+        return CERTAIN
+    mark = NAMED_SO if name in SUSPECT or (name == "header" and not inside_article) else 0
     if not attributes or name in SAFE:
-        return False
+        return mark
     low = attributes.lower()
     if not any(k in low for k in ("class", "id", "role", "hidden", "display")):
-        return False
+        return mark
     values = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
-    return bool(NAMED.search(values.get("class", "")) or NAMED.search(values.get("id", "")) or
-                values.get("role", "").lower() in ROLES or values.get("aria-hidden", "").lower() == "true" or
-                re.search(r"(?:^|\s)hidden(?:\s|$|=)", low) or
-                "display:none" in values.get("style", "").lower().replace(" ", ""))
+    for word in f"{values.get('class', '')} {values.get('id', '')}".split():
+        if (found := NAMED.search(word)) and not MANNER.match(word):
+            mark = max(mark, REMARK if REMARKS.match(found[1]) else NAMED_SO)
+    if (values.get("role", "").lower() in ROLES or values.get("aria-hidden", "").lower() == "true"
+            or re.search(r"(?:^|\s)hidden(?:\s|$|=)", low) or "display:none" in values.get("style", "").lower().replace(" ", "")):
+        mark = max(mark, NAMED_SO)
+    return mark
+
+
+class Tags:
+    """Ends of tags, in time linear in the page: a quote that is not closed is a character, and once
+    quotes have swallowed every ``>`` to the page's end, they are characters from there on."""
+
+    def __init__(self, page: str):
+        self.page, self.open = page, set()
+
+    def end(self, at: int) -> int:
+        """Place of the ``>`` that ends the tag whose attributes begin at ``at``; -1 if there is none."""
+        first = at
+        while m := STOP.search(self.page, at):
+            at = m.end()
+            if m[0] == ">":
+                return m.start()
+            if m[0] not in self.open:
+                close = self.page.find(m[0], at)
+                if close < 0:
+                    self.open.add(m[0])
+                else:
+                    at = close + 1
+        self.open |= {'"', "'"}
+        return self.page.find(">", first)
 
 
 def parse(page: str) -> list[Node]:
     """All nodes in document order, the root first."""
-    root = Node("html", None, False)
+    root = Node("html", None, 0)
     nodes, stack, at, n = [root], [root], 0, len(page)
+    opened = Counter(["html"])
+    tags, no_end = Tags(page), False
 
     def close_to(depth: int) -> None:
+        for x in stack[depth:]:
+            opened[x.name] -= 1
         del stack[depth:]
 
     def add_text(raw: str) -> None:
@@ -90,19 +138,35 @@ def parse(page: str) -> list[Node]:
             stack[-1].children.append(html.unescape(raw) if "&" in raw else raw)
 
     while at < n:
-        m = TAG.search(page, at)
-        if m is None:
-            rest = page[at:]
-            cut = re.search(r"<[a-zA-Z/][^<]*$", rest)  # a tag that the page's end cuts off
-            add_text(rest[:cut.start()] if cut else rest)
+        start = page.find("<", at)
+        if start < 0 or start == n - 1:
+            add_text(page[at:])
+            break
+        if page[start + 1] in "!?":
+            add_text(page[at:start])
+            if page.startswith("<!--", start):
+                end = COMMENT_END.search(page, start + 4)
+                at = end.end() if end else n
+            else:
+                at = page.find(">", start) + 1 or n
+            continue
+        m = NAME.match(page, start + 1)
+        end = tags.end(m.end()) if m and not no_end else -1
+        if m and end < 0:  # a tag that the page's end cuts off: the last one goes, what stands before it is text
+            no_end = True
+            last = max(page.rfind(c + x, start) for c in "<" for x in ("/", ""))
+            cut = re.compile("<[a-zA-Z/]").match(page, last)
+            add_text(page[at:last] if cut else page[at:])
             break
-        add_text(page[at:m.start()])
-        at = m.end()
-        name = (m[2] or "").lower()
-        if not name:
+        if not m:
+            add_text(page[at:start + 1])
+            at = start + 1
             continue
+        add_text(page[at:start])
+        attributes, at = page[m.end():end], end + 1
+        name = m[2].lower()
         if m[1]:
-            if name in ("html", "body"):
+            if name in ("html", "body") or not opened[name]:
                 continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].name == name:
@@ -111,14 +175,14 @@ def parse(page: str) -> list[Node]:
             continue
         if name == "html":
             continue
-        if name in ENDS_P:
+        if name in ENDS_P and opened["p"]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].name == "p":
                     close_to(i)
                     break
                 if stack[i].name in BLOCKS:
                     break
-        if name in ENDS:
+        if name in ENDS and any(opened[x] for x in ENDS[name][0].split()):
             names, barrier = ENDS[name]
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].name in barrier:
@@ -126,50 +190,81 @@ def parse(page: str) -> list[Node]:
                 if stack[i].name in names.split():
                     close_to(i)
                     break
-        inside = any(x.name in ("article", "main") for x in stack)
-        node = Node(name, stack[-1], is_marked(name, m[3], inside))
+        node = Node(name, stack[-1], mark_of(name, attributes, bool(opened["article"] or opened["main"])))
         stack[-1].children.append(node)
         nodes.append(node)
         if name in RAW:
-            end = re.compile(f"</{re.escape(name)}[\\s/>]", re.I).search(page, at)
-            if end is None:
+            close = re.compile(f"</{re.escape(name)}[\\s/>]", re.I).search(page, at)
+            if close is None:
                 break
-            at = page.find(">", end.start()) + 1 or n
-        elif name not in VOID and not m[3].rstrip().endswith("/"):
-            stack.append(node)
-        elif name not in VOID and name in ("p", "div", "span", "a", "b", "i", "section", "article"):
+            at = page.find(">", close.start()) + 1 or n
+        elif name not in VOID and (not attributes.rstrip().endswith("/")
+                                   or name in ("p", "div", "span", "a", "b", "i", "section", "article")):
             stack.append(node)  # a slash does not close these
+            opened[name] += 1
     return nodes
 
 
+#: A named element is no wrapper of the article if the page has so much of its text outside marked ones.
+OUTSIDE, WITHIN = 0.1, 0.5
+
+
+def settle_marks(nodes: list[Node]) -> None:
+    """Decide which marks hold.  Certain ones do.  A name is only evidence: an element that holds most of
+    the page's text, while next to none lies outside marked elements, is the wrapper of the article and
+    keeps it; one named like comments only if it also holds an article, a main element or a first heading."""
+    body: dict[int, int] = {}  # text outside certain marks
+    free: dict[int, int] = {}  # text outside all marks below
+    holds: set[int] = set()
+    for x in reversed(nodes):
+        own = sum(len(c.strip()) for c in x.children if isinstance(c, str))
+        inner = [c for c in x.children if isinstance(c, Node)]
+        body[id(x)] = 0 if x.mark == CERTAIN else own + sum(body[id(c)] for c in inner)
+        free[id(x)] = own + sum(free[id(c)] for c in inner if not c.mark)
+        if any((c.name in ("article", "main", "h1") and not c.mark) or id(c) in holds for c in inner if c.mark != CERTAIN):
+            holds.add(id(x))
+    page = body[id(nodes[0])]
+    outside = free[id(nodes[0])]
+    for x in nodes:
+        if (up := x.parent) is not None and up.marked:
+            x.marked = True
+        elif x.mark:
+            wrapper = (x.mark != CERTAIN and body[id(x)] >= WITHIN * page > 0 and outside < OUTSIDE * page
+                       and (x.mark != REMARK or id(x) in holds))
+            x.marked = not wrapper
+            outside += free[id(x)] if wrapper else 0
+
+
 def measure(nodes: list[Node]) -> None:
     """Text and link characters below each node, then points of the paragraphs."""
-    own: dict[int, str] = {}
+    loose: dict[int, tuple[int, int]] = {}
     for node in reversed(nodes):
         if node.marked:
             continue
         text = " ".join("".join(c for c in node.children if isinstance(c, str)).split())
-        own[id(node)] = text
+        loose[id(node)] = len(text), text.count(",")
         node.chars += len(text)
+        node.commas += text.count(",")
         node.link_chars += len(text) if node.linked else 0
         node.links += node.name == "a"
         node.paragraphs += node.name == "p" and node.chars - node.link_chars > 0
         if (up := node.parent) is not None:
             up.chars += node.chars
+            up.commas += node.commas
             up.link_chars += node.link_chars
             up.links += node.links
             up.paragraphs += node.paragraphs
     for node in nodes:
         if node.marked:
             continue
-        loose = node.name in SCORED and node.name not in PARAGRAPHS and bool(own[id(node)])
-        if not (node.name in PARAGRAPHS or loose):
+        paragraph = node.name in PARAGRAPHS
+        if not (paragraph or node.name in SCORED):
             continue
-        text = own[id(node)] if loose else text_of([node])
-        if not text:
+        chars, commas = (node.chars, node.commas) if paragraph else loose[id(node)]
+        if not chars or (paragraph and is_link_list(node)):
             continue
-        points = (min(len(text), 1) + text.count(",") + min(len(text) / 100, 3)) * (1 - node.density())
-        if loose:
+        points = (1 + commas + min(chars / 100, 3)) * (1 - node.density())
+        if not paragraph:
             node.score += points
         share, up = 1.0, node.parent
         for level in range(1, 6):
@@ -208,6 +303,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     nodes = parse(page)
+    settle_marks(nodes)
     measure(nodes)
     held = [x for x in nodes if not x.marked and x.score > 0]
     if not held:
