@@ -3,32 +3,35 @@
 Fixed base rules (too few words, too many repeated three-word windows) come first.  The method
 then compares each document's character-class histogram and common-word histogram with the
 reference of its language by Jensen-Shannon distance (base 2, so 0 to 1).  References are exact
-sums over all documents of a language, hot languages pre-aggregated in their tasks.  A document
+sums over all documents of a language that pass the base rules, hot languages pre-aggregated in their tasks.  A document
 with too few words carries too little evidence for a histogram and is left to the base rules.
 
 The limit of the word distance follows from the reference: a share of the distance that a text
 without any common word has, plus what the draw of so few words adds to a clean text's distance.
 
-Texts are read once: the measured rows are written to the shared folder, the references are
-summed from them, and the distances are computed from both.
+Four languages have listed common words; those of any other language that carries enough documents are
+counted from the data.  The query writes measured rows to the shared folder, sums the references from
+them, and computes the distances from both.
 
-Defined cases: null text has no words and fails the base rules; a null or unlisted language is
-compared with the histograms of the whole corpus over the words of all languages; an empty table
+Defined cases: null text has no words and fails the base rules; a null language, or one with too few
+documents, has no reference and is left to the base rules; an empty table
 gives an empty result; repeated rows are judged alike.
 """
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WHITE, append_columns, materialise, utf8
+from .common import WHITE, append_columns, map_batches, materialise, utf8
 
 SYMBOLS = "#*$%&|<>"
+MARKS = ".,;:!?\"'()[]«»„“”…-"
 CLASSES = ("lower", "upper", "caseless", "mark", "digit", "space", "stop", "punctuation", "symbol", "other")
 
 #: Common words per language (parameter of the operator): function words in rough order of frequency.
@@ -112,21 +115,58 @@ def word_limit(reference: np.ndarray, n: int, share: float) -> float:
 
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-
-
-def vocabulary(common_words: dict[str, str]) -> list[str]:
-    return sorted({w for words in common_words.values() for w in words.split()})
+MIN_WORDS = 50
+#: A language outside the listed ones is judged if it has so many documents, and this share of all: the
+#: number of such languages is bounded, as what reaches the driver is.
+LANGUAGE_ROWS, LANGUAGE_SHARE = 200, 1e-4
+#: Common words taken from the data for such a language.
+TOP_WORDS = 40
+
+
+def usable() -> Column:
+    """Documents past the base rules: the only ones that make references."""
+    return (F.col("n_words") >= MIN_WORDS) & (100 * F.col("n_repeat_words") <= 50 * F.col("n_words"))
+
+
+def words_in_data(docs: DataFrame, listed: dict[str, str] = COMMON_WORDS) -> dict[str, str]:
+    """The ``TOP_WORDS`` most frequent words, in lower case and without marks, of each language of ``docs``
+    (lang, text) that is not listed and has enough documents.  No text is read when there is none."""
+    sizes = docs.groupBy("lang").agg(F.count("*").alias("n"))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    floor = max(LANGUAGE_ROWS, int(total * LANGUAGE_SHARE))
+    langs = [r["lang"] for r in sizes.filter((F.col("n") >= floor) & F.col("lang").isNotNull() & ~F.col("lang").isin(list(listed))).collect()]
+    if not langs:
+        return {}
+
+    def run(names, texts):
+        seen: dict[str, Counter] = {}
+        for lang, text in zip(names, texts):
+            words = (text or "").lower().split()
+            if len(words) >= MIN_WORDS:
+                seen.setdefault(lang, Counter()).update({w.strip(MARKS) for w in words} - {""})
+        rows = [(lang, w, n) for lang, c in seen.items() for w, n in c.items()]
+        yield dict(zip(("lang", "word", "n"), zip(*rows))) if rows else {"lang": [], "word": [], "n": []}
+
+    some = docs.filter(F.col("lang").isin(langs))
+    counts = map_batches(some, run, [("lang", T.StringType()), ("word", T.StringType()), ("n", T.LongType())], ["lang", "text"])
+    counts = counts.groupBy("lang", "word").agg(F.sum("n").alias("n")).filter(F.col("n") > 1)
+    top = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "word"))
+    found: dict[str, list[str]] = {}
+    for r in counts.withColumn("top", top).filter(F.col("top") <= TOP_WORDS).orderBy("lang", "top").collect():
+        found.setdefault(r["lang"], []).append(r["word"])
+    return {lang: " ".join(words) for lang, words in found.items()}
 
 
 def measure(df: DataFrame, common_words: dict[str, str] = COMMON_WORDS) -> DataFrame:
-    """Append the base metrics and both histograms (``q_classes``; ``q_words``, the last entry all
-    other words) to documents with a ``text``; no row moves."""
-    forms = spellings(vocabulary(common_words))
-    width = len(vocabulary(common_words)) + 1
+    """Append the base metrics and both histograms (``q_classes``; ``q_words``: the common words of the
+    document's language one by one, the last entry all other words; empty for other languages) to
+    documents with ``lang`` and ``text``; no row moves."""
+    forms = {lang: spellings(words.split()) for lang, words in common_words.items()}
+    widths = {lang: len(words.split()) + 1 for lang, words in common_words.items()}
 
-    def run(texts):
+    def run(langs, texts):
         out = {n: [] for n in (*BASE, "q_classes", "q_words")}
-        for text in texts:
+        for lang, text in zip(langs, texts):
             text = text or ""
             words = utf8(text).split()
             n = len(words)
@@ -134,10 +174,10 @@ def measure(df: DataFrame, common_words: dict[str, str] = COMMON_WORDS) -> DataF
             first = np.fromiter(map(first_of.setdefault, words, range(n)), np.int64, n)
             lines = [x for x in text.split("\n") if x.strip(WHITE)]
             times = np.bincount(first, minlength=n)
-            seen = np.zeros(width, np.int64)
-            for form in forms.keys() & first_of.keys():
-                seen[forms[form]] += times[first_of[form]]
-            seen[-1] = n - seen.sum()
+            seen = np.zeros(widths.get(lang, 0), np.int64)
+            for form in forms.get(lang, {}).keys() & first_of.keys():
+                seen[forms[lang][form]] += times[first_of[form]]
+            seen[-1:] = n - seen[:-1].sum()
             for name, v in zip(out, (n, len(text) - sum(map(text.count, WHITE)), sum(map(text.count, SYMBOLS)),
                                      len(lines) - len(set(lines)), repeated_words(first), class_counts(text), seen)):
                 out[name].append(v)
@@ -145,52 +185,41 @@ def measure(df: DataFrame, common_words: dict[str, str] = COMMON_WORDS) -> DataF
 
     counts = T.ArrayType(T.LongType())
     return append_columns(df, run, [*((n, T.LongType()) for n in BASE), ("q_classes", counts), ("q_words", counts)],
-                          ["text"])
+                          ["lang", "text"])
 
 
 def references(measured: DataFrame, common_words: dict[str, str] = COMMON_WORDS) -> dict:
-    """Both histograms summed over all documents, per listed language and for the whole corpus
-    (key None).  One row per language and histogram reaches the driver."""
-    width = {"q_classes": len(CLASSES), "q_words": len(vocabulary(common_words)) + 1}
-    lang = F.when(F.col("lang").isin(list(common_words)), F.col("lang"))
+    """Both histograms per language of ``common_words``, summed over all its usable documents.  One row
+    per language reaches the driver."""
+    words = {lang: len(w.split()) + 1 for lang, w in common_words.items()}
+    width = {"q_classes": len(CLASSES), "q_words": max(words.values(), default=1)}
     sums = [F.sum(F.get(F.col(c), F.lit(i))).alias(f"{c}{i}") for c, n in width.items() for i in range(n)]
-    out = {r["lang"]: {c: np.array([r[f"{c}{i}"] or 0 for i in range(n)], float) for c, n in width.items()}
-           for r in measured.groupBy(lang.alias("lang")).agg(*sums).collect()}
-    if out:
-        out[None] = {c: sum(x[c] for x in out.values()) for c in width}
-    return out
+    rows = measured.filter(usable() & F.col("lang").isin(list(common_words))).groupBy("lang").agg(*sums).collect()
+    return {r["lang"]: {c: np.array([r[f"{c}{i}"] or 0 for i in range(n)], float)
+                        for c, n in (("q_classes", len(CLASSES)), ("q_words", words[r["lang"]]))} for r in rows}
 
 
 JUDGED = [("js_class", T.DoubleType()), ("js_word", T.DoubleType()), ("base_failed", T.BooleanType()),
           ("kept", T.BooleanType())]
 
 
-def judge(measured: DataFrame, refs: dict, max_class: float = 0.30, word_share: float = 0.6, min_words: int = 50,
-          common_words: dict[str, str] = COMMON_WORDS) -> DataFrame:
+def judge(measured: DataFrame, refs: dict, max_class: float = 0.30, word_share: float = 0.6,
+          min_words: int = MIN_WORDS) -> DataFrame:
     """Append both distances, ``base_failed`` and ``kept`` to measured documents.  ``min_words`` is
-    the length guard of the distances, ``word_share`` the share of :func:`word_limit`.  A language's own words count one by one, all else as the
-    rest, so that references of different languages do not blur each other."""
-    vocab = vocabulary(common_words)
-    own = {x: np.array([i for i, w in enumerate(vocab) if w in set(words.split())])
-           for x, words in common_words.items()}
-    own[None] = np.arange(len(vocab))
-
-    def narrow(counts, lang):
-        return np.append(counts[own[lang]], counts.sum() - counts[own[lang]].sum())
-
-    at = {x: (r["q_classes"], narrow(r["q_words"], x)) for x, r in refs.items()}
+    the length guard of the distances, ``word_share`` the share of :func:`word_limit`.  Documents whose
+    language has no reference are left to the base rules, their distances are null."""
 
     def run(langs, n_words, repeated, classes, words):
         out = {n: [] for n, _ in JUDGED}
         for lang, n, again, c, w in zip(langs, n_words, repeated, classes, words):
-            failed = n < 50 or 100 * again > 50 * n
-            js_class = js_word = limit = None
-            if n >= min_words:
-                lang = lang if lang in at and lang in own else None
-                js_class = round(js_distance(np.array(c), at[lang][0]), 6)
-                js_word = round(js_distance(narrow(np.array(w), lang), at[lang][1]), 6)
-                limit = word_limit(at[lang][1], n, word_share)
-            kept = not failed and not (js_class is not None and (js_class > max_class or js_word > limit))
+            failed = n < MIN_WORDS or 100 * again > 50 * n
+            js_class = js_word = None
+            kept = not failed
+            if n >= min_words and lang in refs:
+                ref = refs[lang]
+                js_class = round(js_distance(np.array(c), ref["q_classes"]), 6)
+                js_word = round(js_distance(np.array(w), ref["q_words"]), 6)
+                kept = kept and js_class <= max_class and js_word <= word_limit(ref["q_words"], n, word_share)
             for field, v in zip(out, (js_class, js_word, failed, kept)):
                 out[field].append(v)
         return out
@@ -204,8 +233,9 @@ def typed(docs: DataFrame) -> DataFrame:
 
 def op9_quality_divergence(spark, sf_dir: str) -> DataFrame:
     docs = typed(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "lang", "text")
-    measured = materialise(measure(docs).drop("text"), "quality")
-    return judge(measured, references(measured)).select("doc_id", *BASE, *(n for n, _ in JUDGED))
+    words = COMMON_WORDS | words_in_data(docs)
+    measured = materialise(measure(docs, words).drop("text"), "quality")
+    return judge(measured, references(measured, words)).select("doc_id", *BASE, *(n for n, _ in JUDGED))
 
 
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -213,6 +243,7 @@ def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     pass and the verdicts another, so no copy of the corpus is written between them."""
     other = {c: f"row{i}" for i, c in enumerate(docs.columns) if c not in ("lang", "text")}  # no name can clash
     rows = typed(docs).select("lang", "text", *(F.col(c).alias(n) for c, n in other.items()))
-    refs = references(measure(typed(docs).select("lang", "text")))
-    judged = judge(measure(rows), refs).filter("kept")
+    words = COMMON_WORDS | words_in_data(typed(docs))
+    refs = references(measure(typed(docs).select("lang", "text"), words), words)
+    judged = judge(measure(rows, words), refs).filter("kept")
     return judged.select(*(F.col(other.get(c, c)).alias(c) for c in docs.columns))

@@ -78,7 +78,7 @@ def test_quality_odd_rows(spark, make_docs):
     docs = make_docs(ODD + [(None, "the of and " * 40, None)])
     measured = quality.measure(quality.typed(docs))
     out = quality.judge(measured, quality.references(measured)).collect()
-    assert len(out) == len(ODD) + 1 and not any(r["kept"] for r in out)
+    assert len(out) == len(ODD) + 1 and not any(r["kept"] for r in out) and quality.words_in_data(docs) == {}
     empty = docs.limit(0)
     assert quality.judge(quality.measure(empty), quality.references(quality.measure(empty))).count() == 0
     assert quality.js_distance(np.array([1, 0]), np.array([0, 1])) == pytest.approx(1.0)
@@ -102,6 +102,30 @@ def test_quality_word_salad_and_wrong_language_go(spark, make_docs):
     assert all(r["js_class"] < 0.3 and r["kept"] == (r["doc_id"] < 1000) for r in got)
 
 
+def test_quality_of_languages_outside_the_list(spark, make_docs):
+    """Languages with enough documents get their own words and reference; the others keep to the base rules."""
+    rnd = random.Random(10)
+    own = {"it": "di che non la il un per sono una mi si ho lo con ma", "pl": "nie to się w na jest że z do co jak tak o mi ale",
+           "ru": "не и в что на я быть он с как это по но из у"}
+    letters = {"it": "abcdefgilmnoprstuvz", "pl": "abcdefgijklłmnoprsśtuwyzż", "ru": "абвгдеждиклмнопрстуфя"}
+
+    def text(lang, n, common=0.3):
+        words = own[lang].split()
+        return " ".join(rnd.choice(words) if rnd.random() < common else "".join(rnd.choices(letters[lang], k=6)) for _ in range(n))
+
+    clean = [(i, text(lang, rnd.choice((67, 84, 200))), lang) for i, lang in enumerate([*own] * 220)]
+    salad = [(10_000 + i, text(lang, 200, 0), lang) for i, lang in enumerate([*own] * 3)]
+    few = [(20_000 + i, text("it", 100, 0), lang) for i, lang in enumerate(("nl", "pt", None, "sv"))]
+    docs = make_docs(clean + salad + few)
+    words = quality.COMMON_WORDS | quality.words_in_data(quality.typed(docs))
+    assert set(own) <= set(words) and "nl" not in words and set(own["it"].split()) <= set(words["it"].split())
+    measured = quality.measure(quality.typed(docs), words)
+    got = rows_of(quality.judge(measured, quality.references(measured, words)))
+    assert [r["kept"] for r in got] == [r["doc_id"] < 10_000 or r["doc_id"] >= 20_000 for r in got]
+    staged = {r.doc_id for r in quality.quality_stage(spark, docs, "").collect()}
+    assert staged == {r["doc_id"] for r in got if r["kept"]}
+
+
 # -- near duplicates ---------------------------------------------------------
 
 def brute_components(rows, percent=85):
