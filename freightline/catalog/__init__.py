@@ -15,7 +15,7 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[QueryFn, str | None]] = {}
 
 _MODULES = ("demand", "cleaning", "quality", "calendar", "joins", "reshape", "carbon",
-            "ledger", "forecasting", "geo", "network", "routes", "models", "streams", "sources",
+            "ledger", "forecasting", "geo", "network", "graph", "routes", "models", "streams", "sources",
             "ledger_events", "feeds")
 
 

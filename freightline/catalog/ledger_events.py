@@ -143,26 +143,29 @@ def q_tk1(spark, sf):
 
 def _gn10_sql(rounds: int = 24) -> str:
     from .network import _PREP_BODY
-    parts = ["vw AS (SELECT src, dst, min(travel_time) AS w FROM ce WHERE profile = 'van' GROUP BY 1, 2)",
-             "a0 AS (SELECT node_id AS source, node_id AS node, 0.0 AS cost FROM nodes)"]
+    parts = ["vw AS (SELECT profile, src, dst, min(travel_time) AS w FROM ce GROUP BY 1, 2, 3)",
+             "a0 AS (SELECT p.profile, n.node_id AS source, n.node_id AS node, 0.0 AS cost FROM nodes n, (VALUES ('heavy_truck'), ('van')) p(profile))"]
     for i in range(1, rounds + 1):
-        parts.append(f"a{i} AS (SELECT source, node, min(cost) AS cost FROM (SELECT * FROM a{i-1} UNION ALL "
-                     f"SELECT a.source, e.dst, a.cost + e.w FROM a{i-1} a JOIN vw e ON a.node = e.src) GROUP BY 1, 2)")
+        parts.append(f"a{i} AS (SELECT profile, source, node, min(cost) AS cost FROM (SELECT * FROM a{i-1} UNION ALL "
+                     f"SELECT a.profile, a.source, e.dst, a.cost + e.w FROM a{i-1} a JOIN vw e ON a.profile = e.profile AND a.node = e.src) GROUP BY 1, 2, 3)")
     return (view_sql("edges", "nodes") + _PREP_BODY + ",\n" + ",\n".join(parts) + f""",
-bc AS (SELECT sv.node AS node_id, CAST(count(*) AS DOUBLE) AS betweenness FROM a{rounds} st
-       JOIN a{rounds} sv ON sv.source = st.source JOIN a{rounds} vt ON vt.source = sv.node AND vt.node = st.node
+bc AS (SELECT st.profile, sv.node AS node_id, CAST(count(*) AS DOUBLE) AS betweenness FROM a{rounds} st
+       JOIN a{rounds} sv ON sv.profile = st.profile AND sv.source = st.source
+       JOIN a{rounds} vt ON vt.profile = st.profile AND vt.source = sv.node AND vt.node = st.node
        WHERE sv.node <> st.source AND sv.node <> st.node AND abs(sv.cost + vt.cost - st.cost) <= 1e-6 * greatest(1.0, st.cost)
-       GROUP BY 1)
-SELECT node_id, betweenness, CAST(row_number() OVER (ORDER BY betweenness DESC, node_id) AS INTEGER) AS rank FROM bc
-ORDER BY betweenness DESC, node_id LIMIT 3""")
+       GROUP BY 1, 2),
+top AS (SELECT *, CAST(row_number() OVER (PARTITION BY profile ORDER BY betweenness DESC, node_id) AS INTEGER) AS rank FROM bc)
+SELECT profile, node_id, betweenness, rank FROM top WHERE rank <= 3""")
 
 
 @register("gn10_node_betweenness_top", _gn10_sql())
 def q_gn10(spark, sf):
-    """Betweenness by travel time on the van network, top 3 nodes."""
+    """Betweenness by travel time per vehicle profile, top 3 nodes of each.  No two paths of this network tie,
+    so the SQL counts whole paths; ``gn10_street_betweenness`` has ties."""
     from .network import prepared_edges
-    e = nw.constrained_edges(prepared_edges(spark, sf)).filter(F.col("profile") == "van")
+    e = nw.constrained_edges(prepared_edges(spark, sf))
     bc = nw.betweenness(e, view(spark, sf, "nodes"), "travel_time", groups=["profile"])
-    top = bc.drop("profile").orderBy(F.col("betweenness").desc(), "node_id").limit(3)  # a top-k report
     from pyspark.sql import Window
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.col("betweenness").desc(), "node_id")).cast("int"))
+    rank = F.row_number().over(Window.partitionBy("profile").orderBy(F.col("betweenness").desc(), "node_id"))
+    top = bc.withColumn("betweenness", F.round("betweenness", 6)).withColumn("rank", rank.cast("int"))
+    return top.filter("rank <= 3").select("profile", "node_id", "betweenness", "rank")  # a top-k report

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_km
 from ..plans import network as nw
+from ..plans.graph import shortest_path_labels
 from ..sources.views import view, view_sql
 from . import register
 from .joins import customer_points
@@ -87,8 +88,10 @@ def q_gn4(spark, sf):
     least composite cost and the number of shipments on it.  Unreachable pairs
     drop out (no path)."""
     from ..functions.numeric import round_half_up
-    sp = shipment_routes(spark, sf)
     od = view(spark, sf, "legs").groupBy("origin_nation", "dest_nation").agg(F.count(F.lit(1)).alias("n_shipments"))
+    profiles = F.explode(F.array(*[F.lit(p) for p in nw.VEHICLE_PROFILES])).alias("profile")
+    targets = od.select(F.col("origin_nation").alias("source"), F.col("dest_nation").alias("node"), profiles)
+    sp = shortest_path_labels(profile_edges(spark, sf), targets.select("profile", "source"), "w", ["profile"], targets=targets)
     j = od.join(sp, (od.origin_nation == sp.source) & (od.dest_nation == sp.node))
     return j.select("profile", "origin_nation", "dest_nation", round_half_up("cost", 4).alias("cost"), "n_shipments")
 
@@ -102,44 +105,67 @@ def q_gn5(spark, sf):
     return m.join(g, ["profile", "source", "node"])
 
 
+def service_reach(spark, sf):
+    """(profile, source, node, minutes): nodes within 10/20/30 hours of travel time on the undirected graph of
+    each profile from every shipping origin."""
+    legs = view(spark, sf, "legs")
+    origins = legs.select(F.col("origin_nation").alias("source")).distinct()
+    sources = origins.withColumn("profile", F.explode(F.array(*[F.lit(p) for p in nw.VEHICLE_PROFILES])))
+    e = nw.constrained_edges(prepared_edges(spark, sf))
+    reach = shortest_path_labels(e, sources, "travel_time", ["profile"], undirected=True, max_cost=30 * 3600.0)
+    return reach.withColumn("minutes", F.explode(F.array(F.lit(600), F.lit(1200), F.lit(1800)))).filter(F.col("cost") <= F.col("minutes") * 60.0)
+
+
 @register("gn7_service_areas")
 def q_gn7(spark, sf):
-    """Nodes reachable within 10/20/30 hours of travel time on the undirected
-    heavy-truck graph from every shipping origin, and their convex hull."""
-    legs = view(spark, sf, "legs")
-    origins = legs.select(F.col("origin_nation").alias("source")).distinct().withColumn("profile", F.lit("heavy_truck"))
-    e = nw.constrained_edges(prepared_edges(spark, sf)).filter(F.col("profile") == "heavy_truck")
-    sp = nw.shortest_paths(e, origins, "travel_time", groups=["profile"], undirected=True, max_cost=30 * 3600.0)
-    x = sp.withColumn("minutes", F.explode(F.array(F.lit(600), F.lit(1200), F.lit(1800)))).filter(F.col("cost") <= F.col("minutes") * 60.0)
+    """Service areas per profile, origin and time: number of nodes and their convex hull."""
+    x = service_reach(spark, sf)
     pts = x.join(view(spark, sf, "nodes").select(F.col("node_id").alias("node"), "lat", "lon"), "node")
-    hull = nw.convex_hulls(pts, ["source", "minutes"])
-    cnt = x.groupBy("source", "minutes").agg(F.count(F.lit(1)).alias("n_nodes"))
-    return cnt.join(hull, ["source", "minutes"])
+    keys = ["profile", "source", "minutes"]
+    hull = nw.convex_hulls(pts, keys)
+    return x.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_nodes")).join(hull, keys)
 
 
 def _reach_sql(rounds: int = 24) -> str:
-    parts = ["ue AS (SELECT src, dst, min(travel_time) AS w FROM (SELECT src, dst, travel_time FROM ce WHERE profile = 'heavy_truck' "
-             "UNION ALL SELECT dst, src, travel_time FROM ce WHERE profile = 'heavy_truck') GROUP BY 1, 2)",
-             "r0 AS (SELECT node_id AS source, node_id AS node, 0.0 AS cost FROM nodes)"]
+    parts = ["ue AS (SELECT profile, src, dst, min(travel_time) AS w FROM (SELECT profile, src, dst, travel_time FROM ce "
+             "UNION ALL SELECT profile, dst, src, travel_time FROM ce) GROUP BY 1, 2, 3)",
+             "r0 AS (SELECT p.profile, n.node_id AS source, n.node_id AS node, 0.0 AS cost FROM nodes n, (VALUES ('heavy_truck'), ('van')) p(profile))"]
     for i in range(1, rounds + 1):
-        parts.append(f"r{i} AS (SELECT source, node, min(cost) AS cost FROM (SELECT * FROM r{i-1} UNION ALL "
-                     f"SELECT r.source, e.dst, r.cost + e.w FROM r{i-1} r JOIN ue e ON r.node = e.src) GROUP BY 1, 2)")
+        parts.append(f"r{i} AS (SELECT profile, source, node, min(cost) AS cost FROM (SELECT * FROM r{i-1} UNION ALL "
+                     f"SELECT r.profile, r.source, e.dst, r.cost + e.w FROM r{i-1} r JOIN ue e ON r.profile = e.profile AND r.node = e.src) GROUP BY 1, 2, 3)")
     return ",\n".join(parts)
 
 
-@register("gn7_reachable_node_counts", view_sql("edges", "nodes", "legs") + _PREP_BODY + ",\n" + _reach_sql() + """
-SELECT r.source, m.minutes, CAST(count(*) AS BIGINT) AS n_nodes
-FROM r24 r, (VALUES (600), (1200), (1800)) m(minutes)
-WHERE r.cost <= m.minutes * 60.0 AND r.source IN (SELECT DISTINCT origin_nation FROM legs) GROUP BY 1, 2""")
+_REACH = view_sql("edges", "nodes", "legs") + _PREP_BODY + ",\n" + _reach_sql() + """,
+x AS (SELECT r.profile, r.source, r.node, m.minutes FROM r24 r, (VALUES (600), (1200), (1800)) m(minutes)
+      WHERE r.cost <= m.minutes * 60.0 AND r.source IN (SELECT DISTINCT origin_nation FROM legs))"""
+
+
+@register("gn7_reachable_node_counts", _REACH + """
+SELECT profile, source, minutes, CAST(count(*) AS BIGINT) AS n_nodes FROM x GROUP BY 1, 2, 3""")
 def q_gn7c(spark, sf):
-    """Reachable-set sizes of the service areas (GN7) -- the exact part that
-    SQL can check; the hull polygons are checked in the property tests."""
-    legs = view(spark, sf, "legs")
-    origins = legs.select(F.col("origin_nation").alias("source")).distinct().withColumn("profile", F.lit("heavy_truck"))
-    e = nw.constrained_edges(prepared_edges(spark, sf)).filter(F.col("profile") == "heavy_truck")
-    sp = nw.shortest_paths(e, origins, "travel_time", groups=["profile"], undirected=True, max_cost=30 * 3600.0)
-    x = sp.withColumn("minutes", F.explode(F.array(F.lit(600), F.lit(1200), F.lit(1800)))).filter(F.col("cost") <= F.col("minutes") * 60.0)
-    return x.groupBy("source", F.col("minutes").cast("int").alias("minutes")).agg(F.count(F.lit(1)).alias("n_nodes"))
+    """Reachable-set sizes of the service areas (GN7) per profile."""
+    x = service_reach(spark, sf)
+    return x.groupBy("profile", "source", F.col("minutes").cast("int").alias("minutes")).agg(F.count(F.lit(1)).alias("n_nodes"))
+
+
+@register("gn7_hull_invariants", _REACH + """
+SELECT profile, source, minutes, CAST(count(*) AS BIGINT) AS inside, CAST(0 AS BIGINT) AS outside, TRUE AS ring_of_nodes FROM x GROUP BY 1, 2, 3""")
+def q_gn7h(spark, sf):
+    """Every reachable node lies in or on the hull of its service area, and every corner of the hull is one."""
+    keys = ["profile", "source", "minutes"]
+    pts = service_reach(spark, sf).join(view(spark, sf, "nodes").select(F.col("node_id").alias("node"), "lat", "lon"), "node")
+    hull = nw.convex_hulls(pts, keys)
+    ring = F.from_json("polygon", "type string, coordinates array<array<array<double>>>")["coordinates"][0]
+    sides = F.zip_with("ring", F.slice("ring", F.lit(2), F.size("ring")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    j = pts.join(hull.withColumn("ring", ring), keys)
+    left = F.transform(F.slice(sides, F.lit(1), F.size("ring") - 1), lambda s: (
+        (s["b"][0] - s["a"][0]) * (F.col("lat") - s["a"][1]) - (s["b"][1] - s["a"][1]) * (F.col("lon") - s["a"][0])))
+    on = F.exists("ring", lambda p: (p[0] == F.col("lon")) & (p[1] == F.col("lat")))
+    j = j.withColumns({"is_in": (F.col("n_vertices") < 3) | F.forall(left, lambda c: c >= -1e-9), "corner": on})
+    return j.groupBy(*[F.col(k).cast("int").alias(k) if k == "minutes" else F.col(k) for k in keys]).agg(
+        F.count_if("is_in").alias("inside"), F.count_if(~F.col("is_in")).alias("outside"),
+        (F.count_if("corner") >= F.max("n_vertices")).alias("ring_of_nodes"))
 
 
 @register("gn11_connected_components_and_degree", view_sql("edges", "nodes") + ",\nl0 AS (SELECT node_id AS node, node_id AS label FROM nodes),\n" +

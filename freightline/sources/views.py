@@ -158,6 +158,21 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
                                         ((F.col("place_id") * 137) % 500).cast("double").alias("elevation"))
 
 
+def streets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directed street segments between delivery stops (customers), both ways, so the graph grows with the
+    table: every stop hangs on another, and every fifth closes a loop with its neighbour.  Minutes are whole
+    numbers, so paths tie; some segments are closed to heavy trucks."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("bigint").alias("c"))
+    up = c.filter("c > 0").select(F.col("c").alias("a"), F.floor((F.col("c") - 1) / 2).cast("bigint").alias("b"))
+    ring = c.filter("c % 5 = 0").select((F.col("c") + 1).alias("b"), F.col("c").alias("a"))
+    ring = ring.join(c.select(F.col("c").alias("b")), "b").select("a", "b")
+    pairs = up.unionByName(ring)
+    both = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), "a", "b").unionByName(
+        pairs.select(F.col("b").alias("src"), F.col("a").alias("dst"), "a", "b"))
+    return both.select("src", "dst", ((F.col("a") * 7 + F.col("b") * 13) % 9 + 1).cast("double").alias("minutes"),
+                       ((F.col("a") + F.col("b")) % 11 == 0).alias("closed"))
+
+
 def sensor(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     return ev.select(
@@ -223,6 +238,12 @@ FROM (SELECT DISTINCT src, dst FROM (
 JOIN places a ON c.src = a.place_id JOIN places b ON c.dst = b.place_id""", ("places",)),
     "nodes": ("""
 SELECT place_id AS node_id, lat, lon, CAST((place_id * 137) % 500 AS DOUBLE) AS elevation FROM places""", ("places",)),
+    "streets": ("""
+SELECT src, dst, CAST((a * 7 + b * 13) % 9 + 1 AS DOUBLE) AS minutes, (a + b) % 11 = 0 AS closed
+FROM (SELECT a AS src, b AS dst, a, b FROM street_pairs UNION ALL SELECT b, a, a, b FROM street_pairs)""", ("street_pairs",)),
+    "street_pairs": ("""
+SELECT c_custkey AS a, (c_custkey - 1) // 2 AS b FROM customer WHERE c_custkey > 0
+UNION ALL SELECT x.c_custkey, y.c_custkey FROM customer x JOIN customer y ON y.c_custkey = x.c_custkey + 1 WHERE x.c_custkey % 5 = 0""", ()),
     "sensor": ("""
 SELECT event_id, user_id AS device_id, event_type AS sensor_type, value, ts, user_id AS shipment_id, props
 FROM events""", ()),
@@ -254,7 +275,7 @@ def view_sql(*names: str) -> str:
 
 VIEWS = {
     "places": places, "demand": demand, "shipments": shipments, "legs": legs,
-    "edges": edges, "nodes": nodes, "sensor": sensor, "ledger": ledger, "damage": damage,
+    "edges": edges, "nodes": nodes, "streets": streets, "sensor": sensor, "ledger": ledger, "damage": damage,
 }
 
 

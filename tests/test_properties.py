@@ -1,4 +1,5 @@
 """Property tests: operators against brute force / pandas / numpy on small inputs."""
+import json
 import math
 import random
 
@@ -291,6 +292,17 @@ def test_betweenness_matches_path_counts(spark):
     assert all(r.betweenness > 0 for r in sampled)
 
 
+def test_convex_hulls_merge_over_blocks(spark):
+    """Hulls of 3,000 points from blocks of 100 equal those from one block; a circle of corners ends too."""
+    rng = np.random.default_rng(3)
+    angle = np.linspace(0, 2 * np.pi, 500, endpoint=False)
+    rows = [("a", float(x), float(y)) for x, y in rng.normal(size=(3000, 2))] + [("b", float(np.cos(t)), float(np.sin(t))) for t in angle]
+    df = spark.createDataFrame(rows, "key string, lat double, lon double")
+    one = {r.key: json.loads(r.polygon)["coordinates"][0] for r in nw.convex_hulls(df, ["key"]).collect()}
+    many = {r.key: json.loads(r.polygon)["coordinates"][0] for r in nw.convex_hulls(df, ["key"], block=100).collect()}
+    assert one == many
+
+
 def test_convex_hulls_contain_all_points(spark):
     import json
     rnd = random.Random(5)
