@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import round_half_up, round_significant, round_significant_sql
 from ..operators import aggregates as ag
 from ..operators import windows as wn
+from ..plans import crossval as cv
 from ..plans import forecast as fc
 from ..plans import scaling as sc
 from ..session import scratch_path
@@ -223,39 +224,47 @@ def q_fc4(spark, sf):
     return daily_demand(spark, sf).select("series_id", "ds", (F.month("ds") * 2 + 10).cast("bigint").alias("regressor"))
 
 
-def _cv(spark, sf, spec, priors=None, horizon=30, initial=365, period=30):
-    """Forecasts and truth of every series and cutoff; with ``priors``, of every candidate too."""
-    d = daily_demand(spark, sf)
-    c = fc.cutoffs(d, K, "ds", initial, period, horizon)
-    hist = d.join(c, K).filter(F.col("ds") <= F.col("cutoff"))
-    truth = d.join(c, K).filter((F.col("ds") > F.col("cutoff")) & (F.col("ds") <= F.date_add("cutoff", horizon)))
-    hist, truth = fc.spread(hist, *K, "cutoff"), fc.spread(truth, *K, "cutoff")
-    m = fc.fit_forecaster(hist, K + ["cutoff"], spec=spec, priors=priors)
-    p = fc.predict(m, K + ["cutoff"], future=truth.select(*K, "cutoff", "ds"), spec=spec)
-    return p.join(truth, K + ["cutoff", "ds"])
-
-
 @register("fc5_cross_validated_metrics")
 def q_fc5(spark, sf):
-    u = _cv(spark, sf, fc.supply_chain_spec())
+    """Rolling-origin cross-validation (30-day horizon and period) in the production settings."""
+    u = cv.cross_validate(daily_demand(spark, sf), K, spec=fc.supply_chain_spec())
     per_cut = ag.forecast_accuracy(u, K + ["cutoff"])
     return per_cut.groupBy(*K).agg(*[F.avg(c).alias(c) for c in ("mae", "rmse", "mape", "coverage")])
 
 
+_T = "((d.ds - c.t0) / CAST(c.span AS DOUBLE))"
+_HINGE = [f"greatest(0.0, {_T} - {0.8 * (k + 1) / 6!r})" for k in range(5)]
+
+
+@register("fc5_gram_cells", _DAILY_SQL + f""",
+ext AS (SELECT series_id, min(ds) AS t0, max(ds) AS t1 FROM daily GROUP BY 1),
+cuts AS (SELECT series_id, t0, CAST(unnest(generate_series(t0 + INTERVAL 365 DAY, t1 - INTERVAL 30 DAY, INTERVAL 30 DAY)) AS DATE) AS cutoff FROM ext),
+c AS (SELECT *, cutoff - t0 AS span FROM cuts)
+SELECT c.series_id, c.cutoff, {R.format(f'sum({_T})')} AS intercept_trend, {R.format(f'sum({_T} * {_T})')} AS trend_trend,
+  {R.format(f'sum({_HINGE[0]} * {_HINGE[0]})')} AS cp0_cp0, {R.format(f'sum({_HINGE[1]} * {_HINGE[3]})')} AS cp1_cp3,
+  {R.format(f'sum({_T} * {_HINGE[4]})')} AS trend_cp4, {R.format(f'sum({_HINGE[2]})')} AS intercept_cp2,
+  {R.format(f'sum(d.y * {_T})')} AS rhs_trend, {R.format(f'sum(d.y * {_HINGE[1]})')} AS rhs_cp1, TRUE AS solved
+FROM c JOIN daily d ON d.series_id = c.series_id AND d.ds <= c.cutoff GROUP BY c.series_id, c.cutoff""")
+def q_fc5_cells(spark, sf):
+    """Cells of the Gram matrix of every series and cutoff as the prefix sums give them, and whether the
+    solution satisfies the normal equations."""
+    g = cv.gram_cells(daily_demand(spark, sf), K)
+    cells = [c for c in g.columns if c not in (*K, "cutoff", "residual")]
+    return g.select(*K, "cutoff", *[round_half_up(c, 4).alias(c) for c in cells], (F.col("residual") < 1e-8).alias("solved"))
+
+
 @register("fc6_hyperparameter_search")
 def q_fc6(spark, sf):
-    """Seeded log-uniform draws of the three prior scales in both seasonality modes, all evaluated by
-    rolling-origin CV in one job; best by RMSE.  A mode's candidates share one Gram matrix per series
-    and cutoff: a prior only enters the solve."""
+    """Guided search over 100 seeded log-uniform draws of the three prior scales, both seasonality modes, by
+    successive halving on rolling-origin cutoffs; best by RMSE over all cutoffs."""
     import random
     rng = random.Random(42)
-    draws = [[math.exp(rng.uniform(-5, 0)) for _ in range(3)] for _ in range(16)]
-    runs = [_cv(spark, sf, fc.supply_chain_spec(growth="linear", seasonality_mode=mode),
-                {f"{mode}_{i:02d}_" + "_".join(f"{x:.4f}" for x in scales): scales for i, scales in enumerate(draws)})
-            for mode in ("additive", "multiplicative")]
-    m = ag.forecast_accuracy(runs[0].unionByName(runs[1]), K + ["candidate"])
-    return m.groupBy(*K).agg(F.min_by("candidate", F.struct("rmse", "candidate")).alias("best_candidate"),
-                             F.min("rmse").alias("best_rmse"))
+    candidates = {}
+    for i in range(100):
+        scales = [math.exp(rng.uniform(-5, 0)) for _ in range(3)]
+        mode = ("additive", "multiplicative")[i % 2]
+        candidates[f"{mode}_{i:02d}_" + "_".join(f"{x:.4f}" for x in scales)] = (mode, scales)
+    return cv.search(daily_demand(spark, sf), K, candidates, spec=fc.supply_chain_spec(growth="linear"))
 
 
 @register("fc7_multi_horizon_window_regression")
