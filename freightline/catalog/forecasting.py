@@ -294,11 +294,11 @@ def q_fc8(spark, sf):
 
 
 @register("fc9_weighted_ensemble", _DAILY_SQL + f""",
-fa AS (SELECT series_id, ds + 7 AS ds, y AS f7 FROM daily),
-fb AS (SELECT series_id, ds + 14 AS ds, y AS f14 FROM daily)
-SELECT coalesce(a.series_id, b.series_id) AS series_id, coalesce(a.ds, b.ds) AS ds,
-  {R.format("(coalesce(a.f7 * 0.4, 0) + coalesce(b.f14 * 0.6, 0)) / (CASE WHEN a.f7 IS NOT NULL THEN 0.4 ELSE 0 END + CASE WHEN b.f14 IS NOT NULL THEN 0.6 ELSE 0 END)")} AS ensemble
-FROM fa a FULL OUTER JOIN fb b ON a.series_id = b.series_id AND a.ds = b.ds""")
+fab AS (SELECT series_id, ds, max(f7) AS f7, max(f14) AS f14 FROM (
+  SELECT series_id, ds + 7 AS ds, y AS f7, NULL AS f14 FROM daily UNION ALL SELECT series_id, ds + 14, NULL, y FROM daily) GROUP BY 1, 2)
+SELECT series_id, ds,
+  {R.format("(coalesce(f7 * 0.4, 0) + coalesce(f14 * 0.6, 0)) / (CASE WHEN f7 IS NOT NULL THEN 0.4 ELSE 0 END + CASE WHEN f14 IS NOT NULL THEN 0.6 ELSE 0 END)")} AS ensemble
+FROM fab""")
 def q_fc9(spark, sf):
     d = daily_demand(spark, sf)
     a = d.select("series_id", F.date_add("ds", 7).alias("ds"), F.col("y").alias("f7"))

@@ -80,8 +80,9 @@ def naive_forecast(spark, sf, shift_days: int, name: str):
 
 
 @register("jn3_inner_join_truth_forecast", _DAILY_SQL + """
-SELECT t.series_id, t.ds, round(t.y, 4) AS y, round(f.y, 4) AS yhat FROM daily t
-JOIN daily f ON t.series_id = f.series_id AND t.ds = f.ds + 7""")
+SELECT series_id, ds, round(max(y), 4) AS y, round(max(yhat), 4) AS yhat FROM (
+  SELECT series_id, ds, y, NULL AS yhat FROM daily UNION ALL SELECT series_id, ds + 7, NULL, y FROM daily)
+GROUP BY 1, 2 HAVING count(y) > 0 AND count(yhat) > 0""")
 def q_jn3(spark, sf):
     t = daily_demand(spark, sf)
     f = naive_forecast(spark, sf, 7, "yhat")
@@ -89,13 +90,10 @@ def q_jn3(spark, sf):
 
 
 @register("jn4_full_outer_forecasts_ensemble", _DAILY_SQL + """,
-fa AS (SELECT series_id, ds + 7 AS ds, y AS f7 FROM daily),
-fb AS (SELECT series_id, ds + 14 AS ds, y AS f14 FROM daily)
-SELECT coalesce(a.series_id, b.series_id) AS series_id, coalesce(a.ds, b.ds) AS ds, round(a.f7, 4) AS f7,
-  round(b.f14, 4) AS f14,
-  round(CASE WHEN a.f7 IS NULL AND b.f14 IS NULL THEN NULL
-        ELSE (coalesce(a.f7, 0) + coalesce(b.f14, 0)) / ((a.f7 IS NOT NULL)::INT + (b.f14 IS NOT NULL)::INT) END, 4) AS ensemble
-FROM fa a FULL OUTER JOIN fb b ON a.series_id = b.series_id AND a.ds = b.ds""")
+fab AS (SELECT series_id, ds, max(f7) AS f7, max(f14) AS f14 FROM (
+  SELECT series_id, ds + 7 AS ds, y AS f7, NULL AS f14 FROM daily UNION ALL SELECT series_id, ds + 14, NULL, y FROM daily) GROUP BY 1, 2)
+SELECT series_id, ds, round(f7, 4) AS f7, round(f14, 4) AS f14,
+  round((coalesce(f7, 0) + coalesce(f14, 0)) / ((f7 IS NOT NULL)::INT + (f14 IS NOT NULL)::INT), 4) AS ensemble FROM fab""")
 def q_jn4(spark, sf):
     from ..plans.forecast import ensemble_mean
     a = naive_forecast(spark, sf, 7, "f7")
