@@ -72,10 +72,10 @@ class ChunkTokens(dict):
         return struct.pack(f"<{len(found)}I", *found)
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         if self.SIMPLE.fullmatch(chunk):
-            if len(self.words) > 400_000:
+            if len(self.words) > 200_000:
                 self.words.clear()
             out = b""
             for w in self.SPLIT.findall(chunk.lower()):

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections import Counter
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -157,10 +158,8 @@ def words_in_data(docs: DataFrame, listed: dict[str, str] = COMMON_WORDS) -> dic
     return {lang: " ".join(words) for lang, words in found.items()}
 
 
-def measure(df: DataFrame, common_words: dict[str, str] = COMMON_WORDS) -> DataFrame:
-    """Append the base metrics and both histograms (``q_classes``; ``q_words``: the common words of the
-    document's language one by one, the last entry all other words; empty for other languages) to
-    documents with ``lang`` and ``text``; no row moves."""
+def measurer(common_words: dict[str, str]) -> Callable[[list, list], dict]:
+    """Base metrics and both histograms of a batch of languages and texts."""
     forms = {lang: spellings(words.split()) for lang, words in common_words.items()}
     widths = {lang: len(words.split()) + 1 for lang, words in common_words.items()}
 
@@ -183,8 +182,15 @@ def measure(df: DataFrame, common_words: dict[str, str] = COMMON_WORDS) -> DataF
                 out[name].append(v)
         return out
 
+    return run
+
+
+def measure(df: DataFrame, common_words: dict[str, str] = COMMON_WORDS) -> DataFrame:
+    """Append the base metrics and both histograms (``q_classes``; ``q_words``: the common words of the
+    document's language one by one, the last entry all other words; empty for other languages) to
+    documents with ``lang`` and ``text``; no row moves."""
     counts = T.ArrayType(T.LongType())
-    return append_columns(df, run, [*((n, T.LongType()) for n in BASE), ("q_classes", counts), ("q_words", counts)],
+    return append_columns(df, measurer(common_words), [*((n, T.LongType()) for n in BASE), ("q_classes", counts), ("q_words", counts)],
                           ["lang", "text"])
 
 
@@ -203,12 +209,8 @@ JUDGED = [("js_class", T.DoubleType()), ("js_word", T.DoubleType()), ("base_fail
           ("kept", T.BooleanType())]
 
 
-def judge(measured: DataFrame, refs: dict, max_class: float = 0.30, word_share: float = 0.6,
-          min_words: int = MIN_WORDS) -> DataFrame:
-    """Append both distances, ``base_failed`` and ``kept`` to measured documents.  ``min_words`` is
-    the length guard of the distances, ``word_share`` the share of :func:`word_limit`.  Documents whose
-    language has no reference are left to the base rules, their distances are null."""
-
+def judge_of(refs: dict, max_class: float = 0.30, word_share: float = 0.6, min_words: int = MIN_WORDS) -> Callable[..., dict]:
+    """Distances and verdicts of a batch of measured documents; see :func:`judge`."""
     def run(langs, n_words, repeated, classes, words):
         out = {n: [] for n, _ in JUDGED}
         for lang, n, again, c, w in zip(langs, n_words, repeated, classes, words):
@@ -224,7 +226,15 @@ def judge(measured: DataFrame, refs: dict, max_class: float = 0.30, word_share:
                 out[field].append(v)
         return out
 
-    return append_columns(measured, run, JUDGED, ["lang", "n_words", "n_repeat_words", "q_classes", "q_words"])
+    return run
+
+
+def judge(measured: DataFrame, refs: dict, **limits) -> DataFrame:
+    """Append both distances, ``base_failed`` and ``kept`` to measured documents.  Of the limits, ``min_words``
+    is the length guard of the distances, ``max_class`` the largest class distance, ``word_share`` the share
+    of :func:`word_limit`.  Documents whose language has no reference are left to the base rules, their
+    distances are null."""
+    return append_columns(measured, judge_of(refs, **limits), JUDGED, ["lang", "n_words", "n_repeat_words", "q_classes", "q_words"])
 
 
 def typed(docs: DataFrame) -> DataFrame:
@@ -245,5 +255,11 @@ def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = typed(docs).select("lang", "text", *(F.col(c).alias(n) for c, n in other.items()))
     words = COMMON_WORDS | words_in_data(typed(docs))
     refs = references(measure(typed(docs).select("lang", "text"), words), words)
-    judged = judge(measure(rows, words), refs).filter("kept")
+    measured, verdict = measurer(words), judge_of(refs)
+
+    def run(langs, texts):
+        m = measured(langs, texts)
+        return {"kept": verdict(langs, m["n_words"], m["n_repeat_words"], m["q_classes"], m["q_words"])["kept"]}
+
+    judged = append_columns(rows, run, [("kept", T.BooleanType())], ["lang", "text"]).filter("kept")
     return judged.select(*(F.col(other.get(c, c)).alias(c) for c in docs.columns))
