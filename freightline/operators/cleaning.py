@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .quantiles import exact_quantiles
+
 
 def replace_sentinel(df: DataFrame, sentinel: str = "N/A", cols: Sequence[str] | None = None) -> DataFrame:
     """Sentinel text -> null in every (or the given) string column (PRJ1)."""
@@ -15,14 +17,10 @@ def replace_sentinel(df: DataFrame, sentinel: str = "N/A", cols: Sequence[str] |
 
 
 def exact_median(df: DataFrame, col: str) -> Column:
-    """Exact global median (linear interpolation) as a scalar subquery.
-
-    Values are first counted per distinct value (a distributed, map-side
-    combined aggregate); the final ``percentile`` with a frequency argument
-    then holds one entry per distinct value, not one per row.
-    """
-    counts = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
-    return counts.agg(F.percentile(F.col(col), F.lit(0.5), F.col("_n"))).scalar()
+    """Exact global median (linear interpolation) as a literal; null without values.  Found by selection over
+    counted bins (:mod:`quantiles`), so no task holds the distinct values."""
+    row = exact_quantiles(df, col, [0.5]).first()
+    return F.lit(row["q"][0] if row else None).cast("double")
 
 
 def fill_with_median(df: DataFrame, col: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Feature scaling with whole-table parameters (ML1-ML4).
 
-Parameters are one-row aggregates used as scalar subqueries; nothing is
-collected and no join against a one-row frame is planned.  Fitted
+Parameters are one-row aggregates used as scalar subqueries (the quantiles of
+the robust scaler are three numbers); nothing that grows is collected and no join against a one-row frame is planned.  Fitted
 parameters can be written as a small Parquet table and applied later (ML4).
 """
 from __future__ import annotations
@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.quantiles import exact_quantiles
+
 
 def _parameters(df: DataFrame, cols: Sequence[str], functions: dict) -> Column:
     """All parameters of all columns from one aggregate: a struct-valued scalar
@@ -29,17 +31,13 @@ def standard_scale(df: DataFrame, cols: Sequence[str], suffix: str = "_std") ->
 
 
 def robust_scale(df: DataFrame, cols: Sequence[str], suffix: str = "_robust") -> DataFrame:
-    """(x - median) / (q75 - q25) with exact, interpolated quantiles (ML2).
-    Quantiles are computed from per-value counts, so the final aggregate holds
-    one entry per distinct value."""
+    """(x - median) / (q75 - q25) with exact, interpolated quantiles (ML2), found by selection over counted
+    bins, so no task holds the distinct values."""
     out = {}
     for c in cols:
-        counts = df.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
-        q = counts.agg(F.percentile(F.col(c), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("_n")).alias("q"))
-        q = q.scalar()
-        q25, med, q75 = q[0], q[1], q[2]
-        iqr = q75 - q25
-        out[c + suffix] = (F.col(c) - med) / F.when(iqr == 0, F.lit(1.0)).otherwise(iqr)
+        row = exact_quantiles(df, c, [0.25, 0.5, 0.75]).first()
+        q25, med, q75 = row["q"] if row else (0.0, None, 0.0)
+        out[c + suffix] = (F.col(c) - F.lit(med).cast("double")) / ((q75 - q25) or 1.0)
     return df.withColumns(out)
 
 

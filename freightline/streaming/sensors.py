@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.quantiles import exact_quantiles
+
 SENSOR_MESSAGE_SCHEMA = T.StructType([
     T.StructField("device_id", T.StringType()),
     T.StructField("timestamp", T.TimestampType()),
@@ -56,13 +58,12 @@ def write_readings_batch(batch: DataFrame, batch_id: int, path: str) -> None:
 
 
 def learn_bounds(history: DataFrame) -> DataFrame:
-    """SS5 (our definition): per sensor type median and MAD of the value,
-    learnt in batch; exact percentiles from per-value counts."""
-    counts = history.groupBy("sensor_type", "value").agg(F.count(F.lit(1)).alias("_n"))
-    med = counts.groupBy("sensor_type").agg(F.percentile("value", F.lit(0.5), F.col("_n")).alias("median"))
-    dev = history.join(med, "sensor_type").withColumn("_d", F.abs(F.col("value") - F.col("median")))
-    dc = dev.groupBy("sensor_type", "median", "_d").agg(F.count(F.lit(1)).alias("_n"))
-    return dc.groupBy("sensor_type", "median").agg(F.percentile("_d", F.lit(0.5), F.col("_n")).alias("mad"))
+    """SS5 (our definition): per sensor type median and MAD of the value, learnt in batch; exact quantiles by
+    selection over counted bins, so a frequent type is spread over all tasks."""
+    med = exact_quantiles(history, "value", [0.5], ["sensor_type"]).select("sensor_type", F.col("q")[0].alias("median"))
+    dev = history.select("sensor_type", "value").join(med, "sensor_type").select("sensor_type", F.abs(F.col("value") - F.col("median")).alias("_d"))
+    mad = exact_quantiles(dev, "_d", [0.5], ["sensor_type"]).select("sensor_type", F.col("q")[0].alias("mad"))
+    return med.join(mad, "sensor_type")
 
 
 def detect_anomalies(readings: DataFrame, bounds: DataFrame, warn_z: float = 3.0, crit_z: float = 6.0) -> DataFrame:
