@@ -10,7 +10,9 @@ from ..operators import windows as wn
 from ..plans import crossval as cv
 from ..plans import forecast as fc
 from ..plans import scaling as sc
-from ..session import scratch_path
+from ..plans import windowmodel as wm
+from ..session import scratch_path, stored
+from ..sources.tables import table
 from ..sources.views import view, view_sql
 from . import register
 from .demand import _DAILY_SQL, daily_demand
@@ -94,6 +96,22 @@ def q_fc1(spark, sf):
     return g.select("series_id", "ds", F.round("y", 4).alias("y"))
 
 
+@register("fc1_weekly_monthly_grid_ffill", _GAPPY_SQL + """,
+ext AS (SELECT series_id, min(ds) AS lo, max(ds) AS hi FROM gappy GROUP BY 1),
+pgrid AS (SELECT series_id, 'W' AS freq, CAST(unnest(generate_series(lo + CAST((7 - isodow(lo)) % 7 AS INTEGER), hi, INTERVAL 7 DAY)) AS DATE) AS ds FROM ext
+  UNION ALL SELECT series_id, 'M', ds FROM (SELECT series_id, hi, last_day(CAST(unnest(generate_series(date_trunc('month', lo), hi, INTERVAL 1 MONTH)) AS DATE)) AS ds FROM ext)
+  WHERE ds <= hi)
+SELECT g.series_id, g.freq, g.ds, round(last_value(y.y IGNORE NULLS) OVER (PARTITION BY g.series_id, g.freq ORDER BY g.ds
+  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 4) AS y FROM pgrid g LEFT JOIN gappy y ON y.series_id = g.series_id AND y.ds = g.ds""")
+def q_fc1_grid(spark, sf):
+    """Missing dates at weekly and monthly frequency: the series on the grid, last known value carried on."""
+    g = gappy_demand(spark, sf)
+    grids = [ag.period_grid(g, K, "ds", f).withColumn("freq", F.lit(f)) for f in ("W", "M")]
+    on = grids[0].unionByName(grids[1]).join(g, K + ["ds"], "left")
+    w = Window.partitionBy(*K, "freq").orderBy("ds").rowsBetween(Window.unboundedPreceding, 0)
+    return on.select(*K, "freq", "ds", F.round(F.last("y", ignorenulls=True).over(w), 4).alias("y"))
+
+
 @register("wn7_time_interpolation", _GAPPY_SQL + """,
 nb AS (SELECT series_id, ds, y,
   last_value(CASE WHEN y IS NOT NULL THEN ds END IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY ds ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pt,
@@ -267,16 +285,77 @@ def q_fc6(spark, sf):
     return cv.search(daily_demand(spark, sf), K, candidates, spec=fc.supply_chain_spec(growth="linear"))
 
 
+LOOKBACK, PRICE_LAGS, HORIZON = 30, 7, 7
+#: 1, four calendar values, the demand's past, the price's past.
+WIDTH = 5 + LOOKBACK + PRICE_LAGS
+
+
+def priced_demand(spark, sf):
+    """Daily demand with the day's mean unit price (null on days without sales)."""
+    li = table(spark, sf, "lineitem").select("l_partkey", F.to_date("l_shipdate").alias("ds"), "l_quantity", "l_extendedprice")
+    part = table(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("series_id"))
+    price = li.join(part, li.l_partkey == part.p_partkey).groupBy("series_id", "ds").agg(
+        (F.sum("l_extendedprice") / F.sum("l_quantity")).alias("price"))
+    return daily_demand(spark, sf).select(*K, "ds", F.col("y").cast("double").alias("y")).join(price, K + ["ds"], "left")
+
+
+def demand_windows(spark, sf):
+    return stored(wm.windows(priced_demand(spark, sf), K, "ds", "y", ["price"], LOOKBACK, PRICE_LAGS, HORIZON), "windows")
+
+
+def _window_model(rows):
+    return stored(wm.fit_windows(rows.filter(F.size("target") == HORIZON), K, WIDTH, HORIZON), "window-model")
+
+
 @register("fc7_multi_horizon_window_regression")
 def q_fc7(spark, sf):
-    """Direct multi-horizon forecaster (lookback 30, horizons 1..7): one MLlib
-    ridge regression per horizon on the sliding windows of all series (normal
-    equations built in one distributed pass per fit); each series is then
-    forecast from its latest full window."""
-    from ..plans.forecast import fit_window_models, predict_window_models
-    d = daily_demand(spark, sf)
-    models = fit_window_models(d, K, "ds", "y", lookback=30, horizon=7)
-    return predict_window_models(d, K, "ds", "y", models, lookback=30)
+    """Direct multi-horizon forecaster: 30 days of demand, 7 of price and the calendar, robustly scaled per
+    series, all seven horizons from one Gram matrix; each series is forecast from its latest window."""
+    rows = demand_windows(spark, sf)
+    model = _window_model(rows)
+    latest = rows.join(rows.groupBy(*K).agg(F.max("ds").alias("ds")), K + ["ds"])
+    out = wm.apply_windows(latest, model, K, "ds", "y")
+    return out.select(*K, F.date_add("ds", F.col("horizon")).alias("ds"), "horizon", "yhat")
+
+
+def _gram(i, j):
+    return F.col("gram")[i * WIDTH + j]
+
+
+def _rhs(i, h):
+    return F.col("gram")[WIDTH * WIDTH + i * HORIZON + h - 1]
+
+
+@register("fc7_gram_cells", _DAILY_SQL + f""",
+pr AS (SELECT p.p_brand AS series_id, CAST(l.l_shipdate AS DATE) AS ds, sum(l.l_extendedprice) / sum(l.l_quantity) AS price
+       FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey GROUP BY 1, 2),
+dp AS (SELECT d.series_id, d.ds, CAST(d.y AS DOUBLE) AS y, CAST(pr.price AS DOUBLE) AS price FROM daily d LEFT JOIN pr ON pr.series_id = d.series_id AND pr.ds = d.ds),
+q AS (SELECT series_id, quantile_cont(y, [0.25, 0.5, 0.75]) AS qy, quantile_cont(price, [0.25, 0.5, 0.75]) AS qp FROM dp GROUP BY 1),
+s AS (SELECT dp.series_id, dp.ds, (y - qy[2]) / CASE WHEN qy[3] = qy[1] THEN 1 ELSE qy[3] - qy[1] END AS ys,
+        coalesce((price - qp[2]) / CASE WHEN qp[3] = qp[1] THEN 1 ELSE qp[3] - qp[1] END, 0) AS ps FROM dp JOIN q USING (series_id)),
+w AS (SELECT series_id, ds, ys, lag(ys, 29) OVER o AS y29, lag(ys, 1) OVER o AS y1, ps, lag(ps, 6) OVER o AS p6, lead(ys, 1) OVER o AS t1,
+        lead(ys, 3) OVER o AS t3, lead(ys, 7) OVER o AS t7 FROM s WINDOW o AS (PARTITION BY series_id ORDER BY ds))
+SELECT series_id, CAST(count(*) AS BIGINT) AS n, {R.format('sum(ys)')} AS one_last, {R.format('sum(y29 * ys)')} AS first_last,
+  {R.format('sum(ys * p6)')} AS last_price6, {R.format('sum(sin((isodow(ds) - 1) * (2 * pi() / 7)) * ps)')} AS weekday_price,
+  {R.format('sum(ys * t1)')} AS last_t1, {R.format('sum(y1 * t3)')} AS before_t3, {R.format('sum(p6 * t7)')} AS price6_t7, TRUE AS solved
+FROM w WHERE y29 IS NOT NULL AND t7 IS NOT NULL GROUP BY 1""")
+def q_fc7_cells(spark, sf):
+    """Sums behind the window models: cells of X'X and X'Y per series, and whether the solution satisfies the
+    normal equations of all horizons."""
+    last = 5 + LOOKBACK - 1
+    price = 5 + LOOKBACK
+    m = _window_model(demand_windows(spark, sf))
+    cells = {"one_last": _gram(0, last), "first_last": _gram(5, last), "last_price6": _gram(last, price),
+             "weekday_price": _gram(1, price + PRICE_LAGS - 1), "last_t1": _rhs(last, 1), "before_t3": _rhs(last - 1, 3), "price6_t7": _rhs(price, 7)}
+    return m.select(*K, "n", *[round_half_up(c, 4).alias(n) for n, c in cells.items()], (F.col("residual") < 1e-8).alias("solved"))
+
+
+@register("fc8_window_residual_quantiles")
+def q_fc8w(spark, sf):
+    """Exact residual quantiles of the window models per series and horizon."""
+    rows = demand_windows(spark, sf)
+    q = wm.horizon_quantiles(wm.apply_windows(rows, _window_model(rows), K, "ds", "y"), K)
+    return q.select(*K, "horizon", *[F.round(F.col("q")[i], 4).alias(n) for i, n in enumerate(("q10", "q50", "q90"))])
 
 
 @register("fc8_residual_quantiles", _PAIRS_SQL + f"""

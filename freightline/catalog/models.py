@@ -6,7 +6,7 @@ from ..functions.numeric import round_half_up
 from ..operators import aggregates as ag
 from ..operators import joins as jn
 from ..plans import disruption as dz
-from ..session import scratch_path
+from ..session import scratch_path, stored
 from ..sources.tables import table
 from ..sources.views import places, view, view_sql
 from . import register
@@ -44,7 +44,7 @@ def disruption_frame(spark, sf):
 
 @register("ml5_disruption_gbt_time_folds")
 def q_ml5(spark, sf):
-    return dz.cross_validate(disruption_frame(spark, sf), "ts", "event_id", k=5, max_iter=5)
+    return dz.cross_validate(stored(disruption_frame(spark, sf), "disruption"), "ts", "event_id", k=5, max_iter=5)
 
 
 _AUC_FRAME_SQL = view_sql("damage") + """,
@@ -74,7 +74,7 @@ def q_ml6(spark, sf):
 
 
 def _trained(spark, sf):
-    d = disruption_frame(spark, sf)
+    d = stored(disruption_frame(spark, sf), "disruption")  # the joins run once, not once per pass of the fit
     return dz.disruption_pipeline(max_iter=5).fit(d), d
 
 
@@ -96,7 +96,7 @@ def q_ml8(spark, sf):
 @register("ml9_permutation_importance")
 def q_ml9(spark, sf):
     model, d = _trained(spark, sf)
-    return dz.permutation_importance(model, d, ["daily_damage", "conflict_risk", "fuel_price"])
+    return dz.permutation_importance(model, d, dz.NUMERIC_FEATURES + dz.CATEGORICAL_FEATURES)
 
 
 @register("ml13_pipeline_save_load")

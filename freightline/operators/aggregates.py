@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from freightline.session import stored
+
 
 def calendar(df: DataFrame, keys: Sequence[str], date_col: str, step: str = "1 day") -> DataFrame:
     """Complete per-series calendar from each series' first to last date.
@@ -23,6 +25,23 @@ def calendar(df: DataFrame, keys: Sequence[str], date_col: str, step: str = "1 d
     return b.select(*keys, F.explode(F.sequence("_lo", "_hi", F.expr(f"INTERVAL {step}"))).alias(date_col))
 
 
+def period_grid(df: DataFrame, keys: Sequence[str], ds: str, freq: str) -> DataFrame:
+    """Every date of a frequency between each series' first and last date (FC1): ``D`` days, ``W`` Sundays,
+    ``M`` month ends."""
+    b = df.groupBy(*keys).agg(F.min(ds).alias("_lo"), F.max(ds).alias("_hi"))
+    if freq == "D":
+        dates = F.sequence("_lo", "_hi")
+    elif freq == "W":
+        first = F.date_add("_lo", (6 - F.weekday("_lo")).cast("int"))
+        dates = F.when(first <= F.col("_hi"), F.sequence(first, F.greatest(first, F.col("_hi")), F.expr("INTERVAL 7 DAYS")))
+    elif freq == "M":
+        months = F.sequence(F.trunc("_lo", "month"), F.trunc("_hi", "month"), F.expr("INTERVAL 1 MONTH"))
+        dates = F.filter(F.transform(months, lambda m: F.last_day(m)), lambda d: d <= F.col("_hi"))
+    else:
+        raise ValueError(f"unknown frequency {freq!r}")
+    return b.select(*keys, F.explode(dates).alias(ds))
+
+
 def daily_resample_sum(df: DataFrame, keys: Sequence[str], ts_col: str, value_col: str,
                        out_date: str = "ds", out_value: str = "y") -> DataFrame:
     """Daily sums per series with empty days filled by 0 (AG1)."""
@@ -91,7 +110,8 @@ def distributed_running_sum(df: DataFrame, order_col: str, value_cols: Sequence[
     unique (aggregate ties first)."""
     from pyspark.sql import Window
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    p = df.repartitionByRange(n, order_col).withColumn("_pid", F.spark_partition_id())
+    # written once: a range partitioning drawn anew could place rows otherwise than the totals say
+    p = stored(df.repartitionByRange(n, order_col).withColumn("_pid", F.spark_partition_id()), "running-sum")
     tot = p.groupBy("_pid").agg(*[F.sum(c).alias(f"_t_{c}") for c in value_cols])
     wpid = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     offs = tot.select("_pid", *[F.coalesce(F.sum(f"_t_{c}").over(wpid), F.lit(0)).alias(f"_o_{c}") for c in value_cols])

@@ -15,6 +15,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from freightline.session import stored
+
 ALERT_THRESHOLD = 0.35
 NUMERIC_FEATURES = ["daily_damage", "conflict_risk", "fuel_price", "day_of_week", "shipment_weight"]
 CATEGORICAL_FEATURES = ["carrier_type"]
@@ -45,7 +47,7 @@ def time_folds(df: DataFrame, ts: str, id_col: str, k: int = 5) -> DataFrame:
 
 
 def cross_validate(df: DataFrame, ts: str, id_col: str, k: int = 5, max_iter: int = 20) -> DataFrame:
-    """ML5: train on each expanding fold, ROC-AUC on its test block.  The fold
+    """ML5: train on each expanding fold, ROC-AUC on its test block; fold -1 is the mean.  The fold
     loop is a fixed small constant (k); each fit is a distributed MLlib job."""
     from ..session import run_concurrently
     folds = time_folds(df, ts, id_col, k).persist()
@@ -59,7 +61,7 @@ def cross_validate(df: DataFrame, ts: str, id_col: str, k: int = 5, max_iter: in
         return (f, float(ev.evaluate(model.transform(te))))
     rows = run_concurrently([lambda f=f: one(f) for f in range(k)], max_workers=k)
     folds.unpersist()
-    return spark.createDataFrame(rows, "fold INT, auc DOUBLE")
+    return spark.createDataFrame([*rows, (-1, sum(auc for _, auc in rows) / len(rows))], "fold INT, auc DOUBLE")
 
 
 def score(model: PipelineModel, df: DataFrame, threshold: float = ALERT_THRESHOLD) -> DataFrame:
@@ -93,22 +95,20 @@ def recommendations(importance: DataFrame) -> DataFrame:
                      .select("feature", "rank", "recommendation", "priority")
 
 
-def permuted_column(df: DataFrame, col: str, seed: int = 7, block_rows: int = 10000) -> DataFrame:
-    """Replace ``col`` by a random permutation of itself.  Rows are dealt into
-    random blocks of about ``block_rows``; inside a block the values are
-    re-paired by two independent random orders -- a distributed shuffle
-    without a global row number.  Blocks and orders are hashes of the whole
-    row, so both sides of the self join and a retried task agree; equal rows
-    are interchangeable."""
-    n = df.count()
-    blocks = max(1, n // block_rows)
+def numbered(df: DataFrame, by: Column, name: str) -> DataFrame:
+    """Rows with their number (from 0) in the order of ``by`` and ``_id``, over the whole table."""
+    from ..operators.aggregates import distributed_running_sum
+    d = distributed_running_sum(df.withColumns({"_ord": F.struct(by.alias("h"), "_id"), "_one": F.lit(1)}), "_ord", ["_one"])
+    return d.withColumnRenamed("_one_before", name).drop("_ord", "_one")
 
-    def draw(salt: int) -> Column:
-        return F.xxhash64(F.lit(salt), *[F.col(c) for c in df.columns])
-    d = df.withColumns({"_blk": F.pmod(draw(seed), F.lit(blocks)), "_r1": draw(seed + 1), "_r2": draw(seed + 2)})
-    d = d.withColumn("_i", F.row_number().over(Window.partitionBy("_blk").orderBy("_r1")))
-    vals = d.select("_blk", F.row_number().over(Window.partitionBy("_blk").orderBy("_r2")).alias("_i"), F.col(col).alias("_perm"))
-    return d.join(vals, ["_blk", "_i"]).drop(col, "_r1", "_r2", "_i", "_blk").withColumnRenamed("_perm", col)
+
+def permuted_column(df: DataFrame, col: str, seed: int = 7) -> DataFrame:
+    """Replace ``col`` by a random permutation of itself over the whole table: the rows and the values are
+    numbered by two independent random orders, range-partitioned, and joined by number."""
+    d = stored(df.withColumn("_id", F.monotonically_increasing_id()), "permute")
+    rows = numbered(d, F.xxhash64(F.lit(seed), "_id"), "_n")
+    values = numbered(d.select("_id", F.col(col).alias("_perm")), F.xxhash64(F.lit(seed + 1), "_id"), "_n").drop("_id")
+    return rows.join(values, "_n").drop(col, "_n", "_id").withColumnRenamed("_perm", col)
 
 
 def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -123,13 +123,6 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequen
     return out.withColumn("shuffled_minus_base", F.col("shuffled_auc") - F.col("base_auc"))
 
 
-def minmax_over(col: str) -> Column:
-    """Min-max scale a column across all rows via scalar subqueries is done by
-    the caller; this helper builds the expression from bounds columns."""
-    return (F.col(col) - F.col(f"_{col}_lo")) / F.when(F.col(f"_{col}_hi") == F.col(f"_{col}_lo"), 1.0).otherwise(
-        F.col(f"_{col}_hi") - F.col(f"_{col}_lo"))
-
-
 # Fixed values (our definition, the reference has no scorer): supplier risk weights.
 SUPPLIER_WEIGHTS = {"late_rate": 0.35, "lead_time_sd": 0.25, "return_rate": 0.2, "concentration": 0.2}
 

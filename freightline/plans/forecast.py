@@ -273,39 +273,3 @@ def linear_baseline(df: DataFrame, keys: list[str], ds: str = "ds", y: str = "y"
     wk = r.groupBy(*keys, F.weekday(ds).alias("weekday")).agg(F.avg("_res").alias("weekday_effect"))
     sd = r.groupBy(*keys).agg(F.stddev_samp("_res").alias("resid_sd"))
     return fit.join(wk, keys).join(sd, keys)
-
-
-def fit_window_models(df: DataFrame, keys: list[str], ds: str, y: str, lookback: int = 30, horizon: int = 7,
-                      reg: float = 1.0) -> dict:
-    """FC7: one ``LinearRegression`` (normal solver, L2) per horizon on WN8
-    windows; the horizon loop is a fixed small constant."""
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.regression import LinearRegression
-
-    from ..operators.windows import sliding_sequences
-    s = sliding_sequences(df, keys, [ds], y, lookback, horizon)
-    from ..session import run_concurrently
-    s = s.select(array_to_vector("x").alias("features"), "y_future").persist()
-
-    def fit(h):
-        train = s.select("features", F.col("y_future")[h].alias("label"))
-        return LinearRegression(solver="normal", regParam=reg, elasticNetParam=0.0).fit(train)
-    fitted = run_concurrently([lambda h=h: fit(h) for h in range(horizon)], max_workers=4)
-    s.unpersist()
-    return {h + 1: m for h, m in enumerate(fitted)}
-
-
-def predict_window_models(df: DataFrame, keys: list[str], ds: str, y: str, models: dict, lookback: int = 30) -> DataFrame:
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.sql import Window
-    w = Window.partitionBy(*keys).orderBy(ds)
-    last = (df.withColumn("x", F.collect_list(y).over(w.rowsBetween(-(lookback - 1), 0)))
-              .withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(ds).desc())))
-              .filter((F.col("_r") == 1) & (F.size("x") == lookback))
-              .select(*keys, ds, array_to_vector("x").alias("features")))
-    out = None
-    for h, m in models.items():
-        p = m.transform(last).select(*keys, F.date_add(ds, h).alias(ds), F.lit(h).alias("horizon"),
-                                     F.col("prediction").alias("yhat"))
-        out = p if out is None else out.unionByName(p)
-    return out

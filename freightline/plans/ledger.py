@@ -7,9 +7,8 @@ State is a fold of the events per shipment:
   ``max``) -- partial aggregation, no per-key sort;
 * the pairwise transition check is a ``lag`` window;
 * the exact acceptance fold (an event is accepted only if the *accepted*
-  state before it allows it) runs per partition after hash-partitioning by
-  shipment and sorting within partitions: rows stream through
-  ``mapInPandas`` with O(1) state per shipment, never a whole group in memory.
+  state before it allows it) takes one grouped minimum per state of the longest
+  chain, so a shipment with very many events is spread over all tasks.
 """
 from __future__ import annotations
 
@@ -20,6 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from freightline.session import stored
+
 # Allowed status transitions of the ledger contract.
 TRANSITIONS = {
     "CREATED": ["DISPATCHED", "CANCELLED"],
@@ -66,39 +67,43 @@ def pairwise_transitions(events: DataFrame, key: str = "shipment_id", ts: str =
     return e.withColumn("valid", ok)
 
 
-def _fold_partition(batches: Iterator[pd.DataFrame], key: str, allowed: dict) -> Iterator[pd.DataFrame]:
-    cur_key, state = object(), None
-    for pdf in batches:
-        acc, st_out = [], []
-        for k, status in zip(pdf[key].tolist(), pdf["status"].tolist()):
-            if k != cur_key:
-                cur_key, state = k, None
-            if state is None:
-                ok = status == "CREATED"
-            else:
-                ok = status in allowed.get(state, ())
-            if ok:
-                state = status
-            acc.append(ok)
-            st_out.append(state)
-        out = pdf.copy()
-        out["accepted"] = acc
-        out["state_after"] = st_out
-        yield out
-
-
-def exact_fold(events: DataFrame, key: str = "shipment_id", ts: str = "ts", seq: str = "seq",
-               num_partitions: int | None = None) -> DataFrame:
+def longest_chain(transitions: dict) -> int:
+    """States on the longest path from CREATED; raises on a cycle."""
+    def depth(state, seen):
+        if state in seen:
+            raise ValueError(f"transitions return to {state}")
+        return 1 + max((depth(n, seen | {state}) for n in transitions.get(state, ())), default=0)
+    return depth("CREATED", frozenset())
+
+
+def exact_fold(events: DataFrame, key: str = "shipment_id", ts: str = "ts", seq: str = "seq") -> DataFrame:
     """LG3 exact mode: an event is accepted only if the state built from the
     previously *accepted* events allows it; rejected events leave the state
-    unchanged.  Output adds ``accepted`` and ``state_after``."""
-    cols = [key, seq, ts, "status"]
-    e = events.select(*cols)
-    e = (e.repartition(num_partitions, key) if num_partitions else e.repartition(key)).sortWithinPartitions(key, ts, seq)
-    schema = T.StructType(e.schema.fields + [T.StructField("accepted", T.BooleanType()),
-                                             T.StructField("state_after", T.StringType())])
-    allowed = {k: set(v) for k, v in TRANSITIONS.items()}
-    return e.mapInPandas(lambda it: _fold_partition(it, key, allowed), schema)
+    unchanged.  Output adds ``accepted`` and ``state_after``.
+
+    No status returns, so a shipment accepts as many events as the longest
+    chain has states at most.  Each round finds the next accepted event of
+    every shipment: the earliest one after the last accepted that its status
+    allows, a minimum pre-aggregated in the map tasks.  So the events of one
+    shipment may lie in all tasks; per shipment only its accepted events meet."""
+    e = events.select(key, seq, ts, "status")
+    at = F.struct(F.col(ts).alias("ts"), F.col(seq).alias("seq"))
+    slim = stored(e, "ledger-events")
+    first = slim.filter("status = 'CREATED'").groupBy(key).agg(F.min(F.struct(F.col(ts).alias("ts"), F.col(seq).alias("seq"), "status")).alias("last"))
+    rounds = [stored(first, "ledger-accepted")]
+    for _ in range(longest_chain(TRANSITIONS) - 1):
+        now = slim.join(rounds[-1], key).filter((at > F.struct("last.ts", "last.seq")) & transition_allowed("last.status", "status"))
+        rounds.append(stored(now.groupBy(key).agg(F.min(F.struct(F.col(ts).alias("ts"), F.col(seq).alias("seq"), "status")).alias("last")), "ledger-accepted"))
+    every = rounds[0]
+    for r in rounds[1:]:
+        every = every.unionByName(r)
+    chain = every.groupBy(key).agg(F.array_sort(F.collect_list("last")).alias("_chain"))  # at most the longest chain
+    j = slim.join(chain, key, "left")
+    upto = F.filter("_chain", lambda c: F.struct(c["ts"].alias("ts"), c["seq"].alias("seq")) <= at)
+    last = F.try_element_at(upto, F.lit(-1))
+    j = j.withColumn("_last", last)
+    accepted = F.coalesce((F.col("_last.seq") == F.col(seq)) & (F.col("_last.ts") == F.col(ts)), F.lit(False))
+    return j.select(key, seq, ts, "status", accepted.alias("accepted"), F.col("_last.status").alias("state_after"))
 
 
 def milestones(events: DataFrame, key: str = "shipment_id", ts: str = "ts",

@@ -114,8 +114,14 @@ def test_forecast_30_rows_no_null(spark, sine_series):
 
 
 def test_window_forecast_14_steps(spark, sine_series):
-    models = fc.fit_window_models(sine_series, ["series_id"], "ds", "y", lookback=7, horizon=14)
-    p = fc.predict_window_models(sine_series, ["series_id"], "ds", "y", models, lookback=7).toPandas()
+    from pyspark.sql import functions as F
+
+    from freightline.plans import windowmodel as wm
+    keys = ["series_id"]
+    w = wm.windows(sine_series, keys, "ds", "y", [], 7, 0, 14)
+    model = wm.fit_windows(w.filter(F.size("target") == 14), keys, 5 + 7, 14, ridge=1e-3)
+    last = w.join(w.groupBy(*keys).agg(F.max("ds").alias("ds")), [*keys, "ds"])
+    p = wm.apply_windows(last, model, keys, "ds", "y").toPandas()
     assert len(p) == 14 and p["yhat"].notna().all()
 
 
