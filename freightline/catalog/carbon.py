@@ -93,7 +93,7 @@ def q_cb5(spark, sf):
 _ALLOWED = ["diesel_truck", "electric_truck", "rail"]
 
 
-@register("cb6_tk2_fleet_mix", view_sql("legs") + f""",
+_CB6_SQL = view_sql("legs") + f""",
 lr AS (SELECT *, row_number() OVER () AS rid FROM legs),
 opt AS (SELECT l.rid, l.order_key, l.line_no, l.distance_km,
         CASE WHEN l.vehicle_type IN ('diesel_truck','electric_truck','rail') THEN l.vehicle_type ELSE 'diesel_truck' END AS cur,
@@ -104,7 +104,10 @@ opt AS (SELECT l.rid, l.order_key, l.line_no, l.distance_km,
 best AS (SELECT order_key, line_no, distance_km, cur,
         arg_min(vehicle, (em, pos)) FILTER (WHERE em IS NOT NULL) AS recommended_vehicle,
         min(em) AS best_em, max(CASE WHEN vehicle = cur THEN em END) AS cur_em
-        FROM opt GROUP BY rid, order_key, line_no, distance_km, cur)
+        FROM opt GROUP BY rid, order_key, line_no, distance_km, cur)"""
+
+
+@register("cb6_tk2_fleet_mix", _CB6_SQL + f"""
 SELECT order_key, line_no, recommended_vehicle, {R('cur_em - best_em')} AS emissions_savings,
   {R(f"({_case(cb.COST_PER_KM, 'recommended_vehicle', '0.3')} - 0.40) * distance_km")} AS cost_impact
 FROM best""")
@@ -126,6 +129,14 @@ def q_cb6(spark, sf):
                     round_half_up((cb.cost_per_km("recommended_vehicle") - 0.40) * F.col("distance_km"), 4).alias("cost_impact"))
 
 
+@register("cb6_total_savings", _CB6_SQL + """
+SELECT recommended_vehicle, CAST(count(*) AS BIGINT) AS n_legs, round(sum(cur_em - best_em), 2) AS total_savings FROM best GROUP BY ROLLUP (recommended_vehicle)""")
+def q_cb6_total(spark, sf):
+    """Total emissions saved by the fleet mix, per recommended vehicle and over all (null)."""
+    r = q_cb6(spark, sf).rollup("recommended_vehicle").agg(F.count(F.lit(1)).alias("n_legs"), F.sum("emissions_savings").alias("s"))
+    return r.select("recommended_vehicle", "n_legs", F.round("s", 2).alias("total_savings"))
+
+
 @register("cb7_compliance_per_regulation", _SPEC_SQL + f""",
 tot AS (SELECT order_key, sum(co2_kg) AS total FROM em GROUP BY 1)
 SELECT order_key, r.regulation, r.allowed, {R('total')} AS total_kg, total < r.allowed AS compliant,

@@ -100,6 +100,40 @@ def q_lg8b(spark, sf):
     return led.join(arch, "shipment_id", "left_anti").select("shipment_id", "seq")
 
 
+#: Binding of deletions: error events whose k is a multiple of five; all other events write.
+_DELETES = "event_type = 'error' AND k % 5 = 0"
+_TOMB_SQL = view_sql("ledger") + f""",
+dead AS (SELECT shipment_id, max((ts, seq)) AS t FROM ledger WHERE {_DELETES} GROUP BY 1),
+live AS (SELECT l.*, d.t IS NOT NULL AS recreated FROM ledger l LEFT JOIN dead d ON d.shipment_id = l.shipment_id
+         WHERE NOT coalesce({_DELETES}, false) AND (d.t IS NULL OR (l.ts, l.seq) > d.t))"""
+
+
+def _deletes_and_writes(spark, sf):
+    led = _ledger(spark, sf)
+    is_delete = F.coalesce(F.expr(_DELETES), F.lit(False))
+    return led.filter(is_delete), led.filter(~is_delete)
+
+
+@register("lg8_live_after_deletes", _TOMB_SQL + """
+SELECT shipment_id, CAST(count(*) AS BIGINT) AS n_events, arg_max(status, (ts, seq)) AS status, any_value(recreated) AS recreated FROM live GROUP BY 1""")
+def q_lg8t(spark, sf):
+    """Shipments that live after deletions: events since the last one, latest status, and whether they were
+    deleted before and created anew."""
+    deletes, writes = _deletes_and_writes(spark, sf)
+    live = lg.live_events(writes, lg.last_tombstones(deletes))
+    return live.groupBy("shipment_id").agg(F.count(F.lit(1)).alias("n_events"), F.max_by("status", F.struct("ts", "seq")).alias("status"),
+                                           F.bool_or("recreated").alias("recreated"))
+
+
+@register("lg8_compacted_log", _TOMB_SQL + """
+SELECT shipment_id, seq, status, FALSE AS tombstone FROM live
+UNION ALL SELECT shipment_id, t[2], NULL, TRUE FROM dead""")
+def q_lg8c(spark, sf):
+    """The compacted log: live events and the last tombstone of every deleted shipment."""
+    deletes, writes = _deletes_and_writes(spark, sf)
+    return lg.compacted(writes, deletes).select("shipment_id", "seq", "status", "tombstone")
+
+
 _DOC_BY_EVENT = {"purchase": "commercial_invoice", "signup": "certificate_of_origin", "view": "packing_list"}
 
 

@@ -106,6 +106,30 @@ def exact_fold(events: DataFrame, key: str = "shipment_id", ts: str = "ts", seq:
     return j.select(key, seq, ts, "status", accepted.alias("accepted"), F.col("_last.status").alias("state_after"))
 
 
+def last_tombstones(deletions: DataFrame, key: str = "shipment_id", ts: str = "ts", seq: str = "seq") -> DataFrame:
+    """LG8: the latest deletion per key: key, ``dead_ts``, ``dead_seq``.  An earlier one ends nothing that the
+    latest does not end."""
+    last = deletions.groupBy(key).agg(F.max(F.struct(F.col(ts).alias("ts"), F.col(seq).alias("seq"))).alias("t"))
+    return last.select(key, F.col("t.ts").alias("dead_ts"), F.col("t.seq").alias("dead_seq"))
+
+
+def live_events(events: DataFrame, tombstones: DataFrame, key: str = "shipment_id", ts: str = "ts", seq: str = "seq") -> DataFrame:
+    """LG8: events after their key's tombstone, with ``recreated``: whether the key has one.  A key without
+    later events is gone; one created anew starts over.  A late event from before the deletion stays dead."""
+    j = events.join(tombstones, key, "left")
+    alive = F.col("dead_ts").isNull() | (F.struct(F.col(ts).alias("t"), F.col(seq).alias("s")) > F.struct(F.col("dead_ts").alias("t"), F.col("dead_seq").alias("s")))
+    return j.filter(alive).select(*events.columns, F.col("dead_ts").isNotNull().alias("recreated"))
+
+
+def compacted(events: DataFrame, deletions: DataFrame, key: str = "shipment_id", ts: str = "ts", seq: str = "seq") -> DataFrame:
+    """LG8: the log that gives the same state: live events and one tombstone per deleted key (kept, so that late
+    events stay dead), told apart by ``tombstone``.  Compacting a compacted log changes nothing."""
+    dead = last_tombstones(deletions, key, ts, seq)
+    marks = dead.select(key, F.col("dead_ts").alias(ts), F.col("dead_seq").alias(seq), F.lit(True).alias("tombstone"))
+    live = live_events(events.select(key, ts, seq, *[c for c in events.columns if c not in (key, ts, seq)]), dead, key, ts, seq)
+    return live.drop("recreated").withColumn("tombstone", F.lit(False)).unionByName(marks, allowMissingColumns=True)
+
+
 def milestones(events: DataFrame, key: str = "shipment_id", ts: str = "ts",
                statuses: Sequence[str] = ("DISPATCHED", "DELIVERED", "CUSTOMS_CLEARED")) -> DataFrame:
     """LG4: last timestamp of each milestone status (last write wins)."""

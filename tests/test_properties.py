@@ -373,3 +373,19 @@ def test_restricted_edges_are_counted_when_kept(spark):
     sp = nw.shortest_paths(e, start, "length", groups=["profile"])
     got = {r.node: r.num_restrictions for r in nw.route_metrics(sp, e, ["profile"]).collect()}
     assert got == {1: 1, 2: 1}
+
+
+def test_tombstones_end_a_history(spark):
+    from freightline.plans import ledger as lg
+    rows = [("a", 1, 1, "CREATED"), ("a", 2, 2, "DISPATCHED"), ("a", 5, 6, "CREATED"), ("b", 1, 3, "CREATED"), ("c", 1, 4, "CREATED"),
+            ("c", 1, 5, "DISPATCHED"), ("d", 3, 9, "CREATED")]
+    events = spark.createDataFrame(rows, "shipment_id string, ts int, seq int, status string")
+    deletes = spark.createDataFrame([("a", 3, 7), ("a", 2, 8), ("b", 4, 10), ("c", 1, 4), ("x", 1, 11)], "shipment_id string, ts int, seq int")
+    live = lg.live_events(events, lg.last_tombstones(deletes)).collect()
+    assert sorted((r.shipment_id, r.seq, r.recreated) for r in live) == [("a", 6, True), ("c", 5, True), ("d", 9, False)]
+    once = lg.compacted(events, deletes)
+    kept, marks = once.filter("NOT tombstone").drop("tombstone"), once.filter("tombstone").select("shipment_id", "ts", "seq")
+    assert sorted((r.shipment_id, r.seq) for r in marks.collect()) == [("a", 7), ("b", 10), ("c", 4), ("x", 11)]
+    late = spark.createDataFrame([("b", 2, 12, "DISPATCHED")], kept.schema.simpleString()[7:-1].replace(":", " "))
+    twice = lg.compacted(kept.unionByName(late), marks)
+    assert sorted(map(tuple, twice.collect()), key=str) == sorted(map(tuple, once.collect()), key=str)
