@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,9 @@ from pyspark.sql import types as T
 from .common import append_columns, bounded_batches, materialise
 
 K = 64
-MARKUP = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
-DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([a-zA-Z]{2,3})", re.I)
+HIDDEN = re.compile(r"<(script|style)\b", re.I)
+CLOSING = {n: re.compile(rf"</{n}\s*>", re.I) for n in ("script", "style")}
+DECLARED = re.compile(r"<html\b[^<>]*?\blang\s*=\s*[\"']?([a-zA-Z]{2,3})", re.I)
 
 
 def letter_table() -> np.ndarray:
@@ -92,8 +94,33 @@ def fit_trigrams(labelled: DataFrame, sample_rows: int = 4000, max_langs: int =
     return langs, np.log((counts + 0.1) / (counts.sum(0) + 0.1 * K ** 3)).astype(np.float32)
 
 
+def outside_markup(page: str) -> Iterator[str]:
+    """What stands between tags, comments, scripts and styles, in time linear in the page: an end that was
+    not found once is not looked for again."""
+    at, start, missing = 0, 0, set()
+    while (start := page.find("<", start)) >= 0:
+        end = -1
+        if (m := HIDDEN.match(page, start)) and (name := m[1].lower()) not in missing:
+            close = CLOSING[name].search(page, m.end())
+            end = close.end() if close else -1
+            if end < 0:
+                missing.add(name)
+        if end < 0 and page.startswith("<!--", start) and "-->" not in missing:
+            end = page.find("-->", start + 4) + 3
+            if end < 3:
+                missing.add("-->")
+                end = -1
+        if end < 0:
+            end = page.find(">", start) + 1
+            if not end:
+                break
+        yield page[at:start]
+        at = start = end
+    yield page[at:]
+
+
 def visible(page: str | None) -> str:
-    return html.unescape(MARKUP.sub(" ", page or ""))
+    return html.unescape(" ".join(outside_markup(page or "")))
 
 
 EVIDENCE = [("e_first", T.IntegerType()), ("e_n", T.LongType()), ("e_text", T.ArrayType(T.DoubleType())),
