@@ -55,6 +55,30 @@ def test_random_keys_of_one_letter_case_are_found(make_docs):
     assert [r["n_random"] for r in got] == [1, 1, 0, 0, 0, 0, 0]  # the third is under 20 characters
 
 
+def test_keys_beside_words_are_found_and_identifiers_are_not(make_docs):
+    """Each key form in full, identifiers inside paths never; long runs in linear time."""
+    rnd = random.Random(7)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    forms = [("", 32, ""), ("", 16, ""), ("", 19, ""), ("https://a.example.com/services/production/credentials/deployment/", 32, ""),
+             ("production_database_connection_password_value=", 24, ""), ("/services/production/", 32, "/credentials/deployment")]
+    planted = []
+    for before, n, after in forms * 20:
+        key = "".join(rnd.choices(letters, k=n))
+        planted.append((f"see {before}{key}{after} here", 4 + len(before), 4 + len(before) + n))
+    plain = ["/orders/550e8400-e29b-41d4-a716-446655440000/items/list", "/blobs/sha256/" + "0123456789abcdef" * 4 + "/manifest",
+             "https://www.example.com/2024/01/15/the-quick-brown-fox-jumps-over", "src/main/java/org/example/catalyst/expressions",
+             "getElementByIdAndClassName", "najprawdopodobniej/konstantynopolitanczyk", "4bf92f3577b34da6", "1234567890123456",
+             "20240115T103000Z", "=" * 40]
+    texts = [t for t, _, _ in planted] + [f"see {x} here" for x in plain]
+    got = rows_of(secrets.find_secrets(make_docs(texts)))
+    for r, (_, a, b) in zip(got, planted):
+        assert any(s["kind"] == "random" and s["start"] <= a and s["end"] >= b for s in r["spans"]), r
+    assert not [s for r in got[len(planted):] for s in r["spans"] if s["kind"] == "random"]
+    run = "aZ9x8Qw3kP0vN7tR2bXcservicesproductionadministrationenvironments" * 4000
+    found = rows_of(secrets.find_secrets(make_docs([run])))[0]["spans"]
+    assert len(found) >= 1 and all(a["end"] <= b["start"] for a, b in zip(found, found[1:]))
+
+
 # -- quality -----------------------------------------------------------------
 
 def test_quality_base_matches_brute_force_and_keeps_clean_rows(spark, sf_small, sample):
