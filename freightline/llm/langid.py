@@ -7,8 +7,13 @@ are to be believed, and the host priors, are counted over the whole corpus by gr
 of the text-only verdicts; host priors are smoothed towards their domain's and those towards the
 corpus', and leave the row itself out.
 
-The trigram models are fitted on a bounded sample of labelled documents (``sample_rows``, chosen by
-hash); everything else covers all rows.  Documents take their ``source`` as host and declare nothing.
+The trigram models are fitted on a bounded sample of labelled documents: about ``per_language``
+distinct texts of each language, chosen by hash, so a rare language is sampled as densely as it needs
+and a group of copies counts as one text.  All labels are languages; everything else covers all rows.
+Documents take their ``source`` as host and declare nothing.
+
+The driver and each task hold one row of numbers per trigram seen in the sample (at most 64 ** 3) and
+one number per language in it, so labels must be language codes, not free text.
 
 Defined cases: a row without letters, declaration and host is ``und`` with confidence 0; null
 columns are missing evidence; with no labelled rows every row is ``und``; repeated rows count each.
@@ -18,6 +23,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, bounded_batches, materialise
+from .common import append_columns, bounded_batches, materialise, release
 
 K = 64
 HIDDEN = re.compile(r"<(script|style)\b", re.I)
@@ -63,18 +69,24 @@ def trigrams(text: str | None) -> np.ndarray:
     return m[:-2] * K * K + m[1:-1] * K + m[2:] if len(m) > 2 else np.empty(0, np.int64)
 
 
-def fit_trigrams(labelled: DataFrame, sample_rows: int = 4000, max_langs: int = 32) -> tuple[list[str], np.ndarray]:
-    """(languages, log likelihood per trigram and language) from a sample of rows (lang, text) whose
-    expected size is ``sample_rows``.  What reaches the driver is bounded by max_langs * 64 ** 3."""
+class Trigrams(NamedTuple):
+    """Log likelihoods: ``scores[row[code]]`` has one per language; row 0 is for unseen trigrams."""
+    row: np.ndarray
+    scores: np.ndarray
+
+
+def fit_trigrams(labelled: DataFrame, per_language: int = 1000) -> tuple[list[str], Trigrams]:
+    """(languages, model) from a sample of rows (lang, text) whose expected size is ``per_language``
+    distinct texts of each language."""
     labelled = labelled.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    labelled = labelled.filter("lang IS NOT NULL AND text IS NOT NULL")
-    per = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
-    top = per.orderBy(F.col("n").desc(), "lang").limit(max_langs).collect()
-    langs = sorted(r["lang"] for r in top)
+    labelled = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").withColumn("h", F.xxhash64("text"))
+    steps = labelled.groupBy("lang").agg(F.approx_count_distinct("h", 0.01).alias("n")).select(
+        "lang", F.greatest(F.lit(1), F.floor(F.col("n") / per_language)).cast("long").alias("step"))
+    steps = materialise(steps, "steps")
+    langs = sorted(r["lang"] for r in steps.select("lang").collect())
     if not langs:
-        return [], np.zeros((K ** 3, 0), np.float32)
-    step = max(1, sum(r["n"] for r in top) // sample_rows)
-    sample = labelled.filter(F.col("lang").isin(langs) & (F.pmod(F.xxhash64("text"), F.lit(step)) == 0))
+        return [], Trigrams(np.zeros(K ** 3, np.int32), np.zeros((1, 0), np.float32))
+    sample = labelled.join(steps, "lang").filter(F.pmod("h", "step") == 0).select("lang", "text").distinct()
     bounded_batches(labelled.sparkSession)
     schema = pa.schema([("lang", pa.string()), ("code", pa.int32()), ("n", pa.int64())])
 
@@ -89,9 +101,13 @@ def fit_trigrams(labelled: DataFrame, sample_rows: int = 4000, max_langs: int =
                                                   pa.array(n[codes].astype(np.int64))], schema=schema)
 
     sums = sample.mapInArrow(count, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros((K ** 3, len(langs)))
-    counts[sums["code"].to_numpy(int), [langs.index(x) for x in sums["lang"]]] = sums["n"]
-    return langs, np.log((counts + 0.1) / (counts.sum(0) + 0.1 * K ** 3)).astype(np.float32)
+    seen, at = np.unique(sums["code"].to_numpy(np.int64), return_inverse=True)
+    counts = np.zeros((len(seen) + 1, len(langs)))
+    counts[at + 1, np.searchsorted(np.array(langs), sums["lang"].to_numpy(str))] = sums["n"]
+    row = np.zeros(K ** 3, np.int32)
+    row[seen] = np.arange(1, len(seen) + 1)
+    release(steps)
+    return langs, Trigrams(row, np.log((counts + 0.1) / (counts.sum(0) + 0.1 * K ** 3)).astype(np.float32))
 
 
 def outside_markup(page: str) -> Iterator[str]:
@@ -127,7 +143,13 @@ EVIDENCE = [("e_first", T.IntegerType()), ("e_n", T.LongType()), ("e_text", T.Ar
             ("declared", T.StringType())]
 
 
-def text_evidence(rows: DataFrame, langs: list[str], model: np.ndarray, is_html: bool, weight: float = 1 / 3,
+def likelihoods(model: Trigrams, codes: np.ndarray) -> np.ndarray:
+    """Mean log likelihood of a text's trigrams per language; memory follows its distinct trigrams."""
+    rows, times = np.unique(model.row[codes], return_counts=True)
+    return times @ model.scores[rows].astype(np.float64) / len(codes)
+
+
+def text_evidence(rows: DataFrame, langs: list[str], model: Trigrams, is_html: bool, weight: float = 1 / 3,
                   most: int = 120) -> DataFrame:
     """Append per-language log likelihoods of the whole ``text``, its trigrams, the text-only verdict
     and the declared language.  Neighbouring trigrams overlap, so a text counts as ``weight`` of its
@@ -139,7 +161,7 @@ def text_evidence(rows: DataFrame, langs: list[str], model: np.ndarray, is_html:
             m = DECLARED.search(text) if is_html and text else None
             codes = trigrams(visible(text) if is_html else text)
             n = len(codes)
-            mean = model[codes].mean(0, dtype=np.float64) if n and langs else np.zeros(len(langs))
+            mean = likelihoods(model, codes) if n and langs else np.zeros(len(langs))
             out["e_first"].append(int(mean.argmax()) if n >= 20 and langs else None)
             out["e_n"].append(n)
             out["e_text"].append(mean * min(weight * n, most))
@@ -154,12 +176,12 @@ def per_language(n_langs: int):
     return F.array(*(F.count(F.when(F.col("e_first") == i, 1)) for i in range(n_langs)))
 
 
-def believed(rows: DataFrame, column: str, n_langs: int, most: int = 1000) -> dict[str, np.ndarray]:
-    """Verdict counts of the ``most`` frequent values of a column; the rest share the key ``*``."""
-    counts = rows.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"), per_language(n_langs).alias("c"))
-    kept = {r[column]: np.array(r["c"], float) for r in counts.orderBy(F.col("n").desc(), column).limit(most).collect()}
-    rest = rows.filter(F.col(column).isNotNull() & ~F.col(column).isin(list(kept))).agg(per_language(n_langs).alias("c"))
-    return kept | {"*": np.array(rest.collect()[0]["c"], float)}
+def believed(rows: DataFrame, column: str, n_langs: int) -> tuple[DataFrame, int]:
+    """Verdict counts of every value of a column as a written table (column, c_column), and the number
+    of values."""
+    counts = rows.filter(F.col(column).isNotNull()).groupBy(column).agg(per_language(n_langs).alias(f"c_{column}"))
+    counts = materialise(counts, column)
+    return counts, counts.count()
 
 
 def identify(rows: DataFrame, langs: list[str], strength: float = 5.0) -> DataFrame:
@@ -170,25 +192,25 @@ def identify(rows: DataFrame, langs: list[str], strength: float = 5.0) -> DataFr
         return rows.withColumns({"lang": F.lit("und"), "confidence": F.lit(0.0), "text_lang": F.lit(None).cast("string")})
     whole = np.array(rows.agg(per_language(n_langs).alias("c")).collect()[0]["c"], float)
     prior = (whole + 1) / (whole.sum() + n_langs)
-    declared, suffix = believed(rows, "declared", n_langs), believed(rows, "suffix", n_langs)
+    (declared, n_declared), (suffix, n_suffix) = believed(rows, "declared", n_langs), believed(rows, "suffix", n_langs)
 
     hosts = rows.filter("host IS NOT NULL").groupBy("host", "domain").agg(per_language(n_langs).alias("c_host"))
     hosts = materialise(hosts, "hosts")
     domains = hosts.groupBy("domain").agg(F.array(*(F.sum(F.get("c_host", F.lit(i))) for i in range(n_langs))).alias("c_domain"))
     hosts = materialise(hosts.join(domains, hosts["domain"].eqNullSafe(domains["domain"])).select("host", "c_host", "c_domain"), "hosts")
-    joined = rows.join(hosts, "host", "left")
+    joined = rows.join(hosts, "host", "left").join(declared, "declared", "left").join(suffix, "suffix", "left")
 
-    def likelihood(table: dict[str, np.ndarray], value: str | None) -> np.ndarray:
-        """log P(value | language), smoothed towards the value's share of the corpus."""
-        if value is None:
+    def likelihood(c, n_values: int) -> np.ndarray:
+        """log P(value | language) from the value's counts, smoothed towards its share of the corpus."""
+        if c is None:
             return np.zeros(n_langs)
-        c = table.get(value, table["*"])
-        share = (c.sum() + 1) / (whole.sum() + len(table) + 1)
+        c = np.array(c, float)
+        share = (c.sum() + 1) / (whole.sum() + n_values + 2)
         return np.log((c + strength * share) / (whole + strength))
 
-    def run(first, n, text, said, suffixes, c_host, c_domain):
+    def run(first, n, text, c_declared, c_suffix, c_host, c_domain):
         out = {"lang": [], "confidence": [], "text_lang": []}
-        for f, k, t, d, s, h, m in zip(first, n, text, said, suffixes, c_host, c_domain):
+        for f, k, t, d, s, h, m in zip(first, n, text, c_declared, c_suffix, c_host, c_domain):
             own = np.zeros(n_langs)
             if f is not None:
                 own[f] = 1  # the row's own verdict is no evidence about its host
@@ -197,7 +219,7 @@ def identify(rows: DataFrame, langs: list[str], strength: float = 5.0) -> DataFr
                 if c is not None:
                     c = np.maximum(np.array(c, float) - own, 0)
                     base = (c + strength * base) / (c.sum() + strength)
-            score = np.array(t) + likelihood(declared, d) + likelihood(suffix, s) + np.log(base)
+            score = np.array(t) + likelihood(d, n_declared) + likelihood(s, n_suffix) + np.log(base)
             p = np.exp(score - score.max())
             p /= p.sum()
             known = k > 0 or d is not None or h is not None
@@ -208,7 +230,7 @@ def identify(rows: DataFrame, langs: list[str], strength: float = 5.0) -> DataFr
         return out
 
     new = [("lang", T.StringType()), ("confidence", T.DoubleType()), ("text_lang", T.StringType())]
-    return append_columns(joined, run, new, ["e_first", "e_n", "e_text", "declared", "suffix", "c_host", "c_domain"])
+    return append_columns(joined, run, new, ["e_first", "e_n", "e_text", "c_declared", "c_suffix", "c_host", "c_domain"])
 
 
 def address_columns(url):
@@ -220,7 +242,7 @@ def address_columns(url):
     return host, F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1), F.when(host.isNotNull(), F.concat_ws("/", top, path))
 
 
-def language_evidence(documents: DataFrame, pages: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame:
+def language_evidence(documents: DataFrame, pages: DataFrame, langs: list[str], model: Trigrams) -> DataFrame:
     """One row per document and per page with all its evidence."""
     source = F.col("source").cast("string")
     docs = documents.select(F.lit("document").alias("kind"), F.col("doc_id").cast("long").alias("doc_id"),

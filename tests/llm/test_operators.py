@@ -541,7 +541,7 @@ def test_extraction_odd_pages(spark, sf_small):
 
 def test_language_accuracy_on_held_out_rows(spark, sf_small, sample):
     docs = spark.read.parquet(f"{sf_small}/documents.parquet")
-    langs, model = langid.fit_trigrams(docs.filter("doc_id % 2 = 0"), sample_rows=100)
+    langs, model = langid.fit_trigrams(docs.filter("doc_id % 2 = 0"), per_language=25)
     pages = spark.read.parquet(f"{sf_small}/pages.parquet")
     rows = langid.materialise(langid.language_evidence(docs, pages, langs, model), "t")
     got = langid.identify(rows, langs).collect()
@@ -567,3 +567,40 @@ def test_language_evidence_settles_what_text_cannot(spark):
     assert by[200, None] == by[None, 51] == "und" and by[202, None] == "de" and by[None, 50] == by[None, 52] == "de"
     none = langid.fit_trigrams(docs.limit(0))
     assert none[0] == [] and langid.identify(langid.language_evidence(docs, pages, *none), []).filter("lang != 'und'").count() == 0
+
+
+def test_forty_languages_and_a_rare_one(spark):
+    """Every label is modelled, the rarest included, and a group of copies is one text of the sample."""
+    rnd = random.Random(3)
+    sounds = {f"l{a}{b}": rnd.sample("abcdefghijklmnopqrstuvwxyzéèüöñçåø", 7) for a in "abcde" for b in "abcdefgh"}
+
+    def text(lang):
+        return " ".join("".join(rnd.choices(sounds[lang], k=rnd.randint(2, 7))) for _ in range(40))
+
+    rows = [(lang, text(lang)) for lang in sounds for _ in range(1 if lang == "lab" else 30)]
+    rows += [("laa", "copied text of one language")] * 4000
+    docs = spark.createDataFrame([(i, t, lang, None) for i, (lang, t) in enumerate(rows)],
+                                 "doc_id long, text string, lang string, source string")
+    langs, model = langid.fit_trigrams(docs, per_language=20)
+    assert langs == sorted(sounds) and model.scores.shape[1] == 40
+    new = [(lang, text(lang)) for lang in sounds for _ in range(3)]
+    seen = spark.createDataFrame([(i, t, None, None) for i, (_, t) in enumerate(new)], docs.schema)
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    evidence = langid.materialise(langid.language_evidence(seen, pages, langs, model), "t")
+    got = {r["doc_id"]: r["lang"] for r in langid.identify(evidence, langs).collect()}
+    assert sum(got[i] == lang for i, (lang, _) in enumerate(new)) >= 0.95 * len(new)
+    assert sum(got[i] == "lab" for i, (lang, _) in enumerate(new) if lang == "lab") == 3
+
+
+def test_every_declared_value_and_suffix_is_counted(spark):
+    """More suffixes than any list would hold: each keeps counts of its own."""
+    docs = spark.createDataFrame([(i, text, lang, "s") for i in range(30) for text, lang in (
+        ("the cat and the dog of the house", "en"), ("der hund und die katze von dem haus", "de"))],
+        "doc_id long, text string, lang string, source string")
+    pages = spark.createDataFrame([(i, f"http://h{i}.t{i % 1500}/x", "der hund und die katze von dem haus") for i in range(3000)],
+                                  "page_id long, url string, html string")
+    langs, model = langid.fit_trigrams(docs)
+    rows = langid.materialise(langid.language_evidence(docs, pages, langs, model), "t")
+    table, values = langid.believed(rows, "suffix", len(langs))
+    assert values == 1500 and {tuple(r["c_suffix"]) for r in table.collect()} == {(2, 0)}
+    assert langid.identify(rows, langs).filter("kind = 'page' AND lang = 'de'").count() == 3000
