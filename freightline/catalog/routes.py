@@ -85,11 +85,8 @@ SELECT order_key, NOT coalesce(bool_or((road_type = 'tunnel' AND {VEHICLE_HEIGHT
    OR (road_type = 'bridge' AND w > coalesce(weight_limit, 10000.0))), false) AS valid
 FROM (SELECT s.*, sum(load_kg) OVER (PARTITION BY order_key) AS w FROM sec s) GROUP BY 1""")
 def q_prj18(spark, sf):
-    rep = route_replies(spark, sf)
-    paths = rt.parse_reply(rep, "reply").withColumn("vh", F.lit(VEHICLE_HEIGHT))
-    secs = rt.flatten_sections(paths, ["order_key", "load_kg", "vh"])
-    v = rt.route_validity(paths, secs, ["order_key", "load_kg", "vh"], "vh", "load_kg")
-    return v.select("order_key", "valid")
+    paths = rt.parse_reply(route_replies(spark, sf), "reply").withColumn("vh", F.lit(VEHICLE_HEIGHT))
+    return rt.route_validity(paths, "vh", "load_kg").select("order_key", "valid")
 
 
 @register("prj21_traffic_replan_flag", view_sql("legs") + """
@@ -146,6 +143,62 @@ def q_gn17(spark, sf):
     return x.select("order_key", F.col("s.start").alias("start"), F.col("checkpoint").cast("int").alias("checkpoint"), eta.cast("timestamp_ntz").alias("eta"))
 
 
+@register("gn17_dispatch_payload", _SECTION_SQL + f""",
+tot AS (SELECT order_key, sum(distance) AS distance, floor(sum(duration)) AS secs, count(*) AS stops FROM sec GROUP BY 1),
+o AS (SELECT tot.*, CASE o_orderkey % 3 WHEN 0 THEN 'truck' WHEN 1 THEN 'van' ELSE 'car' END AS vehicle,
+        'driver-' || CAST(o_custkey % 200 AS VARCHAR) AS driver, CAST(o_orderdate AS TIMESTAMP) + INTERVAL 6 HOUR AS departure
+      FROM tot JOIN orders ON order_key = o_orderkey),
+i AS (SELECT *, CASE vehicle WHEN 'truck' THEN 150.0 WHEN 'van' THEN 120.0 ELSE 100.0 END * distance / 1000.0 / 1000.0 AS co2_kg FROM o)
+SELECT CAST(order_key AS VARCHAR) AS shipment_id, 'route-' || CAST(order_key AS VARCHAR) || '-0' AS route_id, driver, vehicle,
+  departure AS planned_departure, departure + to_seconds(CAST(secs AS BIGINT)) AS estimated_arrival, CAST(stops AS INTEGER) AS checkpoints,
+  departure + to_seconds(CAST(secs AS BIGINT)) AS last_checkpoint_eta, {R.format('co2_kg')} AS co2_kg,
+  {R.format('greatest(0.0, 100 - co2_kg * 10)')} AS eco_score,
+  NOT (distance > 0 AND co2_kg * 1000.0 / (distance / 1000.0) > 150 OR distance / 1000.0 * 1.2 > 75) AS passed FROM i""")
+def q_gn17_payload(spark, sf):
+    """Hand-over record of every order's route: departure, arrival, checkpoints, impact, compliance."""
+    o = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("order_key"),
+        F.element_at(F.array(F.lit("truck"), F.lit("van"), F.lit("car")), (F.col("o_orderkey") % 3 + 1).cast("int")).alias("vehicle"),
+        F.concat(F.lit("driver-"), (F.col("o_custkey") % 200).cast("string")).alias("driver"),
+        (F.col("o_orderdate").cast("timestamp_ntz") + F.expr("INTERVAL 6 HOURS")).alias("departure"))
+    p = rt.parse_reply(route_replies(spark, sf), "reply").join(o, "order_key")
+    x = rt.dispatch_payload(p, "order_key", "driver", "vehicle", "departure").select("payload.*")
+    return x.select("shipment_id", "route_id", "driver", "vehicle", F.col("planned_departure").cast("timestamp_ntz").alias("planned_departure"),
+                    F.col("estimated_arrival").cast("timestamp_ntz").alias("estimated_arrival"), F.size("checkpoints").alias("checkpoints"),
+                    F.element_at("checkpoints", -1)["eta"].cast("timestamp_ntz").alias("last_checkpoint_eta"),
+                    round_half_up("environmental_impact.co2_kg", 4).alias("co2_kg"),
+                    round_half_up("environmental_impact.eco_score", 4).alias("eco_score"), "compliance_status.passed")
+
+
+# rank, share of the distance, km/h, tolls paid, profile: a direct toll road, a toll-free detour, a scenic road
+_ALTERNATIVES = [(0, 1.0, 80.0, True, "truck"), (1, 1.12, 70.0, False, "truck"), (2, 1.05, 60.0, True, "van")]
+
+
+@register("cb13_route_comparison", _SECTION_SQL + f""",
+b AS (SELECT order_key, sum(distance) AS m, sum(coalesce(toll, 0.0)) AS tolls FROM sec GROUP BY 1),
+alt(rank, share, kph, pays, profile) AS (VALUES {', '.join(f"({r}, {s}, {k}, {str(t).lower()}, '{p}')" for r, s, k, t, p in _ALTERNATIVES)}),
+r AS (SELECT order_key, rank, m * share AS distance, m * share / 1000.0 / kph * 3600.0 AS time,
+        m * share / 1000.0 / 1.60934 / CASE profile WHEN 'truck' THEN 6.5 ELSE 12.0 END * 3.5 + CASE WHEN pays THEN tolls ELSE 0.0 END
+          + m * share / 1000.0 / 80.0 * 25.0 AS cost,
+        greatest(0.0, 100 - CASE profile WHEN 'truck' THEN 150.0 ELSE 120.0 END * m * share / 1000.0 / 1000.0 * 10) AS eco FROM b, alt),
+f AS (SELECT * FROM r WHERE rank = 0)
+SELECT r.order_key, r.rank, {R.format('f.time - r.time')} AS time_diff, {R.format('f.distance - r.distance')} AS distance_diff,
+  {R.format('f.cost - r.cost')} AS cost_diff, {R.format('f.eco - r.eco')} AS eco_diff FROM r JOIN f USING (order_key) WHERE r.rank > 0""")
+def q_cb13_routes(spark, sf):
+    """Each order's direct route against two alternatives: time (s), distance (m), cost, eco score."""
+    p = rt.parse_reply(route_replies(spark, sf), "reply").select(
+        "order_key", F.col("path.distance").alias("m"), rt.toll_total("path.tolls").alias("tolls"))
+    alt = F.array(*(F.struct(F.lit(r).alias("rank"), F.lit(s).alias("share"), F.lit(k).alias("kph"), F.lit(t).alias("pays"),
+                             F.lit(v).alias("profile")) for r, s, k, t, v in _ALTERNATIVES))
+    x = p.withColumn("a", F.explode(alt)).select("order_key", "tolls", "a.*", (F.col("m") * F.col("a.share")).alias("distance"))
+    cost = cb.transport_cost(F.col("distance") / 1000.0, "profile", F.when(F.col("pays"), F.col("tolls")).otherwise(0.0), F.lit(25.0))
+    x = x.select("order_key", "rank", "distance", (F.col("distance") / 1000.0 / F.col("kph") * 3600.0).alias("time"),
+                 cost["total"].alias("cost"), cb.route_impact("distance", "profile")["eco_score"].alias("eco"))
+    metrics = ["time", "distance", "cost", "eco"]
+    c = rt.compare_routes(x, ["order_key"], "rank", metrics)
+    return c.select("order_key", "rank", *(round_half_up(f"{m}_diff", 4).alias(f"{m}_diff") for m in metrics))
+
+
 @register("gn18_eta_slip_per_shipment", view_sql("legs") + """,
 t AS (SELECT order_key, CAST(ship_date AS TIMESTAMP) + to_seconds(CAST(floor(sum(distance_km / 80.0 * 3600) OVER w) AS BIGINT)) AS planned,
              CAST(ship_date AS TIMESTAMP) + to_seconds(CAST(floor(sum(distance_km / 80.0 * 3600) OVER w) AS BIGINT) + CAST(floor(value / 10) AS BIGINT)) AS actual

@@ -6,10 +6,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import carbon as cb
+
 # Schema of a routing reply (distance m, time ms, sections, instructions, tolls).
 ROUTE_REPLY_SCHEMA = T.StructType([T.StructField("paths", T.ArrayType(T.StructType([
     T.StructField("distance", T.DoubleType()), T.StructField("time", T.LongType()), T.StructField("points", T.StringType()),
@@ -53,14 +55,46 @@ def height_restricted(sections: DataFrame, vehicle_height) -> DataFrame:
     return sections.filter(F.col("road_type").isin("tunnel", "bridge") & (F.col("height_clearance") < h))
 
 
-def route_validity(paths: DataFrame, sections: DataFrame, keys: Sequence[str], vehicle_height: str, vehicle_weight: str) -> DataFrame:
-    """PRJ18: a tunnel with vehicle height > 4.0, or a bridge with vehicle weight
-    above its limit (default 10000), makes the route invalid; no sections = valid."""
-    bad = ((F.col("road_type") == "tunnel") & (F.col(vehicle_height) > TUNNEL_HEIGHT_LIMIT_M)) | (
-        (F.col("road_type") == "bridge") & (F.col(vehicle_weight) > F.coalesce("weight_limit", F.lit(DEFAULT_BRIDGE_LIMIT_KG))))
-    per = sections.groupBy(*keys, "path_rank").agg(F.bool_or(bad).alias("_bad"))
-    return paths.select(*keys, "path_rank").join(per, [*keys, "path_rank"], "left") \
-                .withColumn("valid", ~F.coalesce("_bad", F.lit(False))).drop("_bad")
+def route_validity(paths: DataFrame, vehicle_height: str, vehicle_weight: str) -> DataFrame:
+    """PRJ18: a tunnel with vehicle height > 4.0, or a bridge with vehicle weight above its limit
+    (default 10000), makes the route invalid; no sections = valid.  Judged inside each path's own
+    section array, so no row moves."""
+    def bad(s):
+        return F.coalesce(((s["road_type"] == "tunnel") & (F.col(vehicle_height) > TUNNEL_HEIGHT_LIMIT_M)) | (
+            (s["road_type"] == "bridge") & (F.col(vehicle_weight) > F.coalesce(s["weight_limit"], F.lit(DEFAULT_BRIDGE_LIMIT_KG)))),
+            F.lit(False))
+    return paths.withColumn("valid", ~F.coalesce(F.exists("path.sections", bad), F.lit(False)))
+
+
+def compare_routes(routes: DataFrame, keys: Sequence[str], rank: str, metrics: Sequence[str]) -> DataFrame:
+    """CB13: every alternative of a request (``rank`` > 0) against its first route (``rank`` 0): one
+    ``<metric>_diff`` each, first minus alternative.  One sort per request; the first route is carried
+    by a window, not by a self join."""
+    w = Window.partitionBy(*keys).orderBy(rank)
+    diffs = [(F.first(m).over(w) - F.col(m)).alias(f"{m}_diff") for m in metrics]
+    return routes.select("*", *diffs).filter(F.col(rank) > 0)
+
+
+def dispatch_payload(paths: DataFrame, shipment: str, driver: str, vehicle: str, departure: str) -> DataFrame:
+    """GN17: one hand-over record per path as a struct ``payload`` (and its JSON text ``payload_json``):
+    planned departure, estimated arrival, one checkpoint per section with its cumulative ETA,
+    environmental impact and compliance."""
+    def after(seconds):
+        return F.col(departure) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.floor(seconds).cast("decimal(18,6)"))
+
+    sections = F.coalesce(F.col("path.sections"), F.array().cast(ROUTE_REPLY_SCHEMA["paths"].dataType.elementType["sections"].dataType))
+    ends = F.aggregate(sections, F.array(F.lit(0.0)), lambda acc, s: F.concat(acc, F.array(F.element_at(acc, -1) + s["duration"])))
+    x = paths.withColumns({"_ends": F.slice(ends, 2, F.size(sections) + 1), "_impact": cb.route_impact("path.distance", vehicle)})
+    passed = cb.route_compliance(F.col("_impact.co2_kg"), F.col("_impact.noise_impact"), F.col("path.distance"))
+    stop = F.zip_with(sections, "_ends", lambda s, e: F.struct(s["start"].alias("section"), after(e).alias("eta")))
+    payload = F.struct(
+        F.col(shipment).cast("string").alias("shipment_id"),
+        F.concat_ws("-", F.lit("route"), F.col(shipment), F.col("path_rank")).alias("route_id"),
+        F.col(driver).alias("driver"), F.col(vehicle).alias("vehicle"), F.col(departure).alias("planned_departure"),
+        after(F.col("path.time") / 1000.0).alias("estimated_arrival"), stop.alias("checkpoints"),
+        F.col("_impact").alias("environmental_impact"),
+        F.struct(passed["passed"].alias("passed"), passed["issues"].alias("issues")).alias("compliance_status"))
+    return x.withColumn("payload", payload).withColumn("payload_json", F.to_json("payload")).drop("_ends", "_impact")
 
 
 def toll_total(tolls) -> Column:

@@ -148,6 +148,48 @@ def route_feature(df: DataFrame, coords: str, props: Sequence[str]) -> DataFrame
     return df.select("*", F.to_json(feat).alias("feature"))
 
 
+# Route line colours, warehouse icons and risk zone colours of the map layers.
+ROUTE_COLOR = ("#00cc00", "#ff3300")
+WAREHOUSE_ICONS = {"cold_storage": ("snowflake", "blue"), "hazardous": ("radiation", "orange"), "fulfillment": ("box-open", "green")}
+WAREHOUSE_DEFAULT = ("warehouse", "gray")
+RISK_COLORS = {"flood": "#0066cc", "earthquake": "#ff0000", "political": "#ff9900"}
+
+
+def optimized_route_feature(df: DataFrame, coords: str, optimized: str, props: Sequence[str]) -> DataFrame:
+    """SRC11: LineString feature of a route with its figures; an optimised route is a solid green line,
+    any other a dashed red one.  A null flag counts as not optimised."""
+    flag = F.coalesce(F.col(optimized), F.lit(False))
+    style = F.struct(F.when(flag, ROUTE_COLOR[0]).otherwise(ROUTE_COLOR[1]).alias("color"), F.when(~flag, "5").alias("dash_array"))
+    styled = df.withColumns({"style": style, optimized: flag})
+    return route_feature(styled, coords, [*props, optimized, "style"]).drop("style")
+
+
+def warehouse_marker(kind) -> dict:
+    """SRC12: icon and colour by warehouse type; unknown or missing types get the default."""
+    out = {}
+    for i, name in enumerate(("icon", "color")):
+        table = F.create_map(*(F.lit(x) for k, v in WAREHOUSE_ICONS.items() for x in (k, v[i])))
+        out[name] = F.coalesce(F.element_at(table, F.coalesce(F.col(kind), F.lit(""))), F.lit(WAREHOUSE_DEFAULT[i]))
+    return out
+
+
+def weather_marker(conditions) -> dict:
+    """SRC12: icon, colour and popup of a weather report."""
+    return {"icon": F.lit("cloud-showers-heavy"), "color": F.lit("lightgray"),
+            "popup": F.concat(F.lit("Weather Alert: "), F.initcap(conditions))}
+
+
+def risk_zone_feature(df: DataFrame, ring: str, risk_type: str, tooltip: Sequence[str] = ("name", "risk_level")) -> DataFrame:
+    """SRC12: polygon feature of a risk zone with its layer name, fill colour (none for unlisted types)
+    and tooltip fields."""
+    fill = F.element_at(F.create_map(*(F.lit(x) for kv in RISK_COLORS.items() for x in kv)), F.coalesce(F.col(risk_type), F.lit("")))
+    feat = F.struct(F.lit("Feature").alias("type"),
+                    F.struct(F.lit("Polygon").alias("type"), F.array(F.col(ring)).alias("coordinates")).alias("geometry"),
+                    F.struct(*(F.col(t) for t in tooltip), F.concat(F.initcap(risk_type), F.lit(" Risk Zone")).alias("layer"),
+                             fill.alias("fillColor"), fill.alias("color")).alias("properties"))
+    return df.select("*", F.to_json(feat).alias("feature"))
+
+
 def lineage_record(spark: SparkSession, step: str, params: dict, input_version: str,
                    metrics: dict | None = None) -> DataFrame:
     """SRC14: one lineage row per step: time, parameters (JSON), input version
