@@ -16,7 +16,7 @@ REGISTRY: dict[str, tuple[QueryFn, str | None]] = {}
 
 _MODULES = ("demand", "cleaning", "quality", "calendar", "joins", "reshape", "carbon",
             "ledger", "forecasting", "geo", "network", "graph", "routes", "models", "streams", "sources",
-            "ledger_events", "feeds", "mapfeed")
+            "ledger_events", "feeds", "mapfeed", "deliveries")
 
 
 def register(name: str, sql: str | None = None):
