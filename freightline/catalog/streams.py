@@ -9,6 +9,7 @@ from ..session import scratch_path
 from ..sources.tables import table
 from ..sources.views import places, view, view_sql
 from ..streaming import sensors as ss
+from ..streaming.replay import run_deliveries
 from . import register
 from .ledger import LG3_FOLD_SQL
 
@@ -155,21 +156,15 @@ def q_ss14(spark, sf):
 
 @register("ss12_streaming_ledger_state", LG3_FOLD_SQL)
 def q_ss12(spark, sf):
-    """The exact acceptance fold run as a stream: ledger events are written as
-    four time-ordered files, read with ``maxFilesPerTrigger=1`` (four
-    micro-batches) and folded with ``applyInPandasWithState``."""
+    """The exact acceptance fold run as a stream: the ledger arrives in four time-ordered deliveries, each
+    spread over all tasks and folded with ``applyInPandasWithState`` from the state of the one before."""
     led = view(spark, sf, "ledger").select("shipment_id", "seq", "ts", "status")
-    src = scratch_path(spark, "ledger-src")
-    bounds = led.agg(F.min("ts"), F.max("ts")).first()
-    lo, hi = bounds[0], bounds[1]
-    step = (hi - lo) / 4
-    for i in range(4):
-        a, b = lo + step * i, (lo + step * (i + 1)) if i < 3 else hi
-        part = led.filter((F.col("ts") >= F.lit(a)) & ((F.col("ts") < F.lit(b)) if i < 3 else (F.col("ts") <= F.lit(b))))
-        part.coalesce(1).write.mode("append").parquet(src)
-    out = scratch_path(spark, "ledger-state")
-    stream = spark.readStream.schema(led.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    q = (ss.running_ledger_state(stream).writeStream.format("parquet").option("path", out)
-         .option("checkpointLocation", out + "-ckpt").outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(out).withColumn("shipment_id", F.col("shipment_id").cast("bigint"))
+    lo, hi = led.agg(F.min("ts"), F.max("ts")).first()
+    if lo is None:
+        return spark.createDataFrame([], "shipment_id bigint, seq bigint, status string, accepted boolean, state_after string")
+    cuts = [lo + (hi - lo) / 4 * i for i in range(1, 4)]
+    bounds = list(zip([None, *cuts], [*cuts, None]))
+    deliveries = [led.filter((F.lit(True) if a is None else F.col("ts") >= F.lit(a)) & (F.lit(True) if b is None else F.col("ts") < F.lit(b)))
+                  for a, b in bounds]
+    out = run_deliveries(spark, deliveries, ss.running_ledger_state, "ledger")
+    return out.withColumn("shipment_id", F.col("shipment_id").cast("bigint"))

@@ -181,9 +181,9 @@ def radius_join(points: DataFrame, centres: DataFrame, p_lat: str, p_lon: str, c
 
 def lookup(df: DataFrame, table: DataFrame, on: Sequence[str], value: str, default=None,
            out: str | None = None) -> DataFrame:
-    """Left join to a small lookup table with a default for missing keys (JN10).
-    The lookup tables used here are fixed-size constants, so they are broadcast."""
-    t = F.broadcast(table.select(*on, F.col(value).alias("_v")))
+    """Left join to a lookup table of any size with a default for missing keys (JN10); Spark broadcasts
+    it only when its size allows."""
+    t = table.select(*on, F.col(value).alias("_v"))
     j = df.join(t, list(on), "left")
     v = F.coalesce(F.col("_v"), F.lit(default)) if default is not None else F.col("_v")
     return j.withColumn(out or value, v).drop("_v")

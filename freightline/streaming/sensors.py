@@ -70,7 +70,7 @@ def detect_anomalies(readings: DataFrame, bounds: DataFrame, warn_z: float = 3.0
     """SS5: robust z = 0.6745 (x - median) / MAD against the learnt bounds
     (a stream-static join; the bounds table has one row per sensor type).
     Types without bounds flow through unflagged."""
-    j = readings.join(F.broadcast(bounds), "sensor_type", "left")
+    j = readings.join(bounds, "sensor_type", "left")
     z = F.when(F.col("mad") > 0, 0.6745 * (F.col("value") - F.col("median")) / F.col("mad"))
     sev = F.when(F.abs(z) > crit_z, "CRITICAL").when(F.abs(z) > warn_z, "WARNING")
     return j.withColumn("robust_z", z).withColumn("severity", sev)
