@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import haversine_km
 from ..plans import network as nw
 from ..plans.graph import shortest_path_labels
+from ..session import stored
 from ..sources.views import view, view_sql
 from . import register
 from .joins import customer_points
@@ -89,6 +90,7 @@ def q_gn4(spark, sf):
     drop out (no path)."""
     from ..functions.numeric import round_half_up
     od = view(spark, sf, "legs").groupBy("origin_nation", "dest_nation").agg(F.count(F.lit(1)).alias("n_shipments"))
+    od = stored(od, "od-pairs")  # every search round reads the pairs; the legs are joined once
     profiles = F.explode(F.array(*[F.lit(p) for p in nw.VEHICLE_PROFILES])).alias("profile")
     targets = od.select(F.col("origin_nation").alias("source"), F.col("dest_nation").alias("node"), profiles)
     sp = shortest_path_labels(profile_edges(spark, sf), targets.select("profile", "source"), "w", ["profile"], targets=targets)

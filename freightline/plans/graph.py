@@ -52,6 +52,8 @@ def shortest_path_labels(edges: DataFrame, sources: DataFrame, weight: str, grou
         F.lit(0.0).alias("cost"), F.lit(None).cast(node_type).alias("pred"))
     labels = [stored(start, "sp-labels")]
     opened, owned = labels[0], [*labels]
+    if targets is not None:  # read every round: whatever they are made of runs once
+        targets = stored(targets.select(*key).distinct(), "sp-targets")
     while (lowest := opened.agg(F.min("cost")).first()[0]) is not None:
         if targets is not None:
             known = _union(labels).filter(F.col("cost") <= lowest)
@@ -78,7 +80,7 @@ def shortest_path_labels(edges: DataFrame, sources: DataFrame, weight: str, grou
             discard(*owned[:-1])
             labels, owned = [merged], [merged, owned[-1]]
     out = stored(_best(labels, key), "sp-paths")
-    discard(*owned, e)
+    discard(*owned, e, *([targets] if targets is not None else []))
     return out
 
 

@@ -82,8 +82,9 @@ def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_type", "p_brand")
-    j = (li.join(o, li.l_orderkey == o.o_orderkey)
-           .join(c, F.col("o_custkey") == c.c_custkey)
+    # orders meet their customers first, so the wide lines are shuffled once less
+    oc = o.join(c, o.o_custkey == c.c_custkey)
+    j = (li.join(oc, li.l_orderkey == oc.o_orderkey)
            .join(s, li.l_suppkey == s.s_suppkey)
            .join(p, li.l_partkey == p.p_partkey))
     return j.select(

@@ -151,3 +151,29 @@ def test_graph_without_edges(spark):
     assert graph.bridges(edges, nodes.withColumn("component", F.col("node_id"))).count() == 0
     assert graph.betweenness(edges, nodes, "w").count() == 0
     assert graph.shortest_path_labels(edges, nodes.withColumnRenamed("node_id", "source"), "w").count() == 3
+
+
+def test_targets_are_made_once(spark):
+    """What the targets are made of runs once, not in every round."""
+    line = {(i, i + 1): 1.0 for i in range(12)}
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    targets = spark.createDataFrame([(0, 9)], "source long, node long").mapInPandas(told, "source long, node long")
+    sources = spark.createDataFrame([(0,)], "source long")
+    labels = graph.shortest_path_labels(edge_df(spark, line), sources, "w", targets=targets, bucket=1.0)
+    assert labels.filter("node = 9").first().cost == 9.0
+    assert seen.value == 1
+
+
+def test_shipment_lines_are_joined_once(spark, sf_small, monkeypatch):
+    from freightline.catalog import network
+    read = []
+    monkeypatch.setattr(network, "stored", lambda df, name: read.append(name) or graph.stored(df, name))
+    out = network.q_gn4(spark, sf_small)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert read == ["od-pairs"] and "l_orderkey" not in plan
