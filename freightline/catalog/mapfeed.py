@@ -15,9 +15,9 @@ R = "CAST(round(CAST({} AS DECIMAL(38,8)), 4) AS DOUBLE)"
 
 
 def _round_trip(spark, features, name, schema):
-    """Write a ``feature`` column as text lines and read it back with a schema."""
+    """Write a ``feature`` column as gzipped text lines and read it back with a schema."""
     path = scratch_path(spark, name)
-    features.select("feature").write.mode("overwrite").text(path)
+    features.select("feature").write.mode("overwrite").text(path, compression="gzip")
     return spark.read.schema(schema).json(path)
 
 

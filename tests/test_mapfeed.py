@@ -53,3 +53,16 @@ def test_map_layers(spark):
     assert [r[0] for r in df.select(fs.weather_marker("sky")["popup"]).collect()] == ["Weather Alert: Heavy Rain", None]
     zones = [json.loads(r["feature"])["properties"] for r in fs.risk_zone_feature(df, "coords", "risk", ["kind"]).collect()]
     assert zones[0]["layer"] == "Flood Risk Zone" and zones[0]["fillColor"] == "#0066cc" and "fillColor" not in zones[1]
+
+
+def test_feature_files_are_compressed(spark, sf_small):
+    """The written features take a small part of their text; the rows read back are whole."""
+    import os
+    from freightline.catalog import mapfeed
+    out = mapfeed.q_src11_routes(spark, sf_small)
+    folder = os.path.dirname(out.inputFiles()[0].removeprefix("file:"))
+    parts = [f for f in os.listdir(folder) if f.startswith("part-")]
+    assert parts and all(f.endswith(".gz") for f in parts)
+    text = spark.read.text(folder)
+    assert text.count() == out.count() > 0
+    assert sum(os.path.getsize(f"{folder}/{f}") for f in parts) * 4 < text.selectExpr("sum(length(value))").first()[0]
