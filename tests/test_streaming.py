@@ -119,3 +119,28 @@ def test_live_disruption_scoring_stream(spark, sf_small):
     got = spark.table("scored")
     assert got.count() == frame.count()
     assert got.filter((F.col("risk_probability") > 0.35) != F.col("alert")).count() == 0
+
+
+def test_ledger_stream_calls_grow_slower_than_shipments(spark, monkeypatch):
+    """Many shipments share a call of the fold, and each is still folded alone, across deliveries."""
+    from freightline.plans.ledger import exact_fold
+    from freightline.streaming.replay import run_deliveries
+    rows = [(i, 10 * k + i % 7, t, s) for i in range(300) for k, (t, s) in enumerate(
+        [(1, "DISPATCHED"), (2, "CREATED"), (3, "CREATED"), (4, "DISPATCHED"), (6, "DELIVERED"), (7, "IN_TRANSIT"), (8, "DELIVERED")])
+        if (i + k) % 5]
+    led = spark.createDataFrame(rows, "shipment_id long, seq long, t long, status string").selectExpr(
+        "shipment_id", "seq", "timestamp_seconds(t) AS ts", "status")
+    calls, fold = spark.sparkContext.accumulator(0), ss._fold_state
+
+    def counted(key, pdfs, state):
+        calls.add(1)
+        yield from fold(key, pdfs, state)
+
+    monkeypatch.setattr(ss, "_fold_state", counted)
+    monkeypatch.setattr(ss, "LEDGER_GROUPS", 16, raising=False)
+    out = run_deliveries(spark, [led.filter("ts < timestamp_seconds(5)"), led.filter("ts >= timestamp_seconds(5)")],
+                         ss.running_ledger_state, "ledger-test")
+    cols = ["shipment_id", "seq", "status", "accepted", "state_after"]
+    got = {tuple(r) for r in out.withColumn("shipment_id", F.col("shipment_id").cast("long")).select(cols).collect()}
+    assert got == {tuple(r) for r in exact_fold(led).select(cols).collect()} and len(got) == len(rows)
+    assert calls.value <= 4 * 16
