@@ -232,10 +232,9 @@ def q_gn14(spark, sf):
     supplier (depot), then the customer; max 8 h per trip, capacity 8000 kg."""
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity")
     sp = supplier_points(spark, sf).select("s_suppkey", "lat", "lon")
-    stops = li.join(sp, li.l_suppkey == sp.s_suppkey).groupBy("l_orderkey", "l_suppkey").agg(
-        F.first("lat").alias("lat"), F.first("lon").alias("lon"), (F.sum("l_quantity") * 100.0).alias("load"))
-    stops = stops.select(F.col("l_orderkey").alias("tour"), F.col("l_suppkey").alias("stop"), "lat", "lon", "load")
-    return rt.multi_stop_tours(stops, "tour", "stop", "lat", "lon", "load")
+    stops = li.join(sp, li.l_suppkey == sp.s_suppkey).select(
+        F.col("l_orderkey").alias("tour"), F.col("l_suppkey").alias("stop"), "lat", "lon", (F.col("l_quantity") * 100.0).alias("load"))
+    return rt.multi_stop_tours(stops, "tour", "stop", "lat", "lon", "load", n_rows=li.count())
 
 
 @register("cb13_pairwise_mode_comparison", view_sql("legs") + f""",

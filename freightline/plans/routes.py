@@ -182,15 +182,25 @@ def _plan_tour(stops: list, max_duration_s: float, capacity: float, speed_kph: f
     return out
 
 
+#: Rows of stops a planning task gets, about; the number of tasks follows the input.
+TOUR_ROWS = 400_000
+
+
 def multi_stop_tours(stops: DataFrame, tour: str, stop: str, lat: str, lon: str, load: str,
-                     max_duration_s: float = 8 * 3600, capacity: float = 8000.0, speed_kph: float = 80.0) -> DataFrame:
+                     max_duration_s: float = 8 * 3600, capacity: float = 8000.0, speed_kph: float = 80.0,
+                     n_rows: int | None = None) -> DataFrame:
     """GN14: visiting order per tour (nearest neighbour + 2-opt, first stop is
     the depot), then trips split greedily when the running duration or load
-    would exceed the limits.
+    would exceed the limits.  Rows of one stop in a tour are one visit with the sum of their loads.
 
+    The rows are shuffled by tour once, into partitions of about ``TOUR_ROWS`` whatever the input
+    (``n_rows``: number of rows if known, else counted), so a task's memory does not grow with it.
     Each tour's stop list (bounded: one tour's stops) is gathered into one
     array row; ``mapInPandas`` then plans a whole Arrow batch of tours per
     call, so the Python cost is per tour, not per pandas group."""
+    n = stops.count() if n_rows is None else n_rows
+    stops = stops.repartition(max(1, -(-n // TOUR_ROWS)), tour).groupBy(tour, stop).agg(
+        F.first(lat).alias(lat), F.first(lon).alias(lon), F.sum(load).alias(load))
     per = stops.groupBy(tour).agg(F.array_sort(F.collect_list(F.struct(
         F.col(stop).alias("s"), F.col(lat).cast("double").alias("la"), F.col(lon).cast("double").alias("lo"),
         F.col(load).cast("double").alias("ld")))).alias("stops"))

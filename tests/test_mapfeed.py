@@ -66,3 +66,16 @@ def test_feature_files_are_compressed(spark, sf_small):
     text = spark.read.text(folder)
     assert text.count() == out.count() > 0
     assert sum(os.path.getsize(f"{folder}/{f}") for f in parts) * 4 < text.selectExpr("sum(length(value))").first()[0]
+
+
+def test_tour_planning_partitions_follow_the_rows(spark, monkeypatch):
+    """More rows, more tasks of the same size; rows of one stop are one visit with all its load."""
+    monkeypatch.setattr(rt, "TOUR_ROWS", 100, raising=False)
+    rows = [(t, s, 10.0 + s / 100, 20.0, 3000.0) for t in range(250) for s in (1, 2, 3, 2)]
+    df = spark.createDataFrame(rows, "tour long, stop long, lat double, lon double, load double")
+    out = rt.multi_stop_tours(df, "tour", "stop", "lat", "lon", "load")
+    assert out.rdd.getNumPartitions() == 10
+    got = {}
+    for r in out.orderBy("tour", "visit").collect():
+        got.setdefault(r.tour, []).append((r.stop, r.trip))
+    assert len(got) == 250 and set(map(tuple, got.values())) == {((1, 0), (2, 1), (3, 2))}
