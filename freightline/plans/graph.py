@@ -189,7 +189,8 @@ def betweenness(edges: DataFrame, nodes: DataFrame, weight: str, groups: Sequenc
 def spanning_forest(edges: DataFrame, roots: DataFrame) -> list[DataFrame]:
     """Breadth-first levels from ``roots`` (node), all together: tables (node, parent), the roots with parent
     null.  ``edges`` (src, dst) hold both directions.  A level only meets the two before it, which hold all
-    known neighbours of its nodes."""
+    known neighbours of its nodes.  After 4, 8, 16 ... levels the edges into nodes reached by then are left out."""
+    pruned, left = 0, None
     levels = [stored(roots.select("node", F.lit(None).cast(edges.schema["src"].dataType).alias("parent")), "forest")]
     while True:
         last = levels[-1]
@@ -197,9 +198,32 @@ def spanning_forest(edges: DataFrame, roots: DataFrame) -> list[DataFrame]:
         known = _union(levels[-2:]).select(F.col("node").alias("dst"))
         level = stored(reached.join(known, "dst", "left_anti").withColumnRenamed("dst", "node"), "forest")
         if level.isEmpty():
-            discard(level)
+            discard(level, *([] if left is None else [left]))
             return levels
         levels.append(level)
+        if len(levels) >= max(4, 2 * pruned):
+            seen = _union(levels[pruned:]).select(F.col("node").alias("dst"))
+            fewer = stored(edges.join(seen, "dst", "left_anti").select("src", "dst"), "forest-edges")
+            if left is not None:
+                discard(left)
+            pruned, left, edges = len(levels), fewer, fewer
+
+
+def subtree_sums(forest: DataFrame, own: DataFrame) -> DataFrame:
+    """(node, parent, total): the exclusive or of ``own`` (node, own; 0 where absent) over a node and all below
+    it in a ``forest`` (node, parent).  Pointer doubling: after k rounds ``total`` covers the 2^k nearest levels
+    and ``up`` points 2^k levels up, so rounds grow with the logarithm of the depth."""
+    zero = F.lit(0).cast("long")
+    now = stored(forest.join(own, "node", "left").select("node", "parent", F.col("parent").alias("up"), F.coalesce("own", zero).alias("total")), "br-sums")
+    while not (open_ := now.filter("up IS NOT NULL")).isEmpty():
+        more = open_.groupBy(F.col("up").alias("node")).agg(F.bit_xor("total").alias("more"))
+        on = open_.select(F.col("node").alias("up"), F.col("up").alias("on"))
+        nxt = now.join(on, "up", "left").join(more, "node", "left").select(
+            "node", "parent", F.col("on").alias("up"), F.col("total").bitwiseXOR(F.coalesce("more", zero)).alias("total"))
+        nxt = stored(nxt, "br-sums")
+        discard(now)
+        now = nxt
+    return now
 
 
 def undirected_pairs(edges: DataFrame) -> DataFrame:
@@ -224,20 +248,10 @@ def bridges(edges: DataFrame, components: DataFrame, seed: int = 5) -> DataFrame
     loose = pairs.join(tree, ["a", "b"], "left_anti").withColumn("label", F.xxhash64("a", "b", F.lit(seed)))
     ends = loose.select(F.col("a").alias("node"), "label").unionByName(loose.select(F.col("b").alias("node"), "label"))
     own = stored(ends.groupBy("node").agg(F.bit_xor("label").alias("own")), "br-labels")
-    below, found = None, []
-    for level in reversed(levels[1:]):
-        sums = level.join(own, "node", "left")
-        if below is not None:
-            sums = sums.join(below.select(F.col("parent").alias("node"), "below"), "node", "left")
-        else:
-            sums = sums.withColumn("below", F.lit(None).cast("long"))
-        total = F.coalesce("own", F.lit(0).cast("long")).bitwiseXOR(F.coalesce("below", F.lit(0).cast("long")))
-        sums = stored(sums.select("node", "parent", total.alias("total")), "br-sums")
-        found.append(sums)
-        below = sums.groupBy("parent").agg(F.bit_xor("total").alias("below"))
-    if not found:
+    if len(levels) == 1:
         return pairs.filter("false").join(named, pairs["a"] == named["node"]).select("a", "b", "component")
-    cut = _union(found).filter("total = 0").select(F.least("node", "parent").alias("a"), F.greatest("node", "parent").alias("b"))
+    sums = subtree_sums(_union(levels), own)
+    cut = sums.filter("parent IS NOT NULL AND total = 0").select(F.least("node", "parent").alias("a"), F.greatest("node", "parent").alias("b"))
     out = stored(cut.join(named, cut["a"] == named["node"]).select("a", "b", "component"), "bridges")
-    discard(pairs, both, own, *levels, *found)
+    discard(pairs, both, own, *levels, sums)
     return out

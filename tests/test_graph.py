@@ -177,3 +177,16 @@ def test_shipment_lines_are_joined_once(spark, sf_small, monkeypatch):
     out = network.q_gn4(spark, sf_small)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert read == ["od-pairs"] and "l_orderkey" not in plan
+
+
+def test_bridges_of_a_deep_graph(spark, monkeypatch):
+    """A long chain with loops: the sums below its edges take rounds like the logarithm of its depth, and the
+    tables of the forest meet fewer edges the further it has grown."""
+    pairs = {(i, i + 1) for i in range(40)} | {(8, 11), (20, 24), (39, 37)} | {(50, 51), (51, 52), (50, 52)}
+    edges = spark.createDataFrame(sorted(pairs), "src long, dst long")
+    nodes = spark.createDataFrame([(x,) for x in sorted({x for p in pairs for x in p} | {99})], "node_id long")
+    written, stored = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df, name: written.append(name) or stored(df, name))
+    out = graph.bridges(edges, nw.connected_components(nodes, edges)).collect()
+    assert {(r.a, r.b) for r in out} == brute_bridges(pairs)
+    assert written.count("br-sums") <= 8 and written.count("forest-edges") >= 3
