@@ -233,8 +233,14 @@ def q_gn14(spark, sf):
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity")
     sp = supplier_points(spark, sf).select("s_suppkey", "lat", "lon")
     stops = li.join(sp, li.l_suppkey == sp.s_suppkey).select(
-        F.col("l_orderkey").alias("tour"), F.col("l_suppkey").alias("stop"), "lat", "lon", (F.col("l_quantity") * 100.0).alias("load"))
-    return rt.multi_stop_tours(stops, "tour", "stop", "lat", "lon", "load", n_rows=li.count())
+        F.col("l_orderkey").alias("tour"), F.col("l_suppkey").alias("stop"), "lat", "lon", (F.col("l_quantity") * 100.0).alias("load"),
+        "l_linenumber")
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    cp = customer_points(spark, sf)
+    ends = orders.join(cp, orders.o_custkey == cp.c_custkey).select(
+        F.col("o_orderkey").alias("tour"), F.col("o_custkey").alias("stop"), "lat", "lon")
+    return rt.multi_stop_tours(stops, "tour", "stop", "lat", "lon", "load", n_rows=li.count() + orders.count(),
+                               first="l_linenumber", ends=ends)
 
 
 @register("cb13_pairwise_mode_comparison", view_sql("legs") + f""",

@@ -127,10 +127,11 @@ def eta_slip(legs: DataFrame, keys: Sequence[str], planned: str, actual: str, to
                                 (F.max("slip_s") > tolerance_s).alias("deviated"))
 
 
-def _tour_order(xy: np.ndarray) -> list[int]:
-    """Nearest neighbour from stop 0, then 2-opt on the open path."""
+def _tour_order(xy: np.ndarray, closed: bool = False) -> list[int]:
+    """Nearest neighbour from stop 0, then 2-opt on the open path; if ``closed``, the last stop stays the last."""
     n = len(xy)
-    if n <= 2:
+    free = n - 1 if closed else n  # stops before it may change places, the first apart
+    if free <= 2:
         return list(range(n))
     lat, lon = np.radians(xy[:, 0]), np.radians(xy[:, 1])
     dlat = lat[:, None] - lat[None, :]
@@ -138,16 +139,17 @@ def _tour_order(xy: np.ndarray) -> list[int]:
     a = np.sin(dlat / 2) ** 2 + np.cos(lat)[:, None] * np.cos(lat)[None, :] * np.sin(dlon / 2) ** 2
     dm = 2 * 6371.0 * np.arcsin(np.sqrt(np.clip(a, 0, 1)))
     order, seen = [0], {0}
-    while len(order) < n:
+    while len(order) < free:
         last = order[-1]
-        nxt = min((j for j in range(n) if j not in seen), key=lambda j: (dm[last, j], j))
+        nxt = min((j for j in range(free) if j not in seen), key=lambda j: (dm[last, j], j))
         order.append(nxt)
         seen.add(nxt)
+    order.extend(range(free, n))
     improved = True
     while improved:
         improved = False
-        for i in range(1, n - 1):
-            for k in range(i + 1, n):
+        for i in range(1, free):
+            for k in range(i + 1, free):
                 a_, b_ = order[i - 1], order[i]
                 c_ = order[k]
                 d_ = order[k + 1] if k + 1 < n else None
@@ -165,9 +167,10 @@ def _haversine(p, q) -> float:
     return 2 * 6371.0 * math.asin(math.sqrt(min(1.0, a)))
 
 
-def _plan_tour(stops: list, max_duration_s: float, capacity: float, speed_kph: float) -> list:
-    """stops: [(stop, lat, lon, load)] sorted by stop id -> [(visit, stop, leg_km, trip)]."""
-    order = _tour_order(np.array([[s[1], s[2]] for s in stops], dtype=float)) if len(stops) > 2 else list(range(len(stops)))
+def _plan_tour(stops: list, max_duration_s: float, capacity: float, speed_kph: float, closed: bool = False) -> list:
+    """stops: [(stop, lat, lon, load)], the depot first and, if ``closed``, the destination last
+    -> [(visit, index of the stop, leg_km, trip)]."""
+    order = _tour_order(np.array([[s[1], s[2]] for s in stops], dtype=float), closed) if len(stops) > 2 else list(range(len(stops)))
     out, trip, dur, ld, prev = [], 0, 0.0, 0.0, None
     for v, idx in enumerate(order):
         st = stops[idx]
@@ -177,7 +180,7 @@ def _plan_tour(stops: list, max_duration_s: float, capacity: float, speed_kph: f
             trip, dur, ld = trip + 1, 0.0, 0.0
         dur += t
         ld += st[3]
-        out.append((v, st[0], km, trip))
+        out.append((v, idx, km, trip))
         prev = (st[1], st[2])
     return out
 
@@ -188,25 +191,36 @@ TOUR_ROWS = 400_000
 
 def multi_stop_tours(stops: DataFrame, tour: str, stop: str, lat: str, lon: str, load: str,
                      max_duration_s: float = 8 * 3600, capacity: float = 8000.0, speed_kph: float = 80.0,
-                     n_rows: int | None = None) -> DataFrame:
-    """GN14: visiting order per tour (nearest neighbour + 2-opt, first stop is
-    the depot), then trips split greedily when the running duration or load
-    would exceed the limits.  Rows of one stop in a tour are one visit with the sum of their loads.
+                     n_rows: int | None = None, first: str | None = None, ends: DataFrame | None = None) -> DataFrame:
+    """GN14: visiting order per tour (nearest neighbour + 2-opt from the depot), then trips split greedily
+    when the running duration or load would exceed the limits.  Rows of one stop in a tour are one visit with
+    the sum of their loads.  The depot is the stop with the least ``first`` (a column; nulls last), without it
+    the least stop.  ``ends`` (tour, stop, lat, lon) names the destination of a tour: visited last, with no
+    load; a tour without one ends at its last stop, an end without stops is no tour.  With ``ends`` each row
+    says if it is the end (``is_end``), since the ids of both may be alike.
 
     The rows are shuffled by tour once, into partitions of about ``TOUR_ROWS`` whatever the input
-    (``n_rows``: number of rows if known, else counted), so a task's memory does not grow with it.
+    (``n_rows``: number of rows, ends among them, if known, else counted), so a task's memory does not grow with it.
     Each tour's stop list (bounded: one tour's stops) is gathered into one
     array row; ``mapInPandas`` then plans a whole Arrow batch of tours per
     call, so the Python cost is per tour, not per pandas group."""
-    n = stops.count() if n_rows is None else n_rows
-    stops = stops.repartition(max(1, -(-n // TOUR_ROWS)), tour).groupBy(tour, stop).agg(
-        F.first(lat).alias(lat), F.first(lon).alias(lon), F.sum(load).alias(load))
-    per = stops.groupBy(tour).agg(F.array_sort(F.collect_list(F.struct(
-        F.col(stop).alias("s"), F.col(lat).cast("double").alias("la"), F.col(lon).cast("double").alias("lo"),
-        F.col(load).cast("double").alias("ld")))).alias("stops"))
     kf, sf = stops.schema[tour], stops.schema[stop]
+    rows = stops.select(tour, stop, F.col(lat).cast("double").alias("la"), F.col(lon).cast("double").alias("lo"),
+                        F.col(load).cast("double").alias("ld"), F.col(first or stop).alias("first"), F.lit(False).alias("is_end"))
+    if ends is not None:
+        rows = rows.unionByName(ends.select(
+            F.col(tour).cast(kf.dataType).alias(tour), F.col(stop).cast(sf.dataType).alias(stop), F.col(lat).cast("double").alias("la"),
+            F.col(lon).cast("double").alias("lo"), F.lit(0.0).alias("ld"), F.lit(None).cast(rows.schema["first"].dataType).alias("first"),
+            F.lit(True).alias("is_end")))
+    n = rows.count() if n_rows is None else n_rows
+    rows = rows.repartition(max(1, -(-n // TOUR_ROWS)), tour).groupBy(tour, stop, "is_end").agg(
+        F.first("la").alias("la"), F.first("lo").alias("lo"), F.sum("ld").alias("ld"), F.min("first").alias("first"))
+    per = rows.groupBy(tour).agg(F.array_sort(F.collect_list(F.struct(
+        "is_end", F.isnull("first").alias("late"), "first", F.col(stop).alias("s"), "la", "lo", "ld"))).alias("stops"))
+    per = per.filter("NOT stops[0].is_end")
     plan_t = T.ArrayType(T.StructType([T.StructField("visit", T.IntegerType()), T.StructField(stop, sf.dataType),
-                                       T.StructField("leg_km", T.DoubleType()), T.StructField("trip", T.IntegerType())]))
+                                       T.StructField("leg_km", T.DoubleType()), T.StructField("trip", T.IntegerType()),
+                                       *([] if ends is None else [T.StructField("is_end", T.BooleanType())])]))
     schema = T.StructType([kf, T.StructField("plan", plan_t)])
 
     def run(it):
@@ -214,8 +228,8 @@ def multi_stop_tours(stops: DataFrame, tour: str, stop: str, lat: str, lon: str,
             plans = []
             for arr in pdf["stops"]:
                 st = [(r["s"], r["la"], r["lo"], r["ld"]) for r in arr]
-                plans.append([{"visit": v, stop: s_, "leg_km": km, "trip": tr}
-                              for v, s_, km, tr in _plan_tour(st, max_duration_s, capacity, speed_kph)])
+                plans.append([{"visit": v, stop: st[i][0], "leg_km": km, "trip": tr, "is_end": arr[i]["is_end"]}
+                              for v, i, km, tr in _plan_tour(st, max_duration_s, capacity, speed_kph, arr[-1]["is_end"])])
             yield pd.DataFrame({tour: pdf[tour], "plan": plans})
     out = per.mapInPandas(run, schema)
     return out.select(tour, F.inline("plan"))

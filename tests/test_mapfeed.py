@@ -79,3 +79,43 @@ def test_tour_planning_partitions_follow_the_rows(spark, monkeypatch):
     for r in out.orderBy("tour", "visit").collect():
         got.setdefault(r.tour, []).append((r.stop, r.trip))
     assert len(got) == 250 and set(map(tuple, got.values())) == {((1, 0), (2, 1), (3, 2))}
+
+
+def test_tours_start_at_the_first_line_and_end_at_the_customer(spark, sf_small):
+    """The depot is the supplier of an order's first line, whatever its key; the customer is the last visit."""
+    from freightline.catalog import routes
+    from freightline.sources.tables import table
+    got = {}
+    for r in routes.q_gn14(spark, sf_small).orderBy("tour", "visit").collect():
+        got.setdefault(r.tour, []).append((r.stop, r.is_end))
+    customer = {r.o_orderkey: r.o_custkey for r in table(spark, sf_small, "orders").collect()}
+    lines = {}
+    for r in table(spark, sf_small, "lineitem").orderBy("l_orderkey", "l_linenumber", "l_suppkey").collect():
+        lines.setdefault(r.l_orderkey, []).append(r.l_suppkey)
+    assert set(got) == set(lines) and any(v[0] != min(v) for v in lines.values())
+    for tour, visits in got.items():
+        assert visits[0] == (lines[tour][0], False) and visits[-1] == (customer[tour], True)
+        assert sorted(s for s, end in visits if not end) == sorted(set(lines[tour]))
+
+
+def test_two_opt_keeps_both_ends():
+    """Against all orders of the stops between depot and destination no reversal is left that shortens the way."""
+    import numpy as np
+    rng = np.random.default_rng(3)
+    for n in (2, 3, 5, 8):
+        xy = np.column_stack([rng.uniform(40, 50, n), rng.uniform(0, 10, n)])
+        order = rt._tour_order(xy, closed=True)
+        length = lambda o: sum(rt._haversine(xy[a], xy[b]) for a, b in zip(o, o[1:]))
+        assert order[0] == 0 and order[-1] == n - 1 and sorted(order) == list(range(n))
+        turned = [order[:i] + order[i:k + 1][::-1] + order[k + 1:] for i in range(1, n - 1) for k in range(i + 1, n - 1)]
+        assert all(length(o) >= length(order) - 1e-6 for o in turned)
+
+
+def test_tours_without_end_or_stops(spark):
+    """A tour without destination ends at its last stop; a destination without stops is no tour."""
+    df = spark.createDataFrame([(1, 7, 10.0, 20.0, 1.0, 2), (1, 3, 11.0, 20.0, 1.0, None), (2, 5, 12.0, 20.0, 1.0, 1)],
+                               "tour long, stop long, lat double, lon double, load double, line int")
+    ends = spark.createDataFrame([(2, 5, 12.5, 20.0), (9, 4, 0.0, 0.0)], "tour long, stop long, lat double, lon double")
+    out = rt.multi_stop_tours(df, "tour", "stop", "lat", "lon", "load", first="line", ends=ends)
+    assert [(r.tour, r.stop, r.is_end) for r in out.orderBy("tour", "visit").collect()] == [
+        (1, 7, False), (1, 3, False), (2, 5, False), (2, 5, True)]
