@@ -129,3 +129,18 @@ def test_texts_are_split_for_counts_and_codes_only(spark, sf_small, monkeypatch)
     n, n_held = docs.count(), sum(held(r.doc_id) for r in docs.select("doc_id").collect())
     assert len(lm.language_model(docs).collect()) == n
     assert calls.value == 2 * n - n_held
+
+
+def test_every_round_learns_from_every_training_document(spark, make_docs, monkeypatch):
+    """Each round, not the last alone, meets all documents, however many there are."""
+    learnt, read = spark.sparkContext.accumulator(0), lm.symbols_in
+
+    def counted(batch):
+        texts = read(batch)
+        learnt.add(len(texts))
+        return texts
+
+    monkeypatch.setattr(lm, "symbols_in", counted)
+    docs = lm.folds(make_docs([(i, f"w{i % 7} x{i % 11} end", "en") for i in range(9000)])).filter("NOT held_out")
+    lm.fit(docs)
+    assert learnt.value == (lm.FIT_PASSES + 1) * docs.count()
