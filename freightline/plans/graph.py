@@ -1,8 +1,8 @@
 """Graph search on edge tables of any size: shortest paths, betweenness, bridges.
 
-Every loop keeps its state in small written tables.  A round joins only its frontier with the edges and
-with what the frontier may change, so the rows it moves are in proportion to the frontier; labels that
-are settled stay where they were written.  All sources and groups (vehicle profiles) run together.
+Searches of the whole graph go by :mod:`~freightline.plans.contraction`.  Bounded ones (by cost or targets)
+go by rounds: state is kept in small written tables, and a round expands only its frontier.  All sources
+and groups (vehicle profiles) run together.
 """
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from freightline.plans import contraction as ct
 from freightline.session import discard, stored
 
 #: Label tables are merged into one beyond this number.
@@ -35,21 +36,52 @@ def shortest_path_labels(edges: DataFrame, sources: DataFrame, weight: str, grou
                          bucket: float | None = None) -> DataFrame:
     """(groups, source, node, cost, pred) for every node within reach of each (groups, source).
 
-    Bucketed frontier: a round expands the open labels whose cost lies within ``bucket`` (default: eight
+    Without bounds the graph is contracted to a core (:mod:`~freightline.plans.contraction`).  With them, or where
+    weights are zero or vanish beside the sum of all, by bucketed frontier: a round expands the open labels whose cost lies within ``bucket`` (default: eight
     times the mean weight) of the lowest open one, so few are expanded before they are final.  A label names its
     predecessor (null at the source), no path.  ``max_cost`` bounds the search.  With ``targets`` (groups,
     source, node) the search ends when each is settled or out of reach; then labels above the last settled
     cost may be missing.  Weights must not be negative."""
-    g, key = list(groups), [*groups, "source", "node"]
+    g = list(groups)
     e = stored(cheapest_edges(edges, weight, g, undirected), "sp-edges")
-    low, mean = e.agg(F.min("w"), F.avg("w")).first()
+    low, mean, whole = e.agg(F.min("w"), F.avg("w"), F.sum("w")).first()
     if low is not None and low < 0:
         raise ValueError("negative weights")
-    bucket = 8 * float(mean or 1.0) if bucket is None else bucket
     node_type = e.schema["dst"].dataType
-    start = sources.select(*g, "source").distinct().select(
-        *g, F.col("source").cast(node_type).alias("source"), F.col("source").cast(node_type).alias("node"),
-        F.lit(0.0).alias("cost"), F.lit(None).cast(node_type).alias("pred"))
+    sources = sources.select(*g, F.col("source").cast(node_type).alias("source")).distinct()
+    if targets is None and max_cost is None and bucket is None and (low is None or low > 1e-13 * whole):
+        c, tables = _contracted(e, sources, g, False)
+        discard(*c.owned, e)
+        return _union(tables).drop("paths")
+    out = _labels_by_rounds(e.withColumn("last", F.col("src")), sources, g, 8 * float(mean or 1.0) if bucket is None else bucket, max_cost, targets)
+    discard(e)
+    return out
+
+
+def _contracted(e: DataFrame, sources: DataFrame, g: Sequence[str], trace: bool) -> tuple[ct.Contracted, list[DataFrame]]:
+    """The contracted graph of ``e`` (groups, src, dst, w) and its tables of labels."""
+    node_type = e.schema["dst"].dataType
+    sources = stored(sources.select(*g, F.col("source").cast(node_type).alias("source")).distinct(), "sp-sources")
+    c = ct.contract(e, sources.withColumnRenamed("source", "node"), g, trace)
+    if c.size <= ct.CORE:
+        first = stored(ct.core_labels(c, sources, g, node_type), "sp-core")
+    else:
+        mean = c.core.agg(F.avg("w")).first()[0]
+        first = _labels_by_rounds(c.core, sources, g, 8 * float(mean)).withColumn("paths", F.lit(None).cast("double"))
+        if trace:
+            first = _counted(first, _tight(c, first, g), g)
+    tables = ct.expand(c, first, g, trace)
+    discard(sources)
+    return c, tables
+
+
+def _labels_by_rounds(e: DataFrame, sources: DataFrame, g: Sequence[str], bucket: float, max_cost: float | None = None,
+                      targets: DataFrame | None = None) -> DataFrame:
+    """Labels over ``e`` (groups, src, dst, w, last) by bucketed frontier; ``last`` becomes the predecessor."""
+    g, key = list(g), [*g, "source", "node"]
+    node_type = e.schema["dst"].dataType
+    e = e.select(*g, "src", "dst", "w", "last")
+    start = sources.select(*g, "source", F.col("source").alias("node"), F.lit(0.0).alias("cost"), F.lit(None).cast(node_type).alias("pred"))
     labels = [stored(start, "sp-labels")]
     opened, owned = labels[0], [*labels]
     if targets is not None:  # read every round: whatever they are made of runs once
@@ -63,7 +95,7 @@ def shortest_path_labels(edges: DataFrame, sources: DataFrame, weight: str, grou
         far = opened.filter(F.col("cost") >= lowest + bucket)
         steps = near.join(e.withColumnRenamed("src", "node"), [*g, "node"])
         steps = steps.select(*g, "source", F.col("dst").alias("node"), (F.col("cost") + F.col("w")).alias("cost"),
-                             F.col("node").alias("pred"))
+                             F.col("last").alias("pred"))
         if max_cost is not None:
             steps = steps.filter(F.col("cost") <= max_cost)
         steps = steps.groupBy(*key).agg(F.min(F.struct("cost", "pred")).alias("b")).select(*key, "b.*")
@@ -80,7 +112,7 @@ def shortest_path_labels(edges: DataFrame, sources: DataFrame, weight: str, grou
             discard(*owned[:-1])
             labels, owned = [merged], [merged, owned[-1]]
     out = stored(_best(labels, key), "sp-paths")
-    discard(*owned, e, *([targets] if targets is not None else []))
+    discard(*owned, *([targets] if targets is not None else []))
     return out
 
 
@@ -142,7 +174,8 @@ def betweenness(edges: DataFrame, nodes: DataFrame, weight: str, groups: Sequenc
 
     Dependency accumulation per source.  With the tight edges u -> v (cost(u) + w = cost(v)): path counts p
     flow forward from the source; then 1 / p flows backward from every node, and what arrives at v, times
-    p(v), is v's dependency.  Rounds: edges of the longest shortest path, forward and backward.  ``pivots``
+    p(v), is v's dependency.  The graph is contracted first, and the flows over edges that stand for ways through
+    removed nodes are shared out to these (:mod:`~freightline.plans.contraction`).  ``pivots``
     takes that many sources, drawn by a seeded hash, and scales by n / pivots.  Weights must be positive."""
     g = list(groups)
     sources, scale = nodes.select(F.col("node_id").alias("source")), 1.0
@@ -155,34 +188,55 @@ def betweenness(edges: DataFrame, nodes: DataFrame, weight: str, groups: Sequenc
     if g:
         ends = e.select(*g, F.col("src").alias("source")).unionByName(e.select(*g, F.col("dst").alias("source")))
         sources = ends.distinct().join(sources, "source")  # a node without edges in a group is on no path there
-    labels = shortest_path_labels(e, sources, "w", g)
+    c, tables = _contracted(e, sources, g, True)
+    by_tasks = lambda labels: ct.core_flows(c, labels, g, e.schema["dst"].dataType)
+    by_rounds = lambda labels: _flows(labels, _tight(c, labels, g), g)
+    out = ct.flow_through(c, tables, g, by_tasks if c.size <= ct.CORE else by_rounds)
+    discard(*c.owned, *(t for t in tables if hasattr(t, "stored_path")), e)
+    return out.select(*g, F.col("node").alias("node_id"), (F.col("f") * scale).alias("betweenness"))
+
+
+def _tight(c: ct.Contracted, labels: DataFrame, g: Sequence[str]) -> DataFrame:
+    """(groups, source, u, v, n): the edges of a core on shortest paths."""
     at = lambda end: labels.select(*g, "source", F.col("node").alias(end), F.col("cost").alias(f"cost_{end}"))
-    tight = e.withColumnsRenamed({"src": "u", "dst": "v"}).join(at("u"), [*g, "u"]).join(at("v"), [*g, "source", "v"])
+    tight = c.core.withColumnsRenamed({"src": "u", "dst": "v"}).join(at("u"), [*g, "u"]).join(at("v"), [*g, "source", "v"])
     slack = F.abs(F.col("cost_u") + F.col("w") - F.col("cost_v"))
-    tight = stored(tight.filter(slack <= 1e-9 * F.greatest(F.lit(1.0), F.col("cost_v"))).select(*g, "source", "u", "v"), "bc-tight")
+    return stored(tight.filter(slack <= ct.tolerance(F.col("cost_v"))).select(*g, "source", "u", "v", "n"), "bc-tight")
+
+
+def _counted(labels: DataFrame, tight: DataFrame, g: Sequence[str]) -> DataFrame:
+    """Labels with ``paths``: the counts flow forward from the source."""
     key = [*g, "source", "node"]
 
     def forward(x: DataFrame) -> DataFrame:
         x = x.withColumnRenamed("node", "u").join(tight, [*g, "source", "u"])
-        return x.groupBy(*g, "source", F.col("v").alias("node")).agg(F.sum("x").alias("x"))
+        return x.groupBy(*g, "source", F.col("v").alias("node")).agg(F.sum(F.col("x") * F.col("n")).alias("x"))
+
+    waves = _flow(labels.filter("pred IS NULL").select(*key, F.lit(1.0).alias("x")), forward, "bc-paths")
+    out = stored(labels.drop("paths").join(_union(waves).groupBy(*key).agg(F.sum("x").alias("paths")), key), "bc-paths")
+    discard(*waves, tight)
+    return out
+
+
+def _flows(labels: DataFrame, tight: DataFrame, g: Sequence[str]) -> DataFrame:
+    """As :func:`~freightline.plans.contraction.core_flows`, by rounds."""
+    key = [*g, "source", "node"]
 
     def backward(x: DataFrame) -> DataFrame:
         x = x.withColumnRenamed("node", "v").join(tight, [*g, "source", "v"])
-        return x.groupBy(*g, "source", F.col("u").alias("node")).agg(F.sum("x").alias("x"))
-
-    start = labels.filter("pred IS NULL").select(*key, F.lit(1.0).alias("x"))
-    waves = _flow(start, forward, "bc-paths")
-    paths = stored(_union(waves).groupBy(*key).agg(F.sum("x").alias("paths")), "bc-paths")
-    discard(*waves)
-    first = paths.filter(~F.col("node").eqNullSafe(F.col("source"))).select(*key, (1 / F.col("paths")).alias("x"))
-    waves = _flow(first, backward, "bc-flow")
-    if len(waves) == 1:
-        below = waves[0].filter("false")
-    else:
-        below = _union(waves[1:])
-    share = below.groupBy(*key).agg(F.sum("x").alias("x")).join(paths, key).filter(F.col("node") != F.col("source"))
-    out = stored(share.groupBy(*g, F.col("node").alias("node_id")).agg((F.sum(F.col("x") * F.col("paths")) * scale).alias("betweenness")), "bc")
-    discard(*waves, paths, tight, e, labels)
+        return x.groupBy(*g, "source", F.col("u").alias("node")).agg(F.sum(F.col("x") * F.col("n")).alias("x"))
+
+    inner = labels.filter(~F.col("node").eqNullSafe(F.col("source")))
+    waves = _flow(inner.select(*key, (1 / F.col("paths") + F.coalesce("got", F.lit(0.0))).alias("x")), backward, "bc-flow")
+    below = inner.filter("got IS NOT NULL").select(*key, F.col("got").alias("x"))
+    below = _union([below, *waves[1:]]).groupBy(*key).agg(F.sum("x").alias("x"))
+    nodes = below.join(inner.select(*key, "paths"), key).select(
+        *g, F.lit(None).cast(labels.schema["node"].dataType).alias("src"), F.col("node").alias("dst"), (F.col("x") * F.col("paths")).alias("f"))
+    arrived = _union(waves).groupBy(*g, "source", F.col("node").alias("v")).agg(F.sum("x").alias("x"))
+    over = tight.join(arrived, [*g, "source", "v"]).join(labels.select(*g, "source", F.col("node").alias("u"), "paths"), [*g, "source", "u"])
+    over = over.select(*g, F.col("u").alias("src"), F.col("v").alias("dst"), (F.col("paths") * F.col("n") * F.col("x")).alias("f"))
+    out = stored(nodes.unionByName(over), "bc-core")
+    discard(*waves, tight)
     return out
 
 

@@ -190,3 +190,61 @@ def test_bridges_of_a_deep_graph(spark, monkeypatch):
     out = graph.bridges(edges, nw.connected_components(nodes, edges)).collect()
     assert {(r.a, r.b) for r in out} == brute_bridges(pairs)
     assert written.count("br-sums") <= 8 and written.count("forest-edges") >= 3
+
+
+#: Bounds of the core (edges in memory, edges of a removed node): contracted and searched in memory; contracted as far
+#: as chains go, the rest by rounds; by rounds alone.
+CORES = [(8, 6), (0, 3), (0, 2)]
+
+
+def bounded_core(monkeypatch, core, most):
+    from freightline.plans import contraction as ct
+    monkeypatch.setattr(ct, "CORE", core)
+    monkeypatch.setattr(ct, "MOST", most)
+
+
+@pytest.mark.parametrize("core,most", CORES)
+def test_contracted_labels(spark, monkeypatch, core, most):
+    """Two groups of edges, one with ways of one direction and a part out of reach."""
+    bounded_core(monkeypatch, core, most)
+    one, two = random_graph(11, 40, 50), random_graph(12, 60, 75)
+    two = {e: c for i, (e, c) in enumerate(two.items()) if i % 9}
+    rows = [(g, u, v, c) for g, w in (("a", one), ("b", two)) for (u, v), c in w.items()] + [("a", 3, 3, 1.0), ("b", 5, 5, 1.0)]
+    edges = spark.createDataFrame(rows, "g string, src long, dst long, w double")
+    sources = spark.createDataFrame([(g, s) for g in "ab" for s in (0, 5, 999)], "g string, source long")
+    labels = graph.shortest_path_labels(edges, sources, "w", ["g"])
+    got = {(r.g, r.source, r.node): (r.cost, r.pred) for r in labels.collect()}
+    want = {(g, s, v): d for g, w in (("a", one), ("b", two)) for s in (0, 5) for v, d in dijkstra(w, s).items()}
+    want |= {(g, 999, 999): 0.0 for g in "ab"}
+    assert {k: c for k, (c, _) in got.items()} == want and labels.count() == len(want)
+    for (g, s, v), (cost, pred) in got.items():
+        assert pred is None if v == s else got[g, s, pred][0] + {"a": one, "b": two}[g][pred, v] == cost
+
+
+@pytest.mark.parametrize("core,most", CORES)
+def test_contracted_betweenness_shares_tied_paths(spark, monkeypatch, core, most):
+    bounded_core(monkeypatch, core, most)
+    w = random_graph(13, 40, 55, (1, 2))
+    nodes = sorted({x for e in w for x in e})
+    table = spark.createDataFrame([(n,) for n in nodes], "node_id long")
+    got = {r.node_id: r.betweenness for r in graph.betweenness(edge_df(spark, w), table, "w", pivots=3).collect()}
+    pivots = [r.source for r in graph.pivot_nodes(table, 3).collect()]
+    want = {v: x * len(nodes) / 3 for v, x in brute_betweenness(w, nodes, pivots).items()}
+    assert {v for v, x in got.items() if x > 1e-9} == set(want)
+    assert all(got[v] == pytest.approx(x) for v, x in want.items())
+
+
+def test_rounds_of_a_deep_graph_are_few(spark, monkeypatch):
+    """A chain of 120 nodes: rounds follow the logarithm of its length, not the length."""
+    from freightline.plans import contraction as ct
+    bounded_core(monkeypatch, 16, 6)
+    written, stored = [], graph.stored
+    for module in (graph, ct):
+        monkeypatch.setattr(module, "stored", lambda df, name: written.append(name) or stored(df, name))
+    n = 120
+    w = {(a, b): 1.0 for i in range(n - 1) for a, b in ((i, i + 1), (i + 1, i))}
+    table = spark.range(n).withColumnRenamed("id", "node_id")
+    got = {r.node_id: r.betweenness for r in graph.betweenness(edge_df(spark, w), table, "w", pivots=2).collect()}
+    pivots = [r.source for r in graph.pivot_nodes(table, 2).collect()]
+    assert got == pytest.approx({v: x * n / 2 for v, x in brute_betweenness(w, range(n), pivots).items()})
+    assert len(written) < 100
