@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from freightline.plans import contraction as ct
 from freightline.session import discard, stored
 
+#: Rows of paths below which they are walked by pointer doubling alone.
+WALKED = 200_000
 #: Label tables are merged into one beyond this number.
 MERGE = 8
 
@@ -120,11 +122,19 @@ def _best(labels: Sequence[DataFrame], key: Sequence[str]) -> DataFrame:
     return _union(labels).groupBy(*key).agg(F.min(F.struct("cost", "pred")).alias("b")).select(*key, "b.*")
 
 
-def path_steps(labels: DataFrame, groups: Sequence[str] = (), targets: DataFrame | None = None) -> DataFrame:
+def path_steps(labels: DataFrame, groups: Sequence[str] = (), targets: DataFrame | None = None,
+               weights: DataFrame | None = None) -> DataFrame:
     """(groups, source, node, pos, step): the nodes of the path to each label, or to each of ``targets``
     (groups, source, node); pos 0 is the source.  Pointer doubling: after k rounds every path holds its last
-    2^k nodes, and every label points 2^k nodes back, so rounds grow with the logarithm of the longest path."""
+    2^k nodes, and every label points 2^k nodes back, so rounds grow with the logarithm of the longest path.
+
+    With ``weights`` (groups, src, dst, w) every path is walked the same way from predecessor to predecessor, but
+    folded as it is walked, not listed: the labels with ``start``, the node it starts at, and ``total``, the sum of
+    its steps' weights."""
     key = [*groups, "source", "node"]
+    if weights is not None:
+        walked = _walked(labels, weights, list(groups))
+        return walked if targets is None else walked.join(targets.select(*key), key, "left_semi")
     asked = labels.select(*key) if targets is None else labels.select(*key).join(targets.select(*key), key, "left_semi")
     rows = stored(asked.select(*key, F.col("node").alias("step"), F.lit(0).alias("back")), "path")
     jump = stored(labels.filter("pred IS NOT NULL").select(*groups, "source", F.col("node").alias("step"), F.col("pred").alias("to")), "path-jump")
@@ -145,6 +155,45 @@ def path_steps(labels: DataFrame, groups: Sequence[str] = (), targets: DataFrame
     return rows.join(hops, key).select(*key, (F.col("hops") - F.col("back")).alias("pos"), "step")
 
 
+def _walked(labels: DataFrame, weights: DataFrame, g: Sequence[str]) -> DataFrame:
+    """Labels with ``start`` and ``total`` of their paths.  Nodes that no path goes on from are set aside, round by
+    round, while that leaves much fewer; the rest is walked by pointer doubling, and each node set aside takes
+    over its predecessor's sums.  Rows moved are in proportion to the labels on trees of paths."""
+    key = [*g, "source", "node"]
+    w = weights.select(*g, F.col("src").alias("pred"), F.col("dst").alias("node"), F.col("w").alias("step"))
+    now = labels.join(w, [*g, "pred", "node"], "left").select(*labels.columns, F.when(F.isnull("pred"), 0.0).otherwise(F.col("step")).alias("step"))
+    now = stored(now, "walk")
+    aside, size = [], now.count()
+    while size > WALKED:
+        above = now.filter("pred IS NOT NULL").select(*g, "source", F.col("pred").alias("node")).distinct()
+        marked = stored(now.join(above.withColumn("above", F.lit(True)), key, "left"), "walk")
+        rest = marked.filter("above").drop("above")
+        left = rest.count()
+        if left > 0.8 * size:
+            discard(marked)
+            break
+        aside.append(marked.filter("above IS NULL").drop("above"))
+        now, size = rest, left
+    none = F.lit(None).cast(labels.schema["node"].dataType)
+    state = stored(now.select(*key, F.col("pred").alias("up"), F.when(F.isnull("pred"), F.col("node")).otherwise(none).alias("start"),
+                              F.col("step").alias("total")), "walk-up")
+    while not state.filter("up IS NOT NULL").isEmpty():
+        on = state.select(*g, "source", F.col("node").alias("up"), F.col("up").alias("further"), F.col("start").alias("reached"),
+                          F.col("total").alias("more"))
+        nxt = stored(state.join(on, [*g, "source", "up"], "left").select(
+            *key, F.col("further").alias("up"), F.coalesce("start", "reached").alias("start"),
+            (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total")), "walk-up")
+        discard(state)
+        state = nxt
+    tables = [stored(now.join(state.drop("up"), key).drop("step"), "walked")]
+    for leaves in reversed(aside):
+        known = _union(tables).select(*g, "source", F.col("node").alias("pred"), "start", "total")
+        tables.append(stored(leaves.join(known, [*g, "source", "pred"], "left").select(
+            *labels.columns, F.when(F.isnull("pred"), F.col("node")).otherwise(F.col("start")).alias("start"),
+            F.when(F.isnull("pred"), 0.0).otherwise(F.col("step") + F.col("total")).alias("total")), "walked"))
+    return _union(tables)
+
+
 def path_arrays(labels: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     """(groups, source, node, cost, path): labels with the node ids of their paths, source first."""
     key = [*groups, "source", "node"]

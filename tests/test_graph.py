@@ -201,11 +201,12 @@ def bounded_core(monkeypatch, core, most):
     from freightline.plans import contraction as ct
     monkeypatch.setattr(ct, "CORE", core)
     monkeypatch.setattr(ct, "MOST", most)
+    monkeypatch.setattr(graph, "WALKED", 5)
 
 
 @pytest.mark.parametrize("core,most", CORES)
-def test_contracted_labels(spark, monkeypatch, core, most):
-    """Two groups of edges, one with ways of one direction and a part out of reach."""
+def test_contracted_labels_and_walked_paths(spark, monkeypatch, core, most):
+    """Two groups of edges, one with ways of one direction and a part out of reach; every path is walked to its start."""
     bounded_core(monkeypatch, core, most)
     one, two = random_graph(11, 40, 50), random_graph(12, 60, 75)
     two = {e: c for i, (e, c) in enumerate(two.items()) if i % 9}
@@ -219,6 +220,8 @@ def test_contracted_labels(spark, monkeypatch, core, most):
     assert {k: c for k, (c, _) in got.items()} == want and labels.count() == len(want)
     for (g, s, v), (cost, pred) in got.items():
         assert pred is None if v == s else got[g, s, pred][0] + {"a": one, "b": two}[g][pred, v] == cost
+    walked = graph.path_steps(labels, ["g"], weights=graph.cheapest_edges(edges, "w", ["g"])).collect()
+    assert {(r.g, r.source, r.node): (r.total, r.start) for r in walked} == {k: (c, k[1]) for k, c in want.items()}
 
 
 @pytest.mark.parametrize("core,most", CORES)
